@@ -6,6 +6,8 @@ from importlib import import_module
 
 #: Query name: the module of this subpackage that has query(spark, sf_dir) and, where SQL can express it, ORACLE_SQL.
 MODULES = {
+    "op3_quality_rules": "quality_rules",
+    "op4_suffix_array_dedup": "suffix_dedup",
     "op1_benchmark_decontamination": "decontaminate",
     "op10_simhash": "simhash",
 }
