@@ -34,10 +34,16 @@ def learn(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str
     rows = docs.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & F.col(text).isNotNull())
     rows = rows.where(where) if where is not None else rows
     rows = rows.select(F.col(lang).alias("lang"), F.col(doc_id).alias("id"), F.xxhash64(doc_id).alias("h"), F.octet_length(text).alias("n"))
-    named = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    # A rank limit is applied before the shuffle as well (window group limit), so no language is gathered whole.
-    ranked = rows.where((F.col("n") > 0) & (F.col("n") <= DICTIONARY // 8)).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id")))
-    chosen = ranked.where(F.col("r") <= SAMPLE).where(F.col("lang").isin(named)).select("lang", "h", "id", F.sum("n").over(Window.partitionBy("lang").orderBy("r")).alias("total"))
+    counted = [(r["lang"], r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    if not counted:
+        return []
+    named = [name for name, _ in counted]
+    # A hash below a language's share leaves a few times SAMPLE rows of it, however many it has.
+    shares = docs.sparkSession.createDataFrame([(name, 4.0 * SAMPLE / n) for name, n in counted], "_lang string, _share double")
+    few = rows.where((F.col("n") > 0) & (F.col("n") <= DICTIONARY // 8)).join(F.broadcast(shares), F.col("lang") == F.col("_lang"))
+    few = few.where(F.pmod("h", F.lit(1 << 40)) < F.col("_share") * (1 << 40))
+    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("r") <= SAMPLE)
+    chosen = ranked.select("lang", "h", "id", F.sum("n").over(Window.partitionBy("lang").orderBy("r")).alias("total"))
     chosen = chosen.where(F.col("total") <= DICTIONARY).select(F.col("lang").alias("_lang"), F.col("id").alias("_id"), "h")
     found = docs.join(F.broadcast(chosen), (F.col(doc_id) == F.col("_id")) & (F.col(lang) == F.col("_lang")))
     texts: dict[str, list] = {name: [] for name in named}

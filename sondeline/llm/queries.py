@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name: the module of this subpackage that has query(spark, sf_dir) and, where SQL can express it, ORACLE_SQL.
 MODULES = {
+    "op9_html_extraction": "html_extraction",
     "op8_license_scan": "license_scan",
     "op5_quality_classifier": "quality_classifier",
     "op2_sentencepiece": "sentencepieces",
