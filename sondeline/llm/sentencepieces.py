@@ -142,7 +142,7 @@ class Model:
             steps.append(normalizers.Replace(" ", MARKER))
         if steps:
             made.normalizer = normalizers.Sequence(steps)
-        back = [decoders.Replace(MARKER, " "), decoders.ByteFallback(), decoders.Fuse()]
+        back = [decoders.ByteFallback(), decoders.Metaspace(MARKER, "never", False), decoders.Fuse()]
         made.decoder = decoders.Sequence([*back, *([decoders.Strip(" ", 1, 0)] if self.dummy_prefix else [])])
         return made
 
