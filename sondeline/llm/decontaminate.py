@@ -23,6 +23,7 @@ from .common import WORD_BYTES, append_columns, materialize, texts_of
 
 WINDOW = 13
 SHARD_WORDS = 200_000
+ADDED = ("n_words", "hit_spans", "hit_items", "n_hit")
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
@@ -227,10 +228,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
 
     Returns the columns of docs.
     """
-    found = find_spans(docs, benchmark, text, window).where(~contaminated(per_word=per_word))
+    aside = {c: f"_own_{c}" for c in docs.columns if c in ADDED}
+    found = find_spans(docs.withColumnsRenamed(aside), benchmark, text, window).where(~contaminated(per_word=per_word))
     if least_words is not None:
         found = cut_spans(found, text, least_words)
-    return found.select(*docs.columns)
+    return found.drop(*ADDED).withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
