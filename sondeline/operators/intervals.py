@@ -214,19 +214,18 @@ def scatter(minutes: DataFrame) -> DataFrame:
     return made.select("rig_id", "t", F.round("WOB.mean", 2).alias("wob"), F.round("rop_calc", 1).alias("rop"), F.round("hole_depth", 1).alias("depth"), "state")
 
 
-def every_nth(rows: DataFrame, order: list[str], most: int = 2500) -> DataFrame:
+def every_nth(rows: DataFrame, order: list[str], bucket: Column, most: int = 2500) -> DataFrame:
     """Each Nth row in order, N being the least stride that leaves no more than `most` rows.
 
-    Rows are numbered per range partition, whose sizes are summed beforehand, so no task sees all of them.
+    bucket never falls along the order (a day, or a rig and a day) and parts the rows for numbering: only its counts, one row a bucket,
+    are summed in one task.
     """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    numbered = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part")
-    starts = sizes.select("_part", (F.sum("_n").over(before) - F.col("_n")).alias("_start"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    parted = rows.withColumn("_b", bucket)
+    sizes = parted.groupBy("_b").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_start"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    numbered = parted.withColumn("_in", F.row_number().over(Window.partitionBy("_b").orderBy(*order)))
     stride = F.greatest(F.lit(1), F.ceil(F.col("_all") / most))
-    joined = numbered.join(F.broadcast(starts), "_part")
-    return joined.where((F.col("_start") + F.col("_in") - 1) % stride == 0).select(*rows.columns)
+    return numbered.join(starts, "_b").where((F.col("_start") + F.col("_in") - 1) % stride == 0).select(*rows.columns)
 
 
 def dominant(minutes: DataFrame, c: str = "hole_size") -> DataFrame:

@@ -157,7 +157,7 @@ class Engine:
         )
         return {
             "cockpit": cockpit.orderBy("rig_id", "t"),
-            "scatter": intervals.every_nth(intervals.scatter(self.minutes), ["rig_id", "t"]),
+            "scatter": intervals.every_nth(intervals.scatter(self.minutes), ["rig_id", "t"], F.struct("rig_id", F.to_date("t").alias("day"))),
             "series": intervals.standard_series(self.minutes, 5, self.step),
             "spans": self.spans(),
             "totals": intervals.state_totals(self.spans()),

@@ -367,7 +367,7 @@ def scatter_filter(spark, sf_dir):
 
 @query("SELECT event_id, value FROM (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, count(*) OVER () AS n FROM events) WHERE i % greatest(1, CAST(ceil(n / 2500) AS BIGINT)) = 0")
 def stride_sample(spark, sf_dir):
-    return intervals.every_nth(feed.events(spark, sf_dir), ["ts", "event_id"], 2500).select("event_id", "value")
+    return intervals.every_nth(feed.events(spark, sf_dir), ["ts", "event_id"], F.to_date("ts"), 2500).select("event_id", "value")
 
 
 @query(
