@@ -248,3 +248,21 @@ def query(spark, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
         contaminated().alias("contaminated"),
     )
+
+
+ORACLE_SQL = f"""WITH word_lists AS (
+  SELECT 'd' AS kind, CAST(doc_id AS VARCHAR) AS id, text FROM documents UNION ALL SELECT 'i', CAST(item_id AS VARCHAR), text FROM benchmark),
+words AS (
+  SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM word_lists),
+starts AS (
+  SELECT id, w, least(len(w), {WINDOW}) AS n, unnest(range(1, greatest(len(w) - {WINDOW - 1}, 1) + 1)) AS i FROM words WHERE kind = 'i' AND len(w) > 0),
+windows AS (SELECT DISTINCT id AS item, n, list_slice(w, i, i + n - 1) AS x FROM starts),
+lengths AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, lengths WHERE kind = 'd' AND len(w) >= n),
+hits AS (SELECT p.id, p.i, p.n, item FROM (SELECT id, n, i, list_slice(w, i, i + n - 1) AS x FROM places) p JOIN windows v ON p.n = v.n AND p.x = v.x),
+covered AS (SELECT id, count(DISTINCT j) AS n_hit FROM (SELECT id, unnest(range(i, i + n)) AS j FROM hits) GROUP BY id),
+items AS (SELECT id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM hits GROUP BY id),
+found AS (
+  SELECT CAST(id AS BIGINT) AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(names, '') AS names
+  FROM words LEFT JOIN covered USING (id) LEFT JOIN items USING (id) WHERE kind = 'd')
+SELECT doc_id, n_words, n_hit, n_items, sha256(names) AS items_sha256, n_hit > 0 AND 20 * n_hit >= n_words AS contaminated FROM found"""

@@ -158,8 +158,8 @@ def _sql() -> str:
 words AS (
   SELECT doc_id, source, text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
          string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-spread AS (SELECT doc_id, unnest(range(1, len(w) - {WINDOW - 2})) AS i, w FROM words WHERE len(w) >= {WINDOW}),
-windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, list_slice(w, i, i + {WINDOW - 1})) AS c FROM spread),
+spread AS (SELECT doc_id, i, md5_number(array_to_string(w[i : i + {WINDOW - 1}], ' ')) AS x FROM (SELECT doc_id, unnest(range(1, len(w) - {WINDOW - 2})) AS i, w FROM words WHERE len(w) >= {WINDOW})),
+windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS c FROM spread),
 repeated AS (
   SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS j FROM windows WHERE c > 1) GROUP BY doc_id),
 measured AS (

@@ -282,3 +282,18 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, n_
 
 def query(spark, sf_dir: str) -> DataFrame:
     return removals(table(spark, sf_dir, "documents"))
+
+
+#: Texts as hexadecimal, so that one byte is two characters.
+ORACLE_SQL = f"""WITH bytes AS (SELECT doc_id, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (SELECT doc_id, i, md5_number(b[i + 1 : i + {LENGTH}]) AS x FROM (SELECT doc_id, b, unnest(range(0, length(h) // 2 - {LENGTH - 1})) AS i FROM bytes WHERE length(h) >= {2 * LENGTH})),
+shared AS (SELECT x FROM windows GROUP BY x HAVING count(*) > 1),
+hits AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH}, true)::INT AS fresh FROM windows SEMI JOIN shared USING (x)),
+numbered AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM hits),
+spans AS (SELECT doc_id, k, min(i) AS a, max(i) + {LENGTH} AS z FROM numbered GROUP BY doc_id, k),
+kept AS (SELECT doc_id, k, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY k), 0) AS before FROM spans),
+cut AS (
+  SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY k) || substring(any_value(h), 2 * max(z) + 1) AS rest
+  FROM kept JOIN bytes USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM bytes LEFT JOIN cut USING (doc_id)"""
