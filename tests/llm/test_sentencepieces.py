@@ -63,3 +63,15 @@ def test_clashing_columns_and_bad_ids(spark):
 def test_unsupported_models_are_refused():
     with pytest.raises(ValueError, match="only unigram and BPE"):
         m.Model.parse(delimited(2, varint(3 << 3) + varint(4)))
+
+
+def test_differing_words_are_found(monkeypatch):
+    raw = open(m.default_model(), "rb").read()
+    codec = m.Codec(raw)
+    texts = ["good words here", "one odd word", "", "odd", "x  y"]
+    ids = codec.encode(texts)
+    assert codec.parity(texts, ids) == [True] * 5
+    codec.same.clear()
+    right = codec.reference
+    monkeypatch.setattr(codec, "reference", lambda t: [[-1] if "odd" in x else y for x, y in zip(t, right(t), strict=True)])
+    assert codec.parity(texts, ids) == [True, False, True, False, True]
