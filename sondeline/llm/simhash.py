@@ -166,13 +166,13 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def classes(hashed: DataFrame, doc_id: str = "doc_id", fingerprint: str = "fingerprint") -> DataFrame:
-    """(fingerprint, component_id): the least doc_id of all fingerprints reachable. hashed has a row per document."""
+    """(fingerprint, component_id, component): the least doc_id of all fingerprints reachable, and the least of these fingerprints. hashed has a row per document."""
     nodes = materialize(hashed.groupBy(F.col(fingerprint).alias("f")).agg(F.min(doc_id).alias("least")), "fingerprints")
     labels = components(links(nodes.select("f")))
     joined = nodes.join(labels, nodes["f"] == labels["node"], "left").select("f", "least", F.coalesce("component", "f").alias("c"))
     joined = materialize(joined, "classes")
     ids = joined.groupBy("c").agg(F.min("least").alias("component_id"))
-    return joined.join(ids, "c").select(F.col("f").alias(fingerprint), "component_id")
+    return joined.join(ids, "c").select(F.col("f").alias(fingerprint), "component_id", F.col("c").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
@@ -182,17 +182,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """Keep the document with the least doc_id of each group, one row of it; returns the columns of docs."""
-    found = materialize(near_duplicates(docs, text, doc_id, shingle), "near-duplicates")
-    stay = found.where(F.col(doc_id).eqNullSafe(F.col("component_id"))).groupBy(F.col(doc_id).alias("_stay")).agg(F.count("*").alias("_n"))
-    stay = materialize(stay, "stay")
-    kept = docs.join(stay, F.col(doc_id).eqNullSafe(F.col("_stay")))
+    """Keep one row of each component: of those with its least doc_id the one with the least text; returns the columns of docs."""
+    keyed = docs.select(F.col(doc_id).alias("_stay"), F.xxhash64(text).alias("_k1"), F.hash(text).alias("_k2"), F.col(text).alias("_text"))
+    hashed = materialize(fingerprints(keyed, "_text", shingle, "_f", keep_text=False), "simhash")
+    found = hashed.join(classes(hashed, "_stay", "_f"), "_f").where(F.col("_stay").eqNullSafe(F.col("component_id")))
+    # A doc_id, null too, may stand on rows of several components: ids alone don't tell which of them a row belongs to.
+    found = materialize(found.groupBy("_stay", "_k1", "_k2", "component").agg(F.count("*").alias("_rows")), "near-duplicates")
+    many = found.groupBy("component").agg(F.sum("_rows").alias("_n"))
+    stay = materialize(found.join(many, "component").select("_stay", "_k1", "_k2", F.col("component").alias("_c"), "_n"), "stay")
+    same = F.col(doc_id).eqNullSafe(F.col("_stay")) & (F.xxhash64(text) == F.col("_k1")) & (F.hash(text) == F.col("_k2"))
+    kept = docs.join(stay, same)
     once = kept.where("_n = 1").select(*docs.columns)
     if stay.where("_n > 1").isEmpty():
         return once
-    # The same doc_id on several rows: one row stays for each component that it leads, with the least text.
-    again = kept.where("_n > 1").select(*docs.columns)
-    first = again.groupBy(F.col(doc_id).alias("_stay")).agg(F.min(F.struct(F.col(text).alias("t"), F.struct(*docs.columns).alias("row"))).alias("first"))
+    # Several rows of the least doc_id in one component: the one with the least text stays.
+    again = kept.where("_n > 1").select("_c", F.col(text).alias("t"), F.struct(*docs.columns).alias("row"))
+    first = again.groupBy("_c").agg(F.min(F.struct("t", "row")).alias("first"))
     return once.union(first.select("first.row.*"))
 
 

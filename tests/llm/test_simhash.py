@@ -69,3 +69,14 @@ def test_one_of_each_group_stays(spark):
     kept = sorted(map(tuple, m.deduplicate(d).collect()), key=lambda r: r[0])
     assert kept == [(2, "a b c d", 2), (7, "quite another text here", 5), (8, "", None)]
     assert m.deduplicate(d.limit(0)).count() == 0
+
+
+def test_repeated_and_null_ids_lose_no_component(spark):
+    a, b, c, e = "one two three four", "quite another text here", "some third words stand apart", "the fifth of all texts is this"
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, e), (6, e), (7, "x y z w"), (3, "x y z w"), (3, "nothing like the others at all")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(tuple, m.deduplicate(d).collect()), key=str)
+    assert kept == sorted([(None, a), (None, b), (5, c), (5, e), (3, "x y z w"), (3, "nothing like the others at all")], key=str)
+    # Id 1 leads one component on one row only; its other row follows id 0 and goes.
+    d = spark.createDataFrame([(0, a), (1, a), (1, b)], "doc_id long, text string")
+    assert sorted(map(tuple, m.deduplicate(d).collect())) == [(0, a), (1, b)]
