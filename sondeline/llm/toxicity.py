@@ -8,7 +8,11 @@ language and style rather than the tone, and only what a word has beyond a margi
 over the square root of the length, go through a logistic function. The function and the margin, one of MARGINS, are
 those that make the labels of labelled documents kept out of the counts likeliest. (Conditioning each word on the one before as well made held-out results worse.)
 
-Words fall into 2 ** BITS cells by crc32, so that the model is of fixed size (MODEL_BYTES) whatever the corpus, and may be broadcast.
+Words are told apart by 64-bit hashes, and no two share a count. A table in the shared folder has every word of the corpus with
+its count and its continuation counts. A word whose counts in both classes don't exceed the discount has the shared probability
+times a class's freed mass, so that its ratio is one constant whatever its count; only the other words make up the model that is
+broadcast. Each of these follows more than DISCOUNT different words in the learned documents, so that at 12 bytes a word the model has at
+most 4 bytes for each of their words; it doesn't grow with the documents that have no label.
 Class counts come from at most SAMPLE labelled rows, chosen by a hash of doc_id; the shared counts come from all documents.
 
 Defined results: a null or empty text, and one without words, scores as one with no toxic word; without labelled
@@ -19,7 +23,6 @@ are ignored; repeated rows score alike; an empty table gives no rows; other colu
 from __future__ import annotations
 
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,80 +30,104 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BYTES, append_columns, held_out, small_batches, table, texts_of
+from .common import WORD_BYTES, append_columns, held_out, materialize, small_batches, table, texts_of
 
-BITS, DISCOUNT, MARGINS, SAMPLE = 18, 2.0, (2.0, 1.5, 1.0), 20_000
-CELLS = 1 << BITS
-MODEL_BYTES = 4 * CELLS
+DISCOUNT, MARGINS, SAMPLE = 2.0, (2.0, 1.5, 1.0), 20_000
 LIMIT = 0.5
 
 
-class _Cells(dict):
-    """Cell of each word; remembers a bounded number of words."""
+def _words(text: bytes | None) -> list[bytes]:
+    return text.decode("utf-8", "replace").lower().encode().translate(WORD_BYTES).split() if text else []
 
-    def __missing__(self, word: bytes) -> int:
-        cell = crc32(word) & (CELLS - 1)
+
+def word_hash(word: bytes) -> int:
+    """64 bits, signed."""
+    from xxhash import xxh3_64_intdigest
+
+    return xxh3_64_intdigest(word) - (1 << 63)
+
+
+class _Known(dict):
+    """A number of each word; remembers a bounded number of words."""
+
+    def __init__(self, number, kind):
+        self.number, self.kind = number, kind
+
+    def __missing__(self, word: bytes):
+        found = self.number(word)
         if len(self) < 300_000:
-            self[word] = cell
-        return cell
+            self[word] = found
+        return found
 
     def of(self, text: bytes | None) -> np.ndarray:
-        words = text.decode("utf-8", "replace").lower().encode().translate(WORD_BYTES).split() if text else []
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        words = _words(text)
+        return np.fromiter(map(self.__getitem__, words), self.kind, len(words))
 
 
 @dataclass
 class Model:
-    ratio: np.ndarray  #: log ratio, toxic over ordinary, of each cell
+    words: np.ndarray  #: hashes of the words with a ratio of their own, in order
+    ratio: np.ndarray  #: log ratio, toxic over ordinary, of each of them
+    other: float  #: and of every other word
     margin: float
     weights: tuple[float, float, float]  #: constant and weights of features()
 
+    def ratios(self) -> _Known:
+        def of(word):
+            h = word_hash(word)
+            k = int(np.searchsorted(self.words, h))
+            return float(self.ratio[k]) if k < len(self.words) and self.words[k] == h else self.other
 
-def features(ratio: np.ndarray, cells: np.ndarray, margins: tuple[float, ...]) -> list[float]:
+        return _Known(of, np.float32)
+
+
+def features(ratios: np.ndarray, margins: tuple[float, ...]) -> list[float]:
     """Mean and scaled sum of what the words' ratios have beyond the text's median and each margin."""
-    if not len(cells):
+    if not len(ratios):
         return [0.0] * (2 * len(margins))
-    beyond = ratio[cells]
-    beyond = beyond - np.median(beyond)
+    beyond = ratios - np.median(ratios)
     totals = [float(np.maximum(beyond - m, 0).sum(dtype=np.float64)) for m in margins]
     return [x for t in totals for x in (t / len(beyond), t / (len(beyond) + 20) ** 0.5)]
 
 
 def _count(batches):
-    """(kind, key, n): 0, a cell and its words; 1 (ordinary) or 2 (toxic), a pair of cells of documents to learn from."""
-    cells, corpus, pairs, held = _Cells(), np.zeros(CELLS, np.int64), {1: [], 2: []}, 0
-
-    def closed(kind):
-        if not pairs[kind]:
-            return
-        keys = np.unique(np.concatenate(pairs[kind]))
-        pairs[kind] = []
-        for at in range(0, len(keys), 100_000):
-            yield _rows(kind, keys[at : at + 100_000], np.ones(len(keys[at : at + 100_000]), np.int64))
+    """(kind, word, before, n): 0, a word and its count; 1 (ordinary) or 2 (toxic), a word after another in documents to learn from, once a flush."""
+    known, held, size = _Known(word_hash, np.int64), {0: [], 1: [], 2: []}, 0
+
+    def closed():
+        if held[0]:
+            words, n = np.unique(np.concatenate(held[0]), return_counts=True)
+            yield from _rows(0, words, np.zeros(len(words), np.int64), n)
+        for kind in (1, 2):
+            if held[kind]:
+                w, before = np.concatenate(held[kind], axis=1)
+                order = np.lexsort((before, w))
+                w, before = w[order], before[order]
+                new = np.r_[True, (w[1:] != w[:-1]) | (before[1:] != before[:-1])]
+                yield from _rows(kind, w[new], before[new], np.ones(int(new.sum()), np.int64))
+        for rows in held.values():
+            rows.clear()
 
     for batch in batches:
-        found, labels = [np.zeros(0, np.int64)], batch.column("_label").to_pylist()
+        labels = batch.column("_label").to_pylist()
         for text, label in zip(texts_of(batch.column("text")), labels, strict=True):
-            c = cells.of(text)
-            found.append(c)
-            if label is not None and len(c):
-                pairs[1 + label].append(np.r_[CELLS, c[:-1]] << BITS | c)
-                held += len(c)
-        corpus += np.bincount(np.concatenate(found), minlength=CELLS)
-        if held > 2_000_000:
-            yield from closed(1)
-            yield from closed(2)
-            held = 0
-    yield from closed(1)
-    yield from closed(2)
-    full = np.flatnonzero(corpus)
-    for at in range(0, len(full), 100_000):
-        part = full[at : at + 100_000]
-        yield _rows(0, part, corpus[part])
-
-
-def _rows(kind: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys), pa.array(n)], names=["kind", "key", "n"])
+            w = known.of(text)
+            if not len(w):
+                continue
+            held[0].append(w)
+            if label is not None:
+                held[1 + label].append(np.stack([w, np.r_[np.int64(0), w[:-1]]]))  # 0: the text's start
+            size += len(w)
+            if size > 2_000_000:
+                yield from closed()
+                size = 0
+    yield from closed()
+
+
+def _rows(kind: int, words: np.ndarray, before: np.ndarray, n: np.ndarray):
+    for at in range(0, len(words), 100_000):
+        w, b, c = (x[at : at + 100_000] for x in (words, before, n))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), kind, np.int32)), pa.array(w), pa.array(b), pa.array(c)], names=["kind", "word", "before", "n"])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -128,31 +155,32 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     chosen = spark.createDataFrame([(r["_id"], r["_y"]) for r in rows.collect()], f"_id {dict(labels.dtypes)[doc_id]}, _y int")
     chosen = chosen.withColumn("_check", F.pmod(F.xxhash64("_id", F.lit("check")), F.lit(4)) == 0)
     both = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"), "left")
-    counted = both.select("text", F.when(~F.col("_check"), F.col("_y")).alias("_label")).mapInArrow(_count, "kind int, key long, n long")
-    counted = counted.groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    cell, one = F.col("key").bitwiseAND(CELLS - 1), F.col("kind") > 0
-    counted = counted.groupBy("kind", cell.alias("cell")).agg(F.sum(F.when(one, 1).otherwise(F.col("n"))).alias("n"))
-    got = counted.toArrow()  # no more than three numbers for each of CELLS cells
-    kind, cell, n = (got.column(c).to_numpy() for c in ("kind", "cell", "n"))
-    counts = np.zeros((3, CELLS))
-    counts[kind, cell] = n
-    if not counts[1].any() or not counts[2].any():
+    counted = both.select("text", F.when(~F.col("_check"), F.col("_y")).alias("_label")).mapInArrow(_count, "kind int, word long, before long, n long")
+    counted = counted.groupBy("kind", "word", "before").agg(F.sum("n").alias("n"))
+    times = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n") if kind == 0 else 1).otherwise(0))
+    counted = materialize(counted.groupBy("word").agg(*(times(k).alias(f"n{k}") for k in range(3))), "words")
+    n = [float(x or 0) for x in counted.agg(F.sum("n0"), F.sum("n1"), F.sum("n2")).first()]
+    if not n[1] or not n[2]:
         return None
-    shared = (counts[0] + 0.01) / (counts[0] + 0.01).sum()
-    log = []
-    for c in counts[1:]:
-        kept = np.maximum(c - DISCOUNT, 0) / c.sum()
+    got = counted.where((F.col("n1") > DISCOUNT) | (F.col("n2") > DISCOUNT)).toArrow()  # the words of the model
+    words, *counts = (got.column(c).to_numpy() for c in ("word", "n0", "n1", "n2"))
+    order = np.argsort(words)
+    words, counts = words[order], [c[order].astype(float) for c in counts]
+    shared, log, other = counts[0] / n[0], [], []
+    for c, total in zip(counts[1:], n[1:], strict=True):
+        kept = np.maximum(c - DISCOUNT, 0) / total
         log.append(np.log(kept + (1 - kept.sum()) * shared))
-    ratio = (log[1] - log[0]).astype(np.float32)
+        other.append(np.log(1 - kept.sum()))
+    ratio, other = (log[1] - log[0]).astype(np.float32), float(other[1] - other[0])
 
-    sent = spark.sparkContext.broadcast(ratio)
+    sent = spark.sparkContext.broadcast(Model(words, ratio, other, 0.0, (0.0, 0.0, 0.0)))
 
     names = [f"x{k}" for k in range(2 * len(MARGINS))]
 
     def measure(batches):
-        cells = _Cells()
+        ratios = sent.value.ratios()
         for batch in batches:
-            x = np.array([features(sent.value, cells.of(t), MARGINS) for t in texts_of(batch.column("text"))]).reshape(-1, len(names))
+            x = np.array([features(ratios.of(t), MARGINS) for t in texts_of(batch.column("text"))]).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(len(names))), batch.column("_y")], names=[*names, "y"])
 
     schema = ", ".join(f"{n} double" for n in names) + ", y int"
@@ -160,13 +188,13 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     rows = np.array(sorted(zip(*(checked.column(c).to_pylist() for c in (*names, "y")), strict=True)), float).reshape(-1, len(names) + 1)
     x, y = rows[:, :-1], rows[:, -1]
     if len(set(y.tolist())) < 2:
-        return Model(ratio, MARGINS[-1], (-4.0, 40.0, 2.0))  # too few documents to fit: a few toxic words in a hundred decide
+        return Model(words, ratio, other, MARGINS[-1], (-4.0, 40.0, 2.0))  # too few documents to fit: a few toxic words in a hundred decide
     tried = []
     for k, margin in enumerate(MARGINS):
         pair = x[:, 2 * k : 2 * k + 2]
         weights = _logistic(pair, y)
         p = np.clip(_chance(weights, pair), 1e-9, 1 - 1e-9)
-        tried.append((-float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum()), k, Model(ratio, margin, weights)))
+        tried.append((-float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum()), k, Model(words, ratio, other, margin, weights)))
     return min(tried, key=lambda t: t[:2])[2]
 
 
@@ -179,13 +207,14 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", keep_text: b
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        found, cells = sent.value, _Cells()
+        found = sent.value
+        ratios = found.ratios() if found else None
 
         def work(column: pa.Array) -> list[pa.Array]:
             if found is None:
                 scores = np.zeros(len(column))
             else:
-                x = np.array([features(found.ratio, cells.of(t), (found.margin,)) for t in texts_of(column)]).reshape(-1, 2)
+                x = np.array([features(ratios.of(t), (found.margin,)) for t in texts_of(column)]).reshape(-1, 2)
                 scores = _chance(found.weights, x)
             return [pa.array(scores), pa.array((scores >= LIMIT).astype(np.int32))]
 

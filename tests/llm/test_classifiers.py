@@ -53,6 +53,31 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxic_words_share_no_count(spark):
+    """Ratios equal Kneser-Ney counts by word, though far more words than 2 ** 18 are in the corpus."""
+    import numpy as np
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices("abcdefgh", k=30) + (["vile"] if k % 3 == 0 else []) + rng.choices("abcdefgh", k=5)) for k in range(200)]
+    fill = [(1000 + k, " ".join(f"w{k}x{i}" for i in range(6000))) for k in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + fill, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(200)], "doc_id long, toxic int")
+    check = {r.doc_id for r in labels.where(F.pmod(F.xxhash64("doc_id", F.lit("check")), F.lit(4)) == 0).collect()}
+    count, follow = {}, ({}, {})
+    for k, t in list(enumerate(texts)) + fill:
+        for before, w in zip([None, *t.split()], t.split(), strict=False):
+            count[w] = count.get(w, 0) + 1
+            if k < 200 and k not in check:
+                follow[k % 3 == 0].setdefault(w, set()).add(before)
+    total, n = sum(count.values()), [sum(map(len, f.values())) for f in follow]
+    free = [1 - sum(max(len(s) - 2, 0) for s in f.values()) / m for f, m in zip(follow, n, strict=True)]
+    p = lambda y, w: max(len(follow[y].get(w, ())) - 2, 0) / n[y] + free[y] * count[w] / total
+    ratios = toxicity.fit(docs, labels).ratios()
+    for w in [*"abcdefgh", "vile", "w1x1", "w99x5999"]:
+        assert abs(ratios[w.encode()] - np.log(p(1, w) / p(0, w))) < 1e-4
+    assert len(count) > 1 << 18
+
+
 def test_quality(spark):
     parts = ["la", "mo", "ti", "re", "du", "sen"]
 
