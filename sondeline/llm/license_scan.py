@@ -6,6 +6,10 @@ Of a template with n words, ceil(THRESHOLD * n) of which must be found, only the
 indexed (prefix filter); blocks with too few template words are left out (length filter), and so are pairs whose first
 common word stands too far back in either list (positional filter). What remains is verified by intersecting the sets.
 
+Notices wrapped over lines are found in windows of the text's words, as long as the template over THRESHOLD, around each word of
+a template's indexed prefix: a window must hold THRESHOLD of the distinct words as a block must, and, as it isn't a line by itself,
+that share of the template's words in the template's order (longest common subsequence).
+
 Everything on the executors is DataFrame functions. The templates are constants, and only their words' frequencies
 come to the driver.
 
@@ -116,7 +120,30 @@ def template_matches(docs: DataFrame, key: list[str], text: str = "text", templa
     pairs = pairs.where(reach >= F.col("need"))
     overlap = F.size(F.array_intersect("template", "block"))
     pairs = pairs.where(overlap >= F.col("need"))
-    return pairs.select(*key, "label", (overlap / F.size("template")).alias("containment")).distinct()
+    found = pairs.select(*key, "label", (overlap / F.size("template")).alias("containment"))
+    return found.union(_wrapped(holding, key, prefixes, first, templates, threshold)).distinct()
+
+
+def _wrapped(holding: DataFrame, key: list[str], prefixes: DataFrame, first: Column, templates, threshold: float) -> DataFrame:
+    """(key columns, label, containment) of templates in windows of words that may go over line ends."""
+    import re
+
+    order = [(number, words := re.findall("[0-9a-z]+", t.lower()), ceil(threshold * len(words) - 1e-9), ceil(len(words) / threshold)) for number, (_, t) in enumerate(templates)]
+    reach = max(row[3] for row in order)
+    order = holding.sparkSession.createDataFrame(order, "number int, ordered array<string>, need_ordered int, width int")
+    words = holding.where(F.col("_text").contains("\n")).select(*key, words_of(F.col("_text")).alias("words")).withColumn("_first", first)
+    near = f"""transform(filter(sequence(0, size(words) - 1), i -> array_contains(_first, words[i])),
+        i -> struct(words[i] AS w, slice(words, greatest(i - {reach} + 2, 1), i + {reach} - greatest(i - {reach} + 1, 0)) AS near))"""
+    near = words.select(*key, F.explode(F.array_distinct(F.expr(near))).alias("_at")).select(*key, "_at.*")
+    pairs = near.join(F.broadcast(prefixes), "w").join(F.broadcast(order), "number")
+    pairs = pairs.where(F.size(F.array_intersect("template", "near")) >= F.col("need"))
+    pairs = pairs.withColumn("window", F.explode(F.expr("transform(sequence(1, greatest(1, size(near) - width + 1)), s -> slice(near, s, width))")))
+    pairs = pairs.withColumn("overlap", F.size(F.array_intersect("template", "window"))).where("overlap >= need")
+    # A row of the table of longest common subsequences for each word of the window.
+    longest = """aggregate(window, array_repeat(0, size(ordered) + 1), (row, x) -> aggregate(sequence(1, size(ordered)), array(0),
+        (now, j) -> concat(now, array(greatest(now[j - 1], row[j], if(ordered[j - 1] = x, row[j - 1] + 1, 0))))), row -> row[size(ordered)])"""
+    pairs = pairs.where(F.expr(longest) >= F.col("need_ordered"))
+    return pairs.select(*key, "label", (F.col("overlap") / F.size("template")).alias("containment"))
 
 
 def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

@@ -46,3 +46,20 @@ def test_main_path_is_native(spark, tmp_path):
     plan = m.query(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
     assert m.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_notices_wrapped_over_lines(spark):
+    import textwrap
+
+    rows = []
+    for k, (_, notice) in enumerate(m.TEMPLATES):
+        for width in (12, 24, 75):
+            rows.append((100 * k + width, textwrap.fill(f"some prose before it {notice}, and some prose after", width, break_long_words=False)))
+    lacking = m.TEMPLATES[2][1].replace("hereby ", "")
+    rows += [(5000, textwrap.fill(f"x y z {lacking} z", 40)), (5001, textwrap.fill(" ".join(reversed(lacking.split())), 40)), (5002, "All\n" + "word " * 50 + "\nrights reserved")]
+    got = {r.doc_id: r for r in m.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (label, _) in enumerate(m.TEMPLATES):
+        assert all(label in got[100 * k + width].labels and got[100 * k + width].score == 1 for width in (12, 24, 75))
+    n = len(m.template_words(m.TEMPLATES[2][1]))
+    assert got[5000].labels == ["mit"] and got[5000].score == (n - 1) / n
+    assert got[5001].labels == got[5002].labels == []
