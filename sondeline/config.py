@@ -98,11 +98,12 @@ class DetectorConfig:
 
 @dataclass(frozen=True)
 class Retrieval:
-    """BM25 parameters. k1, b, the common-term limit, the boost, stop words and synonyms."""
+    """BM25 parameters. k1, b, the common-term limit, the boost, `problem`, stop words, synonyms and wells."""
 
     k1: float = 0.8
     b: float = 0.85
     common: float = 0.35
+    wells: tuple[str, ...] = ("SEBL_001", "SEBL_002")
     problem_boost: float = 1.6
     stop: frozenset[str] = frozenset(
         "the and for with that this from was were are have has had not but all any can will his her its "

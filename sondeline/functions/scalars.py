@@ -47,6 +47,7 @@ def parse_feed_time(c: Column | str) -> Column:
 def hole_size(c: Column | str) -> Column:
     """`12-1/4"`, `6 1/8` or `8.5` anywhere in a text as a decimal string of at most three places; null without digits."""
     text = F.replace(col(c), F.lit('"'), F.lit(""))
+    # Fixed value: how mixed numbers are written.
     mixed = r"(\d+)\s*[-\s]\s*(\d+)\s*/\s*(\d+)"
     part = [F.regexp_extract(text, mixed, k).try_cast("double") for k in (1, 2, 3)]
     plain = F.regexp_extract(text, r"(\d+(?:\.\d+)?)", 1).try_cast("double")
@@ -57,10 +58,10 @@ def hole_size(c: Column | str) -> Column:
 
 def tokens(c: Column | str, cfg: Retrieval = Retrieval()) -> Column:
     """Lower-case tokens of [a-z0-9./'-], stripped of edge punctuation, 2 to 24 long and no stop words, in order."""
-    words = F.split(F.regexp_replace(F.lower(col(c)), r"[^a-z0-9./'-]+", " "), r"\s+")
-    words = F.transform(words, lambda w: F.regexp_replace(w, r"^[.'-]+|[.'-]+$", ""))
-    stop = F.array(*(F.lit(w) for w in sorted(cfg.stop)))
-    return F.filter(words, lambda w: F.length(w).between(2, 24) & ~F.array_contains(stop, w))
+    # Punctuation goes at a token's ends, over the whole text at once; after that only short lambdas run by token.
+    edges = r"(?<![a-z0-9./'-])[.'-]+|[.'-]+(?![a-z0-9./'-])"
+    words = F.split(F.regexp_replace(F.lower(col(c)), edges, " "), r"[^a-z0-9./'-]+")
+    return F.filter(words, lambda w: F.length(w).between(2, 24) & ~w.isin(*sorted(cfg.stop)))
 
 
 def truncated(c: Column | str, length: int = 400) -> Column:

@@ -170,7 +170,7 @@ def standard_series(minutes: DataFrame, length: int = 5, step: int = 1) -> DataF
 
 
 def state_totals(spans: DataFrame) -> DataFrame:
-    return spans.groupBy("state").agg(F.sum("minutes").alias("minutes"))
+    return spans.groupBy("rig_id", "state").agg(F.sum("minutes").alias("minutes"))
 
 
 def overlapping_spans(spans: DataFrame, begin=None, end=None) -> DataFrame:
@@ -180,19 +180,18 @@ def overlapping_spans(spans: DataFrame, begin=None, end=None) -> DataFrame:
 
 
 def clipped_totals(spans: DataFrame, begin, end) -> DataFrame:
-    """Minutes of each state inside the window, spans cut at its ends; none without a minute."""
+    """Minutes of each rig and state inside the window, spans cut at its ends; none without a minute."""
     seconds = epoch_seconds(F.least("t_to", end)) - epoch_seconds(F.greatest("t_from", begin))
-    total = spans.groupBy("state").agg(F.sum(F.greatest(seconds, F.lit(0)) / 60.0).alias("minutes"))
+    total = spans.groupBy("rig_id", "state").agg(F.sum(F.greatest(seconds, F.lit(0)) / 60.0).alias("minutes"))
     return total.where("minutes > 0")
 
 
 def point_lookup(spans: DataFrame, minutes: DataFrame, at: Column, step: int = 1) -> DataFrame:
-    """The span and the bucket that hold a point in time, one row, with nulls where nothing does."""
-    span = spans.where((F.col("t_from") <= at) & (at < F.col("t_to"))).select(F.struct("state", "t_from", "t_to", "minutes").alias("span")).limit(1)
+    """The span and the bucket of each rig that hold a point in time; a rig that has neither is left out."""
+    span = spans.where((F.col("t_from") <= at) & (at < F.col("t_to"))).select("rig_id", F.struct("state", "t_from", "t_to", "minutes").alias("span"))
     inside = (F.col("t") <= at) & (epoch_seconds(at) < epoch_seconds("t") + 60 * step)
-    bucket = minutes.where(inside).select(F.struct("t", "state", "hole_depth", "bit_depth").alias("minute")).limit(1)
-    one = span.sparkSession.range(1).drop("id")
-    return one.join(F.broadcast(span), how="left").join(F.broadcast(bucket), how="left")
+    bucket = minutes.where(inside).select("rig_id", F.struct("t", "state", "hole_depth", "bit_depth").alias("minute"))
+    return span.join(bucket, "rig_id", "full")
 
 
 def masked(series: DataFrame, minutes: DataFrame, days: list[str] | None = None, states: list[str] | None = None, begin=None, end=None) -> DataFrame:
@@ -229,6 +228,7 @@ def every_nth(rows: DataFrame, order: list[str], bucket: Column, most: int = 250
 
 
 def dominant(minutes: DataFrame, c: str = "hole_size") -> DataFrame:
-    """The commonest value, the one seen first in a tie."""
-    counted = minutes.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("minutes"), F.min("tick").alias("first"))
-    return counted.orderBy(F.desc("minutes"), "first").limit(1).select(c, "minutes")
+    """Each rig's commonest value, the one seen first in a tie."""
+    counted = minutes.where(F.col(c).isNotNull()).groupBy("rig_id", c).agg(F.count("*").alias("minutes"), F.min("tick").alias("first"))
+    top = counted.groupBy("rig_id").agg(F.max_by(F.struct(c, "minutes"), F.struct("minutes", -F.col("first"), c)).alias("top"))
+    return top.select("rig_id", f"top.{c}", "top.minutes")

@@ -34,14 +34,15 @@ def hole_sizes(minutes: DataFrame, reports: DataFrame) -> DataFrame:
 
 
 def busiest_overlap(window: DataFrame, reports: DataFrame, name: str = "well") -> DataFrame:
-    """The value of `name` with most report rows that overlap the one-row window (t_from, t_to) strictly; the earliest report breaks ties.
+    """The value of `name` with most report rows of the rig that overlap its window (rig_id, t_from, t_to) strictly; the earliest report breaks ties.
 
     Without any overlap the value is UNKNOWN.
     """
-    inside = reports.join(F.broadcast(window), (F.col("end") > F.col("t_from")) & (F.col("start") < F.col("t_to")))
-    counted = inside.groupBy(name).agg(F.count("*").alias("reports"), F.min(F.struct("start", "idx")).alias("first"))
-    top = counted.orderBy(F.desc("reports"), "first").limit(1).select(name, "reports")
-    return F.broadcast(window).join(top, how="left").select(F.coalesce(name, F.lit("UNKNOWN")).alias(name), F.coalesce("reports", F.lit(0).cast("long")).alias("reports"))
+    inside = reports.join(window, "rig_id").where((F.col("end") > F.col("t_from")) & (F.col("start") < F.col("t_to")))
+    counted = inside.groupBy("rig_id", name).agg(F.count("*").alias("reports"), F.min(F.struct("start", "idx")).alias("first"))
+    place = F.row_number().over(Window.partitionBy("rig_id").orderBy(F.desc("reports"), "first"))
+    top = counted.withColumn("place", place).where("place = 1").select("rig_id", name, "reports")
+    return window.select("rig_id").join(top, "rig_id", "left").select("rig_id", F.coalesce(name, F.lit("UNKNOWN")).alias(name), F.coalesce("reports", F.lit(0).cast("long")).alias("reports"))
 
 
 def covered_buckets(minutes: DataFrame, reports: DataFrame, step: int = 1, columns: tuple[str, ...] = ()) -> DataFrame:
@@ -58,21 +59,22 @@ def covered_buckets(minutes: DataFrame, reports: DataFrame, step: int = 1, colum
 
 
 def agreement(minutes: DataFrame, reports: DataFrame, step: int = 1) -> DataFrame:
-    """Per reported activity with expected states: minutes, matched, percent, and the three commonest detected states."""
+    """Per rig and reported activity with expected states: minutes, matched, percent, and the three commonest detected states."""
     rows = [(a, list(states)) for a, states in ACTIVITY_STATES.items()]
     expects = minutes.sparkSession.createDataFrame(rows, "activity string, expects array<string>")
     known = reports.join(F.broadcast(expects), "activity")
     pairs = covered_buckets(minutes.select("rig_id", "tick", "state"), known, step, ("activity", "expects"))
-    counted = pairs.groupBy("activity", "state").agg(F.count("*").alias("minutes"), F.sum(F.array_contains("expects", F.col("state")).cast("long")).alias("matched"))
-    place = F.row_number().over(Window.partitionBy("activity").orderBy(F.desc("minutes"), "state"))
+    counted = pairs.groupBy("rig_id", "activity", "state").agg(F.count("*").alias("minutes"), F.sum(F.array_contains("expects", F.col("state")).cast("long")).alias("matched"))
+    place = F.row_number().over(Window.partitionBy("rig_id", "activity").orderBy(F.desc("minutes"), "state"))
     top = F.collect_list(F.when(F.col("place") <= 3, F.struct("place", "state", "minutes")))
-    out = counted.withColumn("place", place).groupBy("activity").agg(F.sum("minutes").alias("ddr_minutes"), F.sum("matched").alias("matched_minutes"), F.array_sort(top).alias("top"))
+    out = counted.withColumn("place", place).groupBy("rig_id", "activity").agg(F.sum("minutes").alias("ddr_minutes"), F.sum("matched").alias("matched_minutes"), F.array_sort(top).alias("top"))
     percent = F.round(F.lit(100.0) * F.col("matched_minutes") / F.col("ddr_minutes"), 1)
     shown = F.transform("top", lambda x: F.struct(x["state"].alias("state"), x["minutes"].alias("minutes")))
-    return out.select("activity", "ddr_minutes", "matched_minutes", percent.alias("agreement"), shown.alias("top_detected"))
+    return out.select("rig_id", "activity", "ddr_minutes", "matched_minutes", percent.alias("agreement"), shown.alias("top_detected"))
 
 
 def overall_agreement(rows: DataFrame) -> DataFrame:
+    """One row over all rigs."""
     total = F.sum("ddr_minutes")
     return rows.agg(F.coalesce(F.round(F.try_divide(F.lit(100.0) * F.sum("matched_minutes"), total), 1), F.lit(0.0)).alias("overall"), F.coalesce(total, F.lit(0).cast("long")).alias("scored_minutes"))
 
@@ -86,8 +88,8 @@ def nearest(points: DataFrame, rows: DataFrame, keys: list[str], value: str, at:
     right = rows.select(*keys, F.col(when).alias("_at"), F.lit(0).alias("_kind"), F.struct(F.col(when).alias("w"), F.col(value).alias("v")).alias("_fact"))
     both = left.unionByName(right, allowMissingColumns=True)
     back = Window.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = Window.partitionBy(*keys).orderBy("_at", F.desc("_kind")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    both = both.withColumns({"_l": F.last("_fact", ignorenulls=True).over(back), "_r": F.first("_fact", ignorenulls=True).over(ahead)}).where("_kind = 1")
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("_at"), "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # backwards, for frames that grow at their start take quadratic time
+    both = both.withColumns({"_l": F.last("_fact", ignorenulls=True).over(back), "_r": F.last("_fact", ignorenulls=True).over(ahead)}).where("_kind = 1")
     before = epoch_seconds("_at") - epoch_seconds("_l.w")
     after = epoch_seconds("_r.w") - epoch_seconds("_at")
     chosen = F.when(F.col("_r").isNull() | (before <= after), F.col("_l.v")).otherwise(F.col("_r.v"))

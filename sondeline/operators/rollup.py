@@ -9,11 +9,21 @@ from ..config import CHANNELS
 from ..functions.scalars import array_quantile, tick, tick_start
 
 
-def held_frames(cells: DataFrame, columns: list[str], entity: str = "rig_id", seq: str = "seq") -> DataFrame:
-    """Add dup_of_prev: the row's cells all equal those of the row before it."""
+def held_frames(cells: DataFrame, columns: list[str], entity: str = "rig_id", seq: str = "seq", part_rows: int = 1 << 17) -> DataFrame:
+    """Add dup_of_prev: the row's cells all equal those of the row before it.
+
+    A rig's rows are parted by ranges of seq, so that no task sorts a whole feed; the first row of a range looks up the last row of the
+    rig's range before, in a table of one row a range.
+    """
     row = F.concat_ws("\u0001", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns))
-    before = F.lag(row).over(Window.partitionBy(entity).orderBy(seq))
-    return cells.withColumn("dup_of_prev", F.coalesce(before == row, F.lit(False)))
+    parted = cells.withColumns({"_part": F.floor(F.col(seq) / part_rows).cast("long"), "_row": row})
+    ends = parted.groupBy(F.col(entity).alias("_entity"), F.col("_part").alias("_after")).agg(F.max_by("_row", seq).alias("_end"))
+    ends = ends.withColumn("_end", F.lag("_end").over(Window.partitionBy("_entity").orderBy("_after"))).where("_end is not null")
+    before = F.lag("_row").over(Window.partitionBy(entity, "_part").orderBy(seq))
+    first = F.row_number().over(Window.partitionBy(entity, "_part").orderBy(seq)) == 1
+    found = parted.withColumns({"_before": before, "_first": first}).join(ends, (F.col(entity) == F.col("_entity")) & (F.col("_part") == F.col("_after")), "left")
+    before = F.when(F.col("_first"), F.col("_end")).otherwise(F.col("_before"))
+    return found.select(*cells.columns, F.coalesce(before == F.col("_row"), F.lit(False)).alias("dup_of_prev"))
 
 
 def stats(channel: str) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Retrieval
 from ..functions.scalars import in_shift, snippet, stamp, tokens
+from ..sources.staging import written
 
 
 def postings(docs: DataFrame, text: str = "body", key: str = "idx", cfg: Retrieval = Retrieval()) -> DataFrame:
@@ -23,9 +24,15 @@ def document_frequencies(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def corpus(docs: DataFrame, text: str = "body", cfg: Retrieval = Retrieval()) -> DataFrame:
-    """One row: number of documents and their mean length."""
-    return docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(text, cfg))).alias("avg_len"))
+def asked_for(docs: DataFrame, terms: list[str], text: str = "body", cfg: Retrieval = Retrieval()) -> tuple[DataFrame, DataFrame]:
+    """(postings of the given terms, one row with the number of documents and their mean length), from one pass over the texts.
+
+    What is written in between has a row a document: its length, and its tokens among the terms.
+    """
+    lengths = docs.select("idx", tokens(text, cfg).alias("t")).select("idx", F.size("t").cast("long").alias("len"), F.filter("t", lambda w: w.isin(*terms)).alias("held"))
+    lengths = written(lengths, "asked")
+    hits = lengths.select("idx", "len", F.explode("held").alias("term")).groupBy("idx", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    return hits, lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
 
 
 def query_tokens(query: str, cfg: Retrieval = Retrieval()) -> list[str]:
@@ -57,12 +64,11 @@ class Filters:
     depth_max: float | None = None
 
 
-# How questions name shifts, wells and rigs.
+# How questions name shifts, wells and rigs. A well's name is taken only where `wells` lists it.
 NIGHT = re.compile(r"\bnights?\b|after midnight|overnight")
 DAY = re.compile(r"\bday shift\b|\bdaytime\b|\bdays\b")
 WELL = re.compile(r"\bSEBL[_\s-]?0*(\d+)\b", re.I)
 RIG = re.compile(r"\bPHR[_\s-]?0*(\d+)\b", re.I)
-KNOWN_WELLS = ("SEBL_001", "SEBL_002")
 
 
 def shift_of(query: str) -> str | None:
@@ -70,10 +76,10 @@ def shift_of(query: str) -> str | None:
     return "night" if NIGHT.search(text) else "day" if DAY.search(text) else None
 
 
-def inferred(query: str, given: Filters = Filters()) -> Filters:
-    """A well or rig named in the question is a filter, unless one is given."""
+def inferred(query: str, given: Filters = Filters(), wells: tuple[str, ...] = Retrieval().wells) -> Filters:
+    """A known well, or a rig, named in the question is a filter, unless one is given."""
     found = dict(vars(given))
-    if not given.well and (m := WELL.search(query)) and (name := f"SEBL_{m[1].zfill(3)}") in KNOWN_WELLS:
+    if not given.well and (m := WELL.search(query)) and (name := f"SEBL_{m[1].zfill(3)}") in wells:
         found["well"] = name
     if not given.rig and (m := RIG.search(query)):
         found["rig"] = f"PHR-0{m[1]}"
@@ -105,12 +111,15 @@ def search(docs: DataFrame, query: str, given: Filters = Filters(), limit: int =
     docs: idx, start, end, body (searched), comment (shown) and the filters' columns. Frequencies and lengths are those of the whole log, not of
     the candidates. Terms in more than cfg.common of the documents are dropped, unless all are.
     """
-    terms, filters, shift = expanded(query, cfg), inferred(query, given), shift_of(query)
+    terms, filters, shift = expanded(query, cfg), inferred(query, given, cfg.wells), shift_of(query)
     spark = docs.sparkSession
     asked = spark.createDataFrame([(t, k) for k, t in enumerate(terms)], "term string, place int")
-    index = postings(docs, cfg=cfg) if index is None else index
-    total = corpus(docs, cfg=cfg)
-    hits = index.join(F.broadcast(asked), "term")  # a query's terms
+    if index is None:
+        hits, total = asked_for(docs, terms, cfg=cfg)
+    else:
+        hits = index.where(F.col("term").isin(*terms))  # a query's terms
+        total = docs.agg(F.count("*").alias("n")).join(F.broadcast(index.agg(F.sum("tf").alias("all")))).select("n", (F.coalesce("all", F.lit(0)) / F.col("n")).alias("avg_len"))
+    hits = hits.join(F.broadcast(asked), "term")
     known = hits.groupBy("term").agg(F.count("*").alias("df"))
     rated = asked.join(known, "term", "left").withColumn("df", F.coalesce("df", F.lit(0).cast("long"))).join(F.broadcast(total))
     rare = F.when(F.col("df") <= F.lit(cfg.common) * F.col("n"), 1).otherwise(0)

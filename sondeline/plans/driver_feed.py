@@ -1,7 +1,8 @@
 """A telemetry feed, reports and offsets made of the driver's `events` table, in DataFrame form and as SQL.
 
-One rig; event_id is the row order. A cycle of 2,800 events drills, slides, trips out and trips in. All numbers are plain arithmetic of
-event_id and value, so both engines get the same doubles.
+A rig is FLEET users, so rigs grow in number with the table, and event_id is the row order. The table's 30 days are
+told in 20 hours, so that a rig has some three rows a minute. A cycle of 1,000 minutes drills, slides, trips out and trips in, each rig a quarter of a
+cycle after the one before. All numbers are plain arithmetic of times, numbers and value, so both engines get the same doubles.
 """
 
 from __future__ import annotations
@@ -12,13 +13,21 @@ from pyspark.sql import functions as F
 from ..config import CHANNELS
 from ..operators import joins, rollup, state
 
-STEP = 60
+STEP, FINE, FLEET = 5, 1, 50
 
-Q = "(event_id % 2800)"
+Q = "(k % 2800)"  # place in the cycle
 V = "(value * 0.9871357123457e0)"  # long decimals: no rounding ties
-_DEPTH = f"(1000e0 + 71.82e0 * floor(event_id / 2800) + 0.0513e0 * least({Q}, 1400))"
+_DEPTH = f"(1000e0 + 71.82e0 * floor(k / 2800) + 0.0513e0 * least({Q}, 1400))"
 _OFF = f"(CASE WHEN {Q} < 1400 THEN {V} * 0.00249713e0 WHEN {Q} < 2100 THEN ({Q} - 1400) * 0.8e0 + 4e0 ELSE (2800 - {Q}) * 0.8e0 + 4e0 END)"
 
+_RIG = "concat('rig', lpad(cast(g as {s}), 4, '0'))"
+#: Number of the rig, microseconds of the feed, and number of the part of a cycle, in Spark's and in the oracle's SQL.
+CLOCK = {
+    "spark": (f"user_id div {FLEET}", "(unix_micros(cast(ts as timestamp)) - 1704067200000000) div 36", "u div 21428571 + 700 * g", _RIG.format(s="string")),
+    "sql": (f"user_id // {FLEET}", "(epoch_us(ts) - 1704067200000000) // 36", "u // 21428571 + 700 * g", _RIG.format(s="VARCHAR")),
+}
+START = 1704110400  # 2024-01-01 12:00
+
 #: Channel expressions in the common part of both SQL dialects.
 EXPRESSIONS = {
     "DBTM": f"CASE WHEN event_id % 97 = 0 THEN NULL ELSE {_DEPTH} - {_OFF} END",
@@ -35,13 +44,12 @@ EXPRESSIONS = {
 }
 
 REPORTS = {
-    "rig_id": "'rig0'",
     "idx": "event_id",
     "well": "concat('W', user_id % 3)",
     "rig": "concat('R', user_id % 2)",
     "activity": "CASE event_id % 6 WHEN 0 THEN 'TIH' WHEN 1 THEN 'TOH' WHEN 2 THEN 'DRLDD' WHEN 3 THEN 'CC' WHEN 4 THEN 'EQRPR' ELSE 'MISC' END",
     "hole_size": "CASE event_id % 4 WHEN 1 THEN '12.25' WHEN 2 THEN '8.5' WHEN 3 THEN '6.125' END",
-    "duration_hrs": "floor(value / 40e0) + 0.5e0",
+    "duration_hrs": "floor(value / 40e0) / 4e0 + 0.25e0",
     "npt_hrs": "CASE WHEN event_id % 5 = 0 THEN floor(value / 20e0) / 4e0 ELSE 0e0 END",
 }
 
@@ -60,8 +68,15 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
+def clocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events with g, u and k of CLOCK, rig_id, and the feed's time in place of ts."""
+    rig, micros, part, name = CLOCK["spark"]
+    found = events(spark, sf_dir).selectExpr("*", f"{rig} AS g", f"{micros} AS u").selectExpr("*", f"{part} AS k", f"{name} AS rig_id")
+    return found.withColumn("ts", F.timestamp_micros(F.col("u") + START * 1_000_000).cast("timestamp_ntz"))
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = events(spark, sf_dir).selectExpr("'rig0' AS rig_id", "ts", "event_id AS seq", "event_type", *(f"{x} AS {c}" for c, x in EXPRESSIONS.items()))
+    made = clocked(spark, sf_dir).selectExpr("rig_id", "ts", "event_id AS seq", "event_type", *(f"{x} AS {c}" for c, x in EXPRESSIONS.items()))
     return rollup.held_frames(made, ["event_type"]).select("rig_id", "ts", "seq", "dup_of_prev", *CHANNELS)
 
 
@@ -74,7 +89,8 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = events(spark, sf_dir).where("event_type = 'error'").selectExpr("cast(date_trunc('hour', ts) as timestamp_ntz) AS start", *(f"{x} AS {c}" for c, x in REPORTS.items()))
+    start = f"cast(timestamp_seconds({START} + u div {STEP * 60_000_000} * {STEP * 60}) as timestamp_ntz) AS start"
+    found = clocked(spark, sf_dir).where("event_type = 'error'").selectExpr("rig_id", start, *(f"{x} AS {c}" for c, x in REPORTS.items()))
     end = (F.col("start").cast("timestamp") + F.make_dt_interval(secs=F.col("duration_hrs") * 3600)).cast("timestamp_ntz")
     return found.withColumn("end", end)
 
@@ -95,10 +111,12 @@ def _stats(c: str) -> str:
 def feed_sql(step: int = STEP) -> list[tuple[str, str]]:
     """Common table expressions from feed to sized, in order."""
     seconds = 60 * step
+    rig, micros, part, name = CLOCK["sql"]
     channel = ", ".join(f"{x} AS {c}" for c, x in EXPRESSIONS.items())
     values = ", ".join(f"({i}, '{s}', '{h}', {', '.join(f'{x}e0' for x in rest)})" for i, s, h, *rest in OFFSETS)
     return [
-        ("feed", f"SELECT 'rig0' AS rig_id, ts, event_id AS seq, CAST(floor(epoch(ts) / {seconds}) AS BIGINT) AS tick, coalesce(lag(event_type) OVER (ORDER BY event_id) = event_type, false) AS dup, {channel} FROM events"),
+        ("clocked", f"SELECT *, {part} AS k, {name} AS rig_id, make_timestamp(u + {START}000000) AS feed_ts FROM (SELECT *, {rig} AS g, {micros} AS u FROM events)"),
+        ("feed", f"SELECT rig_id, feed_ts AS ts, event_id AS seq, CAST(floor(epoch(feed_ts) / {seconds}) AS BIGINT) AS tick, coalesce(lag(event_type) OVER (PARTITION BY rig_id ORDER BY event_id) = event_type, false) AS dup, {channel} FROM clocked"),
         ("grouped", f"SELECT rig_id, tick, count(*) AS n, CAST(sum(dup::INT) AS BIGINT) AS dup_rows, {', '.join(_stats(c) for c in CHANNELS)}, list(TORQUE ORDER BY seq) AS raw FROM feed GROUP BY rig_id, tick"),
         ("positive", "SELECT *, coalesce(RPM_mean, 0) > 20 AS turning, CASE WHEN coalesce(RPM_mean, 0) > 20 THEN list_filter(raw, lambda x: x > 0) ELSE raw END AS pos FROM grouped"),
         ("kept", "SELECT *, list_filter(pos, lambda x, i: i = 1 OR x <> pos[i - 1]) AS kept FROM positive"),
@@ -137,7 +155,7 @@ def feed_sql(step: int = STEP) -> list[tuple[str, str]]:
         ("changes", "SELECT *, sum(c) OVER (PARTITION BY rig_id ORDER BY tick) AS vrun FROM (SELECT *, coalesce(lag(voted) OVER (PARTITION BY rig_id ORDER BY tick) <> voted, true)::INT AS c FROM votes)"),
         ("lengths", "SELECT *, count(*) OVER (PARTITION BY rig_id, vrun) AS vlen FROM changes"),
         ("states", "SELECT * EXCLUDE (c, vrun, vlen), last_value(CASE WHEN vlen >= 3 OR vrun = 1 THEN voted END IGNORE NULLS) OVER (PARTITION BY rig_id ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS state FROM lengths"),
-        ("reports", f"SELECT *, start + to_seconds(duration_hrs * 3600) AS \"end\" FROM (SELECT date_trunc('hour', ts) AS start, {', '.join(f'{x} AS {c}' for c, x in REPORTS.items())} FROM events WHERE event_type = 'error')"),
+        ("reports", f"SELECT *, start + to_seconds(duration_hrs * 3600) AS \"end\" FROM (SELECT rig_id, make_timestamp(({START} + u // {STEP * 60_000_000} * {STEP * 60}) * 1000000) AS start, {', '.join(f'{x} AS {c}' for c, x in REPORTS.items())} FROM clocked WHERE event_type = 'error')"),
         ("facts", "SELECT rig_id, start, last(hole_size ORDER BY idx) AS hole_size FROM reports WHERE hole_size IS NOT NULL GROUP BY rig_id, start"),
         ("sized", "SELECT s.*, f.hole_size FROM states s ASOF LEFT JOIN facts f ON s.rig_id = f.rig_id AND s.t >= f.start"),
         (f"offsets(idx, section, hole_size, {', '.join(CEILINGS)})", f"VALUES {values}"),

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from datetime import UTC, datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CHANNELS, SEVERITY_RANK, DetectorConfig, Retrieval, StateThresholds
@@ -68,21 +68,22 @@ class Engine:
         return detect.detect_all(self.minutes, self.offsets, self.detectors, self.step)
 
     def window(self) -> DataFrame:
-        return self.minutes.agg(F.min("t").alias("t_from"), F.max("t").alias("t_to"))
+        """The first and the last bucket of each rig."""
+        return self.minutes.groupBy("rig_id").agg(F.min("t").alias("t_from"), F.max("t").alias("t_to"))
 
     def health(self) -> DataFrame:
         """One row: what the data set holds."""
         counts = [df.agg(F.count("*").alias(n)) for n, df in (("minutes", self.minutes), ("reports", self.reports), ("offsets", self.offsets))]
-        return reduce(lambda a, b: a.join(F.broadcast(b)), counts, self.window())
+        return reduce(lambda a, b: a.join(F.broadcast(b)), counts, self.minutes.agg(F.min("t").alias("t_from"), F.max("t").alias("t_to")))
 
     def wells(self) -> DataFrame:
-        """The feed's well by overlap, with coverage and summary."""
+        """Each rig's well by overlap, with coverage and summary."""
         well = joins.busiest_overlap(self.window(), self.reports)
         meta = rollup.feed_meta(self.minutes).select("rig_id", "covered", "rows", "n_min", "n_p50", "n_max", "n_mean")
-        return intervals.summary(self.minutes, self.reports, self.step).join(meta, "rig_id").join(F.broadcast(well.select("well")))
+        return intervals.summary(self.minutes, self.reports, self.step).join(meta, "rig_id").join(well.select("rig_id", "well"), "rig_id")
 
     def agreement(self) -> DataFrame:
-        return joins.agreement(self.minutes, self.reports, self.step).orderBy(F.desc("ddr_minutes"), "activity")
+        return joins.agreement(self.minutes, self.reports, self.step).orderBy(F.desc("ddr_minutes"), "activity", "rig_id")
 
     def quality(self) -> DataFrame:
         if self.counters is None:
@@ -92,7 +93,7 @@ class Engine:
     def state(self, begin=None, end=None) -> tuple[DataFrame, DataFrame]:
         """(spans that overlap the window, their minutes by state); the spans aren't cut."""
         found = intervals.overlapping_spans(self.spans(), parse_time(begin), parse_time(end))
-        return found.orderBy("t_from"), intervals.state_totals(found)
+        return found.orderBy("t_from", "rig_id"), intervals.state_totals(found)
 
     def state_at(self, at) -> DataFrame:
         when = parse_time(at)
@@ -129,10 +130,10 @@ class Engine:
         return self.events().groupBy("type").agg(F.count("*").alias("events"))
 
     def alert_at(self, t) -> DataFrame:
-        """The first stick-slip alarm that holds the time, its ends included."""
+        """Each rig's first stick-slip alarm that holds the time, its ends included."""
         when = parse_time(t)
         held = self.events().where((F.col("type") == "STICK_SLIP") & (F.col("severity") == "ALARM") & (F.col("t_from") <= when) & (F.col("t_to") >= when))
-        return held.orderBy("t_from").limit(1)
+        return first_of_rig(held)
 
     def offset_envelope(self) -> tuple[DataFrame, DataFrame]:
         """(each offset row against live maxima, exceedance events)."""
@@ -196,6 +197,11 @@ def report_page(reports: DataFrame, well: str | None = None, activity: str | Non
     return out.orderBy("start", "idx").offset(offset).limit(limit), totals
 
 
+def first_of_rig(events: DataFrame) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("rig_id").orderBy("t_from", "id"))
+    return events.withColumn("place", place).where("place = 1").drop("place")
+
+
 def observed_days(minutes: DataFrame) -> DataFrame:
     """Day spine from the first to the last observed day."""
     ends = minutes.agg(F.min("t").cast("date").alias("a"), F.max("t").cast("date").alias("b"))

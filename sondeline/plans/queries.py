@@ -11,7 +11,7 @@ from ..config import ACTIVITY_STATES, CHANNELS, Retrieval
 from ..functions import scalars
 from ..operators import detect, intervals, joins, quality, rollup, search, segments
 from . import driver_feed as feed
-from .driver_feed import STEP, with_feed
+from .driver_feed import FINE, STEP, with_feed
 from .engine import filtered_events, observed_days, report_page
 
 QUERIES: dict = {}
@@ -46,7 +46,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # Rollup
 
 _LONG = " UNION ALL ".join(
-    f"SELECT t, n, dup_rows, '{c}' AS channel, {c}_n AS readings, round({c}_mean, 8) AS mean, round({c}_min, 8) AS min, round({c}_max, 8) AS max, "
+    f"SELECT rig_id, t, n, dup_rows, '{c}' AS channel, {c}_n AS readings, round({c}_mean, 8) AS mean, round({c}_min, 8) AS min, round({c}_max, 8) AS max, "
     f"round({c}_sd, 8) AS sd, round({c}_p10, 8) AS p10, round({c}_p50, 8) AS p50, round({c}_p90, 8) AS p90 FROM minute WHERE {c}_n > 0"
     for c in CHANNELS
 )
@@ -55,18 +55,18 @@ _LONG = " UNION ALL ".join(
 @query(with_feed(_LONG, "minute"))
 def minute_rollup(spark, sf_dir):
     rows = F.array(*(F.struct(F.lit(c).alias("channel"), F.col(c).alias("s")) for c in CHANNELS))
-    long = feed.minutes(spark, sf_dir).select("t", "n", "dup_rows", F.explode(rows).alias("x")).where("x.s is not null")
-    return rounded(long.select("t", "n", "dup_rows", "x.channel", F.col("x.s.n").alias("readings"), *(F.col(f"x.s.{p}").alias(p) for p in ("mean", "min", "max", "sd", "p10", "p50", "p90"))))
+    long = feed.minutes(spark, sf_dir).select("rig_id", "t", "n", "dup_rows", F.explode(rows).alias("x")).where("x.s is not null")
+    return rounded(long.select("rig_id", "t", "n", "dup_rows", "x.channel", F.col("x.s.n").alias("readings"), *(F.col(f"x.s.{p}").alias(p) for p in ("mean", "min", "max", "sd", "p10", "p50", "p90"))))
 
 
-@query(with_feed(f"SELECT t, torque_valid, torque_zero_fill, {r('torque_median', 'torque_nmad', 'torque_ptp')} FROM minute", "minute"))
+@query(with_feed(f"SELECT rig_id, t, torque_valid, torque_zero_fill, {r('torque_median', 'torque_nmad', 'torque_ptp')} FROM minute", "minute"))
 def torque_cleaning(spark, sf_dir):
-    return rounded(feed.minutes(spark, sf_dir).select("t", "torque_valid", "torque_zero_fill", "torque_median", "torque_nmad", "torque_ptp"))
+    return rounded(feed.minutes(spark, sf_dir).select("rig_id", "t", "torque_valid", "torque_zero_fill", "torque_median", "torque_nmad", "torque_ptp"))
 
 
-@query(with_feed(f"SELECT t, {r('hole_depth', 'bit_depth', 'off_bottom', 'd_hole', 'd_bit', 'rop_calc')} FROM starts", "starts"))
+@query(with_feed(f"SELECT rig_id, t, {r('hole_depth', 'bit_depth', 'off_bottom', 'd_hole', 'd_bit', 'rop_calc')} FROM starts", "starts"))
 def depth_delta(spark, sf_dir):
-    return rounded(feed.minutes(spark, sf_dir).select("t", "hole_depth", "bit_depth", "off_bottom", "d_hole", "d_bit", "rop_calc"))
+    return rounded(feed.minutes(spark, sf_dir).select("rig_id", "t", "hole_depth", "bit_depth", "off_bottom", "d_hole", "d_bit", "rop_calc"))
 
 
 @query("SELECT event_id, coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) = event_type, false) AS dup_of_prev FROM events")
@@ -74,76 +74,76 @@ def held_frames(spark, sf_dir):
     return rollup.held_frames(feed.events(spark, sf_dir), ["event_type"], "user_id", "event_id").select("event_id", "dup_of_prev")
 
 
-@query(with_feed("SELECT rig_id, count(*) AS covered, CAST(sum(n) AS BIGINT) AS rows, min(n) AS n_min, list_sort(list(n))[count(*) // 2 + 1] AS n_p50, max(n) AS n_max, round(avg(n), 1) AS n_mean, min(t) AS t_from, max(t) AS t_to FROM minute GROUP BY rig_id", "minute", 10))
+@query(with_feed("SELECT rig_id, count(*) AS covered, CAST(sum(n) AS BIGINT) AS rows, min(n) AS n_min, list_sort(list(n))[count(*) // 2 + 1] AS n_p50, max(n) AS n_max, round(avg(n), 1) AS n_mean, min(t) AS t_from, max(t) AS t_to FROM minute GROUP BY rig_id", "minute", FINE))
 def feed_meta(spark, sf_dir):
-    return rollup.feed_meta(feed.minutes(spark, sf_dir, 10))
+    return rollup.feed_meta(feed.minutes(spark, sf_dir, FINE))
 
 
-@query(with_feed("SELECT rig_id, make_timestamp(b * 600000000) AS t_from, make_timestamp(tick * 600000000) AS t_to, tick - b - 1 AS missing FROM (SELECT rig_id, tick, lag(tick) OVER (ORDER BY tick) AS b FROM grouped) WHERE tick - b > 1", "grouped", 10))
+@query(with_feed("SELECT rig_id, make_timestamp(b * 60000000) AS t_from, make_timestamp(tick * 60000000) AS t_to, tick - b - 1 AS missing FROM (SELECT rig_id, tick, lag(tick) OVER (PARTITION BY rig_id ORDER BY tick) AS b FROM grouped) WHERE tick - b > 1", "grouped", FINE))
 def feed_gaps(spark, sf_dir):
-    return segments.feed_gaps(feed.minutes(spark, sf_dir, 10), 10)
+    return segments.feed_gaps(feed.minutes(spark, sf_dir, FINE), FINE)
 
 
 # State
 
 
-@query(with_feed(f"SELECT t, seg, {r('hole_advance', 'bit_travel')} FROM contexts", "contexts"))
+@query(with_feed(f"SELECT rig_id, t, seg, {r('hole_advance', 'bit_travel')} FROM contexts", "contexts"))
 def state_contexts(spark, sf_dir):
-    return rounded(feed.states(spark, sf_dir).select("t", "seg", "hole_advance", "bit_travel"))
+    return rounded(feed.states(spark, sf_dir).select("rig_id", "t", "seg", "hole_advance", "bit_travel"))
 
 
-@query(with_feed("SELECT t, raw_state FROM raws", "raws"))
+@query(with_feed("SELECT rig_id, t, raw_state FROM raws", "raws"))
 def classify_state(spark, sf_dir):
-    return feed.states(spark, sf_dir).select("t", "raw_state")
+    return feed.states(spark, sf_dir).select("rig_id", "t", "raw_state")
 
 
-@query(with_feed("SELECT t, voted, state FROM states", "states"))
+@query(with_feed("SELECT rig_id, t, voted, state FROM states", "states"))
 def smooth_state(spark, sf_dir):
-    return feed.states(spark, sf_dir).select("t", "voted", "state")
+    return feed.states(spark, sf_dir).select("rig_id", "t", "voted", "state")
 
 
 _SPANS = (
-    ("marked", "SELECT *, sum(c) OVER (ORDER BY tick) AS span FROM (SELECT *, coalesce(lag(state) OVER (ORDER BY tick) <> state OR tick - lag(tick) OVER (ORDER BY tick) <> 1, true)::INT AS c FROM sized)"),
-    ("spans", "SELECT rig_id, min(state) AS state, make_timestamp(min(tick) * 3600000000) AS t_from, make_timestamp((max(tick) + 1) * 3600000000) AS t_to, count(*) AS minutes, arg_min(hole_depth, tick) AS depth_from, arg_max(hole_depth, tick) AS depth_to, round(sum(d_hole), 1) AS footage FROM marked GROUP BY rig_id, span"),
+    ("marked", "SELECT *, sum(c) OVER (PARTITION BY rig_id ORDER BY tick) AS span FROM (SELECT *, coalesce(lag(state) OVER w <> state OR tick - lag(tick) OVER w <> 1, true)::INT AS c FROM sized WINDOW w AS (PARTITION BY rig_id ORDER BY tick))"),
+    ("spans", "SELECT rig_id, min(state) AS state, make_timestamp(min(tick) * 300000000) AS t_from, make_timestamp((max(tick) + 1) * 300000000) AS t_to, count(*) AS minutes, arg_min(hole_depth, tick) AS depth_from, arg_max(hole_depth, tick) AS depth_to, round(sum(d_hole), 1) AS footage FROM marked GROUP BY rig_id, span"),
 )
 
 
-@query(with_feed(f"SELECT state, t_from, t_to, minutes, {r('depth_from', 'depth_to', 'footage', digits=4)} FROM spans", "sized", more=_SPANS))
+@query(with_feed(f"SELECT rig_id, state, t_from, t_to, minutes, {r('depth_from', 'depth_to', 'footage', digits=4)} FROM spans", "sized", more=_SPANS))
 def state_spans(spark, sf_dir):
-    return rounded(segments.state_spans(feed.states(spark, sf_dir), STEP).drop("rig_id"), 4)
+    return rounded(segments.state_spans(feed.states(spark, sf_dir), STEP), 4)
 
 
-@query(with_feed("SELECT state, CAST(sum(minutes) AS BIGINT) AS minutes FROM spans GROUP BY state", "sized", more=_SPANS))
+@query(with_feed("SELECT rig_id, state, CAST(sum(minutes) AS BIGINT) AS minutes FROM spans GROUP BY rig_id, state", "sized", more=_SPANS))
 def state_totals(spark, sf_dir):
     return intervals.state_totals(segments.state_spans(feed.states(spark, sf_dir), STEP))
 
 
-_FROM, _TO = datetime(2024, 1, 5, 3), datetime(2024, 1, 11, 17)
+_FROM, _TO = datetime(2024, 1, 1, 15, 10), datetime(2024, 1, 2, 3, 35)
 _WINDOW = f"TIMESTAMP '{_FROM}'", f"TIMESTAMP '{_TO}'"
 
 
-@query(with_feed(f"SELECT state, t_from, minutes FROM spans WHERE t_to > {_WINDOW[0]} AND t_from < {_WINDOW[1]}", "sized", more=_SPANS))
+@query(with_feed(f"SELECT rig_id, state, t_from, minutes FROM spans WHERE t_to > {_WINDOW[0]} AND t_from < {_WINDOW[1]}", "sized", more=_SPANS))
 def span_overlap(spark, sf_dir):
-    return intervals.overlapping_spans(segments.state_spans(feed.states(spark, sf_dir), STEP), _FROM, _TO).select("state", "t_from", "minutes")
+    return intervals.overlapping_spans(segments.state_spans(feed.states(spark, sf_dir), STEP), _FROM, _TO).select("rig_id", "state", "t_from", "minutes")
 
 
-@query(with_feed(f"SELECT state, CAST(sum(greatest(0, epoch(least(t_to, {_WINDOW[1]})) - epoch(greatest(t_from, {_WINDOW[0]})))) / 60e0 AS DOUBLE) AS minutes FROM spans GROUP BY state HAVING minutes > 0", "sized", more=_SPANS))
+@query(with_feed(f"SELECT rig_id, state, CAST(sum(greatest(0, epoch(least(t_to, {_WINDOW[1]})) - epoch(greatest(t_from, {_WINDOW[0]})))) / 60e0 AS DOUBLE) AS minutes FROM spans GROUP BY rig_id, state HAVING minutes > 0", "sized", more=_SPANS))
 def clipped_state_minutes(spark, sf_dir):
     return intervals.clipped_totals(segments.state_spans(feed.states(spark, sf_dir), STEP), F.lit(_FROM).cast("timestamp_ntz"), F.lit(_TO).cast("timestamp_ntz"))
 
 
-@query(with_feed("SELECT (SELECT state FROM spans WHERE t_from <= TIMESTAMP '2024-01-09 10:30' AND TIMESTAMP '2024-01-09 10:30' < t_to) AS span_state, (SELECT round(hole_depth, 6) FROM sized WHERE t = TIMESTAMP '2024-01-09 10:00') AS hole_depth", "sized", more=_SPANS))
+@query(with_feed("SELECT rig_id, s.state AS span_state, round(m.hole_depth, 6) AS hole_depth FROM (SELECT * FROM spans WHERE t_from <= TIMESTAMP '2024-01-01 22:33' AND TIMESTAMP '2024-01-01 22:33' < t_to) s FULL JOIN (SELECT * FROM sized WHERE t = TIMESTAMP '2024-01-01 22:30') m USING (rig_id)", "sized", more=_SPANS))
 def point_lookup(spark, sf_dir):
     minutes = feed.states(spark, sf_dir)
-    at = F.lit(datetime(2024, 1, 9, 10, 30)).cast("timestamp_ntz")
+    at = F.lit(datetime(2024, 1, 1, 22, 33)).cast("timestamp_ntz")
     found = intervals.point_lookup(segments.state_spans(minutes, STEP), minutes, at, STEP)
-    return found.select(F.col("span.state").alias("span_state"), F.round("minute.hole_depth", 6).alias("hole_depth"))
+    return found.select("rig_id", F.col("span.state").alias("span_state"), F.round("minute.hole_depth", 6).alias("hole_depth"))
 
 
-@query(with_feed("SELECT make_timestamp(min(tick) * 3600000000) AS t_from, count(*) AS minutes, CAST(row_number() OVER (ORDER BY min(tick)) AS INT) AS ordinal FROM (SELECT tick, tick - row_number() OVER (ORDER BY tick) AS run FROM minute WHERE WOB_sd >= 1.15e0) GROUP BY run HAVING count(*) >= 3", "minute"))
+@query(with_feed("SELECT rig_id, make_timestamp(min(tick) * 300000000) AS t_from, count(*) AS minutes, CAST(row_number() OVER (PARTITION BY rig_id ORDER BY min(tick)) AS INT) AS ordinal FROM (SELECT rig_id, tick, tick - row_number() OVER (PARTITION BY rig_id ORDER BY tick) AS run FROM minute WHERE WOB_sd >= 1.15e0) GROUP BY rig_id, run HAVING count(*) >= 3", "minute"))
 def flag_runs(spark, sf_dir):
     flagged = feed.minutes(spark, sf_dir).where(F.col("WOB.sd") >= 1.15)
-    return segments.long_runs(flagged, 3, []).select(scalars.tick_start("tick_from", STEP).alias("t_from"), "minutes", "ordinal")
+    return segments.long_runs(flagged, 3, []).select("rig_id", scalars.tick_start("tick_from", STEP).alias("t_from"), "minutes", "ordinal")
 
 
 # Detectors
@@ -151,12 +151,11 @@ def flag_runs(spark, sf_dir):
 
 def _runs_sql(flags: str, least: int, columns: str, keys: str = "") -> tuple:
     """Runs of the rows of `flags` (an expression's name), at least so long, with aggregates, numbered by time."""
-    part = f"PARTITION BY {keys}" if keys else ""
-    comma = f"{keys}, " if keys else ""
+    part, comma = (f"PARTITION BY rig_id, {keys}", f"rig_id, {keys}, ") if keys else ("PARTITION BY rig_id", "rig_id, ")
     return (
         ("run_rows", f"SELECT *, tick - row_number() OVER ({part} ORDER BY tick) AS run FROM {flags}"),
         ("found", f"SELECT {comma}min(tick) AS a, max(tick) AS b, count(*) AS minutes, {columns} FROM run_rows GROUP BY {comma}run HAVING count(*) >= {least}"),
-        ("events_of", f"SELECT *, row_number() OVER ({part} ORDER BY a) AS k, make_timestamp(a * 3600000000) AS t_from, make_timestamp((b + 1) * 3600000000) AS t_to FROM found"),
+        ("events_of", f"SELECT *, row_number() OVER ({part} ORDER BY a) AS k, make_timestamp(a * 300000000) AS t_from, make_timestamp((b + 1) * 300000000) AS t_to FROM found"),
     )
 
 
@@ -164,11 +163,11 @@ _STICK = (
     ("stick", "SELECT * FROM sized WHERE RPM_mean >= 40e0 AND off_bottom <= 3e0 AND WOB_sd <= 3.0e0 AND RPM_sd / RPM_mean <= 0.15e0 AND torque_median >= 300e0 AND torque_valid >= 10 AND torque_nmad >= 0.95e0"),
     *_runs_sql("stick", 3, "max(torque_nmad) AS peak, quantile_cont(torque_median, 0.5) AS torque, arg_min(hole_depth, tick) AS depth_from"),
 )
-_STICK_SQL = "SELECT concat('ss-', k) AS id, CASE WHEN peak >= 1.21e0 THEN 'ALARM' WHEN peak >= 1.1e0 THEN 'WARN' ELSE 'WATCH' END AS severity, t_from, t_to, minutes, round(depth_from, 4) AS depth_from"
+_STICK_SQL = "SELECT rig_id, concat('ss-', k) AS id, CASE WHEN peak >= 1.21e0 THEN 'ALARM' WHEN peak >= 1.1e0 THEN 'WARN' ELSE 'WATCH' END AS severity, t_from, t_to, minutes, round(depth_from, 4) AS depth_from"
 
 
 def _shown(events: DataFrame, *evidence: str) -> DataFrame:
-    kept = events.select("id", "severity", "t_from", "t_to", "minutes", F.round("depth_from", 4).alias("depth_from"), *(F.round(F.col("evidence")[e].cast("double"), 3).alias(e) for e in evidence))
+    kept = events.select("rig_id", "id", "severity", "t_from", "t_to", "minutes", F.round("depth_from", 4).alias("depth_from"), *(F.round(F.col("evidence")[e].cast("double"), 3).alias(e) for e in evidence))
     return kept
 
 
@@ -178,7 +177,7 @@ def stick_slip(spark, sf_dir):
 
 
 def _trailing_sql(n: int, value: str, out: str) -> str:
-    return f"CASE WHEN tick - lag(tick, {n}) OVER (ORDER BY tick) = {n} THEN quantile_cont(CASE WHEN {value} > 0 THEN {value} END, 0.5) OVER (ORDER BY tick ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) END AS {out}"
+    return f"CASE WHEN tick - lag(tick, {n}) OVER (PARTITION BY rig_id ORDER BY tick) = {n} THEN quantile_cont(CASE WHEN {value} > 0 THEN {value} END, 0.5) OVER (PARTITION BY rig_id ORDER BY tick ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) END AS {out}"
 
 
 _WASH = (
@@ -188,38 +187,38 @@ _WASH = (
 )
 
 
-@query(with_feed(f"SELECT t, {r('base_spp', 'base_flow')} FROM based", "sized", more=_WASH))
+@query(with_feed(f"SELECT rig_id, t, {r('base_spp', 'base_flow')} FROM based", "sized", more=_WASH))
 def trailing_median(spark, sf_dir):
     minutes = feed.sized(spark, sf_dir).withColumns({"spp": F.coalesce("SPP.mean", F.lit(0.0)), "flow": F.coalesce("MFIA.mean", F.lit(0.0))})
     out = detect.trailing_median(detect.trailing_median(minutes, F.col("spp"), 20, "base_spp"), F.col("flow"), 20, "base_flow")
-    return rounded(out.select("t", "base_spp", "base_flow"))
+    return rounded(out.select("rig_id", "t", "base_spp", "base_flow"))
 
 
-@query(with_feed("SELECT concat('wo-', k) AS id, CASE WHEN peak >= 20 THEN 'ALARM' WHEN peak >= 13 THEN 'WARN' ELSE 'WATCH' END AS severity, t_from, t_to, minutes, round(depth_from, 4) AS depth_from, round(peak, 1) AS \"sppDropPct\", round(lowest, 0) AS \"lowestSppPsi\" FROM events_of", "sized", more=_WASH))
+@query(with_feed("SELECT rig_id, concat('wo-', k) AS id, CASE WHEN peak >= 20 THEN 'ALARM' WHEN peak >= 13 THEN 'WARN' ELSE 'WATCH' END AS severity, t_from, t_to, minutes, round(depth_from, 4) AS depth_from, round(peak, 1) AS \"sppDropPct\", round(lowest, 0) AS \"lowestSppPsi\" FROM events_of", "sized", more=_WASH))
 def washout(spark, sf_dir):
     return _shown(detect.washout(feed.sized(spark, sf_dir), step=STEP), "sppDropPct", "lowestSppPsi")
 
 
 _PULL = (
-    ("near", "SELECT *, max((state = 'TRIPPING_OUT')::INT) OVER (ORDER BY tick ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) = 1 AS in_trip, coalesce(sum((state = 'TRIPPING_OUT' AND HKLA_n > 0)::INT) OVER (PARTITION BY seg ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS trips FROM sized"),
-    ("peaks", "SELECT seg AS pseg, trips + 1 AS ptrips, quantile_cont(HKLA_max, 0.75) OVER (PARTITION BY seg ORDER BY tick ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS base FROM near WHERE state = 'TRIPPING_OUT' AND HKLA_n > 0"),
-    ("lookup", "SELECT near.*, base, HKLA_max - base AS over FROM near LEFT JOIN peaks ON seg = pseg AND trips = ptrips AND ptrips >= 10"),
+    ("near", "SELECT *, max((state = 'TRIPPING_OUT')::INT) OVER (PARTITION BY rig_id ORDER BY tick ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) = 1 AS in_trip, coalesce(sum((state = 'TRIPPING_OUT' AND HKLA_n > 0)::INT) OVER (PARTITION BY rig_id, seg ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS trips FROM sized"),
+    ("peaks", "SELECT rig_id AS prig, seg AS pseg, trips + 1 AS ptrips, quantile_cont(HKLA_max, 0.75) OVER (PARTITION BY rig_id, seg ORDER BY tick ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS base FROM near WHERE state = 'TRIPPING_OUT' AND HKLA_n > 0"),
+    ("lookup", "SELECT near.*, base, HKLA_max - base AS over FROM near LEFT JOIN peaks ON rig_id = prig AND seg = pseg AND trips = ptrips AND ptrips >= 10"),
     ("pull", "SELECT * FROM lookup WHERE in_trip AND off_bottom > 3 AND base >= 50 AND over >= 10"),
     *_runs_sql("pull", 1, "max(over) AS peak, arg_min({'d': bit_depth, 'h': HKLA_max, 'b': base}, {'o': -over, 't': tick}) AS worst"),
 )
 
 
-@query(with_feed("SELECT t, in_trip FROM near", "sized", more=_PULL))
+@query(with_feed("SELECT rig_id, t, in_trip FROM near", "sized", more=_PULL))
 def episode_context(spark, sf_dir):
-    return detect.episode(feed.sized(spark, sf_dir)).select("t", "in_trip")
+    return detect.episode(feed.sized(spark, sf_dir)).select("rig_id", "t", "in_trip")
 
 
-@query(with_feed("SELECT t, round(base, 8) AS base FROM lookup", "sized", more=_PULL))
+@query(with_feed("SELECT rig_id, t, round(base, 8) AS base FROM lookup", "sized", more=_PULL))
 def conditional_trailing_quantile(spark, sf_dir):
-    return rounded(detect.trip_baseline(feed.sized(spark, sf_dir)).select("t", "base"))
+    return rounded(detect.trip_baseline(feed.sized(spark, sf_dir)).select("rig_id", "t", "base"))
 
 
-@query(with_feed("SELECT concat('op-', k) AS id, CASE WHEN peak >= 25 THEN 'ALARM' WHEN peak >= 15 THEN 'WARN' ELSE 'WATCH' END AS severity, t_from, t_to, minutes, round(worst.d, 4) AS depth_from, round(peak, 1) AS \"overpullKlb\", round(worst.h, 1) AS \"peakHookloadKlb\", round(worst.b, 1) AS \"normalPickupKlb\" FROM events_of", "sized", more=_PULL))
+@query(with_feed("SELECT rig_id, concat('op-', k) AS id, CASE WHEN peak >= 25 THEN 'ALARM' WHEN peak >= 15 THEN 'WARN' ELSE 'WATCH' END AS severity, t_from, t_to, minutes, round(worst.d, 4) AS depth_from, round(peak, 1) AS \"overpullKlb\", round(worst.h, 1) AS \"peakHookloadKlb\", round(worst.b, 1) AS \"normalPickupKlb\" FROM events_of", "sized", more=_PULL))
 def overpull(spark, sf_dir):
     return _shown(detect.overpull(feed.sized(spark, sf_dir), step=STEP), "overpullKlb", "peakHookloadKlb", "normalPickupKlb")
 
@@ -232,19 +231,19 @@ _FLOW = (
 )
 
 
-@query(with_feed("SELECT concat('fi-', k) AS id, CASE WHEN abs(worst.d) >= 50 THEN 'WARN' ELSE 'WATCH' END AS severity, t_from, t_to, minutes, round(depth_from, 4) AS depth_from, round(worst.d, 1) AS \"driftPct\", round(worst.b, 1) AS \"baselineMfop\" FROM events_of", "sized", more=_FLOW))
+@query(with_feed("SELECT rig_id, concat('fi-', k) AS id, CASE WHEN abs(worst.d) >= 50 THEN 'WARN' ELSE 'WATCH' END AS severity, t_from, t_to, minutes, round(depth_from, 4) AS depth_from, round(worst.d, 1) AS \"driftPct\", round(worst.b, 1) AS \"baselineMfop\" FROM events_of", "sized", more=_FLOW))
 def flow_imbalance(spark, sf_dir):
     return _shown(detect.flow_imbalance(feed.sized(spark, sf_dir), step=STEP), "driftPct", "baselineMfop")
 
 
 _ENVELOPE = (
     ("last_offsets", "SELECT hole_size, arg_max(section, idx) AS section, arg_max(max_spp, idx) AS SPP, arg_max(max_flow_rate, idx) AS MFIA, arg_max(max_torque, idx) AS TORQUE, arg_max(max_wob, idx) AS WOB FROM offsets GROUP BY hole_size"),
-    ("above", " UNION ALL ".join(f"SELECT s.tick, s.hole_depth, '{c}' AS channel, s.{c}_p90 AS value, o.{c} AS ceiling FROM sized s JOIN last_offsets o USING (hole_size) WHERE state IN ('DRILLING', 'SLIDING') AND o.{c} <> 0 AND s.{c}_p90 > o.{c}" for c in ("SPP", "MFIA", "TORQUE", "WOB"))),
+    ("above", " UNION ALL ".join(f"SELECT s.rig_id, s.tick, s.hole_depth, '{c}' AS channel, s.{c}_p90 AS value, o.{c} AS ceiling FROM sized s JOIN last_offsets o USING (hole_size) WHERE state IN ('DRILLING', 'SLIDING') AND o.{c} <> 0 AND s.{c}_p90 > o.{c}" for c in ("SPP", "MFIA", "TORQUE", "WOB"))),
     *_runs_sql("above", 5, "arg_min({'v': value, 'c': ceiling}, {'o': -value, 't': tick}) AS worst, arg_min(hole_depth, tick) AS depth_from", "channel"),
 )
 
 
-@query(with_feed("SELECT concat('env-', lower(channel), '-', k) AS id, CASE WHEN (worst.v - worst.c) / worst.c * 100 >= 25 THEN 'WARN' ELSE 'WATCH' END AS severity, t_from, t_to, minutes, round(depth_from, 4) AS depth_from, round(worst.v, 1) AS \"peakValue\", round((worst.v - worst.c) / worst.c * 100, 1) AS \"overByPct\" FROM events_of", "offsets", more=_ENVELOPE))
+@query(with_feed("SELECT rig_id, concat('env-', lower(channel), '-', k) AS id, CASE WHEN (worst.v - worst.c) / worst.c * 100 >= 25 THEN 'WARN' ELSE 'WATCH' END AS severity, t_from, t_to, minutes, round(depth_from, 4) AS depth_from, round(worst.v, 1) AS \"peakValue\", round((worst.v - worst.c) / worst.c * 100, 1) AS \"overByPct\" FROM events_of", "offsets", more=_ENVELOPE))
 def envelope_exceedance(spark, sf_dir):
     return _shown(detect.envelope_exceedance(feed.sized(spark, sf_dir), feed.offsets(spark), step=STEP), "peakValue", "overByPct")
 
@@ -260,24 +259,24 @@ def _prefixed(prefix: str, more: tuple) -> tuple:
 _ALL = tuple(x for p, m in (("x1", _STICK), ("x2", _WASH), ("x3", _PULL), ("x4", _FLOW), ("x5", _ENVELOPE)) for x in _prefixed(p, m))
 _UNION = " UNION ALL ".join(
     [
-        "SELECT concat('ss-', k) AS id, 'STICK_SLIP' AS type, CASE WHEN peak >= 1.21e0 THEN 'ALARM' WHEN peak >= 1.1e0 THEN 'WARN' ELSE 'WATCH' END AS severity, t_from, t_to, minutes FROM x1_events_of",
-        "SELECT concat('wo-', k), 'WASHOUT', CASE WHEN peak >= 20 THEN 'ALARM' WHEN peak >= 13 THEN 'WARN' ELSE 'WATCH' END, t_from, t_to, minutes FROM x2_events_of",
-        "SELECT concat('op-', k), 'OVERPULL', CASE WHEN peak >= 25 THEN 'ALARM' WHEN peak >= 15 THEN 'WARN' ELSE 'WATCH' END, t_from, t_to, minutes FROM x3_events_of",
-        "SELECT concat('fi-', k), 'FLOW_IMBALANCE', CASE WHEN abs(worst.d) >= 50 THEN 'WARN' ELSE 'WATCH' END, t_from, t_to, minutes FROM x4_events_of",
-        "SELECT concat('env-', lower(channel), '-', k), 'ENVELOPE_EXCEEDANCE', CASE WHEN (worst.v - worst.c) / worst.c * 100 >= 25 THEN 'WARN' ELSE 'WATCH' END, t_from, t_to, minutes FROM x5_events_of",
+        "SELECT rig_id, concat('ss-', k) AS id, 'STICK_SLIP' AS type, CASE WHEN peak >= 1.21e0 THEN 'ALARM' WHEN peak >= 1.1e0 THEN 'WARN' ELSE 'WATCH' END AS severity, t_from, t_to, minutes FROM x1_events_of",
+        "SELECT rig_id, concat('wo-', k), 'WASHOUT', CASE WHEN peak >= 20 THEN 'ALARM' WHEN peak >= 13 THEN 'WARN' ELSE 'WATCH' END, t_from, t_to, minutes FROM x2_events_of",
+        "SELECT rig_id, concat('op-', k), 'OVERPULL', CASE WHEN peak >= 25 THEN 'ALARM' WHEN peak >= 15 THEN 'WARN' ELSE 'WATCH' END, t_from, t_to, minutes FROM x3_events_of",
+        "SELECT rig_id, concat('fi-', k), 'FLOW_IMBALANCE', CASE WHEN abs(worst.d) >= 50 THEN 'WARN' ELSE 'WATCH' END, t_from, t_to, minutes FROM x4_events_of",
+        "SELECT rig_id, concat('env-', lower(channel), '-', k), 'ENVELOPE_EXCEEDANCE', CASE WHEN (worst.v - worst.c) / worst.c * 100 >= 25 THEN 'WARN' ELSE 'WATCH' END, t_from, t_to, minutes FROM x5_events_of",
     ]
 )
 
 
 @query(with_feed(_UNION, "offsets", more=_ALL))
 def detector_union(spark, sf_dir):
-    return detect.detect_all(feed.sized(spark, sf_dir), feed.offsets(spark), step=STEP).select("id", "type", "severity", "t_from", "t_to", "minutes")
+    return detect.detect_all(feed.sized(spark, sf_dir), feed.offsets(spark), step=STEP).select("rig_id", "id", "type", "severity", "t_from", "t_to", "minutes")
 
 
-@query(with_feed(f"SELECT id, type, severity FROM ({_UNION}) WHERE severity IN ('WARN', 'ALARM') AND t_to >= {_WINDOW[0]} AND t_from <= {_WINDOW[1]}", "offsets", more=_ALL))
+@query(with_feed(f"SELECT rig_id, id, type, severity FROM ({_UNION}) WHERE severity IN ('WARN', 'ALARM') AND t_to >= {_WINDOW[0]} AND t_from <= {_WINDOW[1]}", "offsets", more=_ALL))
 def severity_filter(spark, sf_dir):
     events = detect.detect_all(feed.sized(spark, sf_dir), feed.offsets(spark), step=STEP)
-    return filtered_events(events, None, "WARN", _FROM, _TO).select("id", "type", "severity")
+    return filtered_events(events, None, "WARN", _FROM, _TO).select("rig_id", "id", "type", "severity")
 
 
 @query(with_feed(f"SELECT type, count(*) AS events FROM ({_UNION}) GROUP BY type", "offsets", more=_ALL))
@@ -292,12 +291,12 @@ def _interval_sql(step: int, length: int) -> str:
     us = step * 60_000_000
     more = (
         ("slots", f"SELECT *, CAST(floor(tick / {length}) AS BIGINT) AS slot, state IN ('DRILLING', 'SLIDING') AS made FROM states"),
-        ("line", "SELECT unnest(generate_series((SELECT min(slot) FROM slots), (SELECT max(slot) FROM slots))) AS slot"),
-        ("kpi", "SELECT slot, count(*) AS measured, arg_min(hole_depth, tick) FILTER (hole_depth IS NOT NULL) AS d1, arg_max(hole_depth, tick) FILTER (hole_depth IS NOT NULL) AS d2, sum(d_hole) AS f, CAST(sum(made::INT) AS BIGINT) AS ob, avg(ROP_mean) AS rc, count(*) FILTER (state = 'DRILLING') AS drilling FROM slots GROUP BY slot"),
+        ("line", "SELECT rig_id, unnest(generate_series(min(slot), max(slot))) AS slot FROM slots GROUP BY rig_id"),
+        ("kpi", "SELECT rig_id, slot, count(*) AS measured, arg_min(hole_depth, tick) FILTER (hole_depth IS NOT NULL) AS d1, arg_max(hole_depth, tick) FILTER (hole_depth IS NOT NULL) AS d2, sum(d_hole) AS f, CAST(sum(made::INT) AS BIGINT) AS ob, avg(ROP_mean) AS rc, count(*) FILTER (state = 'DRILLING') AS drilling FROM slots GROUP BY rig_id, slot"),
     )
-    select = f"""SELECT make_timestamp(slot * {length * us}) AS t_from, coalesce(measured, 0) AS measured, greatest({length} - coalesce(measured, 0), 0) AS missing, round(d1, 4) AS depth_start, round(d2, 4) AS depth_end,
+    select = f"""SELECT rig_id, make_timestamp(slot * {length * us}) AS t_from, coalesce(measured, 0) AS measured, greatest({length} - coalesce(measured, 0), 0) AS missing, round(d1, 4) AS depth_start, round(d2, 4) AS depth_end,
     round(coalesce(f, 0e0), 1) AS footage, coalesce(ob, 0) AS on_bottom, round(CASE WHEN ob > 0 THEN f / (ob * {step}) * 60 END, 1) AS rop_on_bottom, round(CASE WHEN measured > 0 THEN f / (measured * {step}) * 60 END, 1) AS rop_overall,
-    round(rc, 2) AS rop_channel, CASE WHEN drilling > 0 THEN drilling END AS drilling FROM line LEFT JOIN kpi USING (slot)"""
+    round(rc, 2) AS rop_channel, CASE WHEN drilling > 0 THEN drilling END AS drilling FROM line LEFT JOIN kpi USING (rig_id, slot)"""
     return with_feed(select, "states", step, more)
 
 
@@ -305,64 +304,64 @@ def _intervals(spark, sf_dir, step: int, length: int) -> DataFrame:
     from ..operators.state import apply_states
 
     found = intervals.intervals(apply_states(feed.minutes(spark, sf_dir, step)), length, step)
-    return rounded(found.drop("rig_id", "t_to").withColumn("drilling", F.col("state_minutes")["DRILLING"]).drop("state_minutes"), 4)
+    return rounded(found.drop("t_to").withColumn("drilling", F.col("state_minutes")["DRILLING"]).drop("state_minutes"), 4)
 
 
-@query(_interval_sql(10, 1))
+@query(_interval_sql(FINE, 1))
 def interval_with_empty(spark, sf_dir):
-    return _intervals(spark, sf_dir, 10, 1)
+    return _intervals(spark, sf_dir, FINE, 1)
 
 
-@query(_interval_sql(60, 4))
+@query(_interval_sql(STEP, 240 // STEP))
 def interval_4h(spark, sf_dir):
-    return _intervals(spark, sf_dir, 60, 4)
+    return _intervals(spark, sf_dir, STEP, 240 // STEP)
 
 
-@query(_interval_sql(60, 24))
+@query(_interval_sql(STEP, 1440 // STEP))
 def interval_1d(spark, sf_dir):
-    return _intervals(spark, sf_dir, 60, 24)
+    return _intervals(spark, sf_dir, STEP, 1440 // STEP)
 
 
 @query(
     with_feed(
-        """SELECT make_timestamp(a * 3600000000) AS t_from, make_timestamp((b + 1) * 3600000000) AS t_to, round(m * 60 / 60e0, 2) AS measured_hours, round((b + 1 - a - m) * 60 / 60e0, 2) AS missing_hours, round(d1, 4) AS depth_start, round(d2, 4) AS depth_end, round(f, 1) AS footage,
-    round(ob * 60 / 60e0, 2) AS on_bottom_hours, round(f / (ob * 60) * 60, 1) AS rop_on_bottom, round(f / (m * 60) * 60, 1) AS rop_overall, round(rc, 2) AS rop_channel,
-    round((SELECT sum(npt_hrs) FROM reports WHERE "end" > make_timestamp(a * 3600000000) AND start < make_timestamp((b + 1) * 3600000000)), 2) AS npt_hours,
-    round((SELECT sum(duration_hrs) FROM reports WHERE "end" > make_timestamp(a * 3600000000) AND start < make_timestamp((b + 1) * 3600000000)), 2) AS report_hours FROM one""",
+        f"""SELECT rig_id, make_timestamp(a * 300000000) AS t_from, make_timestamp((b + 1) * 300000000) AS t_to, round(m * {STEP} / 60e0, 2) AS measured_hours, round((b + 1 - a - m) * {STEP} / 60e0, 2) AS missing_hours, round(d1, 4) AS depth_start, round(d2, 4) AS depth_end, round(f, 1) AS footage,
+    round(ob * {STEP} / 60e0, 2) AS on_bottom_hours, round(f / (ob * {STEP}) * 60, 1) AS rop_on_bottom, round(f / (m * {STEP}) * 60, 1) AS rop_overall, round(rc, 2) AS rop_channel,
+    round((SELECT sum(npt_hrs) FROM reports r WHERE r.rig_id = one.rig_id AND "end" > make_timestamp(a * 300000000) AND start < make_timestamp((b + 1) * 300000000)), 2) AS npt_hours,
+    round((SELECT sum(duration_hrs) FROM reports r WHERE r.rig_id = one.rig_id AND "end" > make_timestamp(a * 300000000) AND start < make_timestamp((b + 1) * 300000000)), 2) AS report_hours FROM one""",
         "sized",
-        more=(("one", "SELECT count(*) AS m, min(tick) AS a, max(tick) AS b, arg_min(hole_depth, tick) AS d1, arg_max(hole_depth, tick) AS d2, sum(d_hole) AS f, count(*) FILTER (state IN ('DRILLING', 'SLIDING')) AS ob, avg(ROP_mean) AS rc FROM sized"),),
+        more=(("one", "SELECT rig_id, count(*) AS m, min(tick) AS a, max(tick) AS b, arg_min(hole_depth, tick) AS d1, arg_max(hole_depth, tick) AS d2, sum(d_hole) AS f, count(*) FILTER (state IN ('DRILLING', 'SLIDING')) AS ob, avg(ROP_mean) AS rc FROM sized GROUP BY rig_id"),),
     )
 )
 def summary(spark, sf_dir):
-    return rounded(intervals.summary(feed.states(spark, sf_dir), feed.reports(spark, sf_dir), STEP).drop("rig_id"), 4)
+    return rounded(intervals.summary(feed.states(spark, sf_dir), feed.reports(spark, sf_dir), STEP), 4)
 
 
 _RESAMPLE = (
     ("slots", "SELECT *, CAST(floor(tick / 6) AS BIGINT) AS slot FROM minute"),
-    ("lags", "SELECT *, tick - lag(tick) OVER (PARTITION BY slot ORDER BY tick) > 1 AS gap FROM slots"),
-    ("points", "SELECT slot, round(avg(WOB_mean), 3) AS mean, round(min(WOB_min), 3) AS min, round(max(WOB_max), 3) AS max, round(sqrt(avg(WOB_sd * WOB_sd)), 3) AS sd, count(WOB_mean) AS n, bool_or(gap) AS gap FROM lags GROUP BY slot"),
+    ("lags", "SELECT *, tick - lag(tick) OVER (PARTITION BY rig_id, slot ORDER BY tick) > 1 AS gap FROM slots"),
+    ("points", "SELECT rig_id, slot, round(avg(WOB_mean), 3) AS mean, round(min(WOB_min), 3) AS min, round(max(WOB_max), 3) AS max, round(sqrt(avg(WOB_sd * WOB_sd)), 3) AS sd, count(WOB_mean) AS n, bool_or(gap) AS gap FROM lags GROUP BY rig_id, slot"),
 )
 
 
-@query(with_feed("SELECT make_timestamp(slot * 3600000000) AS t, mean, min, max, sd, n FROM points WHERE n > 0 UNION ALL SELECT make_timestamp((slot + 1) * 3600000000 - 1000), NULL, NULL, NULL, NULL, 0 FROM points WHERE gap", "minute", 10, _RESAMPLE))
+@query(with_feed("SELECT rig_id, make_timestamp(slot * 360000000) AS t, mean, min, max, sd, n FROM points WHERE n > 0 UNION ALL SELECT rig_id, make_timestamp((slot + 1) * 360000000 - 1000), NULL, NULL, NULL, NULL, 0 FROM points WHERE gap", "minute", FINE, _RESAMPLE))
 def resample_gap_nulls(spark, sf_dir):
-    return intervals.resample(feed.minutes(spark, sf_dir, 10), "WOB", 6, 10).drop("rig_id")
+    return intervals.resample(feed.minutes(spark, sf_dir, FINE), "WOB", 6, FINE)
 
 
 _GREEDY = (
-    ("anchors(a)", "SELECT min(tick) FROM minute UNION ALL SELECT (SELECT min(tick) FROM minute WHERE tick >= a + 5) FROM anchors WHERE a IS NOT NULL"),
-    ("placed", "SELECT m.*, a FROM minute m ASOF JOIN (SELECT a FROM anchors WHERE a IS NOT NULL) x ON m.tick >= x.a"),
+    ("anchors(rig_id, a)", "SELECT rig_id, min(tick) FROM minute GROUP BY rig_id UNION ALL SELECT x.rig_id, (SELECT min(tick) FROM minute m WHERE m.rig_id = x.rig_id AND m.tick >= x.a + 5) FROM anchors x WHERE a IS NOT NULL"),
+    ("placed", "SELECT m.*, a FROM minute m ASOF JOIN (SELECT rig_id, a FROM anchors WHERE a IS NOT NULL) x ON m.rig_id = x.rig_id AND m.tick >= x.a"),
 )
 
 
-@query(with_feed("SELECT make_timestamp(a * 600000000) AS t, round(avg(SPP_mean), 3) AS mean, round(min(SPP_min), 3) AS min, round(max(SPP_max), 3) AS max, round(sqrt(avg(SPP_sd * SPP_sd)), 3) AS sd, count(SPP_mean) AS n FROM placed GROUP BY a", "minute", 10, _GREEDY))
+@query(with_feed("SELECT rig_id, make_timestamp(a * 60000000) AS t, round(avg(SPP_mean), 3) AS mean, round(min(SPP_min), 3) AS min, round(max(SPP_max), 3) AS max, round(sqrt(avg(SPP_sd * SPP_sd)), 3) AS sd, count(SPP_mean) AS n FROM placed GROUP BY rig_id, a", "minute", FINE, _GREEDY))
 def greedy_series(spark, sf_dir):
-    return intervals.greedy_series(feed.minutes(spark, sf_dir, 10), *intervals.channel_parts("SPP"), 5, 10).drop("rig_id")
+    return intervals.greedy_series(feed.minutes(spark, sf_dir, FINE), *intervals.channel_parts("SPP"), 5, FINE)
 
 
-@query(with_feed("SELECT t, round(WOB_mean, 2) AS wob, round(rop_calc, 1) AS rop, round(hole_depth, 1) AS depth, state FROM states WHERE state IN ('DRILLING', 'SLIDING') AND WOB_n > 0", "states"))
+@query(with_feed("SELECT rig_id, t, round(WOB_mean, 2) AS wob, round(rop_calc, 1) AS rop, round(hole_depth, 1) AS depth, state FROM states WHERE state IN ('DRILLING', 'SLIDING') AND WOB_n > 0", "states"))
 def scatter_filter(spark, sf_dir):
-    return intervals.scatter(feed.states(spark, sf_dir)).drop("rig_id")
+    return intervals.scatter(feed.states(spark, sf_dir))
 
 
 @query("SELECT event_id, value FROM (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS i, count(*) OVER () AS n FROM events) WHERE i % greatest(1, CAST(ceil(n / 2500) AS BIGINT)) = 0")
@@ -372,19 +371,19 @@ def stride_sample(spark, sf_dir):
 
 @query(
     with_feed(
-        "SELECT s.t, CASE WHEN ok THEN s.m END AS mean, s.n FROM (SELECT t, round(RPM_mean, 3) AS m, RPM_n > 0 AS has, 1 AS n, strftime(t, '%Y-%m-%d') IN ('2024-01-03', '2024-01-04') AND state IN ('DRILLING') AS ok FROM states "
-        f"WHERE t >= TIMESTAMP '2024-01-02' AND t <= {_WINDOW[1]}) s WHERE has",
+        "SELECT s.rig_id, s.t, CASE WHEN ok THEN s.m END AS mean, s.n FROM (SELECT rig_id, t, round(RPM_mean, 3) AS m, RPM_n > 0 AS has, 1 AS n, strftime(t, '%Y-%m-%d') IN ('2024-01-02', '2024-01-04') AND state IN ('DRILLING') AS ok FROM states "
+        f"WHERE t >= TIMESTAMP '2024-01-01 14:00' AND t <= {_WINDOW[1]}) s WHERE has",
         "states",
     )
 )
 def masked_series(spark, sf_dir):
     minutes = feed.states(spark, sf_dir)
     series = intervals.resample(minutes, "RPM", 1, STEP)
-    found = intervals.masked(series, minutes, ["2024-01-03", "2024-01-04"], ["DRILLING"], datetime(2024, 1, 2), _TO)
-    return found.select("t", "mean", F.col("n").cast("int").alias("n"))
+    found = intervals.masked(series, minutes, ["2024-01-02", "2024-01-04"], ["DRILLING"], datetime(2024, 1, 1, 14), _TO)
+    return found.select("rig_id", "t", "mean", F.col("n").cast("int").alias("n"))
 
 
-@query(with_feed("SELECT hole_size, count(*) AS minutes FROM sized WHERE hole_size IS NOT NULL GROUP BY hole_size ORDER BY minutes DESC, min(tick) LIMIT 1", "sized"))
+@query(with_feed("SELECT rig_id, hole_size, count(*) AS minutes FROM sized WHERE hole_size IS NOT NULL GROUP BY rig_id, hole_size QUALIFY row_number() OVER (PARTITION BY rig_id ORDER BY count(*) DESC, min(tick)) = 1", "sized"))
 def dominant_hole_size(spark, sf_dir):
     return intervals.dominant(feed.sized(spark, sf_dir))
 
@@ -397,28 +396,28 @@ def day_spine(spark, sf_dir):
 # Joins
 
 
-@query(with_feed("SELECT t, hole_size FROM sized", "sized"))
+@query(with_feed("SELECT rig_id, t, hole_size FROM sized", "sized"))
 def asof_hole_size(spark, sf_dir):
-    return feed.sized(spark, sf_dir).select("t", "hole_size")
+    return feed.sized(spark, sf_dir).select("rig_id", "t", "hole_size")
 
 
-@query(with_feed("SELECT well, count(*) AS reports FROM reports WHERE \"end\" > (SELECT min(t) FROM minute) AND start < (SELECT max(t) FROM minute) GROUP BY well ORDER BY count(*) DESC, min(start), min(idx) LIMIT 1", "reports"))
+@query(with_feed("SELECT rig_id, well, count(*) AS reports FROM reports JOIN (SELECT rig_id, min(t) AS f, max(t) AS u FROM minute GROUP BY rig_id) USING (rig_id) WHERE \"end\" > f AND start < u GROUP BY rig_id, well QUALIFY row_number() OVER (PARTITION BY rig_id ORDER BY count(*) DESC, min(struct_pack(s := start, i := idx))) = 1", "reports"))
 def overlap_top1(spark, sf_dir):
-    window = feed.minutes(spark, sf_dir).agg(F.min("t").alias("t_from"), F.max("t").alias("t_to"))
+    window = feed.minutes(spark, sf_dir).groupBy("rig_id").agg(F.min("t").alias("t_from"), F.max("t").alias("t_to"))
     return joins.busiest_overlap(window, feed.reports(spark, sf_dir))
 
 
 _EXPECTS = ", ".join(f"('{a}', {list(s)})" for a, s in ACTIVITY_STATES.items())
 _AGREE = (
     ("expects(activity, expected)", f"VALUES {_EXPECTS}"),
-    ("pairs", 'SELECT activity, state, list_contains(expected, state) AS ok FROM reports JOIN expects USING (activity) JOIN states ON t >= start AND t < "end"'),
-    ("counts", "SELECT activity, state, count(*) AS m, row_number() OVER (PARTITION BY activity ORDER BY count(*) DESC, state) AS place FROM pairs GROUP BY activity, state"),
-    ("tops", "SELECT activity, string_agg(concat(state, ':', m), ',' ORDER BY place) AS top FROM counts WHERE place <= 3 GROUP BY activity"),
-    ("agreed", "SELECT activity, count(*) AS ddr_minutes, count(*) FILTER (ok) AS matched_minutes FROM pairs GROUP BY activity"),
+    ("pairs", 'SELECT rig_id, activity, state, list_contains(expected, state) AS ok FROM reports JOIN expects USING (activity) JOIN states USING (rig_id) WHERE t >= start AND t < "end"'),
+    ("counts", "SELECT rig_id, activity, state, count(*) AS m, row_number() OVER (PARTITION BY rig_id, activity ORDER BY count(*) DESC, state) AS place FROM pairs GROUP BY rig_id, activity, state"),
+    ("tops", "SELECT rig_id, activity, string_agg(concat(state, ':', m), ',' ORDER BY place) AS top FROM counts WHERE place <= 3 GROUP BY rig_id, activity"),
+    ("agreed", "SELECT rig_id, activity, count(*) AS ddr_minutes, count(*) FILTER (ok) AS matched_minutes FROM pairs GROUP BY rig_id, activity"),
 )
 
 
-@query(with_feed("SELECT activity, ddr_minutes, matched_minutes, round(1e2 * matched_minutes / ddr_minutes, 1) AS agreement, top FROM agreed JOIN tops USING (activity)", "reports", more=_AGREE))
+@query(with_feed("SELECT rig_id, activity, ddr_minutes, matched_minutes, round(1e2 * matched_minutes / ddr_minutes, 1) AS agreement, top FROM agreed JOIN tops USING (rig_id, activity)", "reports", more=_AGREE))
 def range_join_agreement(spark, sf_dir):
     found = joins.agreement(feed.states(spark, sf_dir), feed.reports(spark, sf_dir), STEP)
     top = F.array_join(F.transform("top_detected", lambda x: F.concat(x["state"], F.lit(":"), x["minutes"].cast("string"))), ",")
@@ -431,13 +430,13 @@ def overall_agreement(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT event_id, user_id % 7 AS g, date_trunc('second', ts) AS t FROM events WHERE event_type = 'purchase'),
-s AS (SELECT user_id % 7 AS g, date_trunc('second', ts) AS t, max(value) AS v FROM events WHERE event_type = 'signup' GROUP BY ALL),
+    """WITH p AS (SELECT event_id, user_id // 5 AS g, date_trunc('second', ts) AS t FROM events WHERE event_type = 'purchase'),
+s AS (SELECT user_id // 5 AS g, date_trunc('second', ts) AS t, max(value) AS v FROM events WHERE event_type = 'signup' GROUP BY ALL),
 d AS (SELECT event_id, v, row_number() OVER (PARTITION BY event_id ORDER BY abs(epoch(p.t) - epoch(s.t)), s.t) AS k FROM p JOIN s USING (g))
 SELECT event_id, round(v, 8) AS v FROM d WHERE k = 1"""
 )
 def nearest_lookup(spark, sf_dir):
-    events = feed.events(spark, sf_dir).select("event_id", "event_type", "value", (F.col("user_id") % 7).alias("g"), F.date_trunc("second", "ts").cast("timestamp_ntz").alias("t"))
+    events = feed.events(spark, sf_dir).select("event_id", "event_type", "value", F.expr("user_id div 5").alias("g"), F.date_trunc("second", "ts").cast("timestamp_ntz").alias("t"))
     facts = events.where("event_type = 'signup'").groupBy("g", "t").agg(F.max("value").alias("v"))
     return rounded(joins.nearest(events.where("event_type = 'purchase'").select("event_id", "g", "t"), facts, ["g"], "v").select("event_id", "v"))
 
@@ -583,6 +582,8 @@ def bm25_df(spark, sf_dir):
 
 
 _ASK = "repair of thtion hean and ouea at the night unseenword"
+#: The question"s terms and their synonyms, written out.
+_TERMS = ["repair", "thtion", "hean", "ouea", "night", "unseenword", "midnight"]
 
 
 def _bm25(where: str, boost: str, terms: list[str], limit: int) -> str:
@@ -600,12 +601,12 @@ SELECT idx, round(raw * sqrt(m / asked) * {boost}, 3) AS score, m AS matched FRO
 _NIGHT = "((idx % 24) >= 18 OR (idx % 24) < 6)"
 
 
-@query(_bm25(_NIGHT, "(CASE WHEN doc_id % 7 = 0 THEN 1.6e0 ELSE 1e0 END)", search.expanded(_ASK), 25))
+@query(_bm25(_NIGHT, "(CASE WHEN doc_id % 7 = 0 THEN 1.6e0 ELSE 1e0 END)", _TERMS, 25))
 def bm25_topk(spark, sf_dir):
     return search.search(log_of_documents(spark, sf_dir), _ASK, limit=25).select("idx", "score", F.size("matched").cast("long").alias("matched"))
 
 
-@query(_bm25("source = 'src1' AND lang = 'en'", "1e0", search.expanded("thtion hean ouea of them"), 8))
+@query(_bm25("source = 'src1' AND lang = 'en'", "1e0", ["thtion", "hean", "ouea"], 8))
 def bm25_filtered(spark, sf_dir):
     given = search.Filters(well="src1", activity="en")
     return search.search(log_of_documents(spark, sf_dir), "thtion hean ouea of them", given, 8).select("idx", "score", F.size("matched").cast("long").alias("matched"))
@@ -618,10 +619,10 @@ _RAW = {"WOB": "CASE WHEN event_id % 311 = 0 THEN '5.0E' WHEN event_id % 31 = 0
 
 @query(
     f"""SELECT count(*) AS rows, CAST(sum((WOB = '5.0E')::INT) AS BIGINT) AS non_numeric, ['5.0E'] AS examples, CAST(sum((DBTM = '0')::INT) AS BIGINT) AS dbtm_zero, CAST(sum((WOB = '-2')::INT) AS BIGINT) AS wob_negative, CAST(sum(dup::INT) AS BIGINT) AS held
-FROM (SELECT {", ".join(f"{x.format(s='VARCHAR')} AS {c}" for c, x in _RAW.items())}, coalesce(lag(event_type) OVER (ORDER BY event_id) = event_type, false) AS dup FROM events)"""
+FROM (SELECT {", ".join(f"{x.format(s='VARCHAR')} AS {c}" for c, x in _RAW.items())}, coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) = event_type, false) AS dup FROM events)"""
 )
 def quality_counters(spark, sf_dir):
-    cells = feed.events(spark, sf_dir).selectExpr("'rig0' AS rig_id", "event_id AS seq", "event_type", *(f"{x.format(s='string')} AS {c}" for c, x in _RAW.items()))
+    cells = feed.events(spark, sf_dir).selectExpr("user_id AS rig_id", "event_id AS seq", "event_type", *(f"{x.format(s='string')} AS {c}" for c, x in _RAW.items()))
     flagged = rollup.held_frames(cells, ["event_type"]).withColumns({f"num_{c}": scalars.parse_number(c) for c in _RAW})
     return quality.counters(flagged, tuple(_RAW))
 

@@ -57,6 +57,17 @@ def test_held_frames(spark):
     assert {r.seq: r.dup_of_prev for r in rollup.held_frames(d, ["c", "d"]).collect()} == {1: False, 2: True, 3: False, 4: False}
 
 
+def test_held_frames_over_ranges(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("rq"), k * 3, rng.choice("ab")) for k in range(200)]
+    d = spark.createDataFrame(rows, "rig_id string, seq long, c string")
+    want, last = {}, {}
+    for rig, seq, c in rows:
+        want[seq], last[rig] = last.get(rig) == c, c
+    for part in (1, 7, 1 << 17):
+        assert {r.seq: r.dup_of_prev for r in rollup.held_frames(d, ["c"], part_rows=part).collect()} == want
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_contexts_match_a_sequential_model(spark, seed):
     rng = random.Random(seed)
@@ -186,7 +197,7 @@ def test_time_joins(spark):
     facts = spark.createDataFrame([(1, at(2), "a"), (1, at(6), "b")], "g int, t timestamp_ntz, v string")
     points = spark.createDataFrame([(1, at(k)) for k in (0, 4, 5, 9)], "g int, t timestamp_ntz")
     assert [r.v for r in joins.nearest(points, facts, ["g"], "v").orderBy("t").collect()] == ["a", "a", "b", "b"]
-    window = spark.createDataFrame([(at(10), at(20))], "t_from timestamp_ntz, t_to timestamp_ntz")
+    window = spark.createDataFrame([("r", at(10), at(20)), ("q", at(0), at(1))], "rig_id string, t_from timestamp_ntz, t_to timestamp_ntz")
     log = spark.createDataFrame([("W2", 1, at(0), at(10)), ("W1", 2, at(11), at(12)), ("W2", 3, at(13), at(14)), ("W3", 4, at(20), at(30))], "well string, idx long, start timestamp_ntz, end timestamp_ntz")
     assert tuple(joins.busiest_overlap(window, log).first()) == ("W1", 1)
     assert tuple(joins.busiest_overlap(window, log.where("idx = 1")).first()) == ("UNKNOWN", 0)
