@@ -1,32 +1,39 @@
 """Main text of web pages: structure, and differencing with the page of the nearest URL.
 
 A page becomes lines, one a block. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments are recognised by element, role, class or id. Pages are then put in order of host and URL path
-over the whole cluster; of a page's two neighbours of the same host, the one whose path has the lesser edit distance
-is its partner. The lines of both are aligned by a longest common subsequence, and shared lines are deleted: they come
-from the site's template. Inside an <article> or <main> element lines stay, for texts do repeat between pages, and
-a page of which most would go is a copy of its partner, so its lines stay as well.
+reader comments are recognised by element, role, class or id; where a page has an <article> or <main>, its lines are those inside.
+Pages of a host that have the same lines are one page here. The distinct pages are put in order of host and URL path over the whole
+cluster, and of the NEAR pages to either side the one of the same host whose path has the least edit distance is a page's partner.
+The lines of both, main ones included, are aligned by a longest common subsequence.
 
-No host is gathered anywhere: the order is by range, and the rows at the edges of ranges are exchanged by a table with
-one row a partition.
+A shared line is either the site's template or a passage that two texts share. The host's pairs decide: pairs that share less
+than half of the shorter page vote (pages that are near copies of each other tell nothing), and a line that at least half of these have
+in common is the template's. Inside <article> and <main> at least LEAST_VOTES pairs must have it, so that a passage shared by the few
+pages of a small host stays. Each page loses the template's lines that it shares with its partner.
+
+No host is gathered anywhere: the order is by range, positions are counted by ranges, and what is shuffled are hashes of lines. Html is
+parsed a second time at the end, and joined only with the list of pages that lose lines.
 
 Defined results: null or empty html gives an empty text; a null or unparsable url has no partner; pages of a host alone are
-parsed only; repeated rows are partners of each other and, being copies, lose nothing; an unclosed element ends with the page;
-an empty table gives no rows; other columns aren't looked at.
+parsed only; equal distances take the partner that comes first in order; repeated rows are answered alike; an end tag that HTML
+lets out is supplied, another unclosed element ends with the page; an empty table gives no rows; other columns aren't looked at.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, small_batches, table
 
+NEAR, LEAST_VOTES = 8, 4
+BLOCK = 10_000  #: pages of one window of neighbours
+
 TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>?|[^<]+|<""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
@@ -36,6 +43,12 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins
 RAW = set("script style textarea title xmp".split())
 DROPPED = set("head nav footer aside form noscript template menu dialog button select iframe object svg canvas audio video header".split())
 MAIN = {"article", "main"}
+# Elements whose end tag may be left out, and the start tags that end them.
+BLOCKS = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+IMPLIED = {
+    "p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"}, "tr": {"tr", "tbody", "tfoot"},
+    "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"},
+}
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 NAMES = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr newsletter subscribe subscription signup "
@@ -43,6 +56,19 @@ NAMES = set(
     "comment comments disqus replies popup modal overlay notice notices banner".split()
 )
 WHOLE_NAMES = NAMES | set("header site-header page-header alert widget toolbar skip-link legal copyright side login search topbar".split())
+#: Words that may stand beside one of NAMES in a compound name; with any other word the name tells of something else.
+BESIDE = set(
+    "list box block section widget container wrapper wrap area panel bar link links post posts article articles item items icon icons button buttons site page main top "
+    "bottom left right side primary secondary inner outer header title form text body content slot unit inline row col column global local mobile desktop sticky fixed "
+    "floating google user reader blog thread count toggle close message group".split()
+)
+
+
+def _named(word: str) -> bool:
+    if word in WHOLE_NAMES:
+        return True
+    parts = [x for x in re.split(r"[-_]+", word) if x and not x.isdigit()]
+    return any(x in NAMES for x in parts) and all(x in NAMES or x in BESIDE for x in parts)
 
 
 def _boilerplate(attributes: str) -> bool:
@@ -55,18 +81,25 @@ def _boilerplate(attributes: str) -> bool:
             return True
         if name == "role" and value in ROLES:
             return True
-        if name in ("class", "id"):
-            for word in value.split():
-                if word in WHOLE_NAMES or NAMES & set(re.split(r"[-_]+", word)):
-                    return True
+        if name in ("class", "id") and any(map(_named, value.split())):
+            return True
     return False
 
 
+def _ends(open_tags: list[str], tag: str) -> int | None:
+    """How many of the open tags stay when a start tag comes that ends the last block among them; None where it ends none."""
+    for k in range(len(open_tags) - 1, -1, -1):
+        if open_tags[k] not in INLINE:
+            return k if tag in IMPLIED.get(open_tags[k], ()) else None
+    return None
+
+
 def lines_of(html: str | None) -> list[tuple[str, bool]]:
     """(text, inside article or main) of each block that isn't boilerplate by structure; only those inside where there are any."""
     out: list[tuple[str, bool]] = []
     held: list[str] = []
-    inside, depth, dropped, level, at = 0, 0, None, 0, 0
+    dropped: list[str] = []  # the open tags of a part that is left out, its own first
+    inside, at = 0, 0
     html = html or ""
 
     def close():
@@ -79,17 +112,18 @@ def lines_of(html: str | None) -> list[tuple[str, bool]]:
         at = m.end()
         tag = m[2]
         if tag is None:
-            if dropped is None and m[0][0] != "<" or m[0] == "<":
+            if not dropped and m[0][0] != "<" or m[0] == "<":
                 held.append(m[0])
             continue
         tag = tag.lower()
         if m[1]:  # an end tag
-            if dropped:
-                if tag == dropped:
-                    level -= 1
-                    if not level:
-                        dropped = None
+            if tag in dropped:
+                del dropped[len(dropped) - 1 - dropped[::-1].index(tag) :]
                 continue
+            if dropped:
+                if tag in INLINE or not all(x in IMPLIED or x in INLINE for x in dropped):
+                    continue
+                dropped.clear()  # the end of what is around it
             if tag in INLINE:
                 continue
             close()
@@ -99,14 +133,17 @@ def lines_of(html: str | None) -> list[tuple[str, bool]]:
         if tag in RAW:
             end = re.compile(f"</{tag}", re.I).search(html, at)
             at = end.start() if end else len(html)
-            if not dropped and end:
+            if end:
                 at = (html.find(">", at) + 1) or len(html)
             continue
         if dropped:
-            if dropped == "form" and tag in MAIN:  # a form around the whole page
-                dropped, level = None, 0
-            else:
-                level += tag == dropped and not m[3].rstrip().endswith("/")
+            while (stay := _ends(dropped, tag)) is not None:
+                del dropped[stay:]
+            if dropped and dropped[0] == "form" and tag in MAIN:  # a form around the whole page
+                dropped.clear()
+            if dropped:
+                if tag not in VOID and not m[3].rstrip().endswith("/"):
+                    dropped.append(tag)
                 continue
         if tag not in INLINE:
             close() if tag != "br" else held.append(" ")
@@ -121,7 +158,7 @@ def lines_of(html: str | None) -> list[tuple[str, bool]]:
                 continue
             if tag in INLINE:
                 held.append(" ")
-            dropped, level = tag, 1
+            dropped.append(tag)
         elif tag in MAIN:
             inside += 1
     close()
@@ -130,104 +167,172 @@ def lines_of(html: str | None) -> list[tuple[str, bool]]:
     return out
 
 
-def shared(a: list[int], b: list[int]) -> set[int]:
-    """Places in a of a longest common subsequence with b (by increasing subsequences of the matches)."""
-    where: dict[int, list[int]] = {}
+def _rows(a: list[int], b: list[int]):
+    """After each of a's lines, a number whose unset bits mark where the common subsequence with b grows (bit-parallel)."""
+    at: dict[int, int] = {}
     for j, x in enumerate(b):
-        where.setdefault(x, []).append(j)
-    tails: list[int] = []
-    chain: list[tuple] = []
-    for i, x in enumerate(a):
-        for j in reversed(where.get(x, ())):
-            k = bisect_left(tails, j)
-            link = (i, chain[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                chain.append(link)
+        at[x] = at.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for x in a:
+        both = row & at.get(x, 0)
+        row = (row + both | row & ~both) & full
+        yield row
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of a and each beginning of b."""
+    row = (1 << len(b)) - 1
+    for row in _rows(a, b):  # noqa: B007
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.r_[0, np.cumsum(1 - bits.astype(np.int64))]
+
+
+def shared(a: list[int], b: list[int]) -> set[int]:
+    """Places in a of a longest common subsequence with b.
+
+    Common ends are taken first; what is left goes through bit-parallel rows, which are kept up to 4 MB; beyond that a is halved and b is cut
+    where the halves' lengths sum up to most, so memory stays linear.
+    """
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    out = {*range(head), *range(len(a) - tail, len(a))}
+    known = set(b[head : len(b) - tail])
+    places = [i for i in range(head, len(a) - tail) if a[i] in known]
+    a2, b2 = [a[i] for i in places], [x for x in b[head : len(b) - tail] if x in {a[i] for i in places}] if places else []
+    if not a2:
+        return out
+    if len(a2) * len(b2) > 1 << 25 and len(a2) > 1:
+        half = len(a2) // 2
+        cut = int(np.argmax(_lengths(a2[:half], b2) + _lengths(a2[half:][::-1], b2[::-1])[::-1]))
+        found = shared(a2[:half], b2[:cut]) | {half + i for i in shared(a2[half:], b2[cut:])}
+    else:
+        rows, found = list(_rows(a2, b2)), set()
+        i, j = len(a2), len(b2)
+        while i and j:
+            if rows[i - 1] >> (j - 1) & 1:
+                j -= 1
+            elif i > 1 and not rows[i - 2] >> (j - 1) & 1:
+                i -= 1
             else:
-                tails[k] = j
-                chain[k] = link
-    out, link = set(), chain[-1] if chain else None
-    while link:
-        out.add(link[0])
-        link = link[1]
-    return out
+                i, j = i - 1, j - 1
+                found.add(i)
+    return out | {places[i] for i in found}
 
 
-def without_shared(lines: list[str], main: list[bool], hashes: list[int], other: list[int] | None) -> list[str]:
-    gone = {i for i in shared(hashes, other) if not main[i]} if other else set()
-    kept = [x for i, x in enumerate(lines) if i not in gone]
-    return lines if sum(map(len, kept)) * 2 < sum(map(len, lines)) else kept
+def _keyed(pages: DataFrame) -> DataFrame:
+    """Add host, path, and k1 and k2, 96 bits that tell html apart."""
+    host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
+    path = F.regexp_replace(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1), r"(/|\.html?)$", "")
+    return pages.withColumns({"host": F.coalesce(host, F.lit("")), "path": path, "k1": F.xxhash64("html"), "k2": F.hash("html")})
 
 
-def parse(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Add lines, main and hashes (arrays) to every page, in place of its html."""
-    small_batches(pages.sparkSession)
-    keep = [c for c in pages.columns if c != html]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*keep).schema) + ", lines array<string>, main array<boolean>, hashes array<long>"
+def line_hashes(keyed: DataFrame) -> DataFrame:
+    """(host, path, k1, k2, c1, c2, hashes, main) of every page that has a host: hashes of its lines, and c1 and c2 of all of them."""
+    small_batches(keyed.sparkSession)
+    keep = ["host", "path", "k1", "k2"]
 
     def run(batches):
         from xxhash import xxh3_64_intdigest as digest
+        from xxhash import xxh3_128_intdigest as wide
 
         for batch in batches:
-            found = [lines_of(h) for h in batch.column(html).to_pylist()]
-            lines = [[x for x, _ in page] for page in found]
+            found = [lines_of(h) for h in batch.column("html").to_pylist()]
+            hashes = [[digest(x) - (1 << 63) for x, _ in page] for page in found]
+            all_of = [wide(np.array(h, np.int64).tobytes()) for h in hashes]
             made = [
-                pa.array(lines, pa.list_(pa.string())),
+                pa.array([(x >> 64) - (1 << 63) for x in all_of], pa.int64()),
+                pa.array([(x & (1 << 64) - 1) - (1 << 63) for x in all_of], pa.int64()),
+                pa.array(hashes, pa.list_(pa.int64())),
                 pa.array([[m for _, m in page] for page in found], pa.list_(pa.bool_())),
-                pa.array([[digest(x) - (1 << 63) for x in page] for page in lines], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=[*keep, "lines", "main", "hashes"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=[*keep, "c1", "c2", "hashes", "main"])
 
-    return pages.select(*keep, html).mapInArrow(run, schema)
+    return keyed.where("host <> ''").select(*keep, "html").mapInArrow(run, "host string, path string, k1 long, k2 int, c1 long, c2 long, hashes array<long>, main array<boolean>")
 
 
-def partners(parsed: DataFrame) -> DataFrame:
-    """(row, partner) by nearest URL path within the host; parsed has row, page_id and url."""
-    host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
-    path = F.regexp_replace(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1), r"(/|\.html?)$", "")
-    order = ["host", "path", "page_id", "row"]
-    keyed = parsed.select(host.alias("host"), path.alias("path"), "page_id", "row").where("host <> ''")
-    ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+def partners(distinct: DataFrame, near: int = NEAR, block: int = BLOCK) -> DataFrame:
+    """(host, c1, c2, p1, p2): of the near pages to either side in order, the one of the host with the nearest path."""
+    order = ["host", "path", "c1", "c2"]
+    ranged = distinct.select(*order).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
     ranged = materialize(ranged, "page-order")
-    me = F.struct(*order)
-    # One row a partition comes here and goes back.
-    ends = sorted(ranged.groupBy("part").agg(F.min(me).alias("first"), F.max(me).alias("last")).collect(), key=lambda r: r["part"])
-    kind = ranged.select(me.alias("m")).schema["m"].dataType.simpleString()
-    edges = [(e["part"], ends[k - 1]["last"] if k else None, ends[k + 1]["first"] if k + 1 < len(ends) else None) for k, e in enumerate(ends)]
-    edges = parsed.sparkSession.createDataFrame(edges, f"part int, before {kind}, after {kind}")
-    window = Window.partitionBy("part").orderBy(*order)
-    beside = ranged.select("part", "host", "path", "row", F.lag(me).over(window).alias("l"), F.lead(me).over(window).alias("r"))
-    beside = beside.join(F.broadcast(edges), "part", "left")
-    beside = beside.select("host", "path", "row", F.coalesce("l", "before").alias("l"), F.coalesce("r", "after").alias("r"))
-    away = lambda c: F.when(F.col(f"{c}.host") == F.col("host"), F.levenshtein(F.col("path"), F.col(f"{c}.path")))
-    beside = beside.select("row", "l", "r", away("l").alias("dl"), away("r").alias("dr"))
-    nearer = F.when(F.col("dl").isNotNull() & (F.col("dr").isNull() | (F.col("dl") <= F.col("dr"))), F.col("l.row")).when(F.col("dr").isNotNull(), F.col("r.row"))
-    return beside.select("row", nearer.alias("partner")).where("partner is not null")
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))  # one row a partition
+    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    placed = ranged.withColumn("inside", inside).join(F.broadcast(starts), "part").select(*order, (F.col("start") + F.col("inside") - 1).alias("at"))
+    # Windows over blocks of the order; rows near a border are in both blocks.
+    blocks = F.array_distinct(F.array(*(F.floor((F.col("at") + d) / block) for d in (-near, 0, near))))
+    spread = placed.withColumn("own", F.floor(F.col("at") / block)).withColumn("block", F.explode(blocks))
+    beside = Window.partitionBy("block").orderBy("at").rowsBetween(-near, near)
+    listed = spread.withColumn("beside", F.collect_list(F.struct("at", "host", "path", "c1", "c2")).over(beside)).where("own = block")
+    others = F.filter("beside", lambda x: (x["host"] == F.col("host")) & (x["at"] != F.col("at")))
+    ranked = F.transform(others, lambda x: F.struct(F.levenshtein(F.col("path"), x["path"]).alias("d"), x["at"].alias("at"), x["c1"].alias("p1"), x["c2"].alias("p2")))
+    return listed.select("host", "c1", "c2", F.array_min(ranked).alias("best")).where("best is not null").select("host", "c1", "c2", "best.p1", "best.p2")
+
+
+def compare(distinct: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(host, c1, c2, independent, lines): of each page with a partner, the shared lines (place, hash, main), and whether the pair may vote."""
+    other = distinct.select("host", F.col("c1").alias("p1"), F.col("c2").alias("p2"), F.col("hashes").alias("other"))
+    joined = distinct.join(pairs, ["host", "c1", "c2"]).join(other, ["host", "p1", "p2"]).select("host", "c1", "c2", "hashes", "main", "other")
+
+    def run(batches):
+        kind = pa.list_(pa.struct([("place", pa.int32()), ("hash", pa.int64()), ("main", pa.bool_())]))
+        for batch in batches:
+            votes, lines = [], []
+            for mine, main, other in zip(*(batch.column(c).to_pylist() for c in ("hashes", "main", "other")), strict=True):
+                common = sorted(shared(mine, other))
+                votes.append(2 * len(common) < min(len(mine), len(other)))
+                lines.append([{"place": i, "hash": mine[i], "main": main[i]} for i in common])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("host", "c1", "c2")), pa.array(votes), pa.array(lines, kind)], names=["host", "c1", "c2", "independent", "lines"])
+
+    return joined.mapInArrow(run, "host string, c1 long, c2 long, independent boolean, lines array<struct<place:int,hash:long,main:boolean>>")
+
+
+def template_lines(compared: DataFrame, least: int = LEAST_VOTES) -> DataFrame:
+    """(host, hash, main): lines that at least half of a host's independent pairs have in common."""
+    free = compared.where("independent")
+    pairs = free.groupBy("host").agg(F.count("*").alias("pairs"))
+    each = free.select("host", "c1", "c2", F.explode("lines").alias("x")).select("host", "x.hash", "x.main", "c1", "c2").distinct()
+    votes = each.groupBy("host", "hash", "main").agg(F.count("*").alias("votes"))
+    enough = (F.col("votes") * 2 >= F.col("pairs")) & (~F.col("main") | (F.col("votes") >= least))
+    return votes.join(pairs, "host").where(enough).select("host", "hash", "main")
+
+
+def deletions(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((host, k1, k2, places): the lines that each page loses, for pages that lose any; what compare() found)."""
+    lines = materialize(line_hashes(keyed), "page-lines")
+    distinct = lines.where("size(hashes) > 0").groupBy("host", "c1", "c2").agg(F.min("path").alias("path"), F.first("hashes").alias("hashes"), F.first("main").alias("main"))
+    distinct = materialize(distinct, "distinct-pages")
+    compared = materialize(compare(distinct, partners(distinct)), "shared-lines")
+    shared_lines = compared.select("host", "c1", "c2", F.explode("lines").alias("x")).select("host", "c1", "c2", "x.*")
+    gone = shared_lines.join(template_lines(compared), ["host", "hash", "main"]).groupBy("host", "c1", "c2").agg(F.collect_set("place").alias("places"))
+    pages = lines.select("host", "k1", "k2", "c1", "c2").join(gone, ["host", "c1", "c2"])
+    return materialize(pages.select("host", "k1", "k2", "places").dropDuplicates(["host", "k1", "k2"]), "deletions"), compared
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) of every page."""
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    parsed = materialize(parse(rows).withColumn("row", F.monotonically_increasing_id()), "pages")
-    # Only lines outside article and main can be deleted; pages without any are whole as they are and aren't shuffled.
-    mixed = F.exists("main", lambda m: ~m)
-    pairs = partners(parsed).join(parsed.where(mixed).select("row"), "row", "left_semi")
-    others = pairs.join(parsed.select(F.col("row").alias("partner"), F.col("hashes").alias("other")), "partner").select("row", "other")
-    columns = ["page_id", "url", "lines", "main", "hashes"]
-    joined = parsed.where(mixed).join(others, "row", "left").select(*columns, "other")
-    plain = parsed.where(~mixed).select(*columns, F.lit(None).cast("array<long>").alias("other"))
-    joined = joined.union(plain)
+    """(page_id, url, text, n_chars, n_template) of every page; n_template: lines that it lost by comparison with its partner."""
+    keyed = _keyed(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")))
+    gone, _ = deletions(keyed)
+    joined = keyed.join(gone, ["host", "k1", "k2"], "left").select("page_id", "url", "html", "places")
 
     def run(batches):
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("lines", "main", "hashes", "other")]
-            texts = [" ".join(without_shared(*row)) for row in zip(*columns, strict=True)]
-            made = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *made], names=["page_id", "url", "text", "n_chars"])
-
-    kind = rows.schema["page_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long").withColumnsRenamed({"page_id": page_id, "url": url})
+            texts, lost = [], []
+            for page, places in zip(batch.column("html").to_pylist(), batch.column("places").to_pylist(), strict=True):
+                out = set(places or ())
+                texts.append(" ".join(x for i, (x, _) in enumerate(lines_of(page)) if i not in out))
+                lost.append(len(out))
+            made = [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(lost, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *made], names=["page_id", "url", "text", "n_chars", "n_template"])
+
+    kind = keyed.schema["page_id"].dataType.simpleString()
+    return joined.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long, n_template long").withColumnsRenamed({"page_id": page_id, "url": url})
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import re
+
 from sondeline.llm import html_extraction as m
 
 PAGE = """<html><head><title>t</title></head><body class="no-sidebar"><header><h1>Site</h1></header><div class="cookie-notice">Cookies</div>
@@ -39,13 +41,98 @@ def test_differencing_by_nearest_path(spark):
     assert m.extract(d.limit(0)).count() == 0
 
 
-def test_partners_do_not_depend_on_partitions(spark):
-    rows = [(k, f"http://h{k % 3}.example/p/{k * k % 50}", "<p>x</p>") for k in range(80)]
-    d = m.parse(spark.createDataFrame(rows, "page_id long, url string, html string")).selectExpr("*", "page_id AS row")
+def test_partners_are_nearest_and_do_not_depend_on_partitions(spark):
+    rows = [(f"h{k % 3}.example", f"/p/{k * k % 50}", k, -k) for k in range(80)]
+    d = spark.createDataFrame(rows, "host string, path string, c1 long, c2 long")
     seen = []
     before = spark.conf.get("spark.sql.shuffle.partitions")
-    for n in ("1", "7"):
+    for n, block in (("1", 10_000), ("7", 10_000), ("3", 20)):
         spark.conf.set("spark.sql.shuffle.partitions", n)
-        seen.append(sorted(map(tuple, m.partners(d).collect())))
+        seen.append(sorted(map(tuple, m.partners(d, block=block).collect())))
     spark.conf.set("spark.sql.shuffle.partitions", before)
-    assert seen[0] == seen[1] and len(seen[0]) == 80
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 80
+
+    def away(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            last, row[0] = row[0], i + 1
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+        return row[-1]
+
+    path = {k: (h, p) for h, p, k, _ in rows}
+    best = sum(away(path[c][1], path[o][1]) == min(away(path[c][1], p) for k, (h, p) in path.items() if k != c and h == path[c][0]) for _, c, _, o, _ in seen[0])
+    assert best >= 72  # nine in ten have the nearest of all
+
+
+def test_implied_end_tags():
+    of = lambda x: [t for t, _ in m.lines_of(x)]
+    assert of('<article><p class="ad">Buy<p>Real text one<p>two</article>') == ["Real text one", "two"]
+    assert of('<ul><li class="share">a<li>b</ul><p>body') == ["b", "body"]
+    assert of('<ul><li>x<li class="share">a<b>c</ul><p>body') == ["x", "body"]
+    assert of('<table><tr><td class="ad">a<td>b<tr><td>c</table><p class="ad"><b>Buy<p>Text') == ["b", "c", "Text"]
+    assert of('<div class="wide story-related"><p>kept</p></div><div class="has-sidebar"><p>too</p></div>') == ["kept", "too"]
+    assert of('<div class="related-posts"><p>x</div><div id="ad_3">y</div><div class="article-comments">z</div>t') == ["t"]
+
+
+def brute(pages):
+    """The rules over lists, without Spark, partners by all pairs of neighbours in order."""
+    from collections import Counter, defaultdict
+
+    lines = {k: m.lines_of(h) for k, _, h in pages}
+    where = {k: (re.match(r"\w+://([^/?#]*)([^?#]*)", u or "") or [None, "", ""]) for k, u, _ in pages}
+    hosts = defaultdict(dict)
+    for k, _, _ in pages:
+        host, path = where[k][1], re.sub(r"(/|\.html?)$", "", where[k][2])
+        if host and lines[k]:
+            key = tuple(lines[k])
+            hosts[host][key] = min(path, hosts[host].get(key, path))
+    gone = {}
+    for host, distinct in hosts.items():
+        pairs, votes, common = 0, Counter(), {}
+        for key in distinct:
+            others = [o for o in distinct if o != key]
+            if not others:
+                continue
+            a, table_of = [x for x, _ in key], {}
+            for o in others:  # in these tests all pages of a host are equally near, or one template fits all
+                table_of[o] = m.shared(list(map(hash, a)), [hash(x) for x, _ in o])
+            places = table_of[others[0]]
+            common[key] = places
+            size = lambda page: sum(len(x) for x, _ in page)
+            if 2 * sum(len(key[i][0]) for i in places) < min(size(key), size(others[0])):
+                pairs += 1
+                votes.update({key[i] for i in places})
+        gone |= {(host, key): {i for i in places if 2 * votes[key[i]] >= pairs and votes[key[i]] >= (m.LEAST_VOTES if key[i][1] else 1)} for key, places in common.items()}
+    return {k: " ".join(x for i, (x, _) in enumerate(lines[k]) if i not in gone.get((where[k][1], tuple(lines[k])), ())) for k, _, _ in pages}
+
+
+def test_template_inside_main_goes_and_shared_passages_stay(spark):
+    page = lambda body: f"<main><p>Our newspaper</p>{body}<p>Send us a letter</p></main>"
+    own = lambda k: "".join(f"<p>Paragraph {j} of story {k}</p>" for j in range(4))
+    rows = [(k, f"http://t.example/n/{k}", page(own(k))) for k in range(7)]
+    rows += [(10, "http://t.example/n/3?again", page(own(3)))]  # a copy
+    rows += [(20 + k, f"http://s.example/n/{k}", f"<article><p>A quoted passage</p>{own(20 + k)}</article>") for k in range(3)]  # three pages prove no template
+    rows += [(30 + k, f"http://near.example/n/{k}", f"<article>{own(5)}<p>Edition {k}</p></article>") for k in range(9)]  # near copies don't vote
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = {r.page_id: r for r in m.extract(d).collect()}
+    want = brute(rows)
+    assert {k: r.text for k, r in found.items()} == want
+    assert [found[k].n_template for k in (0, 10, 20, 30)] == [2, 2, 0, 0]
+    assert "Our newspaper" not in found[0].text and found[20].text.startswith("A quoted passage") and "Paragraph 3 of story 5" in found[31].text
+
+
+def test_alignment_of_long_pages_is_quick_and_right():
+    import random
+    import time
+
+    began = time.perf_counter()
+    assert len(m.shared([1] * 20_000, [1] * 15_000 + [2])) == 15_000
+    rng = random.Random(3)
+    a, b = ([rng.randrange(9) for _ in range(n)] for n in (9_000, 7_000))
+    places = sorted(m.shared(a, b))
+    assert time.perf_counter() - began < 20
+    at = -1
+    for i in places:  # a subsequence of both
+        at = b.index(a[i], at + 1)
+    assert len(places) == int(m._lengths(a, b)[-1])
