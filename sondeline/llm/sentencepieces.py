@@ -2,9 +2,9 @@
 
 The model's protobuf is parsed here, and a tokenizers pipeline of the same behaviour is built from it: normaliser, metaspace
 marker, unigram scores or byte-pair merges (rebuilt from the scores), byte fallback and decoder. Batches are encoded by
-several threads. Parity with the sentencepiece library is verified for every text when asked for: where no piece goes on
-over a space, a text's ids are those of its words in turn, so each distinct word is put to both libraries once a task, many
-in one call; other models are compared text by text.
+several threads. Parity with the sentencepiece library is verified for every text when asked for: the text's own ids are compared with
+those of that library. Where no piece goes on over a space, these are the ids that the library gives the text's words, put together in
+turn, so that it encodes each distinct word once a task (as long as WORDS of them are remembered); other models encode every text by it.
 
 Long texts are encoded in parts that begin at a single space, where the model has no piece that goes on over a space; the
 parts' ids together are then those of the whole text, and memory doesn't grow with a text's length.
@@ -36,7 +36,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MARKER = "▁"
 
 MODEL_BYTES = 64 << 20  #: a larger model isn't broadcast but refused
-THREADS, GROUP_CHARS, PART_CHARS, WORDS = 2, 1 << 19, 1 << 16, 600_000
+THREADS, GROUP_CHARS, PART_CHARS, WORDS = 2, 1 << 19, 1 << 16, 200_000
 IDS = T.ArrayType(T.IntegerType())
 
 
@@ -161,7 +161,7 @@ class Codec:
         self.place = re.compile(f"(?<=[^ {MARKER}]) (?=[^ {MARKER}])")
         self._reference = None
         self.word = re.compile(" +[^ ]*")
-        self.same: set[str] = set()
+        self.ids_of: dict[str, tuple[int, ...]] = {}  #: sentencepiece's ids of words, each with its leading spaces
 
     def parts(self, text: str) -> list[str]:
         if not self.cut or len(text) <= PART_CHARS:
@@ -188,24 +188,20 @@ class Codec:
         if not self.cut:
             return [x == y for x, y in zip(self.reference(texts), ids, strict=True)]
         words = [self.word.findall(" " + t.replace(MARKER, " ")) if t else [] for t in texts]
-        new = set().union(*words) - self.same
-        wrong = self._differing(sorted(new))
-        if len(self.same) > WORDS:
-            self.same.clear()
-        self.same |= new - wrong
-        return [not wrong or wrong.isdisjoint(w) for w in words]
-
-    def _differing(self, words: list[str]) -> set[str]:
-        """Words, each with its leading spaces, to which the libraries give different ids; halves are searched where a whole differs."""
-        if not words:
-            return set()
-        text = ["".join(words)[1:]]
-        if self.encode(text) == self.reference(text):
-            return set()
-        if len(words) == 1:
-            return set(words)
-        half = len(words) // 2
-        return self._differing(words[:half]) | self._differing(words[half:])
+        if len(self.ids_of) > WORDS:
+            self.ids_of.clear()
+        self._learn(sorted(set().union(*words) - self.ids_of.keys()))
+        return [list(chain.from_iterable(map(self.ids_of.__getitem__, w))) == x for w, x in zip(words, ids, strict=True)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Have the sentencepiece library encode words; its dummy prefix stands for the first space, and spaces alone stand after a letter."""
+        plain = [w for w in words if not w.isspace()]
+        for w, ids in zip(plain, self.reference([w[1:] for w in plain]), strict=True):
+            self.ids_of[w] = tuple(ids)
+        spaces = [w for w in words if w.isspace() and w not in self.ids_of]
+        if spaces:
+            letter, *after = self.reference(["a", *("a" + w for w in spaces)])
+            self.ids_of |= {w: tuple(ids[len(letter) :]) for w, ids in zip(spaces, after, strict=True)}
 
     def _joined(self, texts, encode) -> list[list[int]]:
         parts = [self.parts(t) for t in texts]

@@ -71,7 +71,19 @@ def test_differing_words_are_found(monkeypatch):
     texts = ["good words here", "one odd word", "", "odd", "x  y"]
     ids = codec.encode(texts)
     assert codec.parity(texts, ids) == [True] * 5
-    codec.same.clear()
+    codec.ids_of.clear()
     right = codec.reference
     monkeypatch.setattr(codec, "reference", lambda t: [[-1] if "odd" in x else y for x, y in zip(t, right(t), strict=True)])
     assert codec.parity(texts, ids) == [True, False, True, False, True]
+
+
+def test_parity_is_of_each_rows_own_ids():
+    codec = m.Codec(open(m.default_model(), "rb").read())
+    assert codec.cut and codec.parity(["the same words", ""], [[1, 2, 3], []]) == [False, True]
+    texts = [t or "" for t in TEXTS]
+    ids = codec.encode(texts)
+    assert all(codec.parity(texts, ids))
+    for k, row in enumerate(ids):
+        if row:  # one id of one row is wrong, or lost
+            for bad in (row[:-1], [*row[:-1], row[-1] + 1]):
+                assert codec.parity(texts, [*ids[:k], bad, *ids[k + 1 :]]) == [i != k for i in range(len(ids))]
