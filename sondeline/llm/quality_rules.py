@@ -2,11 +2,16 @@
 
 Every document is measured by rules; rule failures are summed by host (the column `source`, or any other), each
 host's failure rate of each rule is shrunk towards the rate of all hosts by a beta prior that is fitted to the hosts'
-rates by their moments, and the host's verdict goes back to its documents. A host is rejected where the shrunk rate of a
-rule less Z posterior standard deviations still exceeds HOST_LIMIT, so that small hosts and chance don't condemn clean documents.
+rates by their moments, and the host's verdict goes back to its documents. The base rules always count. For the others the host decides:
 
-Defined results: a null or empty text has no words and fails the base rule; a null host is judged by its documents' own
-rules only; repeated rows count as often as they occur; an empty table gives no rows; other columns aren't looked at.
+* A host is rejected, with all its documents, where the shrunk rate of a rule less Z posterior standard deviations still
+  exceeds HOST_LIMIT, so that small hosts and chance don't condemn clean documents.
+* A host is trusted in one of SOFT where the shrunk rate and Z deviations stay below TRUST: a document that breaks the rule
+  there is an oddity among clean ones (a formula, a table) and stays. In every other host such a document goes.
+
+Defined results: a null or empty text has no words and fails the base rule; a null host is neither rejected nor trusted;
+repeated rows count as often as they occur; an empty table gives no rows; other columns pass, but for those named as
+an added one (ADDED), which are replaced.
 """
 
 from __future__ import annotations
@@ -21,13 +26,15 @@ from .common import append_columns, materialize, table, texts_of
 
 WINDOW, LEAST_WORDS, REPEAT_PERCENT = 8, 20, 30
 SYMBOL_PERCENT, DUP_LINE_PERCENT = 10, 30
-HOST_LIMIT, Z = 0.5, 3.0
+HOST_LIMIT, TRUST, Z = 0.5, 0.02, 3.0
 #: Hosts up to this number are broadcast (some MB at most); beyond it they are joined with salted keys.
 BROADCAST_HOSTS, SALTS = 50_000, 64
 SYMBOLS = b"#*$%&|<>"
 NOT_COUNTED = bytes([9, 10, 11, 12, 13, 32, *range(0x80, 0xC0)])  # white space and UTF-8 continuation bytes
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 RULES = ("short", "repetitive", "symbols", "dup_lines")
+SOFT = ("symbols", "dup_lines")
+ADDED = (*MEASURES, *(f"fails_{r}" for r in RULES), "base_failed", "host_ok", *(f"trusted_{r}" for r in SOFT), "kept")
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -54,10 +61,10 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return int((np.cumsum(change[:-1]) > 0).sum())
 
 
-def measure(text: bytes | None) -> tuple[int, int, int, int, int]:
+def measure(text: bytes | None) -> tuple[int, ...]:
     """MEASURES of one text. bytes.split() splits at exactly the six ASCII white space characters."""
     if not text:
-        return 0, 0, 0, 0, 0
+        return (0,) * len(MEASURES)
     words = text.split()
     lines = [x for x in text.split(b"\n") if x and not x.isspace()]
     return (
@@ -66,6 +73,7 @@ def measure(text: bytes | None) -> tuple[int, int, int, int, int]:
         len(text) - len(text.translate(None, SYMBOLS)),
         len(lines) - len(set(lines)),
         repeated_words(words),
+        len(lines),
     )
 
 
@@ -92,14 +100,14 @@ def rules(measured: DataFrame) -> DataFrame:
             "fails_short": short,
             "fails_repetitive": repetitive,
             "fails_symbols": F.col("n_symbols") * 100 > F.col("word_chars") * SYMBOL_PERCENT,
-            "fails_dup_lines": F.col("n_dup_lines") * 100 > F.col("n_words") * DUP_LINE_PERCENT,
+            "fails_dup_lines": F.col("n_dup_lines") * 100 > F.col("n_lines") * DUP_LINE_PERCENT,
             "base_failed": short | repetitive,
         }
     )
 
 
 def host_verdicts(ruled: DataFrame, host: str = "source") -> DataFrame:
-    """One row per host: documents, failures and shrunk rates of each rule, and host_ok. A fixed number of columns goes to one row for the prior."""
+    """One row per host: documents, failures and shrunk rates of each rule, host_ok and trusted_<rule>. A fixed number of columns goes to one row for the prior."""
     counts = (
         ruled.where(F.col(host).isNotNull())
         .groupBy(F.col(host).alias("host"))
@@ -125,32 +133,40 @@ def host_verdicts(ruled: DataFrame, host: str = "source") -> DataFrame:
         deviation = F.sqrt(rate * (1 - rate) / (F.col("host_docs") + strength + 1))
         out = out.withColumn(f"shrunk_{r}", rate)
         ok = ok & (rate - deviation * Z <= HOST_LIMIT)
+        if r in SOFT:
+            out = out.withColumn(f"trusted_{r}", rate + deviation * Z < TRUST)
     shrunk = [f"shrunk_{r}" for r in RULES]
-    return out.withColumn("host_ok", ok).select("host", "host_docs", *(f"host_{r}" for r in RULES), *shrunk, "host_ok")
+    return out.withColumn("host_ok", ok).select("host", "host_docs", *(f"host_{r}" for r in RULES), *shrunk, "host_ok", *(f"trusted_{r}" for r in SOFT))
 
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", keep_text: bool = True) -> DataFrame:
-    """Add MEASURES, fails_<rule>, base_failed, host_ok and kept to every document.
+    """Add ADDED to every document.
 
     With keep_text the texts are measured twice, once for the hosts' sums; without, measures are written and read again.
     """
+    docs = docs.withColumn("__host", F.col(host)).drop(*(c for c in ADDED if c != text))
     ruled = rules(measures(docs, text, keep_text))
     if not keep_text:
         ruled = materialize(ruled, "quality-measures")
-    verdicts = materialize(host_verdicts(ruled, host), "host-verdicts").select("host", "host_ok")
+    given = ["host_ok", *(f"trusted_{r}" for r in SOFT)]
+    verdicts = materialize(host_verdicts(ruled, "__host"), "host-verdicts").select(F.col("host").alias("__of"), *given)
     if verdicts.count() <= BROADCAST_HOSTS:
-        joined = ruled.join(F.broadcast(verdicts), F.col(host) == F.col("host"), "left")
+        joined = ruled.join(F.broadcast(verdicts), F.col("__host") == F.col("__of"), "left")
     else:
-        salted = verdicts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        left = ruled.withColumn("_salt0", F.pmod(F.xxhash64(*(c for c in ruled.columns if c != text)), F.lit(SALTS)).cast("int"))
-        joined = left.join(salted, (F.col(host) == F.col("host")) & (F.col("_salt0") == F.col("_salt")), "left").drop("_salt", "_salt0")
-    joined = joined.withColumn("host_ok", F.coalesce("host_ok", F.lit(True))).drop("host")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.col("host_ok"))
+        salted = verdicts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        left = ruled.withColumn("__salt0", F.pmod(F.xxhash64(*MEASURES), F.lit(SALTS)).cast("int"))
+        joined = left.join(salted, (F.col("__host") == F.col("__of")) & (F.col("__salt0") == F.col("__salt")), "left").drop("__salt", "__salt0")
+    joined = joined.withColumn("host_ok", F.coalesce("host_ok", F.lit(True)))
+    kept = ~F.col("base_failed") & F.col("host_ok")
+    for r in SOFT:
+        joined = joined.withColumn(f"trusted_{r}", F.coalesce(f"trusted_{r}", F.lit(False)))
+        kept = kept & (~F.col(f"fails_{r}") | F.col(f"trusted_{r}"))
+    return joined.withColumn("kept", kept).drop("__host", "__of")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     found = judge(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep_text=False)
-    return found.select("doc_id", *MEASURES, "base_failed", "host_ok", "kept")
+    return found.select("doc_id", *MEASURES, "base_failed", "host_ok", *(f"trusted_{r}" for r in SOFT), "kept")
 
 
 def _sql() -> str:
@@ -167,11 +183,11 @@ measured AS (
     CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
     CAST(length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(list_filter(l, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) - len(list_distinct(list_filter(l, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))) AS BIGINT) AS n_dup_lines,
-    CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+    CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, CAST(len(list_filter(l, lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) AS BIGINT) AS n_lines
   FROM words LEFT JOIN repeated USING (doc_id)),
 ruled AS (
   SELECT *, n_words < {LEAST_WORDS} AS fails_short, n_repeat_words * 100 > n_words * {REPEAT_PERCENT} AS fails_repetitive,
-    n_symbols * 100 > word_chars * {SYMBOL_PERCENT} AS fails_symbols, n_dup_lines * 100 > n_words * {DUP_LINE_PERCENT} AS fails_dup_lines
+    n_symbols * 100 > word_chars * {SYMBOL_PERCENT} AS fails_symbols, n_dup_lines * 100 > n_lines * {DUP_LINE_PERCENT} AS fails_dup_lines
   FROM measured),
 hosts AS (
   SELECT source AS host, count(*)::DOUBLE AS docs, {", ".join(f"sum(fails_{r}::INT)::DOUBLE AS f_{r}" for r in RULES)}
@@ -184,10 +200,12 @@ strong AS (
   FROM hosts, prior),
 shrunk AS (SELECT *, {", ".join(f"(f_{r} + m_{r} * k_{r}) / (docs + k_{r}) AS p_{r}" for r in RULES)} FROM strong),
 verdicts AS (
-  SELECT host, {" AND ".join(f"p_{r} - {Z:g} * sqrt(p_{r} * (1 - p_{r}) / (docs + k_{r} + 1)) <= {HOST_LIMIT:g}" for r in RULES)} AS host_ok FROM shrunk)"""
+  SELECT host, {" AND ".join(f"p_{r} - {Z:g} * sqrt(p_{r} * (1 - p_{r}) / (docs + k_{r} + 1)) <= {HOST_LIMIT:g}" for r in RULES)} AS host_ok,
+    {", ".join(f"p_{r} + {Z:g} * sqrt(p_{r} * (1 - p_{r}) / (docs + k_{r} + 1)) < {TRUST:g} AS t_{r}" for r in SOFT)} FROM shrunk)"""
     return f"""WITH {measured}
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fails_short OR fails_repetitive AS base_failed,
-  coalesce(host_ok, true) AS host_ok, NOT (fails_short OR fails_repetitive) AND coalesce(host_ok, true) AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, fails_short OR fails_repetitive AS base_failed,
+  coalesce(host_ok, true) AS host_ok, {", ".join(f"coalesce(t_{r}, false) AS trusted_{r}" for r in SOFT)},
+  NOT (fails_short OR fails_repetitive) AND coalesce(host_ok, true) AND {" AND ".join(f"(NOT fails_{r} OR coalesce(t_{r}, false))" for r in SOFT)} AS kept
 FROM ruled LEFT JOIN verdicts ON source = host"""
 
 

@@ -19,8 +19,8 @@ def test_repeated_words_equal_brute_force():
 
 def test_measures():
     text = "Ab é#1\n\nx y $\nAb é#1\n \nAb é#1"
-    assert m.measure(text.encode()) == (8, 2 + 3 + 3 + 1 + 2 + 3 + 2 + 3, 4, 2, 0)
-    assert m.measure(None) == m.measure(b"") == (0, 0, 0, 0, 0)
+    assert m.measure(text.encode()) == (8, 2 + 3 + 3 + 1 + 2 + 3 + 2 + 3, 4, 2, 0, 4)
+    assert m.measure(None) == m.measure(b"") == (0, 0, 0, 0, 0, 0)
 
 
 def test_verdicts(spark):
@@ -38,3 +38,29 @@ def test_verdicts(spark):
         assert {r.doc_id: (r.base_failed, r.host_ok, r.kept) for r in m.judge(d, keep_text=False).collect()} == got
     finally:
         m.BROADCAST_HOSTS = m_before
+
+
+def test_hosts_decide_whether_soft_rules_count(spark):
+    fine, odd, lines = (" ".join(f"w{k}" for k in range(40)), " ".join(f"w{k}###" for k in range(40)), "\n".join(["one two three"] * 2 + [f"a b c d {k}" for k in range(4)]))
+    rows = [(k, "trusted", odd if k < 3 else lines if k == 5 else fine) for k in range(4000)]
+    rows += [(5000 + k, "junky", odd if k % 3 == 0 else fine) for k in range(300)] + [(6000, None, odd), (6001, "new", odd), (6002, "new", fine)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: r for r in m.judge(d, keep_text=False).collect()}
+    assert got[0].fails_symbols and got[0].trusted_symbols and got[0].kept  # an oddity of a clean host
+    assert not got[5].fails_dup_lines and got[5].kept  # one line in six
+    assert [got[k].kept for k in (5000, 5001, 6000, 6001, 6002)] == [False, True, False, False, True]
+    assert got[5001].host_ok and not got[5000].base_failed
+
+
+def test_clashing_and_other_columns(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    schema = "doc_id long, source string, text string, host string, host_ok string, _salt int, kept int, extra map<string,int>"
+    d = spark.createDataFrame([(1, "a", text, "mine", "x", 7, 9, {"k": 1})], schema)
+    for limit in (m.BROADCAST_HOSTS, 0):
+        before, m.BROADCAST_HOSTS = m.BROADCAST_HOSTS, limit
+        try:
+            row = m.judge(d).first()
+        finally:
+            m.BROADCAST_HOSTS = before
+        assert (row.host, row._salt, row.extra, row.host_ok, row.kept, row.text) == ("mine", 7, {"k": 1}, True, True, text)
+    assert m.judge(d, host="host").first().kept
