@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple[SparkSession, str, str | None]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,18 +27,40 @@ def delete(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def written_tables() -> int:
+    return len(_written)
+
+
+def release(since: int = 0, keep: tuple[DataFrame, ...] = ()) -> int:
+    """Delete what was written after the first `since` tables, but for those that `keep` reads; the number of tables then left.
+
+    Only for callers that know that nothing else reads these tables any more.
+    """
+    files = [f for df in keep for f in df.inputFiles()]
+    stay = _written[:since]
+    for spark, path, table in _written[since:]:
+        if any(f"/{path.rsplit('/', 1)[1]}/" in f for f in files):
+            stay.append((spark, path, table))
+            continue
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        delete(spark, path)
+    _written[:] = stay
+    return len(_written)
+
+
 @atexit.register
 def _drop_written() -> None:
-    for spark, path in _written:
-        try:
-            delete(spark, path)
-        except Exception:  # noqa: BLE001  the session has gone, and with it whoever could read the table
-            return
+    try:
+        release()
+    except Exception:  # noqa: BLE001  the session has gone, and with it whoever could read the tables
+        return
 
 
-def new_path(spark: SparkSession, tag: str) -> str:
+def new_path(spark: SparkSession, tag: str, table: str | None = None) -> str:
+    """A path that is deleted at the end of the process, with the catalog's table of that name."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    _written.append((spark, path, table))
     return path
 
 
