@@ -2,64 +2,40 @@
 
 from __future__ import annotations
 
-import atexit
-import itertools
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.staging import new_path, release, written, written_tables  # noqa: F401
+
 #: Lower-cases A-Z, keeps digits, a-z and every byte of a non-ASCII character, and turns the rest into spaces.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
-BATCH_BYTES = 8 << 20
-
-_written: list[tuple[SparkSession, str]] = []
-_serial = itertools.count()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that setting is absent (tests, local mode)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sondeline-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
-
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 4000
 
-def _drop_written() -> None:
-    for spark, path in _written:
-        try:
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # noqa: BLE001  the session has gone, and with it whoever could read the table
-            return
+#: Write to the shared folder and read back: cuts the lineage, survives lost executors, gives the planner real sizes.
+materialize = written
 
 
-atexit.register(_drop_written)
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    path = f"{shared_dir(spark)}/{tag}-{next(_serial)}-{uuid.uuid4().hex[:12]}"
-    _written.append((spark, path))
-    return path
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage, survives lost executors, gives the planner real sizes."""
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches are cut by bytes as well, so that very long texts don't add up in a Python worker. Smaller settings of the session stay."""
+    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        found = spark.conf.get(f"spark.sql.execution.arrow.{name}", None) or ""
+        if not found.isdigit() or not 0 < int(found) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches are cut by bytes as well, so that very long texts don't add up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it differ from every column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,10 +52,10 @@ def texts_of(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def append_columns(df: DataFrame, source: str, fields: list[T.StructField], make, drop: tuple[str, ...] = ()) -> DataFrame:
+def append_columns(df: DataFrame, source: str, fields: list[T.StructField], make, drop: tuple[str, ...] = (), more: tuple[str, ...] = ()) -> DataFrame:
     """Append columns computed from one text column, Arrow batch by Arrow batch.
 
-    make() is called once a task and returns a function from the column (pa.Array) to one Arrow array per field.
+    make() is called once a task and returns a function from the column, and those of `more` (pa.Array), to one Arrow array per field.
     Other columns pass through as they are, without a shuffle; an existing column of a new name is replaced.
     """
     small_batches(df.sparkSession)
@@ -91,7 +67,7 @@ def append_columns(df: DataFrame, source: str, fields: list[T.StructField], make
     def run(batches):
         work = make()
         for batch in batches:
-            made = work(batch.column(source)) if batch.num_rows else None
+            made = work(batch.column(source), *(batch.column(c) for c in more)) if batch.num_rows else None
             if made is not None:
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), *made], names=names)
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BYTES, append_columns, materialize, texts_of
+from .common import WORD_BYTES, append_columns, fresh, materialize, texts_of
 
 WINDOW = 13
 SHARD_WORDS = 200_000
@@ -160,18 +160,22 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", window
         T.StructField("hit_items", T.ArrayType(T.StringType())),
     ]
     out = docs
+    spans_so_far, items_so_far = fresh(docs, "_spans", "_items")
     for k, (shard, last) in enumerate(_with_last(_shards(benchmark, shard_words))):
         if k:
-            out = materialize(out.withColumnsRenamed({"hit_spans": "_spans", "hit_items": "_items"}), "decontaminate")
+            out = materialize(out.withColumnsRenamed({"hit_spans": spans_so_far, "hit_items": items_so_far}), "decontaminate")
         automaton = spark.sparkContext.broadcast(Automaton(shard, window))
 
         def make(automaton=automaton):
-            def work(column: pa.Array) -> list[pa.Array]:
+            def work(column: pa.Array, *before: pa.Array) -> list[pa.Array]:
                 found = automaton.value
                 n_words, spans, items = [], [], []
-                for t in texts_of(column):
+                for row, t in enumerate(texts_of(column)):
                     words = words_of(t)
                     s, i = found.scan(words)
+                    if before:
+                        s += [(x["start"], x["end"]) for x in before[0][row].as_py()]
+                        i.update(before[1][row].as_py())
                     n_words.append(len(words))
                     spans.append([{"start": a, "end": b} for a, b in united(s)])
                     items.append(sorted(i))
@@ -179,10 +183,8 @@ def find_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", window
 
             return work
 
-        out = append_columns(out, text, fields, make, drop=() if keep_text or not last else (text,))
-        if k:
-            merge = F.udf(lambda a, b: [(x[0], x[1]) for x in united([(r["start"], r["end"]) for r in [*a, *b]])], SPANS)
-            out = out.withColumns({"hit_spans": merge("_spans", "hit_spans"), "hit_items": F.array_sort(F.array_union("_items", "hit_items"))}).drop("_spans", "_items")
+        before = (spans_so_far, items_so_far) if k else ()
+        out = append_columns(out, text, fields, make, drop=() if keep_text or not last else (text,), more=before).drop(*before)
     hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return out.withColumn("n_hit", hit)
 
@@ -208,30 +210,35 @@ def cut_spans(found: DataFrame, text: str = "text", least_words: int = WINDOW) -
 
     word = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
-    def cut(t, spans):
+    def cut(raw: bytes | None, spans) -> str | None:
         spans = [(s["start"], s["end"]) for s in spans or () if s["end"] - s["start"] >= least_words]
-        if not spans or not t:
-            return t
-        raw = t.encode()
+        if not spans or not raw:
+            return None if raw is None else raw.decode("utf-8", "replace")
         at = [m.span() for m in word.finditer(raw)]
         kept, done = [], 0
         for a, b in spans:
             kept.append(raw[done : at[a][0]])
             done = at[b - 1][1]
-        return b"".join([*kept, raw[done:]]).decode()
+        return b"".join([*kept, raw[done:]]).decode("utf-8", "replace")
+
+    def make():
+        return lambda column, spans: [pa.array([cut(t, s) for t, s in zip(texts_of(column), spans.to_pylist(), strict=True)], pa.string())]
 
-    return found.withColumn(text, F.udf(cut, T.StringType())(F.col(text), F.col("hit_spans")))
+    return append_columns(found, text, [T.StructField(text, T.StringType())], make, more=("hit_spans",))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, per_word: int = 20, least_words: int | None = None) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, per_word: int = 20, least_words: int | None = None, n_chars: str | None = "n_chars") -> DataFrame:
     """Drop documents beyond the coverage limit; with least_words, also cut spans of that length out of the others.
 
-    Returns the columns of docs.
+    Returns the columns of docs, with n_chars set anew, where there is one, for texts that lose a span.
     """
-    aside = {c: f"_own_{c}" for c in docs.columns if c in ADDED}
+    aside = {c: f for c, f in zip(ADDED, fresh(docs, *(f"_own_{c}" for c in ADDED)), strict=True) if c in docs.columns}
     found = find_spans(docs.withColumnsRenamed(aside), benchmark, text, window).where(~contaminated(per_word=per_word))
     if least_words is not None:
         found = cut_spans(found, text, least_words)
+        if n_chars in docs.columns and n_chars != text:
+            lost = F.exists("hit_spans", lambda s: s["end"] - s["start"] >= least_words)
+            found = found.withColumn(n_chars, F.when(lost, F.length(text)).otherwise(F.col(n_chars)).cast(docs.schema[n_chars].dataType))
     return found.drop(*ADDED).withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
 
 

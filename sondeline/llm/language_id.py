@@ -5,13 +5,13 @@ dictionary, and the language in whose dictionary it becomes smallest is chosen.
 bytes, each with the dictionary anew, for otherwise a text's own beginning takes the dictionary's place. Where the two
 smallest sizes lie closer than MARGIN of the text's own size, the choice is marked as rejected.
 
-A dictionary is made of at most DICTIONARY bytes of whole documents, chosen by a hash of doc_id among documents of at
-most DICTIONARY // 8 bytes, for at most LANGUAGES languages, those with most documents; so the broadcast is bounded by
-LANGUAGES * DICTIONARY bytes. Every text is encoded whole.
+A language's dictionary is made of at most DICTIONARY bytes, and all together of at most ALL_BYTES, which is what is broadcast: pieces of
+distinct documents chosen by a hash, each a whole text or, of one longer than an eighth of the dictionary, a part that begins where a hash says.
+So a language that has long texts only, or few, is learned like any other. More than LANGUAGES languages are refused. Every text is encoded whole.
 
 Defined results: `und` with score 0 for a null text and for one without a letter, and everywhere if nothing can be
 learned; the language with more documents wins a tie, then the name; null languages and ids aren't learned from; repeated
-rows are answered alike; an empty table gives no rows; other columns pass.
+rows are learned once and answered alike; an empty table gives no rows; other columns pass, but for those named as an added one.
 """
 
 from __future__ import annotations
@@ -24,38 +24,36 @@ from pyspark.sql import types as T
 
 from .common import append_columns, held_out, table, texts_of
 
-DICTIONARY, PIECE, LANGUAGES, LEVEL = 100 << 10, 16 << 10, 200, 6
+DICTIONARY, ALL_BYTES, PIECE, LANGUAGES, LEVEL = 100 << 10, 20 << 20, 16 << 10, 2000, 6
 SAMPLE = 400  #: documents of a language at most
 MARGIN = 0.01
 
 
 def learn(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", where: Column | None = None) -> list[tuple[str, bytes]]:
     """Dictionaries of each language, those with most documents first."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & F.col(text).isNotNull())
+    rows = docs.where(F.col(lang).isNotNull() & F.col(doc_id).isNotNull() & (F.octet_length(text) > 0))
     rows = rows.where(where) if where is not None else rows
-    rows = rows.select(F.col(lang).alias("lang"), F.col(doc_id).alias("id"), F.xxhash64(doc_id).alias("h"), F.octet_length(text).alias("n"))
-    counted = [(r["lang"], r["count"]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    rows = rows.select(F.col(lang).alias("lang"), F.xxhash64(doc_id, text).alias("h"), F.col(text).cast("binary").alias("t"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("d")).orderBy(F.desc("n"), "lang")
+    counted = counts.limit(LANGUAGES + 1).collect()
     if not counted:
         return []
-    named = [name for name, _ in counted]
-    # A hash below a language's share leaves a few times SAMPLE rows of it, however many it has.
-    shares = docs.sparkSession.createDataFrame([(name, 4.0 * SAMPLE / n) for name, n in counted], "_lang string, _share double")
-    few = rows.where((F.col("n") > 0) & (F.col("n") <= DICTIONARY // 8)).join(F.broadcast(shares), F.col("lang") == F.col("_lang"))
-    few = few.where(F.pmod("h", F.lit(1 << 40)) < F.col("_share") * (1 << 40))
-    ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("r") <= SAMPLE)
-    chosen = ranked.select("lang", "h", "id", F.sum("n").over(Window.partitionBy("lang").orderBy("r")).alias("total"))
-    chosen = chosen.where(F.col("total") <= DICTIONARY).select(F.col("lang").alias("_lang"), F.col("id").alias("_id"), "h")
-    found = docs.join(F.broadcast(chosen), (F.col(doc_id) == F.col("_id")) & (F.col(lang) == F.col("_lang")))
-    texts: dict[str, list] = {name: [] for name in named}
-    for r in found.select("_lang", "h", "_id", F.col(text).cast("binary").alias("t")).collect():
-        if r["t"] is not None and len(r["t"]) <= DICTIONARY // 8:
-            texts[r["_lang"]].append((r["h"], r["_id"], bytes(r["t"])))
-    out = []
-    for name in named:
-        kept = [t.decode("utf-8", "replace").lower().encode() for _, _, t in sorted(texts[name])]
-        if kept:
-            out.append((name, b"\n".join(kept)))
-    return out
+    if len(counted) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    most = min(DICTIONARY, ALL_BYTES // len(counted))
+    # A hash below a language's share leaves a few times SAMPLE distinct documents of it, however many it has.
+    shares = docs.sparkSession.createDataFrame([(r["lang"], 4.0 * SAMPLE / max(r["d"], 1)) for r in counted], "_lang string, _share double")
+    few = rows.join(F.broadcast(shares), F.col("lang") == F.col("_lang")).where(F.pmod("h", F.lit(1 << 40)) < F.col("_share") * (1 << 40))
+    size, piece = F.octet_length("t"), most // 8
+    begin = F.pmod(F.xxhash64("h"), F.greatest(size - piece, F.lit(0)) + 1).cast("int")
+    few = few.select("lang", "h", F.substring(F.col("t"), begin + 1, F.lit(piece)).alias("t")).groupBy("lang", "h").agg(F.min("t").alias("t"))
+    order = Window.partitionBy("lang").orderBy("h")
+    ranked = few.select("lang", "h", "t", F.row_number().over(order).alias("r"), F.sum(F.octet_length("t") + 1).over(order).alias("total"))
+    texts: dict[str, list] = {}
+    for r in ranked.where((F.col("r") <= SAMPLE) & (F.col("total") <= most)).select("lang", "h", "t").collect():  # at most ALL_BYTES
+        texts.setdefault(r["lang"], []).append((r["h"], bytes(r["t"])))
+    named = [r["lang"] for r in counted if r["lang"] in texts]
+    return [(name, b"\n".join(t.decode("utf-8", "ignore").lower().encode() for _, t in sorted(texts[name]))) for name in named]
 
 
 class Identifier:

@@ -4,12 +4,12 @@ A text's terms are its byte bigrams, in TERMS cells, and three terms of repetiti
 and lines that occurred before), which weigh REPETITION times. Counts become log(1 + count) times the inverse
 document frequency over all documents, and are projected on the first RANK right singular vectors of the labelled
 documents' matrix. The labelled vectors are broadcast - at most SAMPLE of them, chosen by a hash of doc_id, so BROADCAST_BYTES at
-most - and exact cosines of every document with all of them are computed in blocks. The NEAREST neighbours vote, each
-weighing its cosine to the power of SHARPNESS.
+most - and exact cosines of every document with all of them are computed in blocks. The NEAREST neighbours vote, and with them
+all that are as near as the last of these (within TIE), each weighing its cosine to the power of SHARPNESS.
 
 Defined results: a null text and one of fewer than two bytes scores 0; without a labelled document every score is 0;
-of a doc_id labelled both ways the low label counts; null labels and ids are ignored; repeated rows score alike; an
-empty table gives no rows; other columns pass.
+of a doc_id labelled both ways the low label counts; null labels and ids are ignored; of repeated labelled ids one text is learned; repeated rows score alike; an
+empty table gives no rows; other columns pass, but for those named as an added one.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .common import append_columns, held_out, small_batches, table, texts_of
 
 TERMS, REPETITION, RANK, SAMPLE = 4096, 3.0, 64, 4096
-NEAREST, SHARPNESS, BLOCK, LIMIT = 31, 32, 256, 0.7
+NEAREST, SHARPNESS, BLOCK, LIMIT, TIE = 31, 32, 256, 0.7, 1e-6
 WIDTH = TERMS + 3
 BROADCAST_BYTES = 4 * (WIDTH * (RANK + 1) + SAMPLE * (RANK + 1))
 
@@ -92,10 +92,12 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     rows = rows.where(where) if where is not None else rows
     rows = rows.groupBy(F.col(doc_id).alias("_id")).agg(F.min(label).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     chosen = spark.createDataFrame([(r["_id"], r["_y"]) for r in rows.collect()], f"_id {dict(labels.dtypes)[doc_id]}, _y int")
-    got = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("text", "_y").mapInArrow(_measured, "y int, x binary").toArrow()
+    # One text an id, so that at most `sample` rows of a few KB come to the driver however often an id is repeated.
+    labelled = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).groupBy("_id").agg(F.min("_y").alias("_y"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = labelled.select("text", "_y").mapInArrow(_measured, "y int, x binary").toArrow()
     if not got.num_rows:
         return None
-    rows = sorted(zip(got.column("x").to_pylist(), got.column("y").to_pylist(), strict=True))[: 2 * sample]  # repeated rows come twice
+    rows = sorted(zip(got.column("x").to_pylist(), got.column("y").to_pylist(), strict=True))
     x = np.array([np.frombuffer(r, np.float16) for r, _ in rows]).astype(np.float32) * weights
     y = np.array([y for _, y in rows], np.float32)
     x = _unit(x)
@@ -112,10 +114,11 @@ def vote(model: Model, texts: list[bytes | None]) -> np.ndarray:
     x = _logs(texts) * model.weights
     cosines = _unit(x @ model.basis) @ model.vectors.T
     k = min(NEAREST, len(model.labels))
-    near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-    weight = np.maximum(np.take_along_axis(cosines, near, 1), 0).astype(np.float64) ** SHARPNESS
-    total = weight.sum(1)
-    scores = (weight * model.labels[near]).sum(1) / np.maximum(total, 1e-300)
+    last = -np.partition(-cosines, k - 1, axis=1)[:, k - 1 : k]
+    row, near = np.nonzero((cosines >= last - TIE) & (cosines > 0))
+    weight = cosines[row, near].astype(np.float64) ** SHARPNESS
+    total = np.bincount(row, weight, len(texts))
+    scores = np.bincount(row, weight * model.labels[near], len(texts)) / np.maximum(total, 1e-300)
     return np.where((total > 0) & x.any(1), np.clip(scores, 0, 1), 0.0)
 
 

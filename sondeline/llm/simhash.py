@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, materialize, small_batches, table, texts_of
+from .common import append_columns, fresh, materialize, small_batches, table, texts_of
 from .components import components
 
 SHINGLE, SEED, SMALL = 3, 42, 512
@@ -189,16 +189,18 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
     # A doc_id, null too, may stand on rows of several components: ids alone don't tell which of them a row belongs to.
     found = materialize(found.groupBy("_stay", "_k1", "_k2", "component").agg(F.count("*").alias("_rows")), "near-duplicates")
     many = found.groupBy("component").agg(F.sum("_rows").alias("_n"))
-    stay = materialize(found.join(many, "component").select("_stay", "_k1", "_k2", F.col("component").alias("_c"), "_n"), "stay")
-    same = F.col(doc_id).eqNullSafe(F.col("_stay")) & (F.xxhash64(text) == F.col("_k1")) & (F.hash(text) == F.col("_k2"))
+    stay_id, k1, k2, component, n = fresh(docs, "_stay", "_k1", "_k2", "_c", "_n")
+    stay = found.join(many, "component").select(F.col("_stay").alias(stay_id), F.col("_k1").alias(k1), F.col("_k2").alias(k2), F.col("component").alias(component), F.col("_n").alias(n))
+    stay = materialize(stay, "stay")
+    same = F.col(doc_id).eqNullSafe(F.col(stay_id)) & (F.xxhash64(text) == F.col(k1)) & (F.hash(text) == F.col(k2))
     kept = docs.join(stay, same)
-    once = kept.where("_n = 1").select(*docs.columns)
-    if stay.where("_n > 1").isEmpty():
+    once = kept.where(F.col(n) == 1).select(*docs.columns)
+    if stay.where(F.col(n) > 1).isEmpty():
         return once
-    # Several rows of the least doc_id in one component: the one with the least text stays.
-    again = kept.where("_n > 1").select("_c", F.col(text).alias("t"), F.struct(*docs.columns).alias("row"))
-    first = again.groupBy("_c").agg(F.min(F.struct("t", "row")).alias("first"))
-    return once.union(first.select("first.row.*"))
+    # Several rows of the least doc_id in one component: the one with the least text stays. Maps can't be ordered, so a row goes as it is.
+    again = kept.where(F.col(n) > 1).select(F.col(component).alias("c"), F.col(text).alias("t"), F.struct(*docs.columns).alias("row"))
+    first = again.groupBy("c").agg(F.min_by("row", F.coalesce("t", F.lit(""))).alias("first"))
+    return once.union(first.select("first.*"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

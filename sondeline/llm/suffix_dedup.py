@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, materialize, new_path, small_batches, table, texts_of
+from .common import fresh, materialize, new_path, small_batches, table, texts_of
 
 LENGTH, GRAM, CELL = 200, 32, 8
 SLICE = 1 << 18
@@ -191,7 +191,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
     distinct = keyed.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.first("text").alias("text"))
     name = f"sondeline_texts_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    distinct.write.bucketBy(buckets, "k1", "k2").option("path", new_path(spark, "texts")).saveAsTable(name)
+    distinct.write.bucketBy(buckets, "k1", "k2").option("path", new_path(spark, "texts", name)).saveAsTable(name)
     texts = spark.table(name)
 
     records = materialize(texts.select("k1", "k2", "text").mapInArrow(_first_blocks(length), RECORD), "blocks")
@@ -204,18 +204,27 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
         found, blocks = _pass(materialize(cut.mapInArrow(_cut_blocks(length, cell), RECORD), f"cells{number}"), length, f"pass{number}")
         hits = hits.union(found)
     hits = hits.union(texts.where("copies > 1").select("k1", "k2", F.lit(0).cast("long"), F.octet_length("text").cast("long")))
-    spans = hits.groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    return texts, materialize(spans.select("k1", "k2", _united(F.col("spans")).alias("spans")), "repeated-spans")
-
-
-def _united(spans):
-    """Disjoint intervals of sorted ones."""
-    return F.expr(
-        "aggregate(spans, cast(array() as array<struct<start:bigint,end:bigint>>), (done, x) -> "
-        "if(size(done) > 0 and x.start <= element_at(done, -1).end, "
-        "concat(slice(done, 1, size(done) - 1), array(named_struct('start', element_at(done, -1).start, 'end', greatest(element_at(done, -1).end, x.end)))), "
-        "concat(done, array(x))))"
-    )
+    spans = hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return texts, materialize(spans.mapInArrow(_united, f"k1 long, k2 int, spans {SPANS}"), "repeated-spans")
+
+
+def _united(batches):
+    """Disjoint intervals of each row's spans, in order."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    for batch in batches:
+        spans, sizes, starts, ends = batch.column("spans"), [0], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        flat, offsets = spans.flatten(), np.asarray(spans.offsets)
+        a, z = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        for i, j in zip((offsets[:-1] - offsets[0]).tolist(), (offsets[1:] - offsets[0]).tolist(), strict=True):
+            order = np.argsort(a[i:j], kind="stable")
+            begin, far = a[i:j][order], np.maximum.accumulate(z[i:j][order])
+            first = np.flatnonzero(np.r_[True, begin[1:] > far[:-1]])
+            starts.append(begin[first])
+            ends.append(far[np.r_[first[1:] - 1, len(far) - 1]])
+            sizes.append(sizes[-1] + len(first))
+        items = pa.StructArray.from_arrays([pa.array(np.concatenate(starts)), pa.array(np.concatenate(ends))], fields=list(kind.value_type))
+        made = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), items)
+        yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), made], names=["k1", "k2", "spans"])
 
 
 def text_keys(text: str):
@@ -259,15 +268,16 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, n_
     What is left of a character that is cut in two is dropped. A text that is all repeats becomes empty; its row stays.
     """
     _, spans = repeated_spans(docs, text, length)
-    spans = spans.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans").alias("_spans"))
+    h1, h2, s1, s2, cuts = fresh(docs, "_h1", "_h2", "_k1", "_k2", "_spans")
+    spans = spans.select(F.col("k1").alias(s1), F.col("k2").alias(s2), F.col("spans").alias(cuts))
     k1, k2 = text_keys(text)
-    joined = docs.withColumns({"_h1": k1, "_h2": k2}).join(spans, (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2")), "left")
-    joined = joined.drop("_h1", "_h2", "_k1", "_k2")
+    joined = docs.withColumns({h1: k1, h2: k2}).join(spans, (F.col(h1) == F.col(s1)) & (F.col(h2) == F.col(s2)), "left")
+    joined = joined.drop(h1, h2, s1, s2)
     names = docs.columns
 
     def cut(batches):
         for batch in batches:
-            found, columns = batch.column("_spans"), [batch.column(n) for n in names]
+            found, columns = batch.column(cuts), [batch.column(n) for n in names]
             at = names.index(text)
             kept = [_without(t, s).decode("utf-8", "ignore") if s else None if t is None else t.decode("utf-8", "replace") for t, s in zip(texts_of(columns[at]), found.to_pylist(), strict=True)]
             columns[at] = pa.array(kept, columns[at].type)

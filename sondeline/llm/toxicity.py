@@ -17,7 +17,7 @@ Class counts come from at most SAMPLE labelled rows, chosen by a hash of doc_id;
 
 Defined results: a null or empty text, and one without words, scores as one with no toxic word; without labelled
 documents of both classes every score is 0; of a doc_id labelled both ways the toxic label counts; null labels and ids
-are ignored; repeated rows score alike; an empty table gives no rows; other columns pass.
+are ignored; repeated rows score alike; an empty table gives no rows; other columns pass, but for those named as an added one.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BYTES, append_columns, held_out, materialize, small_batches, table, texts_of
+from .common import WORD_BYTES, append_columns, fresh, held_out, materialize, small_batches, table, texts_of
 
 DISCOUNT, MARGINS, SAMPLE = 2.0, (2.0, 1.5, 1.0), 20_000
 LIMIT = 0.5
@@ -184,7 +184,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, k]) for k in range(len(names))), batch.column("_y")], names=[*names, "y"])
 
     schema = ", ".join(f"{n} double" for n in names) + ", y int"
-    checked = both.where("_check").select("text", "_y").mapInArrow(measure, schema).toArrow()  # part of the sample
+    # One text an id: part of the sample comes to the driver, however often an id is repeated.
+    once = both.where("_check").groupBy("_id").agg(F.min("_y").alias("_y"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    checked = once.select("text", "_y").mapInArrow(measure, schema).toArrow()
     rows = np.array(sorted(zip(*(checked.column(c).to_pylist() for c in (*names, "y")), strict=True)), float).reshape(-1, len(names) + 1)
     x, y = rows[:, :-1], rows[:, -1]
     if len(set(y.tolist())) < 2:
@@ -232,7 +234,8 @@ def learnable(doc_id: str = "doc_id") -> Column:
 def remove_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents that aren't predicted toxic, with the columns of docs."""
     model = fit(docs, labels, text, doc_id, where=learnable(doc_id))
-    return score(docs, model, text, names=("_score", "_toxic")).where("_toxic = 0").select(*docs.columns)
+    value, toxic = fresh(docs, "_score", "_toxic")
+    return score(docs, model, text, names=(value, toxic)).where(F.col(toxic) == 0).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
