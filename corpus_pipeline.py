@@ -8,7 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sondeline.llm import decontaminate, sentencepieces, simhash, suffix_dedup, toxicity
-from sondeline.llm.common import materialize, table
+from sondeline.llm.common import materialize, release, table, written_tables
+
+
+#: Words of a shingle of the near-duplicate stage.
+SHINGLE = 5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the least doc_id stays."""
-    return simhash.deduplicate(docs)
+    """Of each group of near-duplicates by shingles of five words, the document with the least doc_id stays."""
+    return simhash.deduplicate(docs, shingle=SHINGLE)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +31,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark items make up a twentieth or more go."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    """Documents of which benchmark items make up a twentieth or more go; out of the others, passages of a window or more are cut."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), least_words=decontaminate.WINDOW)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +53,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, held = table(spark, sf_dir, "documents"), written_tables()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(held, keep=(docs,))  # what the stage wrote, its input included
     return STAGES[-1][1](spark, docs, sf_dir)
