@@ -10,8 +10,9 @@ Notices wrapped over lines are found in windows of the text's words, as long as
 a template's indexed prefix: a window must hold THRESHOLD of the distinct words as a block must, and, as it isn't a line by itself,
 that share of the template's words in the template's order (longest common subsequence).
 
-Everything on the executors is DataFrame functions. The templates are constants, and only their words' frequencies
-come to the driver.
+The corpus is split into words once: that pass writes a row a document with its phrases, the template words that it has, and its text where
+these words reach THRESHOLD of any template. Frequencies and matches come from that table. Everything on the executors is DataFrame
+functions. The templates are constants, and only their words' frequencies come to the driver.
 
 Defined results: a null or empty text has no words, no labels and score 0; labels of phrases and templates are united;
 equal lines count once; repeated rows are answered alike; an empty table gives no rows; other columns aren't looked at.
@@ -24,7 +25,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 THRESHOLD = 0.9
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -44,6 +45,16 @@ TEMPLATES = [
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("all-rights-reserved", "All rights reserved"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("boost", "Distributed under the Boost Software License, Version 1.0"),
+    ("lgpl", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("agpl", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("epl", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("cc0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"),
+    ("artistic", "This is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0"),
+    ("wtfpl", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document"),
 ]
 
 
@@ -70,11 +81,10 @@ def _places(phrase: str) -> Column:
     return F.expr(f"if(array_contains(words, '{parts[0]}'), filter(sequence(0, size(words) - 1), i -> {match}), cast(array() as array<int>))")
 
 
-def phrases(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add n_words, n_base, first_word, last_word and base (array of labels)."""
-    found = docs.withColumn("words", words_of(F.col(text)))
+def _phrase_columns(found: DataFrame) -> DataFrame:
+    """Add n_words, n_base, first_word, last_word and base (array of labels) to rows with the column words."""
     names = {f"_p{k}": phrase for k, phrase in enumerate(PHRASES)}
-    found = found.withColumns({c: _places(p) for c, p in names.items()}).withColumn("n_words", F.size("words").cast("long")).drop("words")
+    found = found.withColumns({c: _places(p) for c, p in names.items()}).withColumn("n_words", F.size("words").cast("long"))
     every = F.concat(*names)
     labels = F.array_compact(F.array(*(F.when(F.size(c) > 0, F.lit(PHRASES[p])) for c, p in names.items())))
     return found.withColumns(
@@ -87,18 +97,28 @@ def phrases(docs: DataFrame, text: str = "text") -> DataFrame:
     ).drop(*names)
 
 
-def frequencies(docs: DataFrame, words: list[str], text: str = "text") -> dict[str, int]:
-    """Documents that have each of the words; no more numbers than words come to the driver."""
-    common = docs.select(F.explode(F.array_intersect(words_of(F.col(text)), _array(words))).alias("w"))
-    return {r["w"]: r["count"] for r in common.groupBy("w").count().collect()}
+def survey(keyed: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """The one pass over the words of the column _text: what _phrase_columns() adds, has (the template words there are), and _text only where a template may match."""
+    sets = [template_words(t) for _, t in templates]
+    rows = _phrase_columns(keyed.withColumn("words", words_of(F.col("_text"))))
+    rows = rows.withColumn("has", F.array_intersect("words", _array(sorted({w for s in sets for w in s})))).drop("words")
+    enough = F.lit(False)
+    for s in sets:
+        enough = enough | (F.size(F.array_intersect("has", _array(s))) >= ceil(threshold * len(s) - 1e-9))
+    return rows.withColumn("_text", F.when(enough, F.col("_text")))
 
 
-def template_matches(docs: DataFrame, key: list[str], text: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(key columns, label, containment): every template that a line of the text holds."""
-    spark = docs.sparkSession
+def frequencies(surveyed: DataFrame) -> dict[str, int]:
+    """Documents that have each of the template words; no more numbers than these come to the driver."""
+    return {r["w"]: r["count"] for r in surveyed.select(F.explode("has").alias("w")).groupBy("w").count().collect()}
+
+
+def template_matches(surveyed: DataFrame, key: list[str], templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(key columns, label, containment): every template that a line of the text, or a window of its words, holds."""
+    spark = surveyed.sparkSession
     sets = [(label, template_words(t)) for label, t in templates]
     known = sorted({w for _, s in sets for w in s})
-    count = frequencies(docs, known, text)
+    count = frequencies(surveyed)
     known.sort(key=lambda w: (count.get(w, 0), w))
     rank = {w: k for k, w in enumerate(known)}
     index = []
@@ -110,7 +130,7 @@ def template_matches(docs: DataFrame, key: list[str], text: str = "text", templa
     first = _array(sorted({row[4] for row in index}))
     least = min(row[3] for row in index)
 
-    holding = docs.select(*key, F.col(text).alias("_text")).where(F.arrays_overlap(words_of(F.col("_text")), first))
+    holding = surveyed.where("_text is not null").select(*key, "_text").where(F.arrays_overlap("has", first))
     lines = holding.select(*key, F.explode(F.array_distinct(F.split("_text", "\n"))).alias("line"))
     ordered = lines.select(*key, F.array_intersect(_array(known), words_of(F.col("line"))).alias("block"))  # in the order of `known`
     ordered = ordered.where((F.size("block") >= least) & F.arrays_overlap("block", first))
@@ -150,9 +170,10 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", templates=
     """(doc_id, n_words, n_base, first_word, last_word, base, labels, score), base and labels as sorted arrays."""
     keyed = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_k1"), F.hash(text).alias("_k2"), F.col(text).alias("_text"))
     key = ["_id", "_k1", "_k2"]
-    found = template_matches(keyed, key, "_text", templates, threshold)
+    surveyed = materialize(survey(keyed, templates, threshold), "license-survey")
+    found = template_matches(surveyed, key, templates, threshold)
     found = found.groupBy(*(F.col(k).alias(f"m{k}") for k in key)).agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
-    base = phrases(keyed, "_text").drop("_text")
+    base = surveyed.drop("_text", "has")
     same = (F.col("_k1") == F.col("m_k1")) & (F.col("_k2") == F.col("m_k2")) & F.col("_id").eqNullSafe(F.col("m_id"))
     none = F.array().cast("array<string>")
     joined = base.join(found, same, "left")
