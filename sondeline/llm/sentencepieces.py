@@ -36,7 +36,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MARKER = "▁"
 
 MODEL_BYTES = 64 << 20  #: a larger model isn't broadcast but refused
-THREADS, GROUP_CHARS, PART_CHARS, WORDS = 2, 1 << 19, 1 << 16, 200_000
+THREADS, GROUP_CHARS, PART_CHARS, WORDS = 2, 1 << 19, 1 << 16, 500_000
 IDS = T.ArrayType(T.IntegerType())
 
 
@@ -161,7 +161,7 @@ class Codec:
         self.place = re.compile(f"(?<=[^ {MARKER}]) (?=[^ {MARKER}])")
         self._reference = None
         self.word = re.compile(" +[^ ]*")
-        self.ids_of: dict[str, tuple[int, ...]] = {}  #: sentencepiece's ids of words, each with its leading spaces
+        self.ids_of: dict[str, bytes] = {}  #: sentencepiece's ids of words(), as int32
 
     def parts(self, text: str) -> list[str]:
         if not self.cut or len(text) <= PART_CHARS:
@@ -186,22 +186,42 @@ class Codec:
     def parity(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
         """Whether each text's ids are the sentencepiece library's."""
         if not self.cut:
-            return [x == y for x, y in zip(self.reference(texts), ids, strict=True)]
-        words = [self.word.findall(" " + t.replace(MARKER, " ")) if t else [] for t in texts]
+            return [x == list(y) for x, y in zip(self.reference(texts), ids, strict=True)]
         if len(self.ids_of) > WORDS:
             self.ids_of.clear()
-        self._learn(sorted(set().union(*words) - self.ids_of.keys()))
-        return [list(chain.from_iterable(map(self.ids_of.__getitem__, w))) == x for w, x in zip(words, ids, strict=True)]
+        out: list[bool | None] = [self._same(t, x) for t, x in zip(texts, ids, strict=True)]
+        unknown = [k for k, same in enumerate(out) if same is None]
+        if unknown:
+            self._learn(sorted(set().union(*(self.words(texts[k]) for k in unknown)) - self.ids_of.keys()))
+            for k in unknown:
+                out[k] = self._same(texts[k], ids[k])
+        return out
+
+    def words(self, text: str) -> list[str]:
+        """Words, each without the space (or dummy prefix) before it, but with any further ones."""
+        text = text.replace(MARKER, " ")
+        if not text:
+            return []
+        if "  " in text or text[0] == " " or text[-1] == " ":
+            return [w[1:] for w in self.word.findall(" " + text)]
+        return text.split(" ")
+
+    def _same(self, text: str, ids) -> bool | None:
+        """Whether the ids are those of the text's words; None where a word isn't known yet."""
+        try:
+            return b"".join(map(self.ids_of.__getitem__, self.words(text))) == np.asarray(ids, np.int32).tobytes()
+        except KeyError:
+            return None
 
     def _learn(self, words: list[str]) -> None:
-        """Have the sentencepiece library encode words; its dummy prefix stands for the first space, and spaces alone stand after a letter."""
-        plain = [w for w in words if not w.isspace()]
-        for w, ids in zip(plain, self.reference([w[1:] for w in plain]), strict=True):
-            self.ids_of[w] = tuple(ids)
-        spaces = [w for w in words if w.isspace() and w not in self.ids_of]
+        """Have the sentencepiece library encode words; its dummy prefix stands for the space before, and spaces alone stand after a letter."""
+        plain = [w for w in words if w.strip(" ")]
+        for w, ids in zip(plain, self.reference(plain), strict=True):
+            self.ids_of[w] = np.array(ids, np.int32).tobytes()
+        spaces = [w for w in words if not w.strip(" ")]
         if spaces:
-            letter, *after = self.reference(["a", *("a" + w for w in spaces)])
-            self.ids_of |= {w: tuple(ids[len(letter) :]) for w, ids in zip(spaces, after, strict=True)}
+            letter, *after = self.reference(["a", *("a " + w for w in spaces)])
+            self.ids_of |= {w: np.array(ids[len(letter) :], np.int32).tobytes() for w, ids in zip(spaces, after, strict=True)}
 
     def _joined(self, texts, encode) -> list[list[int]]:
         parts = [self.parts(t) for t in texts]
@@ -247,7 +267,8 @@ def encode(docs: DataFrame, model: str | bytes | None = None, text: str = "text"
                 flat.append(np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids))))
                 if verify:
                     back += [x == y for x, y in zip(codec.decode(ids), texts[a:b], strict=True)]
-                    same += codec.parity(texts[a:b], ids)
+                    ends = np.cumsum([len(x) for x in ids])
+                    same += codec.parity(texts[a:b], np.split(flat[-1], ends[:-1]))
             made = [pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(flat))), pa.array(sizes[1:], pa.int64())]
             return made + ([pa.array(back, pa.bool_()), pa.array(same, pa.bool_())] if verify else [])
 
