@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +30,16 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
+def give_back() -> None:
+    """Return freed memory to the system at a task's end: Python workers live on, and all of an executor's share its memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as make it differ from every column."""
     taken = {c.lower() for c in df.columns}
@@ -70,5 +83,7 @@ def append_columns(df: DataFrame, source: str, fields: list[T.StructField], make
             made = work(batch.column(source), *(batch.column(c) for c in more)) if batch.num_rows else None
             if made is not None:
                 yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), *made], names=names)
+        work = batch = made = None
+        give_back()
 
     return df.mapInArrow(run, schema)

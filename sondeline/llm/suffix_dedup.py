@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, new_path, small_batches, table, texts_of
+from .common import fresh, give_back, materialize, new_path, small_batches, table, texts_of
 
 LENGTH, GRAM, CELL = 200, 32, 8
 SLICE = 1 << 18
@@ -115,6 +115,7 @@ def _first_blocks(length: int):
                 later[order[1:][same]] = True
                 twice[order[:-1][same]] = True
                 yield _records(k1[text], k2[text], p, n, o, g, u, 1 + (twice & ~later), np.zeros(len(p), bool), later)
+        give_back()
 
     return run
 
@@ -159,6 +160,8 @@ def _cut_blocks(length: int, cell: int):
                     out, size = [[] for _ in range(9)], 0
             if size:
                 yield _listed(out)
+            out = None
+        give_back()
 
     return run
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BYTES, append_columns, fresh, held_out, materialize, small_batches, table, texts_of
+from .common import WORD_BYTES, append_columns, fresh, give_back, held_out, materialize, small_batches, table, texts_of
 
 DISCOUNT, MARGINS, SAMPLE = 2.0, (2.0, 1.5, 1.0), 20_000
 LIMIT = 0.5
@@ -55,7 +55,7 @@ class _Known(dict):
 
     def __missing__(self, word: bytes):
         found = self.number(word)
-        if len(self) < 300_000:
+        if len(self) < 150_000:
             self[word] = found
         return found
 
@@ -118,10 +118,13 @@ def _count(batches):
             if label is not None:
                 held[1 + label].append(np.stack([w, np.r_[np.int64(0), w[:-1]]]))  # 0: the text's start
             size += len(w)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield from closed()
                 size = 0
     yield from closed()
+    known.clear()
+    held = batch = labels = None
+    give_back()
 
 
 def _rows(kind: int, words: np.ndarray, before: np.ndarray, n: np.ndarray):
