@@ -11,6 +11,7 @@ STATES = ("DRILLING", "SLIDING", "REAMING", "CIRCULATING", "TRIPPING_IN", "TRIPP
 MAKING_HOLE = ("DRILLING", "SLIDING")
 PUMPS_ON = ("DRILLING", "SLIDING", "CIRCULATING")
 SEVERITY_RANK = {"WATCH": 0, "WARN": 1, "ALARM": 2}
+FINDING_RANK = {"info": 0, "warn": 1, "critical": 2}
 
 # The detected states that a reported activity code agrees with.
 ACTIVITY_STATES = {

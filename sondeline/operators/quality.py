@@ -13,17 +13,29 @@ from ..config import CHANNELS
 def counters(raw: DataFrame, channels: tuple[str, ...] = CHANNELS) -> DataFrame:
     """One row of conditional counts over raw rows, whose cells are strings named as the channels, with numbers beside them as num_<channel>."""
     filled = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
-    bad = [F.when(filled(c) & F.col(f"num_{c}").isNull(), F.trim(c)) for c in channels]
-    sums = [F.sum(b.isNotNull().cast("long")) for b in bad]
-    examples = F.array_sort(F.array_distinct(F.flatten(F.array(*(F.array_compact(F.array(F.min(b), F.max(b))) for b in bad)))))
-    return raw.agg(
+    sums = [F.sum((filled(c) & F.col(f"num_{c}").isNull()).cast("long")) for c in channels]
+    counted = raw.agg(
         F.count("*").alias("rows"),
         reduce(Column.__add__, sums).alias("non_numeric"),
-        F.slice(examples, 1, 4).alias("examples"),
         F.sum(F.coalesce(F.col("num_DBTM") == 0, F.lit(False)).cast("long")).alias("dbtm_zero"),
         F.sum(F.coalesce(F.col("num_WOB") < 0, F.lit(False)).cast("long")).alias("wob_negative"),
         F.sum(F.col("dup_of_prev").cast("long")).alias("held"),
     )
+    return counted.join(F.broadcast(bad_cells(raw, channels)))  # each is one row
+
+
+def bad_cells(raw: DataFrame, channels: tuple[str, ...] = CHANNELS, most: int = 4) -> DataFrame:
+    """One row: examples, the first `most` different cells of all channels that aren't numbers, as channel="text".
+
+    Only rows with such a cell are shuffled; first is by seq, then rig, then the order of channels.
+    """
+    bad = [
+        F.when((F.trim(c) != "") & F.col(f"num_{c}").isNull(), F.struct(F.lit(k).alias("place"), F.concat(F.lit(f'{c}="'), F.trim(c), F.lit('"')).alias("cell")))
+        for k, c in enumerate(channels)
+    ]
+    seen = raw.select("seq", "rig_id", F.explode(F.array_compact(F.array(*bad))).alias("x"))
+    first = seen.groupBy(F.col("x.cell").alias("cell")).agg(F.min(F.struct("seq", "rig_id", "x.place")).alias("at")).orderBy("at").limit(most)
+    return first.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "cell"))), lambda v: v["cell"]).alias("examples"))
 
 
 def findings(counted: DataFrame, minutes: DataFrame, gaps: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import CHANNELS, SEVERITY_RANK, DetectorConfig, Retrieval, StateThresholds
+from ..config import CHANNELS, FINDING_RANK, SEVERITY_RANK, DetectorConfig, Retrieval, StateThresholds
 from ..functions.scalars import phase_label, tick_start, truncated
 from ..operators import detect, intervals, joins, quality, rollup, search, segments, state
 from ..sources.feeds import BadQuery
@@ -120,20 +120,19 @@ class Engine:
         points = [intervals.resample(rows, c, max(1, length // self.step), self.step).withColumn("channel", F.lit(c)) for c in channels]
         return reduce(DataFrame.unionByName, points).orderBy("channel", "rig_id", "t")
 
-    def anomalies(self, kind: str | None = None, min_severity: str | None = None, begin=None, end=None) -> DataFrame:
-        """Events that overlap the window, ends included, of a type and of a severity or above."""
+    def anomalies(self, kind: str | None = None, min_severity: str | None = None, begin=None, end=None, sort: str | None = None, descending: bool = True) -> DataFrame:
+        """Events that overlap the window, ends included, of a type and of a severity or above; in order of a column, if asked for."""
         if min_severity is not None and min_severity not in SEVERITY_RANK:
             raise BadQuery("unknown severity", ", ".join(SEVERITY_RANK))
-        return filtered_events(self.events(), kind, min_severity, parse_time(begin), parse_time(end))
+        found = filtered_events(self.events(), kind, min_severity, parse_time(begin), parse_time(end))
+        return found if sort is None else ordered(found, sort, descending, ("t_from", "rig_id", "id"))
 
     def anomaly_counts(self) -> DataFrame:
         return self.events().groupBy("type").agg(F.count("*").alias("events"))
 
     def alert_at(self, t) -> DataFrame:
         """Each rig's first stick-slip alarm that holds the time, its ends included."""
-        when = parse_time(t)
-        held = self.events().where((F.col("type") == "STICK_SLIP") & (F.col("severity") == "ALARM") & (F.col("t_from") <= when) & (F.col("t_to") >= when))
-        return first_of_rig(held)
+        return alarm_at(self.events(), parse_time(t))
 
     def offset_envelope(self) -> tuple[DataFrame, DataFrame]:
         """(each offset row against live maxima, exceedance events)."""
@@ -197,6 +196,28 @@ def report_page(reports: DataFrame, well: str | None = None, activity: str | Non
     return out.orderBy("start", "idx").offset(offset).limit(limit), totals
 
 
+def alarm_at(events: DataFrame, when: datetime) -> DataFrame:
+    held = events.where((F.col("type") == "STICK_SLIP") & (F.col("severity") == "ALARM") & (F.col("t_from") <= when) & (F.col("t_to") >= when))
+    return first_of_rig(held)
+
+
+def ordered(df: DataFrame, key: str, descending: bool = True, ties: tuple[str, ...] = ()) -> DataFrame:
+    """In order of a column that the user chose, severities by rank; nulls last, ties by further columns."""
+    if key not in df.columns:
+        raise BadQuery("unknown sort key", ", ".join(df.columns))
+    by = F.col(key)
+    if key == "severity":
+        by = F.coalesce(*(F.when(F.col(key) == name, F.lit(rank)) for name, rank in (SEVERITY_RANK | FINDING_RANK).items()))
+    return df.orderBy(by.desc_nulls_last() if descending else by.asc_nulls_last(), *ties)
+
+
+def distinct_values(reports: DataFrame, columns: tuple[str, ...] = ("well", "rig"), order: str = "idx") -> DataFrame:
+    """(kind, value, first): the different values of each column, and the least `order` at which each is met; one pass with partial aggregates."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("value")) for c in columns))
+    flat = reports.select(F.col(order).alias("first"), F.explode(pairs).alias("x"))
+    return flat.groupBy("x.kind", "x.value").agg(F.min("first").alias("first"))
+
+
 def first_of_rig(events: DataFrame) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("rig_id").orderBy("t_from", "id"))
     return events.withColumn("place", place).where("place = 1").drop("place")

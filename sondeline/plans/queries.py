@@ -12,7 +12,7 @@ from ..functions import scalars
 from ..operators import detect, intervals, joins, quality, rollup, search, segments
 from . import driver_feed as feed
 from .driver_feed import FINE, STEP, with_feed
-from .engine import filtered_events, observed_days, report_page
+from .engine import alarm_at, distinct_values, filtered_events, observed_days, ordered, report_page
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -119,6 +119,7 @@ def state_totals(spark, sf_dir):
 
 
 _FROM, _TO = datetime(2024, 1, 1, 15, 10), datetime(2024, 1, 2, 3, 35)
+_ALARM = datetime(2024, 1, 1, 16, 45)  # a rig has an alarm then
 _WINDOW = f"TIMESTAMP '{_FROM}'", f"TIMESTAMP '{_TO}'"
 
 
@@ -284,6 +285,27 @@ def anomaly_counts(spark, sf_dir):
     return detect.detect_all(feed.sized(spark, sf_dir), feed.offsets(spark), step=STEP).groupBy("type").agg(F.count("*").alias("events"))
 
 
+_RANKED = "CASE severity WHEN 'ALARM' THEN 2 WHEN 'WARN' THEN 1 ELSE 0 END"
+
+
+@query(with_feed(f"SELECT rig_id, id, type, severity, t_from FROM ({_UNION}) ORDER BY {_RANKED} DESC, t_from, rig_id, id LIMIT 25", "offsets", more=_ALL))
+def events_by_severity(spark, sf_dir):
+    events = detect.detect_all(feed.sized(spark, sf_dir), feed.offsets(spark), step=STEP)
+    return ordered(events, "severity", True, ("t_from", "rig_id", "id")).select("rig_id", "id", "type", "severity", "t_from").limit(25)
+
+
+@query(
+    with_feed(
+        f"SELECT rig_id, id, t_from, t_to FROM ({_UNION}) WHERE type = 'STICK_SLIP' AND severity = 'ALARM' AND t_from <= TIMESTAMP '{_ALARM}' AND t_to >= TIMESTAMP '{_ALARM}' QUALIFY row_number() OVER (PARTITION BY rig_id ORDER BY t_from, id) = 1",
+        "offsets",
+        more=_ALL,
+    )
+)
+def alarm_lookup(spark, sf_dir):
+    events = detect.detect_all(feed.sized(spark, sf_dir), feed.offsets(spark), step=STEP)
+    return alarm_at(events, _ALARM).select("rig_id", "id", "t_from", "t_to")
+
+
 # Intervals and series
 
 
@@ -547,6 +569,16 @@ def report_page_totals(spark, sf_dir):
     return report_page(_log(spark, sf_dir), "W1", "f", True, 50, 20)[1]
 
 
+@query(f"SELECT kind, value, min(idx) AS first FROM (SELECT unnest(['well', 'activity']) AS kind, unnest([well, activity]) AS value, idx FROM (SELECT {_LOG_SQL} FROM orders)) GROUP BY kind, value")
+def report_dimensions(spark, sf_dir):
+    return distinct_values(_log(spark, sf_dir), ("well", "activity"))
+
+
+@query(f"SELECT idx, well, npt_hrs, start FROM (SELECT {_LOG_SQL} FROM orders) ORDER BY npt_hrs DESC, start, idx LIMIT 40")
+def reports_by_chosen_key(spark, sf_dir):
+    return ordered(_log(spark, sf_dir), "npt_hrs", True, ("start", "idx")).select("idx", "well", "npt_hrs", "start").limit(40)
+
+
 # Retrieval
 
 _DOCS = {
@@ -614,11 +646,33 @@ def bm25_filtered(spark, sf_dir):
 
 # Quality
 
+_BAD = {"WOB": "CASE WHEN event_id % 311 = 7 THEN '5.0E' WHEN event_id % 501 = 9 THEN ' x1 ' ELSE '3' END", "DBTM": "CASE WHEN event_id % 401 = 3 THEN '5.0E' WHEN event_id % 701 = 11 THEN 'n/a' WHEN event_id % 801 = 20 THEN '--' ELSE '' END"}
+
+
+@query(
+    f"""SELECT list(cell ORDER BY met) AS examples FROM (SELECT cell, min([event_id, place]) AS met FROM (
+  SELECT event_id, 0 AS place, concat('WOB="', trim({_BAD["WOB"]}), '"') AS cell FROM events WHERE {_BAD["WOB"]} <> '3' UNION ALL
+  SELECT event_id, 1, concat('DBTM="', {_BAD["DBTM"]}, '"') FROM events WHERE {_BAD["DBTM"]} <> '') GROUP BY cell ORDER BY met LIMIT 4)"""
+)
+def bad_cell_examples(spark, sf_dir):
+    cells = feed.events(spark, sf_dir).selectExpr("user_id AS rig_id", "event_id AS seq", *(f"{x} AS {c}" for c, x in _BAD.items()))
+    return quality.bad_cells(cells.withColumns({f"num_{c}": scalars.parse_number(c) for c in _BAD}), tuple(_BAD))
+
+
+@query(
+    "SELECT event_id, try_cast(json_extract_string(made, '$.a.v') AS DOUBLE) AS v, json_extract_string(made, '$.a.k') AS k, CAST(json_array_length(made, '$.l') AS INT) AS n FROM (SELECT event_id, to_json({'a': {'k': event_type, 'v': floor(value)}, 'l': [user_id, event_id]}) AS made FROM events)"
+)
+def json_round_trip(spark, sf_dir):
+    made = table(spark, sf_dir, "events").selectExpr("event_id", "to_json(struct(struct(event_type AS k, cast(floor(value) AS double) AS v) AS a, array(user_id, event_id) AS l)) AS made")
+    back = made.select("event_id", F.from_json("made", "a struct<k: string, v: double>, l array<bigint>").alias("x"))
+    return back.select("event_id", F.col("x.a.v").alias("v"), F.col("x.a.k").alias("k"), F.size("x.l").alias("n"))
+
+
 _RAW = {"WOB": "CASE WHEN event_id % 311 = 0 THEN '5.0E' WHEN event_id % 31 = 0 THEN '-2' ELSE cast(cast(floor(value) as bigint) as {s}) END", "DBTM": "CASE WHEN event_id % 50 = 0 THEN '0' ELSE '100' END"}
 
 
 @query(
-    f"""SELECT count(*) AS rows, CAST(sum((WOB = '5.0E')::INT) AS BIGINT) AS non_numeric, ['5.0E'] AS examples, CAST(sum((DBTM = '0')::INT) AS BIGINT) AS dbtm_zero, CAST(sum((WOB = '-2')::INT) AS BIGINT) AS wob_negative, CAST(sum(dup::INT) AS BIGINT) AS held
+    f"""SELECT count(*) AS rows, CAST(sum((WOB = '5.0E')::INT) AS BIGINT) AS non_numeric, ['WOB="5.0E"'] AS examples, CAST(sum((DBTM = '0')::INT) AS BIGINT) AS dbtm_zero, CAST(sum((WOB = '-2')::INT) AS BIGINT) AS wob_negative, CAST(sum(dup::INT) AS BIGINT) AS held
 FROM (SELECT {", ".join(f"{x.format(s='VARCHAR')} AS {c}" for c, x in _RAW.items())}, coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) = event_type, false) AS dup FROM events)"""
 )
 def quality_counters(spark, sf_dir):

@@ -20,7 +20,9 @@ class BadQuery(ValueError):
 
 
 def csv_rows(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """(file, line, cells): every record as an array of raw strings, in file order by line; quotes as in RFC 4180, no header.
+    """(file, line, cells, width): every record as an array of raw strings, in file order by line; quotes as in RFC 4180, no header.
+
+    width is the number of cells that the record has itself; with multiline, cells are as many as the first record's.
 
     A one-line-per-record file is split and read in parallel; line is then the number that its position in the file gives, dense or not.
     With multiline a file is one task, as quoted line breaks can only be told from its beginning.
@@ -29,11 +31,14 @@ def csv_rows(spark: SparkSession, path: str, multiline: bool = False) -> DataFra
     if multiline:
         head = spark.read.options(**options).csv(path)
         names = head.columns
-        width = spark.read.options(**options | {"enforceSchema": True}).schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path)
+        # A record of another width than the schema's is kept whole in _raw.
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, "_raw")])
+        found = spark.read.options(**options, enforceSchema=True, columnNameOfCorruptRecord="_raw").schema(schema).csv(path)
         cells = F.array(*(F.col(n) for n in names))
-        return width.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"), cells.alias("cells"))
+        width = F.when(F.col("_raw").isNull(), len(names)).otherwise(F.size(_split("_raw")))
+        return found.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"), cells.alias("cells"), width.alias("width"))
     lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"), F.regexp_replace("value", "^﻿|\r$", "").alias("value"))
-    return lines.where("value <> ''").select("file", "line", _split("value").alias("cells"))
+    return lines.where("value <> ''").select("file", "line", _split("value").alias("cells")).withColumn("width", F.size("cells"))
 
 
 def _split(c: str) -> Column:
@@ -82,7 +87,7 @@ def reports(spark: SparkSession, path: str, rig_id: str = "rig") -> DataFrame:
     first = rows.agg(F.min("line")).first()[0]
     at = lambda n: F.get("cells", F.lit(names.index(n))) if n in names else F.lit(None).cast("string")
     text = lambda n: F.trim(F.coalesce(at(n), F.lit("")))
-    full = rows.where(F.col("line") > first).where(F.size(F.array_compact("cells")) >= 1)
+    full = rows.where(F.col("line") > first).where(F.col("width") >= len(names))
     hours = F.coalesce(parse_number(at("DURATION")), F.lit(0.0))
     start = F.coalesce(parse_feed_time(at("DTTMSTARTCALC")), parse_feed_time(at("DTTMSTART")))
     out = full.select(
@@ -124,6 +129,11 @@ def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), as
     writer.json(path) if as_json else writer.parquet(path)
 
 
+def read_json(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """A derived table that was written as JSON lines, nested columns included; the schema is given, so that no pass infers it."""
+    return spark.read.schema(schema).json(path)
+
+
 def catalog(spark: SparkSession, tables: dict[str, DataFrame | str], prefix: str = "") -> dict[str, DataFrame]:
     """Register DataFrames, or Parquet paths, as temporary views for spark.sql."""
     found = {name: spark.read.parquet(t) if isinstance(t, str) else t for name, t in tables.items()}

@@ -115,3 +115,30 @@ def test_tables_are_written_and_registered(spark, tmp_path):
     assert sorted(json.loads(x)["id"] for f in (tmp_path / "j").glob("*.json") for x in f.read_text().split()) == [0, 1, 2]
     feeds.catalog(spark, {"numbers": f"{tmp_path}/t"}, "my_")
     assert spark.sql("SELECT sum(id) FROM my_numbers").first()[0] == 3
+
+
+def test_report_rows_shorter_than_the_header_are_left_out(spark, tmp_path):
+    path = tmp_path / "short.csv"
+    path.write_text('WELLIDE,DTTMSTART,COM\nW1,9/9/2026 3:05,"one, ""two""\nthree"\nW2,9/9/2026 4:05\n\nW3,9/9/2026 5:05,\nW4,9/9/2026 6:05,four,more\nW5,9/9/2026 7:05,,more\n')
+    got = feeds.reports(spark, str(path)).orderBy("start").collect()
+    assert [(x["well"], x["comment"]) for x in got] == [("W1", 'one, "two"\nthree'), ("W3", ""), ("W4", "four"), ("W5", "")]
+
+
+def test_the_first_four_bad_cells_of_all_channels(spark):
+    from sondeline.operators import quality
+
+    rows = [("r", 1, "x", None), ("r", 2, "x", "5.0E"), ("r", 3, "1", " y "), ("r", 4, "z", ""), ("r", 5, "w", "v")]
+    cells = spark.createDataFrame(rows, "rig_id string, seq long, WOB string, DBTM string")
+    cells = cells.withColumns({f"num_{c}": scalars.parse_number(c) for c in ("WOB", "DBTM")})
+    assert quality.bad_cells(cells, ("WOB", "DBTM")).first()[0] == ['WOB="x"', 'DBTM="5.0E"', 'DBTM="y"', 'WOB="z"']
+    assert quality.bad_cells(cells.where("false"), ("WOB", "DBTM")).first()[0] == []
+
+
+def test_order_by_a_chosen_key(spark):
+    from sondeline.plans.engine import ordered
+
+    events = spark.createDataFrame([(1, "WARN"), (2, "ALARM"), (3, "WATCH"), (4, "ALARM")], "id int, severity string")
+    assert [x["id"] for x in ordered(events, "severity", True, ("id",)).collect()] == [2, 4, 1, 3]
+    assert [x["id"] for x in ordered(events, "id", False).collect()] == [1, 2, 3, 4]
+    with pytest.raises(feeds.BadQuery):
+        ordered(events, "colour")
