@@ -16,6 +16,7 @@ MODULES = {
     "op4_suffix_array_dedup": "suffix_dedup",
     "op1_benchmark_decontamination": "decontaminate",
     "op10_simhash": "simhash",
+    "op11_token_alignment": "token_alignment",
     "op12_phrase_dedup": "phrase_dedup",
     "op13_conversation_repair": "conversation_repair",
 }

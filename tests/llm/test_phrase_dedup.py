@@ -42,9 +42,8 @@ def made(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,slice_,hot,shard", [(1, 1 << 18, 2000, 10_000), (2, 50, 2000, 30), (3, 1 << 18, 3, 20)])
-def test_equals_brute_force(spark, monkeypatch, seed, slice_, hot, shard):
-    monkeypatch.setattr(m, "SLICE", slice_)
+@pytest.mark.parametrize("seed,hot,shard", [(1, 2000, 10_000), (2, 2000, 30), (3, 3, 20)])
+def test_equals_brute_force(spark, seed, hot, shard):
     rows = made(seed)
     d = spark.createDataFrame([(*r, "a", "b") for r in rows], "doc_id long, text string, g string, first string").repartition(5)
     got = sorted((tuple(r)[:4] for r in m.removals(d, hot=hot, shard_rows=shard).collect()), key=str)
@@ -66,3 +65,12 @@ def test_automaton_tells_places_and_sources():
     rows = [(say(a), 0b111111, 5, 5), (say(a[2:16]), 0b11, 9, 9), (say(["q", *a[1:14]]), 0b11, 7, 8), (say(["z"] * 13), 1, 4, 4)]
     assert m.occurrences(rows) == [[(1, 5), (2, 5), (3, 5)], [(0, 5), (1, 5)], [(0, 7), (1, 5)], []]
     assert m.occurrences([(say(a), 0b000010, 5, 5), (say(a), 0b000010, 6, 6)]) == [[(1, 5)], [(1, 5)]]
+
+
+def test_slices_cut_no_window(monkeypatch):
+    texts = [t.encode().split() for _, t in made(5) if t]
+    windows = lambda: sorted((int(t), int(s) + i, int(g)) for found in m.blocks_of(texts) for t, s, n, g in zip(*found, strict=True) for i in range(n))
+    whole = windows()
+    assert len(whole) == sum(max(0, len(w) - m.LENGTH + 1) for w in texts)
+    monkeypatch.setattr(m, "SLICE", 40)
+    assert windows() == whole
