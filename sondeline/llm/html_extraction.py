@@ -1,15 +1,17 @@
 """Main text of web pages: structure, and differencing with the page of the nearest URL.
 
 A page becomes lines, one a block. Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments are recognised by element, role, class or id; where a page has an <article> or <main>, its lines are those inside.
+reader comments are recognised by element, role, class or id. Where <article> and <main> elements hold at least half of what is left of a page,
+its lines are those inside; else they are lines like others.
 Pages of a host that have the same lines are one page here. The distinct pages are put in order of host and URL path over the whole
 cluster, and of the NEAR pages to either side the one of the same host whose path has the least edit distance is a page's partner.
 The lines of both, main ones included, are aligned by a longest common subsequence.
 
-A shared line is either the site's template or a passage that two texts share. The host's pairs decide: pairs that share less
-than half of the shorter page vote (pages that are near copies of each other tell nothing), and a line that at least half of these have
-in common is the template's. Inside <article> and <main> at least LEAST_VOTES pairs must have it, so that a passage shared by the few
-pages of a small host stays. Each page loses the template's lines that it shares with its partner.
+A shared line is either the site's template or a passage that two texts share. The host's pairs decide: a line that at least half of them have
+in common is the template's, however much of a page the template is. Pairs of near copies tell nothing and have no vote; these are pairs
+whose shorter page has less than a tenth of its characters for itself. Inside <article> and <main>, which say of themselves that they are the
+text, more is asked for: pairs vote that share less than half of the shorter page's characters, and at least LEAST_VOTES of them must have the line,
+so that a passage shared by the few pages of a small host stays. Each page loses the template's lines that it shares with its partner.
 
 No host is gathered anywhere: the order is by range, positions are counted by ranges, and what is shuffled are hashes of lines. Html is
 parsed a second time at the end, and joined only with the list of pages that lose lines.
@@ -95,7 +97,7 @@ def _ends(open_tags: list[str], tag: str) -> int | None:
 
 
 def lines_of(html: str | None) -> list[tuple[str, bool]]:
-    """(text, inside article or main) of each block that isn't boilerplate by structure; only those inside where there are any."""
+    """(text, inside article or main) of each block that isn't boilerplate by structure; only those inside where these hold half of the characters, else all, none marked."""
     out: list[tuple[str, bool]] = []
     held: list[str] = []
     dropped: list[str] = []  # the open tags of a part that is left out, its own first
@@ -162,9 +164,14 @@ def lines_of(html: str | None) -> list[tuple[str, bool]]:
         elif tag in MAIN:
             inside += 1
     close()
-    if any(main for _, main in out):
-        return [x for x in out if x[1]]
-    return out
+    within = [x for x in out if x[1]]
+    if within and 2 * _size(within) >= _size(out):
+        return within
+    return [(x, False) for x, _ in out]
+
+
+def _size(lines: list[tuple[str, bool]]) -> int:
+    return sum(len(x) for x, _ in lines)
 
 
 def _rows(a: list[int], b: list[int]):
@@ -233,7 +240,7 @@ def _keyed(pages: DataFrame) -> DataFrame:
 
 
 def line_hashes(keyed: DataFrame) -> DataFrame:
-    """(host, path, k1, k2, c1, c2, hashes, main) of every page that has a host: hashes of its lines, and c1 and c2 of all of them."""
+    """(host, path, k1, k2, c1, c2, hashes, sizes, main) of every page that has a host: hashes and characters of its lines, c1 and c2 of all of them, and whether they are main."""
     small_batches(keyed.sparkSession)
     keep = ["host", "path", "k1", "k2"]
 
@@ -244,16 +251,17 @@ def line_hashes(keyed: DataFrame) -> DataFrame:
         for batch in batches:
             found = [lines_of(h) for h in batch.column("html").to_pylist()]
             hashes = [[digest(x) - (1 << 63) for x, _ in page] for page in found]
-            all_of = [wide(np.array(h, np.int64).tobytes()) for h in hashes]
+            all_of = [wide(np.array([*h, any(m for _, m in page)], np.int64).tobytes()) for h, page in zip(hashes, found, strict=True)]
             made = [
                 pa.array([(x >> 64) - (1 << 63) for x in all_of], pa.int64()),
                 pa.array([(x & (1 << 64) - 1) - (1 << 63) for x in all_of], pa.int64()),
                 pa.array(hashes, pa.list_(pa.int64())),
-                pa.array([[m for _, m in page] for page in found], pa.list_(pa.bool_())),
+                pa.array([[len(x) for x, _ in page] for page in found], pa.list_(pa.int32())),
+                pa.array([any(m for _, m in page) for page in found], pa.bool_()),
             ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=[*keep, "c1", "c2", "hashes", "main"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], names=[*keep, "c1", "c2", "hashes", "sizes", "main"])
 
-    return keyed.where("host <> ''").select(*keep, "html").mapInArrow(run, "host string, path string, k1 long, k2 int, c1 long, c2 long, hashes array<long>, main array<boolean>")
+    return keyed.where("host <> ''").select(*keep, "html").mapInArrow(run, "host string, path string, k1 long, k2 int, c1 long, c2 long, hashes array<long>, sizes array<int>, main boolean")
 
 
 def partners(distinct: DataFrame, near: int = NEAR, block: int = BLOCK) -> DataFrame:
@@ -276,40 +284,46 @@ def partners(distinct: DataFrame, near: int = NEAR, block: int = BLOCK) -> DataF
 
 
 def compare(distinct: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(host, c1, c2, independent, lines): of each page with a partner, the shared lines (place, hash, main), and whether the pair may vote."""
-    other = distinct.select("host", F.col("c1").alias("p1"), F.col("c2").alias("p2"), F.col("hashes").alias("other"))
-    joined = distinct.join(pairs, ["host", "c1", "c2"]).join(other, ["host", "p1", "p2"]).select("host", "c1", "c2", "hashes", "main", "other")
+    """(host, c1, c2, main, independent, lines): of each page with a partner, the shared lines (place, hash), and whether the pair may vote."""
+    other = distinct.select("host", F.col("c1").alias("p1"), F.col("c2").alias("p2"), F.col("hashes").alias("other"), F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("size"))
+    joined = distinct.join(pairs, ["host", "c1", "c2"]).join(other, ["host", "p1", "p2"]).select("host", "c1", "c2", "main", "hashes", "sizes", "other", "size")
 
     def run(batches):
-        kind = pa.list_(pa.struct([("place", pa.int32()), ("hash", pa.int64()), ("main", pa.bool_())]))
+        kind = pa.list_(pa.struct([("place", pa.int32()), ("hash", pa.int64())]))
         for batch in batches:
             votes, lines = [], []
-            for mine, main, other in zip(*(batch.column(c).to_pylist() for c in ("hashes", "main", "other")), strict=True):
+            for main, mine, sizes, other, size in zip(*(batch.column(c).to_pylist() for c in ("main", "hashes", "sizes", "other", "size")), strict=True):
                 common = sorted(shared(mine, other))
-                votes.append(2 * len(common) < min(len(mine), len(other)))
-                lines.append([{"place": i, "hash": mine[i], "main": main[i]} for i in common])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("host", "c1", "c2")), pa.array(votes), pa.array(lines, kind)], names=["host", "c1", "c2", "independent", "lines"])
+                votes.append(independent(sum(sizes[i] for i in common), min(sum(sizes), size), main))
+                lines.append([{"place": i, "hash": mine[i]} for i in common])
+            columns = [*(batch.column(c) for c in ("host", "c1", "c2", "main")), pa.array(votes, pa.bool_()), pa.array(lines, kind)]
+            yield pa.RecordBatch.from_arrays(columns, names=["host", "c1", "c2", "main", "independent", "lines"])
+
+    return joined.mapInArrow(run, "host string, c1 long, c2 long, main boolean, independent boolean, lines array<struct<place:int,hash:long>>")
+
 
-    return joined.mapInArrow(run, "host string, c1 long, c2 long, independent boolean, lines array<struct<place:int,hash:long,main:boolean>>")
+def independent(common: int, shorter: int, main: bool) -> bool:
+    """Whether a pair votes: characters of the shared lines and of the shorter page."""
+    return 2 * common < shorter if main else 10 * common <= 9 * shorter
 
 
 def template_lines(compared: DataFrame, least: int = LEAST_VOTES) -> DataFrame:
-    """(host, hash, main): lines that at least half of a host's independent pairs have in common."""
+    """(host, hash, main): lines that at least half of a host's voting pairs have in common; main and other pages vote for themselves."""
     free = compared.where("independent")
-    pairs = free.groupBy("host").agg(F.count("*").alias("pairs"))
-    each = free.select("host", "c1", "c2", F.explode("lines").alias("x")).select("host", "x.hash", "x.main", "c1", "c2").distinct()
-    votes = each.groupBy("host", "hash", "main").agg(F.count("*").alias("votes"))
+    pairs = free.groupBy("host", "main").agg(F.count("*").alias("pairs"))
+    each = free.select("host", "main", "c1", "c2", F.explode("lines").alias("x")).select("host", "main", "x.hash", "c1", "c2").distinct()
+    votes = each.groupBy("host", "main", "hash").agg(F.count("*").alias("votes"))
     enough = (F.col("votes") * 2 >= F.col("pairs")) & (~F.col("main") | (F.col("votes") >= least))
-    return votes.join(pairs, "host").where(enough).select("host", "hash", "main")
+    return votes.join(pairs, ["host", "main"]).where(enough).select("host", "hash", "main")
 
 
 def deletions(keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((host, k1, k2, places): the lines that each page loses, for pages that lose any; what compare() found)."""
     lines = materialize(line_hashes(keyed), "page-lines")
-    distinct = lines.where("size(hashes) > 0").groupBy("host", "c1", "c2").agg(F.min("path").alias("path"), F.first("hashes").alias("hashes"), F.first("main").alias("main"))
+    distinct = lines.where("size(hashes) > 0").groupBy("host", "c1", "c2").agg(F.min("path").alias("path"), *(F.first(c).alias(c) for c in ("hashes", "sizes", "main")))
     distinct = materialize(distinct, "distinct-pages")
     compared = materialize(compare(distinct, partners(distinct)), "shared-lines")
-    shared_lines = compared.select("host", "c1", "c2", F.explode("lines").alias("x")).select("host", "c1", "c2", "x.*")
+    shared_lines = compared.select("host", "c1", "c2", "main", F.explode("lines").alias("x")).select("host", "c1", "c2", "main", "x.*")
     gone = shared_lines.join(template_lines(compared), ["host", "hash", "main"]).groupBy("host", "c1", "c2").agg(F.collect_set("place").alias("places"))
     pages = lines.select("host", "k1", "k2", "c1", "c2").join(gone, ["host", "c1", "c2"])
     return materialize(pages.select("host", "k1", "k2", "places").dropDuplicates(["host", "k1", "k2"]), "deletions"), compared

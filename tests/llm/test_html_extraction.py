@@ -100,7 +100,8 @@ def brute(pages):
             places = table_of[others[0]]
             common[key] = places
             size = lambda page: sum(len(x) for x, _ in page)
-            if 2 * sum(len(key[i][0]) for i in places) < min(size(key), size(others[0])):
+            both, shorter = sum(len(key[i][0]) for i in places), min(size(key), size(others[0]))
+            if 2 * both < shorter if key[0][1] else both <= 0.9 * shorter:
                 pairs += 1
                 votes.update({key[i] for i in places})
         gone |= {(host, key): {i for i in places if 2 * votes[key[i]] >= pairs and votes[key[i]] >= (m.LEAST_VOTES if key[i][1] else 1)} for key, places in common.items()}
@@ -136,3 +137,25 @@ def test_alignment_of_long_pages_is_quick_and_right():
     for i in places:  # a subsequence of both
         at = b.index(a[i], at + 1)
     assert len(places) == int(m._lengths(a, b)[-1])
+
+
+def test_a_template_may_be_most_of_a_page(spark):
+    menu = [f"<div class='x{j}'>Entry number {j} of the menu</div>" for j in range(8)]
+    own = lambda k: [f"<div>Page {k} says in line {j} what only it says</div>" for j in range(4)]
+    rows = [(k, f"http://m.example/{k}", "".join(menu[:5] + own(k) + menu[5:])) for k in range(40)]
+    heavy = [f"<p>Link {j}</p>" for j in range(60)]
+    rows += [(100 + k, f"http://heavy.example/{k}", "".join(heavy + [f"<p>The only line of page {k} itself, long enough to be told from a copy of another page, one of {k * k} such lines</p>"])) for k in range(12)]
+    copies = "".join(f"<p>Paragraph {j} that all the copies of this article have, word for word</p>" for j in range(9))
+    rows += [(200 + k, f"http://copies.example/{k}", f"{copies}<p>Copy {k}</p>") for k in range(9)]
+    found = {r.page_id: r for r in m.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(found[k].n_template == 8 and found[k].text == " ".join(f"Page {k} says in line {j} what only it says" for j in range(4)) for k in range(40))
+    assert all(found[100 + k].n_template == 60 and found[100 + k].text.startswith("The only line") for k in range(12))
+    assert all(found[200 + k].n_template == 0 for k in range(9))  # near copies tell nothing of each other
+
+
+def test_a_teaser_is_not_the_page():
+    body = "".join(f"<p>Paragraph {j} of the body of the page, which stands in no article</p>" for j in range(4))
+    lines = m.lines_of(f"<div>{body}</div><article class='card'><p>Read this too</p></article>")
+    assert [x for x, _ in lines][-1] == "Read this too" and len(lines) == 5 and not any(main for _, main in lines)
+    lines = m.lines_of(f"<p>Up</p><main>{body}</main><p>Down</p>")
+    assert len(lines) == 4 and all(main for _, main in lines)
