@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..config import ENVELOPE_LIMITS, MAKING_HOLE, PUMPS_ON, DetectorConfig
@@ -68,10 +68,11 @@ def _number(c: Column | str, digits: int = 1) -> Column:
     return F.format_string(f"%.{digits}f", F.coalesce(F.round(F.col(c) if isinstance(c, str) else c, digits), F.lit(0.0)))
 
 
-def trailing_median(minutes: DataFrame, value: Column, rows: int, out: str) -> DataFrame:
+def trailing_median(minutes: DataFrame, value: Column, rows: int, out: str, order: WindowSpec | None = None) -> DataFrame:
     """Add the median of the positive values of the `rows` rows before; null unless these are contiguous with the row."""
-    window = _order().rowsBetween(-rows, -1)
-    whole = F.col("tick") - F.lag("tick", rows).over(_order()) == rows
+    order = order or _order()
+    window = order.rowsBetween(-rows, -1)
+    whole = F.col("tick") - F.lag("tick", rows).over(order) == rows
     return minutes.withColumn(out, F.when(whole, F.percentile(F.when(value > 0, value), F.lit(0.5)).over(window)))
 
 
@@ -90,6 +91,10 @@ def stick_slip_flags(minutes: DataFrame, cfg: DetectorConfig = DetectorConfig())
 
 def stick_slip(minutes: DataFrame, cfg: DetectorConfig = DetectorConfig(), step: int = 1) -> DataFrame:
     """Torque dispersion high on bottom while WOB and RPM are steady. No state is asked for."""
+    return stick_slip_events(stick_slip_flags(minutes, cfg), cfg, step)
+
+
+def stick_slip_events(flagged: DataFrame, cfg: DetectorConfig, step: int, find=long_runs) -> DataFrame:
     aggregates = [
         *_ends("hole_depth"),
         F.max("torque_nmad").alias("peak"),
@@ -101,7 +106,7 @@ def stick_slip(minutes: DataFrame, cfg: DetectorConfig = DetectorConfig(), step:
         _median(F.col("torque_valid").cast("double")).alias("valid"),
         _median(F.col("torque_zero_fill").cast("double")).alias("zeros"),
     ]
-    found = long_runs(stick_slip_flags(minutes, cfg), cfg.stick_min_minutes, aggregates)
+    found = find(flagged, cfg.stick_min_minutes, aggregates)
     level = severity(F.col("peak"), cfg.stick_watch, cfg.stick_warn, cfg.stick_alarm)
     crossed = F.when(level == "ALARM", cfg.stick_alarm).when(level == "WARN", cfg.stick_warn).otherwise(cfg.stick_watch)
     headline = F.format_string("Torque swings for %d min at %s ft: median %s ft-lb, WOB near %s klb, RPM at %s.", "minutes", _number("depth_from", 0), _number("torque", 0), _number("wob"), _number("rpm", 0))
@@ -119,28 +124,36 @@ def stick_slip(minutes: DataFrame, cfg: DetectorConfig = DetectorConfig(), step:
     return _events(found, "STICK_SLIP", "ss", level, "MEDIUM", headline, evidence, step)
 
 
-def washout_flags(minutes: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
+def washout_bases(minutes: DataFrame, cfg: DetectorConfig, order: WindowSpec | None = None) -> DataFrame:
+    """Add pressure, flow, base_spp and base_flow."""
     spp, flow = F.coalesce("SPP.mean", F.lit(0.0)), F.coalesce("MFIA.mean", F.lit(0.0))
-    out = trailing_median(minutes.withColumns({"spp": spp, "flow": flow}), F.col("spp"), cfg.washout_baseline, "base_spp")
-    out = trailing_median(out, F.col("flow"), cfg.washout_baseline, "base_flow")
-    out = out.where(F.col("state").isin(*PUMPS_ON) & (F.col("spp") >= cfg.washout_min_spp) & (F.col("flow") >= cfg.min_flow))
+    out = trailing_median(minutes.withColumns({"pressure": spp, "flow": flow}), F.col("pressure"), cfg.washout_baseline, "base_spp", order)
+    return trailing_median(out, F.col("flow"), cfg.washout_baseline, "base_flow", order)
+
+
+def washout_where(based: DataFrame, cfg: DetectorConfig) -> DataFrame:
+    out = based.where(F.col("state").isin(*PUMPS_ON) & (F.col("pressure") >= cfg.washout_min_spp) & (F.col("flow") >= cfg.min_flow))
     out = out.where((F.col("base_spp") >= cfg.washout_min_spp) & (F.col("base_flow") >= cfg.min_flow))
-    out = out.withColumn("drop_pct", (F.col("base_spp") - F.col("spp")) / F.col("base_spp") * 100)
+    out = out.withColumn("drop_pct", (F.col("base_spp") - F.col("pressure")) / F.col("base_spp") * 100)
     flow_pct = F.abs(F.col("flow") - F.col("base_flow")) / F.col("base_flow") * 100
     return out.where((F.col("drop_pct") >= cfg.washout_drop_pct) & (flow_pct <= cfg.washout_flow_pct))
 
 
 def washout(minutes: DataFrame, cfg: DetectorConfig = DetectorConfig(), step: int = 1) -> DataFrame:
     """Standpipe pressure below its trailing median while flow in holds."""
+    return washout_events(washout_where(washout_bases(minutes, cfg), cfg), cfg, step)
+
+
+def washout_events(flagged: DataFrame, cfg: DetectorConfig, step: int, find=long_runs) -> DataFrame:
     aggregates = [
         *_ends("hole_depth"),
         F.max("drop_pct").alias("peak"),
         F.min_by("base_spp", "tick").alias("base"),
-        F.min("spp").alias("lowest"),
+        F.min("pressure").alias("lowest"),
         F.min_by("flow", "tick").alias("flow_first"),
         F.max_by("flow", "tick").alias("flow_last"),
     ]
-    found = long_runs(washout_flags(minutes, cfg), cfg.washout_min_minutes, aggregates)
+    found = find(flagged, cfg.washout_min_minutes, aggregates)
     level = severity(F.col("peak"), float("-inf"), cfg.washout_warn_pct, cfg.washout_alarm_pct)
     headline = F.format_string("Standpipe pressure down %s%% for %d min at %s ft, flow in at %s gpm: possible washout.", _number("peak"), "minutes", _number("depth_from", 0), _number("flow_first", 0))
     evidence = {
@@ -154,9 +167,9 @@ def washout(minutes: DataFrame, cfg: DetectorConfig = DetectorConfig(), step: in
     return _events(found, "WASHOUT", "wo", level, "MEDIUM", headline, evidence, step)
 
 
-def episode(minutes: DataFrame, state: str = "TRIPPING_OUT", rows: int = 10, out: str = "in_trip") -> DataFrame:
+def episode(minutes: DataFrame, state: str = "TRIPPING_OUT", rows: int = 10, out: str = "in_trip", order: WindowSpec | None = None) -> DataFrame:
     """Add whether the state occurs within so many rows to either side, over gaps too."""
-    return minutes.withColumn(out, F.max(F.col("state") == state).over(_order().rowsBetween(-rows, rows)))
+    return minutes.withColumn(out, F.max(F.col("state") == state).over((order or _order()).rowsBetween(-rows, rows)))
 
 
 def trip_baseline(minutes: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
@@ -178,17 +191,21 @@ def trip_baseline(minutes: DataFrame, cfg: DetectorConfig = DetectorConfig()) ->
     return joined.drop("b_rig", "b_seg", "b_trips")
 
 
-def overpull_flags(minutes: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
-    out = trip_baseline(episode(minutes, rows=cfg.overpull_context), cfg)
-    out = out.withColumn("over", F.col("HKLA.max") - F.col("base"))
+def overpull_where(based: DataFrame, cfg: DetectorConfig) -> DataFrame:
+    """Rows of what episode() and trip_baseline() give, with over."""
+    out = based.withColumn("over", F.col("HKLA.max") - F.col("base"))
     return out.where(F.col("in_trip") & (F.col("off_bottom") > cfg.on_bottom_ft) & (F.col("base") >= cfg.overpull_min_base) & (F.col("over") >= cfg.overpull_klb))
 
 
 def overpull(minutes: DataFrame, cfg: DetectorConfig = DetectorConfig(), step: int = 1) -> DataFrame:
     """Hookload peaks above the normal pick-up weight near a trip out, the string's stalls included."""
+    return overpull_events(overpull_where(trip_baseline(episode(minutes, rows=cfg.overpull_context), cfg), cfg), cfg, step)
+
+
+def overpull_events(flagged: DataFrame, cfg: DetectorConfig, step: int, find=long_runs) -> DataFrame:
     worst = F.max_by(F.struct(F.col("bit_depth").alias("depth"), F.col("HKLA.max").alias("peak"), "base"), F.struct("over", -F.col("tick")))
     aggregates = [worst.alias("worst"), F.max("over").alias("over"), F.max_by("bit_depth", "tick").alias("depth_to")]
-    found = long_runs(overpull_flags(minutes, cfg), cfg.overpull_min_minutes, aggregates).withColumn("depth_from", F.col("worst.depth"))
+    found = find(flagged, cfg.overpull_min_minutes, aggregates).withColumn("depth_from", F.col("worst.depth"))
     level = severity(F.col("over"), float("-inf"), cfg.overpull_warn_klb, cfg.overpull_alarm_klb)
     headline = F.format_string("Overpull of %s klb while tripping out at %s ft: hookload %s klb, normal %s klb.", _number("over"), _number("depth_from", 0), _number("worst.peak"), _number("worst.base"))
     evidence = {
@@ -201,20 +218,28 @@ def overpull(minutes: DataFrame, cfg: DetectorConfig = DetectorConfig(), step: i
     return _events(found, "OVERPULL", "op", level, "HIGH", headline, evidence, step)
 
 
-def flow_flags(minutes: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
+def flow_bases(minutes: DataFrame, cfg: DetectorConfig, order: WindowSpec | None = None) -> DataFrame:
+    """Add back, flow, base_back and base_inflow."""
     back, flow = F.coalesce("MFOP.mean", F.lit(0.0)), F.coalesce("MFIA.mean", F.lit(0.0))
-    out = trailing_median(minutes.withColumns({"back": back, "flow": flow}), F.col("back"), cfg.flow_baseline, "base_back")
-    out = trailing_median(out, F.col("flow"), cfg.flow_baseline, "base_flow")
-    out = out.where(F.col("state").isin(*PUMPS_ON) & (F.col("flow") >= cfg.min_flow) & (F.col("back") > 0))
-    out = out.where((F.col("base_back") > 0) & (F.col("base_flow") >= cfg.min_flow))
-    out = out.where(F.abs(F.col("flow") - F.col("base_flow")) / F.col("base_flow") * 100 <= cfg.flow_steady_pct)
+    out = trailing_median(minutes.withColumns({"back": back, "flow": flow}), F.col("back"), cfg.flow_baseline, "base_back", order)
+    return trailing_median(out, F.col("flow"), cfg.flow_baseline, "base_inflow", order)
+
+
+def flow_where(based: DataFrame, cfg: DetectorConfig) -> DataFrame:
+    out = based.where(F.col("state").isin(*PUMPS_ON) & (F.col("flow") >= cfg.min_flow) & (F.col("back") > 0))
+    out = out.where((F.col("base_back") > 0) & (F.col("base_inflow") >= cfg.min_flow))
+    out = out.where(F.abs(F.col("flow") - F.col("base_inflow")) / F.col("base_inflow") * 100 <= cfg.flow_steady_pct)
     return out.withColumn("drift", (F.col("back") - F.col("base_back")) / F.col("base_back") * 100).where(F.abs("drift") >= cfg.flow_drift_pct)
 
 
 def flow_imbalance(minutes: DataFrame, cfg: DetectorConfig = DetectorConfig(), step: int = 1) -> DataFrame:
     """Return flow away from its trailing median while flow in is steady."""
+    return flow_events(flow_where(flow_bases(minutes, cfg), cfg), cfg, step)
+
+
+def flow_events(flagged: DataFrame, cfg: DetectorConfig, step: int, find=long_runs) -> DataFrame:
     worst = F.max_by(F.struct("drift", F.col("hole_depth").alias("depth"), "back", "base_back", "flow"), F.struct(F.abs("drift"), -F.col("tick")))
-    found = long_runs(flow_flags(minutes, cfg), cfg.flow_min_minutes, [*_ends("hole_depth"), worst.alias("worst")])
+    found = find(flagged, cfg.flow_min_minutes, [*_ends("hole_depth"), worst.alias("worst")])
     size = F.abs("worst.drift")
     level = F.when(size >= cfg.flow_warn_pct, "WARN").otherwise("WATCH")
     losing = F.col("worst.drift") < 0
@@ -243,8 +268,12 @@ def envelope_flags(minutes: DataFrame, offsets: DataFrame) -> DataFrame:
 
 def envelope_exceedance(minutes: DataFrame, offsets: DataFrame, cfg: DetectorConfig = DetectorConfig(), step: int = 1) -> DataFrame:
     """Runs of a channel above the reference well's ceiling of the same hole size."""
+    return envelope_events(envelope_flags(minutes, offsets), cfg, step)
+
+
+def envelope_events(flagged: DataFrame, cfg: DetectorConfig, step: int, find=long_runs) -> DataFrame:
     worst = F.max_by(F.struct("value", "ceiling", "section"), F.struct("value", -F.col("tick")))
-    found = long_runs(envelope_flags(minutes, offsets), cfg.envelope_min_minutes, [*_ends("hole_depth"), worst.alias("worst")], ("place", "channel"))
+    found = find(flagged, cfg.envelope_min_minutes, [*_ends("hole_depth"), worst.alias("worst")], ("place", "channel"))
     over = (F.col("worst.value") - F.col("worst.ceiling")) / F.col("worst.ceiling") * 100
     level = F.when(over >= cfg.envelope_warn_pct, "WARN").otherwise("WATCH")
     headline = F.format_string("%s ran %s%% above the reference well for %d min: %s against %s.", "channel", _number(over), "minutes", _number("worst.value", 0), _number("worst.ceiling", 0))
@@ -265,7 +294,14 @@ def detect_all(minutes: DataFrame, offsets: DataFrame, cfg: DetectorConfig = Det
     The classified buckets, some 1,440 a rig and day, are written once, and the five detectors read the columns that they need.
     """
     minutes = written(minutes.select(*BUCKET), "minutes")
-    parts = [stick_slip(minutes, cfg, step), washout(minutes, cfg, step), overpull(minutes, cfg, step), flow_imbalance(minutes, cfg, step), envelope_exceedance(minutes, offsets, cfg, step)]
+    return in_order([stick_slip(minutes, cfg, step), washout(minutes, cfg, step), overpull(minutes, cfg, step), flow_imbalance(minutes, cfg, step), envelope_exceedance(minutes, offsets, cfg, step)])
+
+
+#: Events of flagged rows, in the detectors' order.
+EVENTS_OF = (stick_slip_events, washout_events, overpull_events, flow_events, envelope_events)
+
+
+def in_order(parts: list[DataFrame]) -> DataFrame:
     marked = [p.withColumn("detector", F.lit(k)) for k, p in enumerate(parts)]
     both = reduce(DataFrame.unionByName, marked)
     number = F.regexp_extract("id", r"(\d+)$", 1).cast("long")

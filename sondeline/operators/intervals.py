@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MAKING_HOLE
 from ..functions.scalars import epoch_seconds, from_epoch_seconds, tick_start
+from ..sources.staging import written
+
+RANGE = 2048  #: ticks of a range of greedy buckets
 
 
 def _kpis(step: int) -> list[Column]:
@@ -125,23 +127,47 @@ def resample(minutes: DataFrame, channel: str, length: int, step: int = 1) -> Da
     return real.unionByName(breaks)
 
 
-def greedy_buckets(minutes: DataFrame, length: int) -> DataFrame:
-    """Add anchor: buckets of `length` ticks, each of which begins at the first observed tick after the one before.
+def _jumps(ranges: DataFrame, length: int) -> DataFrame:
+    """Add jumps: where the next bucket may begin after the range, for each of the `length` places in it from which one may begin."""
+    after = lambda e: F.aggregate("ticks", F.col("begin") + e, lambda at, x: F.when(x >= at, x + length).otherwise(at))
+    return ranges.withColumn("jumps", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(length - 1).cast("long")), after))
+
+
+def _entries(ranges: DataFrame, length: int) -> DataFrame:
+    """(rig_id, place, at): where a bucket may begin at the earliest in each range, by composing the jumps of all ranges before.
 
-    Where one begins depends on all before it, so a rig's ticks are walked in order (applyInPandas over one long column a rig).
+    Ranges are composed by doubling: after each step a range's jumps are those of twice as many ranges up to it. A step is a join of tables of
+    one row a range, and there are as many as the number of a rig's ranges has binary digits.
     """
+    now = written(_jumps(ranges, length).select("rig_id", "place", "begin", "jumps"), "jumps")
+    most, reach = now.agg(F.max("place")).first()[0] or 0, 1
+    while reach <= most:
+        before = now.select("rig_id", (F.col("place") + reach).alias("place"), F.col("begin").alias("_begin"), F.col("jumps").alias("_jumps"))
+        # Jumps go by places in the first of the ranges that they span, which begins at `begin`.
+        composed = F.transform("_jumps", lambda s: F.get("jumps", F.greatest(s - F.col("begin"), F.lit(0)).cast("int")))
+        both = now.join(before, ["rig_id", "place"], "left").withColumn("both", F.when(F.col("_jumps").isNull(), F.col("jumps")).otherwise(composed))
+        now = written(both.select("rig_id", "place", F.coalesce("_begin", "begin").alias("begin"), F.col("both").alias("jumps")), "jumps")
+        reach *= 2
+    return now.select("rig_id", (F.col("place") + 1).alias("place"), F.get("jumps", F.lit(0)).alias("at"))
+
+
+def greedy_buckets(minutes: DataFrame, length: int, ticks: int = RANGE) -> DataFrame:
+    """Add anchor: buckets of `length` ticks, each of which begins at the first observed tick after the one before.
 
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("tick", ignore_index=True)
-        ticks, anchors, at = group["tick"].to_numpy(), [], 0
-        while at < len(ticks):
-            stop = int(ticks.searchsorted(ticks[at] + length))
-            anchors += [ticks[at]] * (stop - at)
-            at = stop
-        return group.assign(anchor=anchors)
-
-    kind = minutes.schema["rig_id"].dataType.simpleString()
-    anchors = minutes.select("rig_id", "tick").groupBy("rig_id").applyInPandas(walk, f"rig_id {kind}, tick long, anchor long")
+    Where one begins depends on all before it. Within a range of ticks that is a fold, once for each place at which the range may be entered; these
+    tables of jumps are composed over the rig's ranges, and then each range knows where it is entered.
+    """
+    part = F.floor(F.col("tick") / ticks).cast("long")
+    ranges = minutes.select("rig_id", "tick", part.alias("part")).groupBy("rig_id", "part").agg(F.array_sort(F.collect_list("tick")).alias("ticks"))
+    place = F.row_number().over(Window.partitionBy("rig_id").orderBy("part")) - 1
+    ranges = written(ranges.select("rig_id", "ticks", (F.col("part") * ticks).alias("begin"), place.alias("place")), "ranges")
+    entered = ranges.join(_entries(ranges, length), ["rig_id", "place"], "left").withColumn("at", F.coalesce("at", "begin"))
+    start = F.struct(F.col("at").alias("at"), F.array().cast("array<bigint>").alias("anchors"))
+    step = lambda s, x: F.struct(
+        F.when(x >= s["at"], x + length).otherwise(s["at"]).alias("at"), F.concat(s["anchors"], F.array(F.when(x >= s["at"], x).otherwise(s["at"] - length))).alias("anchors")
+    )
+    walked = entered.select("rig_id", "ticks", F.aggregate("ticks", start, step)["anchors"].alias("anchors"))
+    anchors = walked.select("rig_id", F.inline(F.arrays_zip(F.col("ticks").alias("tick"), F.col("anchors").alias("anchor"))))
     return minutes.join(anchors, ["rig_id", "tick"])
 
 

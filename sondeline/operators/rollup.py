@@ -53,12 +53,12 @@ def normalised_mad(values: Column) -> Column:
     return F.when((F.size(values) >= 4) & (median > 0), away * 1.4826 / median)
 
 
-def rollup(samples: DataFrame, step: int = 1, channels: tuple[str, ...] = CHANNELS, rotating_rpm: float = 20.0) -> DataFrame:
+def rollup(samples: DataFrame, step: int = 1, channels: tuple[str, ...] = CHANNELS, rotating_rpm: float = 20.0, depths: bool = True) -> DataFrame:
     """One row per rig and observed bucket.
 
     samples: rig_id, ts, seq, dup_of_prev and a nullable double for each channel. A bucket's torque readings are cleaned
     in their order: zeros and less go while the string turns (mean RPM above rotating_rpm), then repeats of the reading before. One
-    shuffle by (rig_id, tick) aggregates; depth changes against the last known depth take one by rig_id.
+    shuffle by (rig_id, tick) aggregates; depth changes against the last known depth take one by rig_id, unless they are left out.
     """
     grouped = samples.groupBy("rig_id", tick("ts", step).alias("tick")).agg(
         F.count("*").alias("n"),
@@ -84,7 +84,8 @@ def rollup(samples: DataFrame, step: int = 1, channels: tuple[str, ...] = CHANNE
             "torque_ptp": F.when(median > 0, (F.array_max("kept") - F.array_min("kept")) / median),
         }
     ).drop("raw", "positive", "kept")
-    return depth_changes(out.withColumn("off_bottom", F.col("hole_depth") - F.col("bit_depth")))
+    out = out.withColumn("off_bottom", F.col("hole_depth") - F.col("bit_depth"))
+    return depth_changes(out) if depths else out
 
 
 def last_known(c: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..config import StateThresholds
@@ -14,17 +14,17 @@ def contexts(minutes: DataFrame, cfg: StateThresholds = StateThresholds()) -> Da
 
     hole_advance sums the depth gained from the window's second row on, so the first row of a window only gives the level to start from.
     """
-    segment = Window.partitionBy("rig_id", "seg").orderBy("tick")
+    return with_segments(minutes).withColumns(context_columns(Window.partitionBy("rig_id", "seg").orderBy("tick"), cfg))
+
+
+def context_columns(segment: WindowSpec, cfg: StateThresholds) -> dict[str, Column]:
     gained = F.when(F.col("seg_start"), 0.0).otherwise(F.col("d_hole"))
     near = segment.rowsBetween(-cfg.hole_rows + 1, cfg.hole_rows)
     far = segment.rowsBetween(-cfg.trip_rows, cfg.trip_rows)
-    out = with_segments(minutes)
-    return out.withColumns(
-        {
-            "hole_advance": F.coalesce(F.sum(gained).over(near), F.lit(0.0)),
-            "bit_travel": F.coalesce(F.last("bit_depth").over(far) - F.first("bit_depth").over(far), F.lit(0.0)),
-        }
-    )
+    return {
+        "hole_advance": F.coalesce(F.sum(gained).over(near), F.lit(0.0)),
+        "bit_travel": F.coalesce(F.last("bit_depth").over(far) - F.first("bit_depth").over(far), F.lit(0.0)),
+    }
 
 
 def classify(minutes: DataFrame, cfg: StateThresholds = StateThresholds()) -> DataFrame:
@@ -56,14 +56,7 @@ def smooth(minutes: DataFrame, cfg: StateThresholds = StateThresholds()) -> Data
     states shorter than min_run takes the state before it, unless it is the first run.
     """
     order = Window.partitionBy("rig_id").orderBy("tick")
-    out = minutes.withColumn("win", F.collect_list("raw_state").over(order.rowsBetween(-cfg.vote_rows, cfg.vote_rows)))
-    ranked = F.transform(
-        F.array_distinct("win"),
-        lambda v: F.struct(
-            (-F.size(F.filter("win", lambda x: x == v))).alias("votes"), (v != F.col("raw_state")).alias("other"), F.array_position("win", v).alias("place"), v.alias("state")
-        ),
-    )
-    out = out.withColumn("voted", F.array_min(ranked)["state"]).drop("win")
+    out = majority(minutes, order, cfg)
     new = F.coalesce(F.lag("voted").over(order) != F.col("voted"), F.lit(True)).cast("long")
     out = out.withColumn("new", new).withColumn("run", F.sum("new").over(order))
     length = F.count("*").over(Window.partitionBy("rig_id", "run"))
@@ -73,6 +66,18 @@ def smooth(minutes: DataFrame, cfg: StateThresholds = StateThresholds()) -> Data
     return out.withColumn("state", F.last(F.when(stays, F.col("voted")), ignorenulls=True).over(before)).drop("new", "run", "run_length")
 
 
+def majority(minutes: DataFrame, order: WindowSpec, cfg: StateThresholds) -> DataFrame:
+    """Add voted."""
+    out = minutes.withColumn("win", F.collect_list("raw_state").over(order.rowsBetween(-cfg.vote_rows, cfg.vote_rows)))
+    ranked = F.transform(
+        F.array_distinct("win"),
+        lambda v: F.struct(
+            (-F.size(F.filter("win", lambda x: x == v))).alias("votes"), (v != F.col("raw_state")).alias("other"), F.array_position("win", v).alias("place"), v.alias("state")
+        ),
+    )
+    return out.withColumn("voted", F.array_min(ranked)["state"]).drop("win")
+
+
 def apply_states(minutes: DataFrame, cfg: StateThresholds = StateThresholds()) -> DataFrame:
     """contexts, classify and smooth in turn; the rig's rows are shuffled once."""
     return smooth(classify(contexts(minutes, cfg), cfg), cfg)

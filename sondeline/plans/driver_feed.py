@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CHANNELS
-from ..operators import joins, rollup, state
+from ..operators import joins, ranges, rollup, state
+from ..sources.staging import written
 
 STEP, FINE, FLEET = 5, 1, 50
+#: Users of a rig, and the table's time over the feed's: the long feed is one rig that tells the 30 days in five.
+FLEETS, LONG = (FLEET, 36), (1 << 40, 6)
 
 Q = "(k % 2800)"  # place in the cycle
 V = "(value * 0.9871357123457e0)"  # long decimals: no rounding ties
@@ -23,9 +26,15 @@ _OFF = f"(CASE WHEN {Q} < 1400 THEN {V} * 0.00249713e0 WHEN {Q} < 2100 THEN ({Q}
 _RIG = "concat('rig', lpad(cast(g as {s}), 4, '0'))"
 #: Number of the rig, microseconds of the feed, and number of the part of a cycle, in Spark's and in the oracle's SQL.
 CLOCK = {
-    "spark": (f"user_id div {FLEET}", "(unix_micros(cast(ts as timestamp)) - 1704067200000000) div 36", "u div 21428571 + 700 * g", _RIG.format(s="string")),
-    "sql": (f"user_id // {FLEET}", "(epoch_us(ts) - 1704067200000000) // 36", "u // 21428571 + 700 * g", _RIG.format(s="VARCHAR")),
+    "spark": ("user_id div {fleet}", "(unix_micros(cast(ts as timestamp)) - 1704067200000000) div {pace}", "u div 21428571 + 700 * g", _RIG.format(s="string")),
+    "sql": ("user_id // {fleet}", "(epoch_us(ts) - 1704067200000000) // {pace}", "u // 21428571 + 700 * g", _RIG.format(s="VARCHAR")),
 }
+
+
+def clock(dialect: str, kind: tuple[int, int] = FLEETS) -> list[str]:
+    return [x.format(fleet=kind[0], pace=kind[1]) for x in CLOCK[dialect]]
+
+
 START = 1704110400  # 2024-01-01 12:00
 
 #: Channel expressions in the common part of both SQL dialects.
@@ -68,15 +77,15 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def clocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clocked(spark: SparkSession, sf_dir: str, kind: tuple[int, int] = FLEETS) -> DataFrame:
     """events with g, u and k of CLOCK, rig_id, and the feed's time in place of ts."""
-    rig, micros, part, name = CLOCK["spark"]
+    rig, micros, part, name = clock("spark", kind)
     found = events(spark, sf_dir).selectExpr("*", f"{rig} AS g", f"{micros} AS u").selectExpr("*", f"{part} AS k", f"{name} AS rig_id")
     return found.withColumn("ts", F.timestamp_micros(F.col("u") + START * 1_000_000).cast("timestamp_ntz"))
 
 
-def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = clocked(spark, sf_dir).selectExpr("rig_id", "ts", "event_id AS seq", "event_type", *(f"{x} AS {c}" for c, x in EXPRESSIONS.items()))
+def samples(spark: SparkSession, sf_dir: str, kind: tuple[int, int] = FLEETS) -> DataFrame:
+    made = clocked(spark, sf_dir, kind).selectExpr("rig_id", "ts", "event_id AS seq", "event_type", *(f"{x} AS {c}" for c, x in EXPRESSIONS.items()))
     return rollup.held_frames(made, ["event_type"]).select("rig_id", "ts", "seq", "dup_of_prev", *CHANNELS)
 
 
@@ -88,9 +97,9 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.apply_states(minutes(spark, sf_dir))
 
 
-def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+def reports(spark: SparkSession, sf_dir: str, kind: tuple[int, int] = FLEETS) -> DataFrame:
     start = f"cast(timestamp_seconds({START} + u div {STEP * 60_000_000} * {STEP * 60}) as timestamp_ntz) AS start"
-    found = clocked(spark, sf_dir).where("event_type = 'error'").selectExpr("rig_id", start, *(f"{x} AS {c}" for c, x in REPORTS.items()))
+    found = clocked(spark, sf_dir, kind).where("event_type = 'error'").selectExpr("rig_id", start, *(f"{x} AS {c}" for c, x in REPORTS.items()))
     end = (F.col("start").cast("timestamp") + F.make_dt_interval(secs=F.col("duration_hrs") * 3600)).cast("timestamp_ntz")
     return found.withColumn("end", end)
 
@@ -103,15 +112,35 @@ def sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.hole_sizes(states(spark, sf_dir), reports(spark, sf_dir))
 
 
+#: Rows of a block and ticks of a range of the long feed's queries, which have some 1,440 rows: so few that borders matter.
+LONG_ROWS, LONG_TICKS = 128, 100
+
+
+def long_minutes(spark: SparkSession, sf_dir: str, step: int = STEP) -> DataFrame:
+    """Buckets of the long feed, written once."""
+    return ranges.depth_changes(written(rollup.rollup(samples(spark, sf_dir, LONG), step, depths=False), "buckets"), LONG_TICKS)
+
+
+def long_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranges.apply_states(long_minutes(spark, sf_dir), size=LONG_ROWS, ticks=LONG_TICKS)
+
+
+def long_sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classified buckets with hole sizes; a report's tick is that of the first bucket that begins with it or later."""
+    facts = reports(spark, sf_dir, LONG).withColumn("tick", F.ceil(F.unix_seconds(F.col("start").cast("timestamp")) / (60 * STEP)).cast("long"))
+    newest = facts.groupBy("rig_id", "tick").agg(F.max_by("hole_size", F.when(F.col("hole_size").isNotNull(), F.struct("start", "idx"))).alias("hole_size")).withColumn("idx", F.lit(0))
+    return ranges.asof(long_states(spark, sf_dir), newest, "hole_size", LONG_TICKS)
+
+
 def _stats(c: str) -> str:
     quantiles = ", ".join(f"quantile_cont({c}, {q}) AS {c}_{p}" for p, q in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9)))
     return f"count({c}) AS {c}_n, avg({c}) AS {c}_mean, min({c}) AS {c}_min, max({c}) AS {c}_max, stddev_pop({c}) AS {c}_sd, {quantiles}"
 
 
-def feed_sql(step: int = STEP) -> list[tuple[str, str]]:
+def feed_sql(step: int = STEP, kind: tuple[int, int] = FLEETS) -> list[tuple[str, str]]:
     """Common table expressions from feed to sized, in order."""
     seconds = 60 * step
-    rig, micros, part, name = CLOCK["sql"]
+    rig, micros, part, name = clock("sql", kind)
     channel = ", ".join(f"{x} AS {c}" for c, x in EXPRESSIONS.items())
     values = ", ".join(f"({i}, '{s}', '{h}', {', '.join(f'{x}e0' for x in rest)})" for i, s, h, *rest in OFFSETS)
     return [
@@ -162,10 +191,10 @@ def feed_sql(step: int = STEP) -> list[tuple[str, str]]:
     ]
 
 
-def with_feed(select: str, last: str, step: int = STEP, more: tuple[tuple[str, str], ...] = ()) -> str:
+def with_feed(select: str, last: str, step: int = STEP, more: tuple[tuple[str, str], ...] = (), kind: tuple[int, int] = FLEETS) -> str:
     """A query over the expressions up to `last`, and `more` of its own."""
     found = []
-    for name, sql in feed_sql(step):
+    for name, sql in feed_sql(step, kind):
         found.append((name, sql))
         if name.split("(")[0] == last:
             break

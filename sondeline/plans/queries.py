@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..config import ACTIVITY_STATES, CHANNELS, Retrieval
 from ..functions import scalars
-from ..operators import detect, intervals, joins, quality, rollup, search, segments
+from ..sources.staging import written
+from ..operators import detect, intervals, joins, quality, ranges, rollup, search, segments
 from . import driver_feed as feed
 from .driver_feed import FINE, STEP, with_feed
 from .engine import alarm_at, distinct_values, filtered_events, observed_days, ordered, report_page
@@ -306,6 +307,36 @@ def alarm_lookup(spark, sf_dir):
     return alarm_at(events, _ALARM).select("rig_id", "id", "t_from", "t_to")
 
 
+# One long feed, by ranges
+
+
+@query(with_feed(f"SELECT rig_id, t, seg, {r('d_hole', 'hole_advance', 'bit_travel')}, raw_state, voted, state FROM states", "states", kind=feed.LONG))
+def long_feed_states(spark, sf_dir):
+    return rounded(feed.long_states(spark, sf_dir).select("rig_id", "t", "seg", "d_hole", "hole_advance", "bit_travel", "raw_state", "voted", "state"))
+
+
+@query(with_feed(f"SELECT rig_id, state, t_from, t_to, minutes, {r('depth_from', 'depth_to', 'footage', digits=4)} FROM spans", "sized", more=_SPANS, kind=feed.LONG))
+def long_feed_spans(spark, sf_dir):
+    return rounded(ranges.state_spans(feed.long_states(spark, sf_dir), STEP), 4)
+
+
+@query(with_feed("SELECT rig_id, t, hole_size FROM sized", "sized", kind=feed.LONG))
+def long_feed_hole_sizes(spark, sf_dir):
+    return feed.long_sized(spark, sf_dir).select("rig_id", "t", "hole_size")
+
+
+@query(with_feed("SELECT b.rig_id, b.t, round(b.base_spp, 8) AS base_spp, round(b.base_flow, 8) AS base_flow, in_trip, round(base, 8) AS base FROM x2_based b JOIN x3_lookup l ON b.rig_id = l.rig_id AND b.tick = l.tick", "sized", more=tuple(x for p, m in (("x2", _WASH), ("x3", _PULL)) for x in _prefixed(p, m)), kind=feed.LONG))
+def long_feed_baselines(spark, sf_dir):
+    found = ranges.bases(feed.long_sized(spark, sf_dir), size=feed.LONG_ROWS)
+    return rounded(found.select("rig_id", "t", "base_spp", "base_flow", "in_trip", "base"))
+
+
+@query(with_feed(_UNION, "offsets", more=_ALL, kind=feed.LONG))
+def long_feed_detectors(spark, sf_dir):
+    found = ranges.detect_all(feed.long_sized(spark, sf_dir), feed.offsets(spark), step=STEP, size=feed.LONG_ROWS, ticks=feed.LONG_TICKS)
+    return found.select("rig_id", "id", "type", "severity", "t_from", "t_to", "minutes")
+
+
 # Intervals and series
 
 
@@ -381,6 +412,28 @@ def greedy_series(spark, sf_dir):
     return intervals.greedy_series(feed.minutes(spark, sf_dir, FINE), *intervals.channel_parts("SPP"), 5, FINE)
 
 
+def _named_sql() -> str:
+    """The eleven series, each a row of SQL: name, mean, least, greatest, spread. Depths of four places are rounded as decimals, half up."""
+    plain = lambda name, v: (name, v, v, v, f"CASE WHEN {v} IS NOT NULL THEN 0e0 END")
+    named = [(c.lower(), *(f"{c}_{p}" for p in ("mean", "min", "max", "sd"))) for c in ("WOB", "RPM", "SPP", "HKLA", "MFIA", "MFOP")]
+    named += [("torque", "CASE WHEN TORQUE_n > 0 THEN coalesce(torque_median, TORQUE_mean) END", "TORQUE_min", "TORQUE_max", "TORQUE_sd"), ("ropChannel", *(f"ROP_{p}" for p in ("mean", "min", "max", "sd")))]
+    named += [("rop", *["coalesce(rop_calc, 0e0)"] * 3, "0e0"), plain("holeDepth", "hole_depth"), plain("bitDepth", "bit_depth")]
+    one = "SELECT rig_id, '{0}' AS series, make_timestamp(a * 60000000) AS t, round(avg({1}), 3) AS mean, CAST(round(CAST(min({2}) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS min, CAST(round(CAST(max({3}) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS max, round(sqrt(avg(({4}) * ({4}))), 3) AS sd, count({1}) AS n FROM placed GROUP BY rig_id, a"
+    return " UNION ALL ".join(one.format(*x) for x in named)
+
+
+@query(with_feed(_named_sql(), "depths", FINE, tuple((n, x.replace("FROM minute", "FROM timed")) for n, x in (("timed", "SELECT *, d_hole * 60 AS rop_calc FROM depths"), *_GREEDY))))
+def named_series(spark, sf_dir):
+    return intervals.standard_series(feed.minutes(spark, sf_dir, FINE), 5, FINE)
+
+
+@query(with_feed("SELECT rig_id, make_timestamp(a * 60000000) AS t, round(avg(SPP_mean), 3) AS mean, count(SPP_mean) AS n FROM placed GROUP BY rig_id, a", "minute", FINE, _GREEDY, feed.LONG))
+def long_feed_greedy(spark, sf_dir):
+    """The long feed by minutes, some 5,000 of 7,200, in ranges of 100 ticks."""
+    anchored = intervals.greedy_buckets(written(feed.long_minutes(spark, sf_dir, FINE), "minutes"), 5, feed.LONG_TICKS)
+    return anchored.groupBy("rig_id", scalars.tick_start("anchor", FINE).alias("t")).agg(F.round(F.avg("SPP.mean"), 3).alias("mean"), F.count("SPP.mean").alias("n"))
+
+
 @query(with_feed("SELECT rig_id, t, round(WOB_mean, 2) AS wob, round(rop_calc, 1) AS rop, round(hole_depth, 1) AS depth, state FROM states WHERE state IN ('DRILLING', 'SLIDING') AND WOB_n > 0", "states"))
 def scatter_filter(spark, sf_dir):
     return intervals.scatter(feed.states(spark, sf_dir))
