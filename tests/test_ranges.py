@@ -12,14 +12,14 @@ from sondeline.plans import driver_feed
 from sondeline.sources.staging import written
 
 
-def feed(spark, seed, rows=420):
+def feed(spark, seed, rows=420, gaps=0.04):
     """Buckets of three rigs with gaps, states of some length and missing depths."""
     rng = random.Random(seed)
     out = []
     for rig in ("a", "b", None if seed == 99 else "c"):
         tick, depth, off, mode = rng.randrange(50), 1000.0, 0.0, 0
         for _ in range(rows if rig != "c" else 7):
-            tick += 1 if rng.random() < 0.96 else rng.randrange(1, 40)
+            tick += 1 if rng.random() >= gaps else rng.randrange(1, 40)
             mode = rng.randrange(5) if rng.random() < 0.08 else mode
             depth += rng.random() * 2 if mode == 0 else 0
             off = max(0.0, off + {0: -9, 1: 9, 2: -6, 3: 0, 4: 0.3}[mode] * rng.random())
