@@ -24,6 +24,11 @@ def document_frequencies(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def frequencies_of(docs: DataFrame, text: str = "body", cfg: Retrieval = Retrieval()) -> DataFrame:
+    """document_frequencies() of texts: each text's distinct tokens, counted in one shuffle."""
+    return document_frequencies(docs.select(F.explode(F.array_distinct(tokens(text, cfg))).alias("term")))
+
+
 def asked_for(docs: DataFrame, terms: list[str], text: str = "body", cfg: Retrieval = Retrieval()) -> tuple[DataFrame, DataFrame]:
     """(postings of the given terms, one row with the number of documents and their mean length), from one pass over the texts.
 
@@ -120,24 +125,51 @@ def search(docs: DataFrame, query: str, given: Filters = Filters(), limit: int =
         hits = index.where(F.col("term").isin(*terms))  # a query's terms
         total = docs.agg(F.count("*").alias("n")).join(F.broadcast(index.agg(F.sum("tf").alias("all")))).select("n", (F.coalesce("all", F.lit(0)) / F.col("n")).alias("avg_len"))
     hits = hits.join(F.broadcast(asked), "term")
-    known = hits.groupBy("term").agg(F.count("*").alias("df"))
+    used = rated_terms(asked, hits.groupBy("term").agg(F.count("*").alias("df")), total, cfg)
+    rows = candidates(docs, scored(hits.drop("place"), used, cfg), filters, shift, boosts(filters, query, cfg), cfg)
+    top = rows.orderBy(F.desc("score"), "start", "idx").limit(limit)
+    return shown(docs.join(F.broadcast(top.select("idx", "score", "matched")), "idx"))  # no more than `limit` rows
+
+
+def rated_terms(asked: DataFrame, known: DataFrame, total: DataFrame, cfg: Retrieval) -> DataFrame:
+    """(term, place, idf, avg_len, asked) of the terms that count. known: their df; total: one row n, avg_len."""
     rated = asked.join(known, "term", "left").withColumn("df", F.coalesce("df", F.lit(0).cast("long"))).join(F.broadcast(total))
     rare = F.when(F.col("df") <= F.lit(cfg.common) * F.col("n"), 1).otherwise(0)
     count = rated.agg(F.sum(rare).alias("rare"), F.count("*").alias("every"))
     used = rated.withColumn("is_rare", rare).join(F.broadcast(count)).where((F.col("is_rare") == 1) | (F.col("rare") == 0))
     used = used.withColumn("asked", F.when(F.col("rare") > 0, F.col("rare")).otherwise(F.col("every")))
     idf = F.greatest(F.lit(0.0), F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    used = used.select("term", "place", idf.alias("idf"), "avg_len", "asked")
-    scored = hits.drop("place").join(F.broadcast(used), "term")
-    weight = F.col("idf") * (F.col("tf") * (cfg.k1 + 1)) / (F.col("tf") + cfg.k1 * (1 - cfg.b + cfg.b * F.col("len") / F.col("avg_len")))
-    found = scored.groupBy("idx").agg(F.sum(weight).alias("raw"), F.array_sort(F.collect_list(F.struct("place", "term"))).alias("m"), F.first("asked").alias("asked"))
-    found = found.where("raw > 0").withColumn("score", F.col("raw") * F.sqrt(F.size("m") / F.col("asked")))
-    rows = docs.where(condition(filters, shift)).join(found, "idx")
-    if filters.npt_only or re.search(cfg.problem, query, re.I):
-        rows = rows.withColumn("score", F.when(F.col("npt_hrs") > 0, F.col("score") * cfg.problem_boost).otherwise(F.col("score")))
-    rows = rows.withColumn("score", F.round("score", 3)).withColumn("matched", F.col("m.term"))
-    top = rows.orderBy(F.desc("score"), "start", "idx").limit(limit)
-    return top.withColumn("snippet", snippet("comment", F.col("matched"))).drop("raw", "m", "asked", "body")
+    return used.select("term", "place", idf.alias("idf"), "avg_len", "asked")
+
+
+def saturation(cfg: Retrieval, length: Column) -> Column:
+    """A posting's weight but for its term's idf; length in mean lengths."""
+    return (F.col("tf") * (cfg.k1 + 1)) / (F.col("tf") + cfg.k1 * (1 - cfg.b + cfg.b * length))
+
+
+def scored(hits: DataFrame, used: DataFrame, cfg: Retrieval) -> DataFrame:
+    """(idx, score, matched) of postings (idx, term, tf, len): weights summed up, by the share of the terms that were met."""
+    weighed = hits.join(F.broadcast(used), "term")  # a query's terms
+    weight = F.col("idf") * saturation(cfg, F.col("len") / F.col("avg_len"))
+    found = weighed.groupBy("idx").agg(F.sum(weight).alias("raw"), F.array_sort(F.collect_list(F.struct("place", "term"))).alias("m"), F.first("asked").alias("asked"))
+    return found.where("raw > 0").select("idx", (F.col("raw") * F.sqrt(F.size("m") / F.col("asked"))).alias("score"), F.col("m.term").alias("matched"))
+
+
+def boosts(filters: Filters, query: str, cfg: Retrieval) -> bool:
+    """Whether the question is about lost time, so that reports that book some count for more."""
+    return bool(filters.npt_only or re.search(cfg.problem, query, re.I))
+
+
+def candidates(docs: DataFrame, found: DataFrame, filters: Filters, shift: str | None, boost: bool, cfg: Retrieval) -> DataFrame:
+    """(idx, start, score, matched) of scored rows that meet the filters; of docs only the columns that filters and order need."""
+    rows = docs.where(condition(filters, shift)).select("idx", "start", "npt_hrs").join(found, "idx")
+    score = F.when(F.col("npt_hrs") > 0, F.col("score") * cfg.problem_boost).otherwise(F.col("score")) if boost else F.col("score")
+    return rows.select("idx", "start", F.round(score, 3).alias("score"), "matched")
+
+
+def shown(top: DataFrame) -> DataFrame:
+    """Hits in order, with snippets and without the searched text."""
+    return top.orderBy(F.desc("score"), "start", "idx").withColumn("snippet", snippet("comment", F.col("matched"))).drop("body")
 
 
 def answer(hits: DataFrame) -> DataFrame:

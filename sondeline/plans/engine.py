@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..config import CHANNELS, FINDING_RANK, SEVERITY_RANK, DetectorConfig, Retrieval, StateThresholds
 from ..functions.scalars import phase_label, tick_start, truncated
-from ..operators import detect, intervals, joins, quality, rollup, search, segments, state
+from ..operators import detect, index, intervals, joins, quality, rollup, search, segments, state
 from ..sources.feeds import BadQuery
 
 
@@ -51,6 +51,7 @@ class Engine:
     detectors: DetectorConfig = field(default_factory=DetectorConfig)
     retrieval: Retrieval = field(default_factory=Retrieval)
     counters: DataFrame | None = None
+    index: index.Index | None = None  #: of the reports, for repeated questions
 
     @classmethod
     def build(cls, samples: DataFrame, reports: DataFrame, offsets: DataFrame, step: int = 1, thresholds: StateThresholds | None = None, counters: DataFrame | None = None) -> Engine:
@@ -147,7 +148,11 @@ class Engine:
         """(citations, an answer made of them)."""
         if not isinstance(query, str) or not 1 <= len(query.strip()) <= 500:
             raise BadQuery("a question has 1 to 500 characters")
-        hits = search.search(self.reports, query.strip(), given, min(max(whole("limit", limit, 1, 1 << 30), 1), 25), self.retrieval)
+        most = min(whole("limit", limit, 1, 1 << 30), 25)
+        if self.index is None:
+            hits = search.search(self.reports, query.strip(), given, most, self.retrieval)
+        else:
+            hits = index.search(self.index, self.reports, query.strip(), given, most, self.retrieval)
         return hits.withColumn("phase", phase_label("phase1", "phase2")), search.answer(hits)
 
     def payload(self) -> dict[str, DataFrame]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import ACTIVITY_STATES, CHANNELS, Retrieval
 from ..functions import scalars
 from ..sources.staging import written
-from ..operators import detect, intervals, joins, quality, ranges, rollup, search, segments
+from ..operators import detect, index, intervals, joins, quality, ranges, rollup, search, segments
 from . import driver_feed as feed
 from .driver_feed import FINE, STEP, with_feed
 from .engine import alarm_at, distinct_values, filtered_events, observed_days, ordered, report_page
@@ -667,7 +667,7 @@ def bm25_postings(spark, sf_dir):
 
 @query(f"WITH {_TOKENS} SELECT term, count(*) AS df FROM postings GROUP BY term")
 def bm25_df(spark, sf_dir):
-    return search.document_frequencies(search.postings(log_of_documents(spark, sf_dir)))
+    return search.frequencies_of(log_of_documents(spark, sf_dir))
 
 
 _ASK = "repair of thtion hean and ouea at the night unseenword"
@@ -701,6 +701,20 @@ def bm25_filtered(spark, sf_dir):
     return search.search(log_of_documents(spark, sf_dir), "thtion hean ouea of them", given, 8).select("idx", "score", F.size("matched").cast("long").alias("matched"))
 
 
+@query(_bm25(_NIGHT, "(CASE WHEN doc_id % 7 = 0 THEN 1.6e0 ELSE 1e0 END)", _TERMS, 25))
+def bm25_indexed_topk(spark, sf_dir):
+    docs = log_of_documents(spark, sf_dir)
+    found = index.search(index.build(docs), docs, _ASK, limit=25)
+    return found.select("idx", "score", F.size("matched").cast("long").alias("matched"))
+
+
+@query(_bm25("source = 'src1' AND lang = 'en'", "1e0", ["thtion", "hean", "ouea"], 8))
+def bm25_indexed_filtered(spark, sf_dir):
+    docs = log_of_documents(spark, sf_dir)
+    found = index.search(index.build(docs), docs, "thtion hean ouea of them", search.Filters(well="src1", activity="en"), 8)
+    return found.select("idx", "score", F.size("matched").cast("long").alias("matched"))
+
+
 # Quality
 
 _BAD = {"WOB": "CASE WHEN event_id % 311 = 7 THEN '5.0E' WHEN event_id % 501 = 9 THEN ' x1 ' ELSE '3' END", "DBTM": "CASE WHEN event_id % 401 = 3 THEN '5.0E' WHEN event_id % 701 = 11 THEN 'n/a' WHEN event_id % 801 = 20 THEN '--' ELSE '' END"}
