@@ -11,8 +11,8 @@ from sondeline.llm import decontaminate, sentencepieces, simhash, suffix_dedup,
 from sondeline.llm.common import materialize, release, table, written_tables
 
 
-#: Words of a shingle of the near-duplicate stage.
-SHINGLE = 5
+#: Words of a shingle of the near-duplicate stage, and the least similarity of two texts' sets of shingles.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates by shingles of five words, the document with the least doc_id stays."""
-    return simhash.deduplicate(docs, shingle=SHINGLE)
+    return simhash.deduplicate(docs, shingle=SHINGLE, similarity=SIMILARITY)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

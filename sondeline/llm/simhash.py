@@ -11,6 +11,13 @@ and only a forest of links leaves it. The members of a larger key are not gather
 signatures that leave out one or two more bits, on which equality alone proves a distance of 2 or less, and each
 is linked to the least member of its signature. No pairs are made there, nothing is capped, and both ways give the same components.
 
+A distance of 2 is far less than near copies have: at a similarity of 0.8 of their sets of shingles some 10 of 64 bits differ. deduplicate() with a
+`similarity` therefore takes fingerprints of passages too. A text is cut where hashes of its shingles say so, each passage gets a fingerprint of
+its own shingles, and the PASSAGES least of these find candidates by equality: a changed word changes one passage or two and leaves the others.
+Of the texts that share a passage each meets the LEADERS whose passages are shared most, which are those that the others were copied from. Pairs
+are verified by the similarity of their sets of shingles, told from each set's SKETCH least hashes (exact up to that size), and link fingerprints beside
+those of 2 bits.
+
 Defined results: a null text, an empty text and one without words have fingerprint zero, which links like any other;
 a text with fewer words than a shingle is one shingle; repeated rows are rows of their own; a null doc_id never is the
 least one, except that a component of null ids alone has a null id; an empty table gives no rows.
@@ -22,7 +29,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +37,9 @@ from .common import append_columns, fresh, materialize, small_batches, table, te
 from .components import components
 
 SHINGLE, SEED, SMALL = 3, 42, 512
+PASSAGES, LEADERS, SKETCH = 6, 3, 256
+LEAST_PASSAGE, CUT = 6, 8  #: shingles of a passage at least, and of how many one begins a passage on average
+SPREAD = 64  #: parts in which a passage's leaders are sought first
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -51,6 +61,96 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def _shingle_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    import xxhash
+
+    words = text.lower().split() if text else []
+    if not words:
+        return np.zeros(0, np.uint64)
+    grams = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, max(1, len(words) - shingle + 1))
+
+
+def passage_starts(hashes: np.ndarray) -> np.ndarray:
+    """Where passages begin: at the first shingle, and at shingles whose hash says so, LEAST_PASSAGE or more after the one before."""
+    out = [0]
+    for i in np.flatnonzero(hashes % np.uint64(CUT) == 0).tolist():
+        if i - out[-1] >= LEAST_PASSAGE:
+            out.append(i)
+    if len(out) > 1 and len(hashes) - out[-1] < LEAST_PASSAGE:
+        out.pop()
+    return np.array(out)
+
+
+def signature(text: bytes | None, shingle: int) -> tuple[int, list[int], bytes]:
+    """The text's fingerprint, the least fingerprints of its passages (by a mixed order), and the least 32-bit hashes of its set of shingles."""
+    hashes = _shingle_hashes(text, shingle)
+    if not len(hashes):
+        return 0, [], b""
+    starts = passage_starts(hashes)
+    ones = np.zeros((len(starts), 64), np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        part = np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8), bitorder="little").reshape(-1, 64)
+        first = int(np.searchsorted(starts, at, "right")) - 1
+        inner = starts[first + 1 : np.searchsorted(starts, at + len(part))] - at
+        sums = np.add.reduceat(part, np.r_[0, inner], axis=0, dtype=np.int64)
+        ones[first : first + len(sums)] += sums
+    sizes = np.diff(np.r_[starts, len(hashes)])
+    made = np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    whole = int(np.packbits(2 * ones.sum(0) > len(hashes), bitorder="little").view(np.uint64)[0])
+    made = np.unique(made)
+    order = np.argsort(made * np.uint64(0x9E3779B97F4A7C15), kind="stable")
+    return whole, made[order[:PASSAGES]].view(np.int64).tolist(), np.unique((hashes >> np.uint64(32)).astype(np.uint32))[:SKETCH].tobytes()
+
+
+def similarity_of(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two sets by their least hashes; exact where neither set is cut off."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    both = np.union1d(x, y)
+    for z in (x, y):
+        if len(z) == SKETCH:
+            both = both[both <= z[-1]]
+    common = np.intersect1d(x, y, assume_unique=True)
+    return float((common <= both[-1]).sum() / len(both)) if len(both) else 1.0
+
+
+def signatures(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, out: str = "fingerprint") -> DataFrame:
+    """fingerprints(), with passages and sketch beside, and without the text."""
+    fields = [T.StructField(out, T.LongType()), T.StructField("passages", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
+
+    def make():
+        def work(column: pa.Array) -> list[pa.Array]:
+            found = [signature(t, shingle) for t in texts_of(column)]
+            whole = np.array([f for f, _, _ in found], np.uint64)
+            return [pa.array(whole.view(np.int64)), pa.array([p for _, p, _ in found], pa.list_(pa.int64())), pa.array([s for _, _, s in found], pa.binary())]
+
+        return work
+
+    return append_columns(docs, text, fields, make, drop=(text,))
+
+
+def near_links(signed: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): fingerprints (column f, with passages and sketch, each once) of texts whose sets of shingles have that similarity or more."""
+    members = materialize(signed.select("f", F.explode("passages").alias("p")), "passages")
+    shared = members.groupBy("p").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(members.join(shared, "p"), "shared-passages")
+    weight = members.groupBy("f").agg(F.sum(F.log2("n")).alias("weight"))
+    rated = members.join(weight, "f").withColumn("salt", F.pmod(F.xxhash64("f"), F.lit(SPREAD)))
+    best = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("weight"), "f"))
+    leaders = rated.withColumn("place", best("p", "salt")).where(F.col("place") <= LEADERS).withColumn("place", best("p")).where(F.col("place") <= LEADERS)
+    pairs = members.select("p", "f").join(leaders.select("p", F.col("f").alias("leader")), "p").where("f <> leader")
+    pairs = pairs.select(F.greatest("f", "leader").alias("u"), F.least("f", "leader").alias("v")).distinct()
+    side = lambda name: signed.select(F.col("f").alias(name), F.col("sketch").alias(f"sketch_{name}"))
+    joined = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "sketch_u", "sketch_v")
+
+    def run(batches):
+        for batch in batches:
+            keep = [similarity_of(a, b) >= similarity for a, b in zip(batch.column("sketch_u").to_pylist(), batch.column("sketch_v").to_pylist(), strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return joined.mapInArrow(run, "u long, v long")
+
+
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, out: str = "fingerprint", keep_text: bool = True) -> DataFrame:
     """Add the fingerprint as a signed long."""
 
@@ -165,10 +265,11 @@ def links(fps: DataFrame) -> DataFrame:
     return met.where("v is not null").select("u", "v").union(stars).distinct()
 
 
-def classes(hashed: DataFrame, doc_id: str = "doc_id", fingerprint: str = "fingerprint") -> DataFrame:
-    """(fingerprint, component_id, component): the least doc_id of all fingerprints reachable, and the least of these fingerprints. hashed has a row per document."""
+def classes(hashed: DataFrame, doc_id: str = "doc_id", fingerprint: str = "fingerprint", more: DataFrame | None = None) -> DataFrame:
+    """(fingerprint, component_id, component): the least doc_id of all fingerprints reachable, and the least of these fingerprints. hashed has a row per document; more has further links (u, v)."""
     nodes = materialize(hashed.groupBy(F.col(fingerprint).alias("f")).agg(F.min(doc_id).alias("least")), "fingerprints")
-    labels = components(links(nodes.select("f")))
+    found = links(nodes.select("f"))
+    labels = components(found if more is None else found.union(more))
     joined = nodes.join(labels, nodes["f"] == labels["node"], "left").select("f", "least", F.coalesce("component", "f").alias("c"))
     joined = materialize(joined, "classes")
     ids = joined.groupBy("c").agg(F.min("least").alias("component_id"))
@@ -181,11 +282,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return hashed.join(classes(hashed, doc_id), "fingerprint").select(doc_id, "fingerprint", "component_id")
 
 
-def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """Keep one row of each component: of those with its least doc_id the one with the least text; returns the columns of docs."""
+def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """Keep one row of each component: of those with its least doc_id the one with the least text; returns the columns of docs.
+
+    With a similarity, texts whose sets of shingles are that alike are linked as well.
+    """
     keyed = docs.select(F.col(doc_id).alias("_stay"), F.xxhash64(text).alias("_k1"), F.hash(text).alias("_k2"), F.col(text).alias("_text"))
-    hashed = materialize(fingerprints(keyed, "_text", shingle, "_f", keep_text=False), "simhash")
-    found = hashed.join(classes(hashed, "_stay", "_f"), "_f").where(F.col("_stay").eqNullSafe(F.col("component_id")))
+    if similarity is None:
+        hashed, more = materialize(fingerprints(keyed, "_text", shingle, "_f", keep_text=False), "simhash"), None
+    else:
+        hashed = materialize(signatures(keyed, "_text", shingle, "_f"), "simhash")
+        signed = hashed.groupBy(F.col("_f").alias("f")).agg(F.first("passages").alias("passages"), F.first("sketch").alias("sketch"))
+        more = near_links(materialize(signed, "signed"), similarity)
+        hashed = hashed.drop("passages", "sketch")
+    found = hashed.join(classes(hashed, "_stay", "_f", more), "_f").where(F.col("_stay").eqNullSafe(F.col("component_id")))
     # A doc_id, null too, may stand on rows of several components: ids alone don't tell which of them a row belongs to.
     found = materialize(found.groupBy("_stay", "_k1", "_k2", "component").agg(F.count("*").alias("_rows")), "near-duplicates")
     many = found.groupBy("component").agg(F.sum("_rows").alias("_n"))
