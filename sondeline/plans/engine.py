@@ -155,13 +155,14 @@ class Engine:
             hits = index.search(self.index, self.reports, query.strip(), given, most, self.retrieval)
         return hits.withColumn("phase", phase_label("phase1", "phase2")), search.answer(hits)
 
+    def cockpit(self) -> DataFrame:
+        """The dashboard's row of each bucket, rounded; nothing known is 0."""
+        return self.minutes.select("rig_id", "t", *(F.round(F.coalesce(c, F.lit(0.0)), d).alias(n) for n, c, d in cockpit_columns()), "state", "hole_size")
+
     def payload(self) -> dict[str, DataFrame]:
         """The dashboard's tables."""
-        cockpit = self.minutes.select(
-            "rig_id", "t", *(F.round(F.coalesce(c, F.lit(0.0)), d).alias(n) for n, c, d in cockpit_columns()), "state", "hole_size"
-        )
         return {
-            "cockpit": cockpit.orderBy("rig_id", "t"),
+            "cockpit": self.cockpit().orderBy("rig_id", "t"),
             "scatter": intervals.every_nth(intervals.scatter(self.minutes), ["rig_id", "t"], F.struct("rig_id", F.to_date("t").alias("day"))),
             "series": intervals.standard_series(self.minutes, 5, self.step),
             "spans": self.spans(),

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..config import ACTIVITY_STATES, CHANNELS, Retrieval
 from ..functions import scalars
-from ..sources.staging import written
+from ..sources.feeds import read_json, write_table
+from ..sources.staging import new_path, written
 from ..operators import detect, index, intervals, joins, quality, ranges, rollup, search, segments
 from . import driver_feed as feed
 from .driver_feed import FINE, STEP, with_feed
-from .engine import alarm_at, distinct_values, filtered_events, observed_days, ordered, report_page
+from .engine import Engine, alarm_at, distinct_values, filtered_events, observed_days, ordered, report_page
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -240,7 +241,7 @@ def flow_imbalance(spark, sf_dir):
 
 _ENVELOPE = (
     ("last_offsets", "SELECT hole_size, arg_max(section, idx) AS section, arg_max(max_spp, idx) AS SPP, arg_max(max_flow_rate, idx) AS MFIA, arg_max(max_torque, idx) AS TORQUE, arg_max(max_wob, idx) AS WOB FROM offsets GROUP BY hole_size"),
-    ("above", " UNION ALL ".join(f"SELECT s.rig_id, s.tick, s.hole_depth, '{c}' AS channel, s.{c}_p90 AS value, o.{c} AS ceiling FROM sized s JOIN last_offsets o USING (hole_size) WHERE state IN ('DRILLING', 'SLIDING') AND o.{c} <> 0 AND s.{c}_p90 > o.{c}" for c in ("SPP", "MFIA", "TORQUE", "WOB"))),
+    ("above", " UNION ALL ".join(f"SELECT s.rig_id, s.tick, s.hole_depth, '{c}' AS channel, s.{c}_p90 AS value, o.{c} AS ceiling, o.section FROM sized s JOIN last_offsets o USING (hole_size) WHERE state IN ('DRILLING', 'SLIDING') AND o.{c} <> 0 AND s.{c}_p90 > o.{c}" for c in ("SPP", "MFIA", "TORQUE", "WOB"))),
     *_runs_sql("above", 5, "arg_min({'v': value, 'c': ceiling}, {'o': -value, 't': tick}) AS worst, arg_min(hole_depth, tick) AS depth_from", "channel"),
 )
 
@@ -307,6 +308,66 @@ def alarm_lookup(spark, sf_dir):
     return alarm_at(events, _ALARM).select("rig_id", "id", "t_from", "t_to")
 
 
+# Evidence and headlines
+
+
+def _detail(prefix: str, least: int, columns: str, keys: str = "") -> tuple[str, str]:
+    """Events of a detector's runs with all that is told of them."""
+    part = f"rig_id, {keys}" if keys else "rig_id"
+    inner = f"SELECT {part}, min(tick) AS a, count(*) AS minutes, arg_min(hole_depth, tick) AS d1, {columns} FROM {prefix}_run_rows GROUP BY {part}, run HAVING count(*) >= {least}"
+    return f"{prefix}_told", f"SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY a) AS k FROM ({inner})"
+
+
+_TOLD = (
+    _detail("x1", 3, "max(torque_nmad) AS peak, " + ", ".join(f"quantile_cont({x}, 0.5) AS {n}" for n, x in {"torque": "torque_median", "rpm": "RPM_mean", "cov": "RPM_sd / RPM_mean", "wob": "WOB_mean", "wob_sd": "WOB_sd", "valid": "torque_valid::DOUBLE", "zeros": "torque_zero_fill::DOUBLE"}.items())),
+    _detail("x2", 5, "max(drop_pct) AS peak, arg_min(base_spp, tick) AS base, min(spp) AS lowest, arg_min(flow, tick) AS f1, arg_max(flow, tick) AS f2"),
+    _detail("x3", 1, "max(over) AS peak, arg_min({'d': bit_depth, 'h': HKLA_max, 'b': base}, {'o': -over, 't': tick}) AS w"),
+    _detail("x4", 10, "arg_min({'d': drift, 'h': hole_depth, 'v': back, 'b': base_back, 'f': flow}, {'o': -abs(drift), 't': tick}) AS w"),
+    _detail("x5", 5, "arg_min({'v': value, 'c': ceiling, 's': section}, {'o': -value, 't': tick}) AS w", "channel"),
+)
+_IDS = {"x1": "concat('ss-', k)", "x2": "concat('wo-', k)", "x3": "concat('op-', k)", "x4": "concat('fi-', k)", "x5": "concat('env-', lower(channel), '-', k)"}
+_OVER = "(w.v - w.c) / w.c * 100"
+_KEYS = {
+    "x1": {"torqueDispersionIndex": "round(peak, 2)", "thresholdCrossed": "CASE WHEN peak >= 1.21e0 THEN 1.21e0 WHEN peak >= 1.1e0 THEN 1.1e0 ELSE 0.95e0 END", "medianTorqueFtLb": "round(torque, 0)", "medianRpm": "round(rpm, 0)", "rpmSteadiness": "round(cov, 3)", "medianWobKlb": "round(wob, 1)", "wobSteadinessKlb": "round(wob_sd, 2)", "samplesUsedPerMin": "floor(valid + 0.5e0)", "zeroFillDropped": "floor(zeros + 0.5e0)"},
+    "x2": {"sppDropPct": "round(peak, 1)", "baselineSppPsi": "round(base, 0)", "lowestSppPsi": "round(lowest, 0)", "flowInGpm": "round(f1, 0)", "flowChangePct": "round(abs(f2 - f1) / f1 * 100, 2)", "sustainedMinutes": "minutes::DOUBLE"},
+    "x3": {"overpullKlb": "round(peak, 1)", "peakHookloadKlb": "round(w.h, 1)", "normalPickupKlb": "round(w.b, 1)", "bitDepthFt": "round(coalesce(w.d, 0e0), 0)", "sustainedMinutes": "minutes::DOUBLE"},
+    "x4": {"driftPct": "round(w.d, 1)", "baselineMfop": "round(w.b, 1)", "observedMfop": "round(w.v, 1)", "flowInGpm": "round(w.f, 0)", "sustainedMinutes": "minutes::DOUBLE"},
+    "x5": {"channel": "NULL", "peakValue": "round(w.v, 1)", "offsetCeiling": "w.c", "overByPct": f"round({_OVER}, 1)", "holeSection": "NULL", "sustainedMinutes": "minutes::DOUBLE"},
+}
+_EVIDENCE = " UNION ALL ".join(
+    f"SELECT rig_id, {_IDS[x]} AS id, unnest([{', '.join(repr(k) for k in keys)}]) AS key, unnest([{', '.join(keys.values())}]::DOUBLE[]) AS value, unnest([{', '.join({'channel': 'channel', 'holeSection': 'w.s'}.get(k, 'NULL') for k in keys)}]::VARCHAR[]) AS text FROM {x}_told"
+    for x, keys in _KEYS.items()
+)
+
+
+def _n(x: str, digits: int = 1) -> str:
+    return f"printf('%.{digits}f', coalesce(round({x}, {digits}), 0e0))"
+
+
+_LINES = {
+    "x1": f"concat('Torque swings for ', minutes, ' min at ', {_n('d1', 0)}, ' ft: median ', {_n('torque', 0)}, ' ft-lb, WOB near ', {_n('wob')}, ' klb, RPM at ', {_n('rpm', 0)}, '.')",
+    "x2": f"concat('Standpipe pressure down ', {_n('peak')}, '% for ', minutes, ' min at ', {_n('d1', 0)}, ' ft, flow in at ', {_n('f1', 0)}, ' gpm: possible washout.')",
+    "x3": f"concat('Overpull of ', {_n('peak')}, ' klb while tripping out at ', {_n('w.d', 0)}, ' ft: hookload ', {_n('w.h')}, ' klb, normal ', {_n('w.b')}, ' klb.')",
+    "x4": f"concat('Return flow ', CASE WHEN w.d < 0 THEN 'down ' ELSE 'up ' END, {_n('abs(w.d)')}, '% against its baseline for ', minutes, ' min at ', {_n('w.h', 0)}, ' ft, flow in steady: possible ', CASE WHEN w.d < 0 THEN 'losses.' ELSE 'gain.' END)",
+    "x5": f"concat(channel, ' ran ', {_n(_OVER)}, '% above the reference well for ', minutes, ' min: ', {_n('w.v', 0)}, ' against ', {_n('w.c', 0)}, '.')",
+}
+
+
+@query(with_feed(_EVIDENCE, "offsets", more=(*_ALL, *_TOLD)))
+def event_evidence(spark, sf_dir):
+    """Every key of every event's evidence."""
+    events = detect.detect_all(feed.sized(spark, sf_dir), feed.offsets(spark), step=STEP)
+    rows = events.select("rig_id", "id", F.explode("evidence").alias("key", "said"))
+    text = F.col("key").isin("channel", "holeSection")
+    return rows.select("rig_id", "id", "key", F.when(~text, F.col("said").try_cast("double")).alias("value"), F.when(text, F.col("said")).alias("text"))
+
+
+@query(with_feed(" UNION ALL ".join(f"SELECT rig_id, {_IDS[x]} AS id, {line} AS headline, {x != 'x3'} AS has_caveat FROM {x}_told" for x, line in _LINES.items()), "offsets", more=(*_ALL, *_TOLD)))
+def event_headlines(spark, sf_dir):
+    events = detect.detect_all(feed.sized(spark, sf_dir), feed.offsets(spark), step=STEP)
+    return events.select("rig_id", "id", "headline", F.col("caveat").isNotNull().alias("has_caveat"))
+
+
 # One long feed, by ranges
 
 
@@ -339,6 +400,35 @@ def long_feed_detectors(spark, sf_dir):
 
 # Intervals and series
 
+_COCKPIT = {"wob": ("WOB_mean", 1), "rpm": ("RPM_mean", 1), "spp": ("SPP_mean", 1), "hookload": ("HKLA_mean", 1), "flow": ("MFIA_mean", 1), "back": ("MFOP_mean", 1), "torque": ("coalesce(torque_median, TORQUE_mean)", 0), "rop": ("d_hole * 60", 1), "hole": ("hole_depth * 1.00012345678e0", 1), "bit": ("bit_depth * 1.00012345678e0", 1)}
+
+
+@query(with_feed("SELECT rig_id, t, " + ", ".join(f"round(coalesce({x}, 0e0), {d}) AS {n}" for n, (x, d) in _COCKPIT.items()) + ", state, hole_size FROM sized", "sized"))
+def cockpit_rows(spark, sf_dir):
+    minutes = feed.sized(spark, sf_dir).withColumns({c: F.col(c) * 1.00012345678 for c in ("hole_depth", "bit_depth")})  # no rounding ties
+    return Engine(minutes, feed.reports(spark, sf_dir), feed.offsets(spark), STEP).cockpit()
+
+
+@query(
+    with_feed(
+        " UNION ALL ".join(
+            f"SELECT '{name}' AS channel, rig_id, make_timestamp(slot * 1800000000) AS t, round(avg({mean}), 3) AS mean, count({mean}) AS n FROM slots GROUP BY rig_id, slot HAVING count({mean}) > 0"
+            for name, mean in (("WOB", "WOB_mean"), ("torqueDispersion", "torque_nmad"))
+        ),
+        "minute",
+        more=(("slots", f"SELECT *, CAST(floor(tick / 6) AS BIGINT) AS slot FROM minute WHERE t >= {_WINDOW[0]} AND t <= {_WINDOW[1]}"),),
+    )
+)
+def timeseries_route(spark, sf_dir):
+    """The route with its window and two channels, one of them virtual; breaks are left out."""
+    engine = Engine(feed.minutes(spark, sf_dir), None, None, STEP)
+    return engine.timeseries(["WOB", "torqueDispersion"], _FROM.isoformat(), _TO.isoformat(), 30).where("n > 0").select("channel", "rig_id", "t", "mean", "n")
+
+
+@query("SELECT event_id, CAST(floor(value * 2 + 0.5e0) AS BIGINT) AS nearest, CAST(floor(-floor(value) / 2 + 0.5e0) AS BIGINT) AS halves FROM events")
+def half_up_rounding(spark, sf_dir):
+    return feed.events(spark, sf_dir).select("event_id", scalars.half_up(F.col("value") * 2).cast("long").alias("nearest"), scalars.half_up(-F.floor("value") / 2).cast("long").alias("halves"))
+
 
 def _interval_sql(step: int, length: int) -> str:
     us = step * 60_000_000
@@ -715,6 +805,28 @@ def bm25_indexed_filtered(spark, sf_dir):
     return found.select("idx", "score", F.size("matched").cast("long").alias("matched"))
 
 
+_HITS = _bm25(_NIGHT, "(CASE WHEN doc_id % 7 = 0 THEN 1.6e0 ELSE 1e0 END)", _TERMS, 25).replace("count(*) AS m,", "count(*) AS m, list(term) AS ts,").replace("m AS matched FROM", "ts, text, source, lang, doc_id, make_timestamp((doc_id * 3600 + 1704067200) * 1000000) AS stamp, CASE WHEN doc_id % 7 = 0 THEN 1.5e0 ELSE 0e0 END AS npt FROM")
+
+
+@query(
+    f"""WITH hits AS ({_HITS}), clean AS (SELECT *, trim(regexp_replace(regexp_replace(text, '\\s*\\n\\s*', ' / ', 'g'), '\\s{{2,}}', ' ', 'g')) AS c FROM hits),
+placed AS (SELECT *, list_min(list_transform(range(0, greatest(length(c) - 41, 0) + 1, 20), lambda s: {{'miss': -len(list_filter(ts, lambda t: contains(lower(c[s + 1 : s + 240]), t))), 'begin': s}})).begin AS p FROM clean)
+SELECT idx, score, CASE WHEN length(c) <= 240 THEN c ELSE concat(CASE WHEN p > 0 THEN '...' ELSE '' END, trim(c[p + 1 : p + 240]), CASE WHEN p + 240 < length(c) THEN '...' ELSE '' END) END AS snippet FROM placed"""
+)
+def hit_snippets(spark, sf_dir):
+    return search.search(log_of_documents(spark, sf_dir), _ASK, limit=25).select("idx", "score", "snippet")
+
+
+@query(
+    f"""WITH hits AS ({_HITS}), facts AS (SELECT count(*) AS n, array_to_string(list_sort(list(DISTINCT source)), ' and ') AS wells, array_to_string(list_sort(list(DISTINCT lang)), ', ') AS acts, min(stamp) AS a, max(stamp) AS b,
+  count(*) FILTER (npt > 0) AS k, coalesce(sum(npt) FILTER (npt > 0), 0e0) AS hours, arg_min({{'h': npt, 's': stamp, 'a': lang}}, {{'s': -score, 't': stamp, 'i': idx}}) FILTER (npt > 0) AS top FROM hits)
+SELECT concat('I found ', n, ' report lines on ', wells, ', from ', strftime(a, '%Y-%m-%d %H:%M'), ' to ', strftime(b, '%Y-%m-%d %H:%M'), ' (rig time), under ', acts, '.',
+  CASE WHEN k > 0 THEN concat(' ', k, ' of those book non-productive time, ', printf('%.2f', hours), ' hours in all; the first booked ', printf('%.2f', top.h), ' on ', strftime(top.s, '%Y-%m-%d %H:%M'), ', under ', top.a, '.') ELSE '' END) AS answer FROM facts"""
+)
+def composed_answer(spark, sf_dir):
+    return search.answer(search.search(log_of_documents(spark, sf_dir), _ASK, limit=25))
+
+
 # Quality
 
 _BAD = {"WOB": "CASE WHEN event_id % 311 = 7 THEN '5.0E' WHEN event_id % 501 = 9 THEN ' x1 ' ELSE '3' END", "DBTM": "CASE WHEN event_id % 401 = 3 THEN '5.0E' WHEN event_id % 701 = 11 THEN 'n/a' WHEN event_id % 801 = 20 THEN '--' ELSE '' END"}
@@ -734,9 +846,12 @@ def bad_cell_examples(spark, sf_dir):
     "SELECT event_id, try_cast(json_extract_string(made, '$.a.v') AS DOUBLE) AS v, json_extract_string(made, '$.a.k') AS k, CAST(json_array_length(made, '$.l') AS INT) AS n FROM (SELECT event_id, to_json({'a': {'k': event_type, 'v': floor(value)}, 'l': [user_id, event_id]}) AS made FROM events)"
 )
 def json_round_trip(spark, sf_dir):
-    made = table(spark, sf_dir, "events").selectExpr("event_id", "to_json(struct(struct(event_type AS k, cast(floor(value) AS double) AS v) AS a, array(user_id, event_id) AS l)) AS made")
-    back = made.select("event_id", F.from_json("made", "a struct<k: string, v: double>, l array<bigint>").alias("x"))
-    return back.select("event_id", F.col("x.a.v").alias("v"), F.col("x.a.k").alias("k"), F.size("x.l").alias("n"))
+    """A nested table written as JSON lines by the library, and read again."""
+    made = table(spark, sf_dir, "events").selectExpr("event_id", "struct(event_type AS k, cast(floor(value) AS double) AS v) AS a", "array(user_id, event_id) AS l")
+    path = new_path(spark, "json")
+    write_table(made, path, as_json=True)
+    back = read_json(spark, path, "event_id long, a struct<k: string, v: double>, l array<bigint>")
+    return back.select("event_id", F.col("a.v").alias("v"), F.col("a.k").alias("k"), F.size("l").alias("n"))
 
 
 _RAW = {"WOB": "CASE WHEN event_id % 311 = 0 THEN '5.0E' WHEN event_id % 31 = 0 THEN '-2' ELSE cast(cast(floor(value) as bigint) as {s}) END", "DBTM": "CASE WHEN event_id % 50 = 0 THEN '0' ELSE '100' END"}
@@ -756,13 +871,16 @@ def quality_counters(spark, sf_dir):
     with_feed(
         """SELECT id, affected_rows, round(1e2 * affected_rows / total, 2) AS affected_pct FROM (
   SELECT unnest(['minute-precision', 'torque-zero-fill', 'rop-never-zero', 'dbtm-zero', 'non-numeric', 'held-frames', 'feed-gaps', 'wob-negative', 'torque-units', 'mfop-scale']) AS id,
-    unnest([total, zf, total, z, 0, h, 0, w, total, total]) AS affected_rows, total FROM (
-  SELECT (SELECT count(*) FROM feed) AS total, (SELECT CAST(sum(torque_zero_fill) AS BIGINT) FROM minute) AS zf, 0 AS z, (SELECT count(*) FROM feed WHERE dup) AS h, (SELECT count(*) FROM feed WHERE WOB < 0) AS w))""",
+    unnest([total, zf, total, z, x, h, 0, w, total, total]) AS affected_rows, total FROM (
+  SELECT (SELECT count(*) FROM feed) AS total, (SELECT CAST(sum(torque_zero_fill) AS BIGINT) FROM minute) AS zf, (SELECT count(*) FROM feed WHERE seq % 61 = 5) AS z, (SELECT count(*) FROM feed WHERE seq % 83 = 7) AS x, (SELECT count(*) FROM feed WHERE dup) AS h, (SELECT count(*) FROM feed WHERE WOB < 0) AS w))""",
         "minute",
     )
 )
 def quality_report(spark, sf_dir):
     made = feed.samples(spark, sf_dir)
-    cells = made.withColumns({f"num_{c}": F.col(c) for c in CHANNELS}).withColumns({c: F.col(c).cast("string") for c in CHANNELS})
+    # Some cells of the feed read 0 or aren't numbers.
+    bad = {"DBTM": F.when(F.col("seq") % 61 == 5, "0"), "SPP": F.when(F.col("seq") % 83 == 7, "5.0E")}
+    cells = made.withColumns({c: F.coalesce(bad.get(c, F.lit(None)), F.col(c).cast("string")) for c in CHANNELS})
+    cells = cells.withColumns({f"num_{c}": scalars.parse_number(c) for c in CHANNELS})
     minutes = rollup.rollup(made, STEP)
     return quality.findings(quality.counters(cells), minutes, segments.feed_gaps(minutes, STEP)).select("id", "affected_rows", "affected_pct")
