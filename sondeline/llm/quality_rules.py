@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, materialize, table, texts_of
+from .common import append_columns, fresh, materialize, table, texts_of
 
 WINDOW, LEAST_WORDS, REPEAT_PERCENT = 8, 20, 30
 SYMBOL_PERCENT, DUP_LINE_PERCENT = 10, 30
@@ -144,24 +144,25 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", keep_text:
 
     With keep_text the texts are measured twice, once for the hosts' sums; without, measures are written and read again.
     """
-    docs = docs.withColumn("__host", F.col(host)).drop(*(c for c in ADDED if c != text))
+    given_host, of, salt, own_salt = fresh(docs, "_host", "_of", "_salt", "_own_salt")
+    docs = docs.withColumn(given_host, F.col(host)).drop(*(c for c in ADDED if c != text))
     ruled = rules(measures(docs, text, keep_text))
     if not keep_text:
         ruled = materialize(ruled, "quality-measures")
     given = ["host_ok", *(f"trusted_{r}" for r in SOFT)]
-    verdicts = materialize(host_verdicts(ruled, "__host"), "host-verdicts").select(F.col("host").alias("__of"), *given)
+    verdicts = materialize(host_verdicts(ruled, given_host), "host-verdicts").select(F.col("host").alias(of), *given)
     if verdicts.count() <= BROADCAST_HOSTS:
-        joined = ruled.join(F.broadcast(verdicts), F.col("__host") == F.col("__of"), "left")
+        joined = ruled.join(F.broadcast(verdicts), F.col(given_host) == F.col(of), "left")
     else:
-        salted = verdicts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        left = ruled.withColumn("__salt0", F.pmod(F.xxhash64(*MEASURES), F.lit(SALTS)).cast("int"))
-        joined = left.join(salted, (F.col("__host") == F.col("__of")) & (F.col("__salt0") == F.col("__salt")), "left").drop("__salt", "__salt0")
+        salted = verdicts.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        left = ruled.withColumn(own_salt, F.pmod(F.xxhash64(*MEASURES), F.lit(SALTS)).cast("int"))
+        joined = left.join(salted, (F.col(given_host) == F.col(of)) & (F.col(own_salt) == F.col(salt)), "left").drop(salt, own_salt)
     joined = joined.withColumn("host_ok", F.coalesce("host_ok", F.lit(True)))
     kept = ~F.col("base_failed") & F.col("host_ok")
     for r in SOFT:
         joined = joined.withColumn(f"trusted_{r}", F.coalesce(f"trusted_{r}", F.lit(False)))
         kept = kept & (~F.col(f"fails_{r}") | F.col(f"trusted_{r}"))
-    return joined.withColumn("kept", kept).drop("__host", "__of")
+    return joined.withColumn("kept", kept).drop(given_host, of)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

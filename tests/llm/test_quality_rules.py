@@ -64,3 +64,10 @@ def test_clashing_and_other_columns(spark):
             m.BROADCAST_HOSTS = before
         assert (row.host, row._salt, row.extra, row.host_ok, row.kept, row.text) == ("mine", 7, {"k": 1}, True, True, text)
     assert m.judge(d, host="host").first().kept
+
+
+def test_no_column_of_the_input_is_lost(spark):
+    names = ["__host", "__of", "__salt", "__salt0", "_host", "_of", "_salt", "_own_salt"]
+    d = spark.createDataFrame([(1, "a few words of text here", "h", *names)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    (row,) = m.judge(d).collect()
+    assert [row[n] for n in names] == names
