@@ -16,7 +16,7 @@ from ..config import Retrieval
 from ..sources.staging import new_path
 from .search import Filters, boosts, candidates, expanded, inferred, postings, rated_terms, saturation, scored, shift_of, shown
 
-BLOCK = 1024  #: report numbers of a block
+BLOCK = 1 << 14  #: report numbers of a block
 FIRST = 8  #: blocks that are scored to get a bound
 
 
@@ -32,19 +32,25 @@ class Index:
 
 
 def build(docs: DataFrame, path: str | None = None, block: int = BLOCK, cfg: Retrieval = Retrieval(), files: int | None = None) -> Index:
-    """Write the index of docs (idx, body); without a path in the shared folder, until the process ends. Runs jobs; texts are tokenised once."""
+    """Write the index of docs (idx, body); without a path in the shared folder, until the process ends. Runs jobs; texts are tokenised once.
+
+    Texts are shuffled by idx, so that a report's terms are counted where they are; what is shuffled after that is a row for each report and file, not for each posting.
+    """
     spark = docs.sparkSession
     made = Index(spark, path or new_path(spark, "index"))
-    found = postings(docs, cfg=cfg).withColumn("block", F.floor(F.col("idx") / block).cast("long"))
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found.repartition(files, "term").sortWithinPartitions("term", "block", "idx").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{made.path}/postings")
+    found = postings(docs.select("idx", "body").repartition("idx"), cfg=cfg).withColumn("file", F.pmod(F.xxhash64("term"), F.lit(files)))
+    packed = found.groupBy("idx", "file").agg(F.first("len").alias("len"), F.collect_list(F.struct("term", "tf")).alias("held"))  # no more than the text's length
+    dealt = packed.repartition(files, "file").select("idx", "len", F.floor(F.col("idx") / block).cast("long").alias("block"), F.inline("held"))
+    dealt = dealt.select("term", "block", "idx", "tf", "len").sortWithinPartitions("term", "block", "idx")
+    dealt.write.mode("overwrite").option("parquet.block.size", 8 << 20).option("compression", "zstd").parquet(f"{made.path}/postings")
     stored = made.table("postings")
-    lengths = stored.groupBy("idx").agg(F.first("len").alias("len")).agg(F.coalesce(F.sum("len"), F.lit(0)).alias("all"))
+    lengths = stored.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("all"))
     totals = docs.agg(F.count("*").alias("n"), F.count("body").alias("texts")).join(F.broadcast(lengths))
     totals = totals.select("n", (F.col("all") / F.when(F.col("texts") > 0, F.col("texts"))).alias("avg_len"))
     totals.write.mode("overwrite").parquet(f"{made.path}/totals")
     tops = stored.join(F.broadcast(made.table("totals"))).groupBy("term", "block").agg(F.max(saturation(cfg, F.col("len") / F.col("avg_len"))).alias("top"), F.count("*").alias("n"))
-    tops.repartition(files, "term").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{made.path}/bounds")
+    tops.sortWithinPartitions("term", "block").write.mode("overwrite").option("compression", "zstd").parquet(f"{made.path}/bounds")
     made.table("bounds").groupBy("term").agg(F.sum("n").alias("df")).write.mode("overwrite").parquet(f"{made.path}/terms")
     return made
 
