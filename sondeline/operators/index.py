@@ -40,9 +40,9 @@ def build(docs: DataFrame, path: str | None = None, block: int = BLOCK, cfg: Ret
     made = Index(spark, path or new_path(spark, "index"))
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = postings(docs.select("idx", "body").repartition("idx"), cfg=cfg).withColumn("file", F.pmod(F.xxhash64("term"), F.lit(files)))
-    packed = found.groupBy("idx", "file").agg(F.first("len").alias("len"), F.collect_list(F.struct("term", "tf")).alias("held"))  # no more than the text's length
-    dealt = packed.repartition(files, "file").select("idx", "len", F.floor(F.col("idx") / block).cast("long").alias("block"), F.inline("held"))
-    dealt = dealt.select("term", "block", "idx", "tf", "len").sortWithinPartitions("term", "block", "idx")
+    packed = found.groupBy("idx", "file").agg(F.first("len").alias("len"), F.collect_list("term").alias("term"), F.collect_list(F.col("tf").cast("int")).alias("tf"))  # no more than the text's length
+    dealt = packed.repartition(files, "file").select("idx", "len", F.floor(F.col("idx") / block).cast("long").alias("block"), F.inline(F.arrays_zip("term", "tf")))
+    dealt = dealt.select("term", "block", "idx", F.col("tf").cast("long").alias("tf"), "len").sortWithinPartitions("term", "block", "idx")
     dealt.write.mode("overwrite").option("parquet.block.size", 8 << 20).option("compression", "zstd").parquet(f"{made.path}/postings")
     stored = made.table("postings")
     lengths = stored.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("all"))

@@ -16,7 +16,8 @@ from ..sources.staging import written
 
 def postings(docs: DataFrame, text: str = "body", key: str = "idx", cfg: Retrieval = Retrieval()) -> DataFrame:
     """(key, term, tf, len): term frequencies and the document's length in tokens; documents without a token have none."""
-    terms = docs.select(key, tokens(text, cfg).alias("terms")).select(key, F.size("terms").cast("long").alias("len"), F.explode("terms").alias("term"))
+    terms = docs.select(key, tokens(text, cfg).alias("terms")).select(key, F.size("terms").cast("long").alias("len"), F.explode_outer("terms").alias("term"))
+    terms = terms.where("term is not null")  # the outer form, as the plain one has the planner tokenise once more in a filter
     return terms.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
