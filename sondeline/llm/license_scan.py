@@ -152,10 +152,16 @@ def _wrapped(holding: DataFrame, key: list[str], prefixes: DataFrame, first: Col
     reach = max(row[3] for row in order)
     order = holding.sparkSession.createDataFrame(order, "number int, ordered array<string>, need_ordered int, width int")
     words = holding.where(F.col("_text").contains("\n")).select(*key, words_of(F.col("_text")).alias("words")).withColumn("_first", first)
+    # A place is written as one string, its word, the number of words kept before it, and the words around it: equal strings are found
+    # by hashing, where equal structs or arrays would be compared pair by pair.
     near = f"""transform(filter(sequence(0, size(words) - 1), i -> array_contains(_first, words[i])),
-        i -> struct(words[i] AS w, slice(words, greatest(i - {reach} + 2, 1), i + {reach} - greatest(i - {reach} + 1, 0)) AS near))"""
-    near = words.select(*key, F.explode(F.array_distinct(F.expr(near))).alias("_at")).select(*key, "_at.*")
+        i -> concat_ws(' ', words[i], least(i, {reach} - 1), array_join(slice(words, greatest(i - {reach} + 2, 1), i + {reach} - greatest(i - {reach} + 1, 0)), ' ')))"""
+    near = words.select(*key, F.explode(F.array_distinct(F.expr(near))).alias("_at")).select(*key, F.split("_at", " ").alias("_at"))
+    near = near.select(*key, F.col("_at")[0].alias("w"), F.col("_at")[1].cast("int").alias("before"), F.expr("slice(_at, 3, size(_at) - 2)").alias("near"))
     pairs = near.join(F.broadcast(prefixes), "w").join(F.broadcast(order), "number")
+    # Of what is around, a template's windows reach no farther than its own width.
+    own = "slice(near, greatest(before - width + 2, 1), before + width - greatest(before - width + 1, 0))"
+    pairs = pairs.withColumn("near", F.expr(own)).drop("before")
     pairs = pairs.where(F.size(F.array_intersect("template", "near")) >= F.col("need"))
     pairs = pairs.withColumn("window", F.explode(F.expr("transform(sequence(1, greatest(1, size(near) - width + 1)), s -> slice(near, s, width))")))
     pairs = pairs.withColumn("overlap", F.size(F.array_intersect("template", "window"))).where("overlap >= need")

@@ -63,3 +63,15 @@ def test_notices_wrapped_over_lines(spark):
     n = len(m.template_words(m.TEMPLATES[2][1]))
     assert got[5000].labels == ["mit"] and got[5000].score == (n - 1) / n
     assert got[5001].labels == got[5002].labels == []
+
+
+def test_places_in_long_texts_are_found_in_linear_time(spark):
+    """Places by the ten thousand in one text: no two of them are compared, and each keeps its own windows."""
+    import time
+
+    many = "\n".join(f"rights reserved all x y z{k}" for k in range(12_000))
+    rows = [(1, many), (2, many + "\nall\nrights reserved"), (3, "all\nrights\n" * 3 + "reserved"), (4, "reserved\nrights\nall\n" * 3)]
+    began = time.monotonic()
+    got = {r.doc_id: r for r in m.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.monotonic() - began < 60
+    assert [got[k].labels for k in (1, 2, 3, 4)] == [["all-rights-reserved"]] * 2 + [["all-rights-reserved"], []]
