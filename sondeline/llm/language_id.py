@@ -7,7 +7,8 @@ smallest sizes lie closer than MARGIN of the text's own size, the choice is mark
 
 A language's dictionary is made of at most DICTIONARY bytes, and all together of at most ALL_BYTES, which is what is broadcast: pieces of
 distinct documents chosen by a hash, each a whole text or, of one longer than an eighth of the dictionary, a part that begins where a hash says.
-So a language that has long texts only, or few, is learned like any other. More than LANGUAGES languages are refused. Every text is encoded whole.
+So a language that has long texts only, or few, is learned like any other. Where a table has more than LANGUAGES languages, those with most documents
+are learned, by name where these are equal, and every text is answered by one of them. Every text is encoded whole.
 
 Defined results: `und` with score 0 for a null text and for one without a letter, and everywhere if nothing can be
 learned; the language with more documents wins a tie, then the name; null languages and ids aren't learned from; repeated
@@ -35,11 +36,9 @@ def learn(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lang: str
     rows = rows.where(where) if where is not None else rows
     rows = rows.select(F.col(lang).alias("lang"), F.xxhash64(doc_id, text).alias("h"), F.col(text).cast("binary").alias("t"))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("d")).orderBy(F.desc("n"), "lang")
-    counted = counts.limit(LANGUAGES + 1).collect()
+    counted = counts.limit(LANGUAGES).collect()
     if not counted:
         return []
-    if len(counted) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
     most = min(DICTIONARY, ALL_BYTES // len(counted))
     # A hash below a language's share leaves a few times SAMPLE distinct documents of it, however many it has.
     shares = docs.sparkSession.createDataFrame([(r["lang"], 4.0 * SAMPLE / max(r["d"], 1)) for r in counted], "_lang string, _share double")

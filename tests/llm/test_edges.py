@@ -7,7 +7,6 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-import pytest
 from pyspark.sql import functions as F
 
 from sondeline.llm import decontaminate, language_id, quality_classifier, simhash, suffix_dedup, toxicity
@@ -35,12 +34,53 @@ def test_repeated_rows_do_not_grow_dictionaries(spark):
     d = spark.range(900).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text"), F.lit("aa").alias("lang"))
     ((name, content),) = language_id.learn(d)
     assert name == "aa" and len(content) <= len(text)
-    before, language_id.LANGUAGES = language_id.LANGUAGES, 1
+
+
+def test_languages_with_most_documents_are_learned_beyond_the_bound(spark):
+    """Every text is answered, however many languages a table has; of equal ones the names in order are learned."""
+    rng = random.Random(8)
+    rows = [(100 * g + k, words(rng, 80, "abcdef"), name) for g, (name, n) in enumerate((("dd", 2), ("bb", 2), ("cc", 3), ("aa", 1))) for k in range(n)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    before, language_id.LANGUAGES = language_id.LANGUAGES, 2
     try:
-        with pytest.raises(ValueError, match="languages"):
-            language_id.learn(d.union(d.withColumn("lang", F.lit("bb"))))
+        learned = language_id.learn(d)
     finally:
         language_id.LANGUAGES = before
+    assert [name for name, _ in learned] == ["cc", "bb"]
+    assert {r.lang_pred for r in language_id.identify(d, learned).collect()} <= {"bb", "cc"}
+
+
+def test_languages_equal_plain_compression(spark):
+    """Sizes by the library's plain calls, one dictionary and piece at a time: choice, score, ties and rejection."""
+    import zstandard as z
+
+    rng = random.Random(9)
+    parts = {"aa": "abcdefg", "bb": "fghijkl", "cc": "opqrstu"}
+    learned = [(name, words(rng, 700, letters).encode()) for name, letters in parts.items()]
+    learned.append(("twin", learned[0][1]))  # the same dictionary: the first wins, by no margin
+    texts = ["", None, "12 !", "x", "É", "ab " * 30_000]
+    texts += [words(rng, n, parts[a] + parts[b]) for a in parts for b in parts for n in (1, 3, 20, 9_000)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for given in (learned, learned[:3], learned[:1], []):
+        got = {r.doc_id: r for r in language_id.identify(d, given).collect()}
+        for k, text in enumerate(texts):
+            low = (text or "").lower()
+            if not given or not re.search(r"[^\W\d_]", low):
+                assert (got[k].lang_pred, got[k].score, got[k].rejected) == ("und", 0, True)
+                continue
+            raw, sizes = low.encode(), []
+            for _, content in given:
+                size = 0
+                for at in range(0, len(raw), 16384):
+                    made = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+                    plain = z.ZstdCompressor(level=6, dict_data=made, write_checksum=False, write_content_size=False, write_dict_id=False)
+                    size += len(plain.compress(raw[at : at + 16384]))
+                sizes.append(size)
+            least = min(sizes)
+            share = 1 / sum(2.0 ** (-min(s - least, 60) / 2) for s in sizes)
+            others = sorted(sizes)[1:]
+            narrow = bool(others) and others[0] - least < 0.01 * len(raw)
+            assert got[k].lang_pred == given[sizes.index(least)][0] and abs(got[k].score - share) < 1e-9 and got[k].rejected == narrow, k
 
 
 def test_neighbours_vote_as_in_plain_loops():
