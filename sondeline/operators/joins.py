@@ -45,17 +45,69 @@ def busiest_overlap(window: DataFrame, reports: DataFrame, name: str = "well") -
     return window.select("rig_id").join(top, "rig_id", "left").select("rig_id", F.coalesce(name, F.lit("UNKNOWN")).alias(name), F.coalesce("reports", F.lit(0).cast("long")).alias("reports"))
 
 
+BITS, LEVELS = 4, 14  #: a piece of level n is 2**(BITS * n) whole numbers long, and begins at a multiple of that
+
+
+def pieces(intervals: DataFrame, first: str = "first", until: str = "until") -> DataFrame:
+    """Cut every interval [first, until) of whole numbers into aligned pieces, and add level and piece, its number on that level.
+
+    There are at most 30 pieces of each level below an interval's longest piece, so their number grows with the logarithm of the interval's length.
+    An interval that is empty, reversed or without a bound has none. Bounds lie within 2**55 of 0.
+    """
+    length = F.col(until) - F.col(first)
+    top = F.least(F.lit(LEVELS - 1), F.floor(F.log2(length) / BITS).cast("int"))
+    cut = intervals.where(length > 0).withColumn("level", F.explode(F.sequence(F.lit(0), top)))
+    begin = lambda level: f"shiftright({first} + shiftleft(1L, {BITS} * {level}) - 1, {BITS} * {level})"
+    end = lambda level: f"shiftright({until}, {BITS} * {level})"
+    cut = cut.withColumns({"_a": F.expr(begin("level")), "_b": F.expr(end("level"))}).where("_a < _b")
+    # What the next level takes, from _c to before _d; the rest of [_a, _b) is this level's own.
+    cut = cut.withColumn("_c", F.expr(f"least(shiftleft({begin('(level + 1)')}, {BITS}), _b)"))
+    cut = cut.withColumn("_d", F.expr(f"greatest(shiftleft({end('(level + 1)')}, {BITS}), _c)"))
+    own = [F.expr(f"if({x} < {y}, sequence({x}, {y} - 1), cast(array() as array<bigint>))") for x, y in (("_a", "_c"), ("_d", "_b"))]
+    return cut.withColumn("piece", F.explode(F.concat(*own))).drop("_a", "_b", "_c", "_d")
+
+
+def within(points: DataFrame, intervals: DataFrame, keys: list[str], at: str = "at", first: str = "first", until: str = "until") -> DataFrame:
+    """Range join: every point with each interval of equal keys that has first <= at < until; repeated rows on either side count each.
+
+    Intervals are cut into aligned pieces and a point asks once on each level that has pieces, so equality joins them whatever their length. Columns
+    are the keys, then those of the intervals but for first and until, then those of the points; names of both sides must differ.
+    Null keys, points and bounds meet nothing.
+    """
+    cut = pieces(intervals, first, until).drop(first, until)
+    levels = cut.agg(F.collect_set("level").alias("_levels"))  # one row of LEVELS numbers at most
+    asked = points.crossJoin(F.broadcast(levels)).withColumn("level", F.explode("_levels")).drop("_levels")
+    asked = asked.withColumn("piece", F.expr(f"shiftright(cast({at} as bigint), {BITS} * level)"))
+    return cut.join(asked, [*keys, "level", "piece"]).drop("level", "piece")
+
+
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], first: str = "first", until: str = "until") -> DataFrame:
+    """(keys, l, r): every pair of intervals of equal keys that share a whole number, as structs of the two rows; no pair comes twice.
+
+    Of two such intervals the later one begins within the other: either the right one at or after the left one's beginning, or the left one
+    after the right one's. Empty intervals overlap nothing.
+    """
+    whole = {name: df.where(F.col(first) < F.col(until)) for name, df in (("l", left), ("r", right))}
+    flat = {name: [F.col(c).alias(f"_{name}{k}") for k, c in enumerate(df.columns)] for name, df in whole.items()}
+    rows = [F.struct(*(F.col(f"_{name}{k}").alias(c) for k, c in enumerate(df.columns))).alias(name) for name, df in whole.items()]
+    found = []
+    for outer, inner, later in (("l", "r", 0), ("r", "l", 1)):
+        spans = whole[outer].select(*keys, (F.col(first) + later).alias("_first"), F.col(until).alias("_until"), *flat[outer])
+        starts = whole[inner].select(*keys, F.col(first).alias("_at"), *flat[inner])
+        found.append(within(starts, spans, keys, "_at", "_first", "_until").select(*keys, *rows))
+    return found[0].unionByName(found[1])
+
+
 def covered_buckets(minutes: DataFrame, reports: DataFrame, step: int = 1, columns: tuple[str, ...] = ()) -> DataFrame:
     """Range join: the observed buckets that begin in [start, end) of a report, counted from its start by whole steps.
 
-    Each report lists its buckets, which are then joined by equality; a bucket under two reports comes twice.
+    Reports may be of any length; a bucket under two reports comes twice.
     """
     seconds = F.lit(60 * step)
     first, last = epoch_seconds("start"), epoch_seconds("end")
     whole = reports.where((first < last) & (first % seconds == 0))
-    ticks = F.sequence((first / seconds).cast("long"), F.floor((last - 1) / seconds).cast("long"))
-    listed = whole.select("rig_id", *columns, F.explode(ticks).alias("tick"))
-    return listed.join(minutes, ["rig_id", "tick"])
+    ticks = ((first / seconds).cast("long").alias("_first"), (F.floor((last - 1) / seconds).cast("long") + 1).alias("_until"))
+    return within(minutes, whole.select("rig_id", *columns, *ticks), ["rig_id"], "tick", "_first", "_until")
 
 
 def agreement(minutes: DataFrame, reports: DataFrame, step: int = 1) -> DataFrame:

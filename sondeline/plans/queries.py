@@ -598,6 +598,24 @@ def overall_agreement(spark, sf_dir):
     return joins.overall_agreement(joins.agreement(feed.states(spark, sf_dir), feed.reports(spark, sf_dir), STEP))
 
 
+@query(with_feed("SELECT rig_id, activity, state, count(*) AS buckets FROM states JOIN (SELECT rig_id, activity, min(start) AS f, max(\"end\") AS u FROM reports GROUP BY ALL) USING (rig_id) WHERE t >= f AND t < u GROUP BY ALL", "reports"))
+def campaign_states(spark, sf_dir):
+    """Buckets by state from an activity's first report on a rig to its last: intervals as long as the feed."""
+    spans = feed.reports(spark, sf_dir).groupBy("rig_id", "activity").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    found = joins.covered_buckets(feed.states(spark, sf_dir).select("rig_id", "tick", "state"), spans, STEP, ("activity",))
+    return found.groupBy("rig_id", "activity", "state").agg(F.count("*").alias("buckets"))
+
+
+@query(with_feed("SELECT rig_id, idx, state, CAST(sum(epoch(least(t_to, \"end\")) - epoch(greatest(t_from, start))) AS BIGINT) AS seconds FROM reports JOIN spans USING (rig_id) WHERE t_from < \"end\" AND start < t_to GROUP BY ALL", "sized", more=_SPANS))
+def report_states(spark, sf_dir):
+    """Seconds of each state under each report: spans and reports that overlap, whatever their length."""
+    whole = lambda a, b: (scalars.epoch_seconds(a).cast("long").alias("first"), scalars.epoch_seconds(b).cast("long").alias("until"))
+    spans = segments.state_spans(feed.states(spark, sf_dir), STEP).select("rig_id", "state", *whole("t_from", "t_to"))
+    pairs = joins.overlapping(spans, feed.reports(spark, sf_dir).select("rig_id", "idx", *whole("start", "end")), ["rig_id"])
+    shared = F.least("l.until", "r.until") - F.greatest("l.first", "r.first")
+    return pairs.groupBy("rig_id", F.col("r.idx").alias("idx"), F.col("l.state").alias("state")).agg(F.sum(shared).alias("seconds"))
+
+
 @query(
     """WITH p AS (SELECT event_id, user_id // 5 AS g, date_trunc('second', ts) AS t FROM events WHERE event_type = 'purchase'),
 s AS (SELECT user_id // 5 AS g, date_trunc('second', ts) AS t, max(value) AS v FROM events WHERE event_type = 'signup' GROUP BY ALL),
