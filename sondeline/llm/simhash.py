@@ -16,7 +16,8 @@ A distance of 2 is far less than near copies have: at a similarity of 0.8 of the
 its own shingles, and the PASSAGES least of these find candidates by equality: a changed word changes one passage or two and leaves the others.
 Of the texts that share a passage each meets the LEADERS whose passages are shared most, which are those that the others were copied from. Pairs
 are verified by the similarity of their sets of shingles, told from each set's SKETCH least hashes (exact up to that size), and link fingerprints beside
-those of 2 bits.
+those of 2 bits. What that leaves apart is joined by a prefix filter over the sketches, which caps nothing: every two texts with that similarity of sketches
+end in one component.
 
 Defined results: a null text, an empty text and one without words have fingerprint zero, which links like any other;
 a text with fewer words than a shingle is one shingle; repeated rows are rows of their own; a null doc_id never is the
@@ -130,7 +131,65 @@ def signatures(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, out:
 
 
 def near_links(signed: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): fingerprints (column f, with passages and sketch, each once) of texts whose sets of shingles have that similarity or more."""
+    """(u, v): links that span the components of fingerprints (column f, with passages and sketch) of texts whose sets of shingles have that similarity or more.
+
+    Pairs with leaders of passages come first, as they are few and join most; rest_links() finds every link between what these leave apart.
+    """
+    first = materialize(leader_links(signed, similarity), "leader-links")
+    return first.union(rest_links(signed, similarity, components(first)))
+
+
+def _verified(pairs: DataFrame, signed: DataFrame, key: str, similarity: float) -> DataFrame:
+    """The pairs (u, v) of keys whose sketches are that similar."""
+    side = lambda name: signed.select(F.col(key).alias(name), F.col("sketch").alias(f"sketch_{name}"))
+    joined = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "sketch_u", "sketch_v")
+
+    def run(batches):
+        for batch in batches:
+            keep = [similarity_of(a, b) >= similarity for a, b in zip(batch.column("sketch_u").to_pylist(), batch.column("sketch_v").to_pylist(), strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return joined.mapInArrow(run, "u long, v long")
+
+
+def _tokens(batches):
+    """(t, k, size): each hash of the sketch of key k, and how many there are."""
+    for batch in batches:
+        sketches = [np.frombuffer(x, np.uint32) for x in batch.column("sketch").to_pylist()]
+        sizes = np.array([len(x) for x in sketches], np.int32)
+        if sizes.sum():
+            arrays = [np.concatenate(sketches).view(np.int32), np.repeat(batch.column("k").to_numpy(), sizes), np.repeat(sizes, sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["t", "k", "size"])
+
+
+def rest_links(signed: DataFrame, similarity: float, labels: DataFrame) -> DataFrame:
+    """(u, v): all links between fingerprints of different components (labels: node, component), without a cap.
+
+    Similar sketches share `similarity` of the larger one's hashes at least, cut off or not. In any common order of hashes, here rare ones first, such
+    a pair then has a hash in common among the first size - similarity * size + 1 of each. Hashes that no other sketch has can't be that one.
+    """
+    rows = materialize(signed.select("f", "sketch").withColumn("k", F.xxhash64("f", "sketch")), "sketches")
+    held = rows.select("k", "sketch").mapInArrow(_tokens, "t int, k long, size int")
+    held = held.withColumn("n", F.count("*").over(Window.partitionBy("t"))).where("n > 1")
+    mine = Window.partitionBy("k")
+    ordered = held.withColumns({"place": F.row_number().over(mine.orderBy("n", "t")), "shared": F.count("*").over(mine)})
+    prefix = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - F.lit(1e-9)) + 1
+    first = ordered.where(F.col("place") + F.col("size") - F.col("shared") <= prefix).select("t", "k", "size")
+    part = rows.select("k", "f").join(labels, F.col("f") == F.col("node"), "left").select("k", F.coalesce("component", "f").alias("c"))
+    first = materialize(first.join(part, "k"), "prefixes")
+    mixed = first.groupBy("t").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("t")
+    first = materialize(first.join(mixed, "t"), "mixed-prefixes")
+    other = first.select("t", F.col("k").alias("v"), F.col("c").alias("c_v"), F.col("size").alias("size_v"))
+    alike = F.least("size", "size_v") >= F.lit(similarity) * F.greatest("size", "size_v") - F.lit(1e-9)
+    pairs = first.withColumnRenamed("k", "u").join(other, "t").where((F.col("u") > F.col("v")) & (F.col("c") != F.col("c_v")) & alike).select("u", "v").distinct()
+    found = _verified(pairs, rows, "k", similarity)
+    name = lambda c: rows.select(F.col("k").alias(c), F.col("f").alias(f"f_{c}"))
+    return found.join(name("u"), "u").join(name("v"), "v").select(F.col("f_u").alias("u"), F.col("f_v").alias("v"))
+
+
+def leader_links(signed: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): of such links those with a leader of a passage."""
+    signed = signed.dropDuplicates(["f"])
     members = materialize(signed.select("f", F.explode("passages").alias("p")), "passages")
     shared = members.groupBy("p").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(members.join(shared, "p"), "shared-passages")
@@ -140,15 +199,7 @@ def near_links(signed: DataFrame, similarity: float) -> DataFrame:
     leaders = rated.withColumn("place", best("p", "salt")).where(F.col("place") <= LEADERS).withColumn("place", best("p")).where(F.col("place") <= LEADERS)
     pairs = members.select("p", "f").join(leaders.select("p", F.col("f").alias("leader")), "p").where("f <> leader")
     pairs = pairs.select(F.greatest("f", "leader").alias("u"), F.least("f", "leader").alias("v")).distinct()
-    side = lambda name: signed.select(F.col("f").alias(name), F.col("sketch").alias(f"sketch_{name}"))
-    joined = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "sketch_u", "sketch_v")
-
-    def run(batches):
-        for batch in batches:
-            keep = [similarity_of(a, b) >= similarity for a, b in zip(batch.column("sketch_u").to_pylist(), batch.column("sketch_v").to_pylist(), strict=True)]
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    return joined.mapInArrow(run, "u long, v long")
+    return _verified(pairs, signed, "f", similarity)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, out: str = "fingerprint", keep_text: bool = True) -> DataFrame:
@@ -292,7 +343,7 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shi
         hashed, more = materialize(fingerprints(keyed, "_text", shingle, "_f", keep_text=False), "simhash"), None
     else:
         hashed = materialize(signatures(keyed, "_text", shingle, "_f"), "simhash")
-        signed = hashed.groupBy(F.col("_f").alias("f")).agg(F.first("passages").alias("passages"), F.first("sketch").alias("sketch"))
+        signed = hashed.select(F.col("_f").alias("f"), "passages", "sketch").dropDuplicates(["f", "sketch"])
         more = near_links(materialize(signed, "signed"), similarity)
         hashed = hashed.drop("passages", "sketch")
     found = hashed.join(classes(hashed, "_stay", "_f", more), "_f").where(F.col("_stay").eqNullSafe(F.col("component_id")))

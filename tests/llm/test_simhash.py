@@ -131,3 +131,31 @@ def test_edited_copies_go(spark):
     kept = {r.doc_id for r in m.deduplicate(d, shingle=5, similarity=0.8).collect()}
     assert len(near) > 60 and sum(x not in kept for x in near) >= 0.9 * len(near)
     assert set(apart) <= kept and {i for i, _ in rows} - set(near) <= kept
+
+
+def test_links_past_the_leaders_are_found(spark):
+    """One passage is shared by many texts, and a pair of them alike has neither a leader of it nor another passage among its least: all links equal brute force."""
+    rng = random.Random(12)
+    rows = []
+    for k in range(60):
+        base = [f"w{rng.randrange(30_000)}" for _ in range(rng.randrange(40, 90))]
+        rows += [" ".join(base), " ".join(base[: len(base) // 2] + ["changed"] + base[len(base) // 2 :])]
+    rows += [f"{rows[-1]} {' '.join(f'tail{k}x{j}' for j in range(k))}" for k in range(0, 60, 3)]
+    signed_rows = [(signed(f), p, bytearray(s)) for f, p, s in (m.signature(t.encode(), 5) for t in dict.fromkeys(rows))]
+    d = spark.createDataFrame([(f, [7], s) for f, _, s in signed_rows], "f long, passages array<long>, sketch binary")  # one passage for all
+    labels = m.components(m.near_links(d, 0.8))
+    got = {r.node: r.component for r in labels.collect()}
+    parent = {f: f for f, _, _ in signed_rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (f, _, s) in enumerate(signed_rows):
+        for g, _, z in signed_rows[:i]:
+            if m.similarity_of(bytes(s), bytes(z)) >= 0.8:
+                a, b = sorted((root(f), root(g)))
+                parent[b] = a
+    assert len({root(f) for f in parent}) < len(parent) - 50
+    assert {f: got.get(f, f) for f in parent} == {f: root(f) for f in parent}
