@@ -5,6 +5,8 @@ toxicity -> SimHash near-dedup -> suffix-array dedup -> benchmark decontaminatio
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 
 from sondeline.llm import decontaminate, sentencepieces, simhash, suffix_dedup, toxicity
@@ -57,4 +59,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
         release(held, keep=(docs,))  # what the stage wrote, its input included
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # Spark deletes shuffles that nothing refers to any more, but only after a collection
     return STAGES[-1][1](spark, docs, sf_dir)

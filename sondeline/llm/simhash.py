@@ -17,7 +17,7 @@ its own shingles, and the PASSAGES least of these find candidates by equality: a
 Of the texts that share a passage each meets the LEADERS whose passages are shared most, which are those that the others were copied from. Pairs
 are verified by the similarity of their sets of shingles, told from each set's SKETCH least hashes (exact up to that size), and link fingerprints beside
 those of 2 bits. What that leaves apart is joined by a prefix filter over the sketches, which caps nothing: every two texts with that similarity of sketches
-end in one component.
+end in one component. Members of a hash are compared in tasks, block by block, and only links that join components leave these.
 
 Defined results: a null text, an empty text and one without words have fingerprint zero, which links like any other;
 a text with fewer words than a shingle is one shingle; repeated rows are rows of their own; a null doc_id never is the
@@ -41,6 +41,7 @@ SHINGLE, SEED, SMALL = 3, 42, 512
 PASSAGES, LEADERS, SKETCH = 6, 3, 256
 LEAST_PASSAGE, CUT = 6, 8  #: shingles of a passage at least, and of how many one begins a passage on average
 SPREAD = 64  #: parts in which a passage's leaders are sought first
+BLOCK, GRID = 128, 512  #: members of a hash that meet at once, on average: at first, and then on each side
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -163,10 +164,13 @@ def _tokens(batches):
 
 
 def rest_links(signed: DataFrame, similarity: float, labels: DataFrame) -> DataFrame:
-    """(u, v): all links between fingerprints of different components (labels: node, component), without a cap.
+    """(u, v): links that join all fingerprints of different components (labels: node, component) with such sketches, without a cap.
 
     Similar sketches share `similarity` of the larger one's hashes at least, cut off or not. In any common order of hashes, here rare ones first, such
     a pair then has a hash in common among the first size - similarity * size + 1 of each. Hashes that no other sketch has can't be that one.
+
+    The members of a hash meet in blocks of some BLOCK, where two of one component aren't compared. Of hashes with more members, most of whose components that has
+    joined, each member outside the largest component then meets all others, in blocks of some GRID.
     """
     rows = materialize(signed.select("f", "sketch").withColumn("k", F.xxhash64("f", "sketch")), "sketches")
     held = rows.select("k", "sketch").mapInArrow(_tokens, "t int, k long, size int")
@@ -174,17 +178,83 @@ def rest_links(signed: DataFrame, similarity: float, labels: DataFrame) -> DataF
     mine = Window.partitionBy("k")
     ordered = held.withColumns({"place": F.row_number().over(mine.orderBy("n", "t")), "shared": F.count("*").over(mine)})
     prefix = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - F.lit(1e-9)) + 1
-    first = ordered.where(F.col("place") + F.col("size") - F.col("shared") <= prefix).select("t", "k", "size")
-    part = rows.select("k", "f").join(labels, F.col("f") == F.col("node"), "left").select("k", F.coalesce("component", "f").alias("c"))
-    first = materialize(first.join(part, "k"), "prefixes")
-    mixed = first.groupBy("t").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("t")
-    first = materialize(first.join(mixed, "t"), "mixed-prefixes")
-    other = first.select("t", F.col("k").alias("v"), F.col("c").alias("c_v"), F.col("size").alias("size_v"))
-    alike = F.least("size", "size_v") >= F.lit(similarity) * F.greatest("size", "size_v") - F.lit(1e-9)
-    pairs = first.withColumnRenamed("k", "u").join(other, "t").where((F.col("u") > F.col("v")) & (F.col("c") != F.col("c_v")) & alike).select("u", "v").distinct()
-    found = _verified(pairs, rows, "k", similarity)
-    name = lambda c: rows.select(F.col("k").alias(c), F.col("f").alias(f"f_{c}"))
-    return found.join(name("u"), "u").join(name("v"), "v").select(F.col("f_u").alias("u"), F.col("f_v").alias("v"))
+    first = ordered.where(F.col("place") + F.col("size") - F.col("shared") <= prefix).select("t", "k")
+    part = rows.select("k", "f").join(labels, F.col("f") == F.col("node"), "left").select("k", "f", F.coalesce("component", "f").alias("c"))
+    members = materialize(first.join(part, "k"), "prefixes")
+    groups = members.groupBy("t").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low < high")
+    sketches = rows.select("k", "sketch")
+    members = materialize(members.join(groups.select("t", "n"), "t").join(sketches, "k"), "mixed")
+    place = lambda n, size: F.pmod(F.xxhash64("k"), F.ceil(n / size))
+    every = lambda n, size: F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(n / size) - 1))
+    columns = ["t", "f", "c", "sketch"]
+    met = members.select(*columns, place(F.col("n"), BLOCK).alias("i"), F.lit(0).cast("long").alias("j"), F.lit(0).alias("side"))
+    met = materialize(_meet_sketches(met, similarity), "met-sketches")
+
+    now = components(met.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+    members = members.where(F.col("n") > BLOCK).join(now, F.col("c") == F.col("node"), "left").select("t", "k", "f", "sketch", F.coalesce("component", "c").alias("c"))
+    parts = members.groupBy("t", "c").agg(F.count("*").alias("m"))
+    groups = parts.groupBy("t").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.sum("m").alias("n"), (F.sum("m") - F.max("m")).alias("rare")).where("rare > 0")
+    members = materialize(members.join(groups, "t"), "apart")
+    # A grid of blocks: those outside the largest component by rows, all members by columns.
+    left = members.where("c != main").select(*columns, place(F.col("rare"), GRID).alias("i"), every(F.col("n"), GRID).alias("j"), F.lit(0).alias("side"))
+    right = members.select(*columns, every(F.col("rare"), GRID).alias("i"), place(F.col("n"), GRID).alias("j"), F.lit(1).alias("side"))
+    return met.union(_meet_sketches(left.union(right), similarity)).select("u", "v")
+
+
+def _meet_sketches(dealt: DataFrame, similarity: float) -> DataFrame:
+    """(u, v, cu, cv): links between members (f, c, sketch) of a block (t, i, j) that join its components; side 0 meets side 1, or itself where there is none."""
+    small_batches(dealt.sparkSession)
+    keys = ["t", "i", "j"]
+    rows = dealt.select(*keys, "side", "f", "c", "sketch").repartition(*keys).sortWithinPartitions(*keys, "side", "f")
+
+    def run(batches):
+        held, key = ([], []), None
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
+            out = []
+            for t, i, j, side, f, c, sketch in zip(*columns, strict=True):
+                if (t, i, j) != key:
+                    out += block_links(*held, similarity)
+                    held, key = ([], []), (t, i, j)
+                held[side].append((f, c, np.frombuffer(sketch, np.uint32)))
+            yield _links_of(out)
+        yield _links_of(block_links(*held, similarity))
+
+    return rows.mapInArrow(run, "u long, v long, cu long, cv long")
+
+
+def _links_of(rows) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else ([],) * 4)], names=["u", "v", "cu", "cv"])
+
+
+def block_links(left: list, right: list, similarity: float) -> list[tuple[int, int, int, int]]:
+    """Links (u, v, cu, cv) that join the components of two lists of (f, c, sketch), or of one: members of a component aren't compared."""
+    right = right or left
+    if len(left) * len(right) < 2:
+        return []
+    one, many = (np.array([c for _, c, _ in x], np.int64) for x in (left, right))
+    sizes = np.array([len(x) for _, _, x in right])
+    ends = np.array([x[-1] if len(x) == SKETCH else 0xFFFFFFFF for _, _, x in right], np.uint32)
+    out = []
+    for a, (f, c, x) in enumerate(left):
+        alike = np.minimum(sizes, len(x)) >= similarity * np.maximum(sizes, len(x)) - 1e-9
+        rest = np.flatnonzero((many != one[a]) & alike)
+        if not len(rest):
+            continue
+        # similarity_of() for all of them at once
+        values, n = np.concatenate([right[b][2] for b in rest.tolist()]), sizes[rest]
+        ended = np.minimum(ends[rest], x[-1]) if len(x) == SKETCH else ends[rest]
+        inside = values <= np.repeat(ended, n)
+        begins = np.r_[0, np.cumsum(n)[:-1]]
+        common = np.add.reduceat(inside & (x[np.minimum(np.searchsorted(x, values), len(x) - 1)] == values), begins, dtype=np.int64)
+        both = np.searchsorted(x, ended, "right") + np.add.reduceat(inside, begins, dtype=np.int64) - common
+        for b in rest[common / both >= similarity].tolist():
+            if many[b] != one[a]:
+                out.append((f, right[b][0], c, right[b][1]))
+                gone, stays = many[b], one[a]
+                one[one == gone] = stays
+                many[many == gone] = stays
+    return out
 
 
 def leader_links(signed: DataFrame, similarity: float) -> DataFrame:

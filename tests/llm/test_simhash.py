@@ -159,3 +159,20 @@ def test_links_past_the_leaders_are_found(spark):
                 parent[b] = a
     assert len({root(f) for f in parent}) < len(parent) - 50
     assert {f: got.get(f, f) for f in parent} == {f: root(f) for f in parent}
+
+
+def test_blocks_of_a_hash_make_no_pairs_and_lose_no_link(spark, monkeypatch):
+    """A hash with many members is met block by block: components equal brute force, and what leaves the tasks is a forest, not every alike pair."""
+    rng = random.Random(13)
+    monkeypatch.setattr(m, "BLOCK", 8)
+    monkeypatch.setattr(m, "GRID", 16)
+    base = [f"w{k}" for k in range(150)]
+    texts = list(dict.fromkeys(edited(rng, base, share) for share in (0.005, 0.01, 0.02, 0.03) for _ in range(40)))
+    rows = [(signed(f), bytearray(s)) for f, _, s in (m.signature(t.encode(), 5) for t in texts)]
+    d = spark.createDataFrame([(f, [], s) for f, s in rows], "f long, passages array<long>, sketch binary")
+    none = spark.createDataFrame([], "node long, component long")
+    found = [(r.u, r.v) for r in m.rest_links(d, 0.8, none).collect()]
+    alike = [(f, g) for i, (f, s) in enumerate(rows) for g, z in rows[:i] if m.similarity_of(bytes(s), bytes(z)) >= 0.8]
+    assert {tuple(sorted(x)) for x in found} <= {tuple(sorted(x)) for x in alike}
+    tree = lambda links: {r.node: r.component for r in m.components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert tree(found) == tree(alike) and len({tuple(sorted(x)) for x in found}) < len(alike) / 2
