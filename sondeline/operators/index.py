@@ -1,6 +1,6 @@
 """A stored inverted index of a report log: built once, asked many times.
 
-Postings are kept in order of their terms, so that a question's terms are found by the files' and row groups' ranges. Reports are taken in blocks
+Each segment, a range of reports, keeps its postings in order of their terms, so that a question's terms are found by the row groups' ranges. Reports are taken in blocks
 of BLOCK neighbouring numbers, and each term has the greatest weight of its postings in a block. A question first scores the blocks that promise most; their k-th
 score is a bound, and only blocks that can reach it are scored besides. Texts are read last, by number, for the hits alone.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import Retrieval
 from ..sources.staging import new_path
-from .search import Filters, boosts, candidates, expanded, inferred, postings, rated_terms, saturation, scored, shift_of, shown
+from .search import Filters, boosts, candidates, expanded, inferred, postings, rated_terms, saturation, scored, segmented, shift_of, shown
 
 BLOCK = 1 << 14  #: report numbers of a block
 FIRST = 8  #: blocks that are scored to get a bound
@@ -31,19 +31,16 @@ class Index:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
 
-def build(docs: DataFrame, path: str | None = None, block: int = BLOCK, cfg: Retrieval = Retrieval(), files: int | None = None) -> Index:
+def build(docs: DataFrame, path: str | None = None, block: int = BLOCK, cfg: Retrieval = Retrieval()) -> Index:
     """Write the index of docs (idx, body); without a path in the shared folder, until the process ends. Runs jobs; texts are tokenised once.
 
-    Texts are shuffled by idx, so that a report's terms are counted where they are; what is shuffled after that is a row for each report and file, not for each posting.
+    Texts are shuffled by ranges of idx, and each range writes a segment: its own postings in order of their terms. No posting is shuffled or sorted
+    beyond its segment, and segments grow in number with the texts, not in size.
     """
     spark = docs.sparkSession
     made = Index(spark, path or new_path(spark, "index"))
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = postings(docs.select("idx", "body").repartition("idx"), cfg=cfg).withColumn("file", F.pmod(F.xxhash64("term"), F.lit(files)))
-    packed = found.groupBy("idx", "file").agg(F.first("len").alias("len"), F.collect_list("term").alias("term"), F.collect_list(F.col("tf").cast("int")).alias("tf"))  # no more than the text's length
-    dealt = packed.repartition(files, "file").select("idx", "len", F.floor(F.col("idx") / block).cast("long").alias("block"), F.inline(F.arrays_zip("term", "tf")))
-    dealt = dealt.select("term", "block", "idx", F.col("tf").cast("long").alias("tf"), "len").sortWithinPartitions("term", "block", "idx")
-    dealt.write.mode("overwrite").option("parquet.block.size", 8 << 20).option("compression", "zstd").parquet(f"{made.path}/postings")
+    found = postings(segmented(docs), cfg=cfg).select("term", F.floor(F.col("idx") / block).cast("long").alias("block"), "idx", "tf", "len").sortWithinPartitions("term", "block", "idx")
+    found.write.mode("overwrite").option("parquet.block.size", 1 << 20).option("compression", "zstd").parquet(f"{made.path}/postings")
     stored = made.table("postings")
     lengths = stored.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("all"))
     totals = docs.agg(F.count("*").alias("n"), F.count("body").alias("texts")).join(F.broadcast(lengths))

@@ -14,6 +14,16 @@ from ..functions.scalars import in_shift, snippet, stamp, tokens
 from ..sources.staging import written
 
 
+SEGMENT = 1 << 23  #: characters of a segment
+
+
+def segmented(docs: DataFrame, text: str = "body", key: str = "idx", size: int = SEGMENT) -> DataFrame:
+    """Key and text in ranges of the key, which grow in number with the texts and not in size. Runs a job: the sum of the lengths."""
+    chars = docs.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // size))
+    return docs.select(key, text).repartitionByRange(parts, key)
+
+
 def postings(docs: DataFrame, text: str = "body", key: str = "idx", cfg: Retrieval = Retrieval()) -> DataFrame:
     """(key, term, tf, len): term frequencies and the document's length in tokens; documents without a token have none."""
     terms = docs.select(key, tokens(text, cfg).alias("terms")).select(key, F.size("terms").cast("long").alias("len"), F.explode_outer("terms").alias("term"))

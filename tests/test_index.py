@@ -51,3 +51,15 @@ def test_blocks_are_left_out_and_texts_read_late(spark, log, tmp_path):
     wide = [x for x in re.findall(r"Exchange hashpartitioning.*", scan) if "body" in x or "comment" in x]
     assert not wide  # texts go through no shuffle
     assert m.build(log.limit(0), block=40).table("postings").count() == 0 and told(m.search(m.build(log.limit(0)), log.limit(0), "stuck", limit=3)) == []
+
+
+def test_segments_grow_in_number_and_no_posting_is_shuffled(spark, log, monkeypatch):
+    plan = search.postings(search.segmented(log))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "rangepartitioning(idx" in plan
+    want = sorted(map(tuple, search.postings(log).collect()))
+    monkeypatch.setattr(search.segmented, "__defaults__", ("body", "idx", 200))
+    made = m.build(log, block=40)
+    stored = made.table("postings")
+    assert len(stored.inputFiles()) > 50
+    assert sorted((r.idx, r.term, r.tf, r.len) for r in stored.collect()) == want
+    assert told(m.search(made, log, "stuck pipe", limit=5)) == told(search.search(log, "stuck pipe", limit=5))
