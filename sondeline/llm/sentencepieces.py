@@ -2,9 +2,9 @@
 
 The model's protobuf is parsed here, and a tokenizers pipeline of the same behaviour is built from it: normaliser, metaspace
 marker, unigram scores or byte-pair merges (rebuilt from the scores), byte fallback and decoder. Batches are encoded by
-several threads. Parity with the sentencepiece library is verified for every text when asked for: the text's own ids are compared with
-those of that library. Where no piece goes on over a space, these are the ids that the library gives the text's words, put together in
-turn, so that it encodes each distinct word once a task (as long as WORDS of them are remembered); other models encode every text by it.
+several threads. Where no piece goes on over a space, no merge does, and a text's ids are those of its words, put together in turn: each distinct
+word is encoded once a task (as long as WORDS of them are remembered); other models encode whole texts. Parity with the sentencepiece library
+is verified for every text when asked for: the text's own ids are compared with those of that library, which encodes words or whole texts by itself.
 
 Long texts are encoded in parts that begin at a single space, where the model has no piece that goes on over a space; the
 parts' ids together are then those of the whole text, and memory doesn't grow with a text's length.
@@ -20,7 +20,7 @@ import os
 import re
 import struct
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MARKER = "▁"
 
 MODEL_BYTES = 64 << 20  #: a larger model isn't broadcast but refused
-THREADS, GROUP_CHARS, PART_CHARS, WORDS = 2, 1 << 19, 1 << 16, 200_000
+THREADS, GROUP_CHARS, PART_CHARS, WORDS, RUN = 2, 1 << 19, 1 << 16, 200_000, 1000
 IDS = T.ArrayType(T.IntegerType())
 
 
@@ -161,7 +161,10 @@ class Codec:
         self.place = re.compile(f"(?<=[^ {MARKER}]) (?=[^ {MARKER}])")
         self._reference = None
         self.word = re.compile(" +[^ ]*")
-        self.ids_of: dict[str, bytes] = {}  #: sentencepiece's ids of words(), as int32
+        self.worded = self.cut and self.model.kind == BPE and any(p == MARKER and t == NORMAL for p, _, t in self.model.pieces)
+        begins = np.array([p.startswith(MARKER) for p, _, _ in self.model.pieces])
+        self.numbers = _Numbers()
+        self.made_of, self.ids_of = WordIds(self._own, begins), WordIds(lambda words: self.reference(words), begins)  #: own ids of words(), and sentencepiece's
 
     def parts(self, text: str) -> list[str]:
         if not self.cut or len(text) <= PART_CHARS:
@@ -173,7 +176,24 @@ class Codec:
         return [*out, text[done:]]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return self._joined(texts, lambda parts: [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)])
+        return [ids.tolist() for ids in self.encoded(texts)]
+
+    def encoded(self, texts: list[str]) -> list[np.ndarray]:
+        """Each text's ids as int32. Where the model allows it, each distinct word is encoded once, as long as WORDS of them are remembered."""
+        if self.worded:
+            return self._by_words(texts, self.made_of)[0]
+        return [np.array(ids, np.int32) for ids in self._joined(texts, self._own)]
+
+    def checked(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        """encoded() and its parity()."""
+        if self.worded:
+            own, right = self._by_words(texts, self.made_of, self.ids_of)
+            return own, [np.array_equal(x, y) for x, y in zip(own, right, strict=True)]
+        own = self.encoded(texts)
+        return own, self.parity(texts, own)
+
+    def _own(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def reference(self, texts: list[str]) -> list[list[int]]:
         """The sentencepiece library's ids."""
@@ -183,19 +203,10 @@ class Codec:
             self._reference = sentencepiece.SentencePieceProcessor(model_proto=self.model.raw)
         return self._joined(texts, lambda parts: self._reference.encode(parts, num_threads=self.threads))
 
-    def parity(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
+    def parity(self, texts: list[str], ids) -> list[bool]:
         """Whether each text's ids are the sentencepiece library's."""
-        if not self.cut:
-            return [x == list(y) for x, y in zip(self.reference(texts), ids, strict=True)]
-        if len(self.ids_of) > WORDS:
-            self.ids_of.clear()
-        out: list[bool | None] = [self._same(t, x) for t, x in zip(texts, ids, strict=True)]
-        unknown = [k for k, same in enumerate(out) if same is None]
-        if unknown:
-            self._learn(sorted(set().union(*(self.words(texts[k]) for k in unknown)) - self.ids_of.keys()))
-            for k in unknown:
-                out[k] = self._same(texts[k], ids[k])
-        return out
+        right = self._by_words(texts, self.ids_of)[0] if self.cut else self.reference(texts)
+        return [np.array_equal(x, y) for x, y in zip(right, ids, strict=True)]
 
     def words(self, text: str) -> list[str]:
         """Words, each without the space (or dummy prefix) before it, but with any further ones."""
@@ -206,22 +217,22 @@ class Codec:
             return [w[1:] for w in self.word.findall(" " + text)]
         return text.split(" ")
 
-    def _same(self, text: str, ids) -> bool | None:
-        """Whether the ids are those of the text's words; None where a word isn't known yet."""
-        try:
-            return b"".join(map(self.ids_of.__getitem__, self.words(text))) == np.asarray(ids, np.int32).tobytes()
-        except KeyError:
-            return None
-
-    def _learn(self, words: list[str]) -> None:
-        """Have the sentencepiece library encode words; its dummy prefix stands for the space before, and spaces alone stand after a letter."""
-        plain = [w for w in words if w.strip(" ")]
-        for w, ids in zip(plain, self.reference(plain), strict=True):
-            self.ids_of[w] = np.array(ids, np.int32).tobytes()
-        spaces = [w for w in words if not w.strip(" ")]
-        if spaces:
-            letter, *after = self.reference(["a", *("a " + w for w in spaces)])
-            self.ids_of |= {w: np.array(ids[len(letter) :], np.int32).tobytes() for w, ids in zip(spaces, after, strict=True)}
+    def _by_words(self, texts: list[str], *tables: WordIds) -> list[list[np.ndarray]]:
+        """Each text's ids in each table, put together from those of its words."""
+        parts = [self.parts(t) for t in texts]
+        every = list(chain.from_iterable(parts))
+        found: list[list[np.ndarray]] = [[] for _ in tables]
+        for a, b in _groups(every):
+            if len(self.numbers) > WORDS:
+                for known in (self.numbers, self.made_of, self.ids_of):
+                    known.clear()
+            words = [self.words(t) for t in every[a:b]]
+            sizes = [len(w) for w in words]
+            numbers = np.fromiter(map(self.numbers.__getitem__, chain.from_iterable(words)), np.int64, sum(sizes))
+            for table, out in zip(tables, found, strict=True):
+                table.learn(list(islice(self.numbers, len(table.first), None)))
+                out += table.of(numbers, sizes)
+        return [_glued(out, parts) for out in found]
 
     def _joined(self, texts, encode) -> list[list[int]]:
         parts = [self.parts(t) for t in texts]
@@ -233,6 +244,63 @@ class Codec:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
+class _Numbers(dict):
+    """Each word's number, in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = found = len(self)
+        return found
+
+
+class WordIds:
+    """Ids of numbered words, in one array."""
+
+    def __init__(self, encode, begins: np.ndarray):
+        self.encode, self.begins = encode, begins  #: begins: by id, whether the piece begins with the marker
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids, self.first, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        """Add words. Those without a space are encoded a RUN at a time, for a word's first piece begins with the marker, and no other piece does."""
+        first, size, made, done = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [self.ids], len(self.ids)
+        plain = [k for k, w in enumerate(words) if w and " " not in w]
+        alone = [k for k, w in enumerate(words) if not w or " " in w]
+        runs = [plain[k : k + RUN] for k in range(0, len(plain), RUN)]
+        for run, ids in zip(runs, self.encode([" ".join([words[k] for k in run]) for run in runs]), strict=True):
+            ids = np.array(ids, np.int32)
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) != len(run) or at[0]:  # not so: word by word
+                alone += run
+                continue
+            first[run], size[run] = done + at, np.diff(at, append=len(ids))
+            made.append(ids)
+            done += len(ids)
+        if alone:  # the dummy prefix stands for the space before, and spaces alone stand after a letter
+            bare = [not words[k].strip(" ") for k in alone]
+            letter, *found = self.encode(["a", *("a " + words[k] if b else words[k] for k, b in zip(alone, bare, strict=True))])
+            for k, b, ids in zip(alone, bare, found, strict=True):
+                made.append(np.array(ids[len(letter) if b else 0 :], np.int32))
+                first[k], size[k] = done, len(made[-1])
+                done += len(made[-1])
+        self.ids, self.first, self.size = np.concatenate(made), np.concatenate([self.first, first]), np.concatenate([self.size, size])
+
+    def of(self, numbers: np.ndarray, words: list[int]) -> list[np.ndarray]:
+        """Ids of texts that have so many words each."""
+        size = self.size[numbers]
+        ends = np.cumsum(size)
+        at = np.repeat(self.first[numbers] - ends + size, size)
+        at += np.arange(len(at))
+        cuts = np.concatenate([[0], ends])[np.cumsum(words)]
+        return np.split(self.ids[at], cuts[:-1]) if words else []
+
+
+def _glued(found: list[np.ndarray], parts: list[list[str]]) -> list[np.ndarray]:
+    flat = iter(found)
+    return [next(flat) if len(p) == 1 else np.concatenate(list(islice(flat, len(p)))) for p in parts]
+
+
 def _groups(texts: list[str]):
     """Slices of a bounded number of characters, or of one text."""
     begin = size = 0
@@ -263,13 +331,12 @@ def encode(docs: DataFrame, model: str | bytes | None = None, text: str = "text"
             texts = [t or "" for t in column.to_pylist()]
             flat, sizes, back, same = [np.zeros(0, np.int32)], [0], [], []
             for a, b in _groups(texts):
-                ids = codec.encode(texts[a:b])
+                ids, right = codec.checked(texts[a:b]) if verify else (codec.encoded(texts[a:b]), [])
                 sizes += map(len, ids)
-                flat.append(np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids))))
+                flat += ids
+                same += right
                 if verify:
-                    back += [x == y for x, y in zip(codec.decode(ids), texts[a:b], strict=True)]
-                    ends = np.cumsum([len(x) for x in ids])
-                    same += codec.parity(texts[a:b], np.split(flat[-1], ends[:-1]))
+                    back += [x == y for x, y in zip(codec.decode([x.tolist() for x in ids]), texts[a:b], strict=True)]
             made = [pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(np.concatenate(flat))), pa.array(sizes[1:], pa.int64())]
             return made + ([pa.array(back, pa.bool_()), pa.array(same, pa.bool_())] if verify else [])
 

@@ -87,3 +87,24 @@ def test_parity_is_of_each_rows_own_ids():
         if row:  # one id of one row is wrong, or lost
             for bad in (row[:-1], [*row[:-1], row[-1] + 1]):
                 assert codec.parity(texts, [*ids[:k], bad, *ids[k + 1 :]]) == [i != k for i in range(len(ids))]
+
+
+def test_a_word_is_encoded_once_and_texts_are_put_together(monkeypatch):
+    monkeypatch.setattr(m, "RUN", 3)
+    codec = m.Codec(open(m.default_model(), "rb").read())
+    asked = []
+    for table in (codec.made_of, codec.ids_of):
+        monkeypatch.setattr(table, "encode", lambda texts, encode=table.encode: (asked.extend(texts), encode(texts))[1])
+    texts = [t or "" for t in TEXTS] + ["the same words " * 5_000] * 3
+    ids, same = codec.checked(texts)
+    assert all(same) and sum(map(len, asked)) < 2 * 80_000  # x * 70_000 is one word; the texts have 500,000 characters
+    assert codec.encode(texts) == [x.tolist() for x in ids] == codec.reference(texts)
+
+
+def test_words_are_learned_again_after_a_clearing(monkeypatch):
+    monkeypatch.setattr(m, "WORDS", 2)
+    codec = m.Codec(open(m.default_model(), "rb").read())
+    for texts in (["one two three", "", " "], ["three  four one"], ["two", "a ▁ b"]):
+        ids, same = codec.checked(texts)
+        assert all(same) and [x.tolist() for x in ids] == codec.reference(texts)
+        assert len(codec.numbers) <= 5
