@@ -17,11 +17,20 @@ from ..sources.staging import written
 SEGMENT = 1 << 23  #: characters of a segment
 
 
-def segmented(docs: DataFrame, text: str = "body", key: str = "idx", size: int = SEGMENT) -> DataFrame:
-    """Key and text in ranges of the key, which grow in number with the texts and not in size. Runs a job: the sum of the lengths."""
+def _segments(docs: DataFrame, text: str, size: int) -> int:
+    """Into how many parts texts go. Runs a job: the sum of the lengths."""
     chars = docs.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // size))
-    return docs.select(key, text).repartitionByRange(parts, key)
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // size))
+
+
+def segmented(docs: DataFrame, text: str = "body", key: str = "idx", size: int = SEGMENT) -> DataFrame:
+    """Key and text in ranges of the key, which grow in number with the texts and not in size. Runs a job."""
+    return docs.select(key, text).repartitionByRange(_segments(docs, text, size), key)
+
+
+def dealt(docs: DataFrame, text: str = "body", key: str = "idx", size: int = SEGMENT) -> DataFrame:
+    """segmented() by hashes of the key, for where no order is asked for: postings() of it shuffles texts once, and no posting. Runs a job."""
+    return docs.select(key, text).repartition(_segments(docs, text, size), key)
 
 
 def postings(docs: DataFrame, text: str = "body", key: str = "idx", cfg: Retrieval = Retrieval()) -> DataFrame:

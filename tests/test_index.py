@@ -8,6 +8,7 @@ import pytest
 
 from sondeline.operators import index as m
 from sondeline.operators import search
+from sondeline.plans import queries
 
 WORDS = "stuck pipe pressure washout torque night repair pump tight spot circulate bottom hole clean trip".split()
 
@@ -63,3 +64,13 @@ def test_segments_grow_in_number_and_no_posting_is_shuffled(spark, log, monkeypa
     assert len(stored.inputFiles()) > 50
     assert sorted((r.idx, r.term, r.tf, r.len) for r in stored.collect()) == want
     assert told(m.search(made, log, "stuck pipe", limit=5)) == told(search.search(log, "stuck pipe", limit=5))
+
+
+def test_postings_of_dealt_texts_are_not_shuffled(spark, log):
+    twice = log.union(log.limit(3))  # rows of one number are counted together, wherever they lie
+    made = search.postings(search.dealt(twice, size=200))
+    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)", made._jdf.queryExecution().executedPlan().toString())
+    assert len(exchanges) == 1 and exchanges[0].startswith("idx") and "term" not in exchanges[0]
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, search.postings(twice).collect()))
+    plan = queries.bm25_postings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\([^)]*term", plan)
