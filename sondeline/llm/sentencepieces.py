@@ -163,7 +163,7 @@ class Codec:
         self.word = re.compile(" +[^ ]*")
         self.worded = self.cut and self.model.kind == BPE and any(p == MARKER and t == NORMAL for p, _, t in self.model.pieces)
         begins = np.array([p.startswith(MARKER) for p, _, _ in self.model.pieces])
-        self.numbers = _Numbers()
+        self.numbers = Numbers()
         self.made_of, self.ids_of = WordIds(self._own, begins), WordIds(lambda words: self.reference(words), begins)  #: own ids of words(), and sentencepiece's
 
     def parts(self, text: str) -> list[str]:
@@ -203,6 +203,12 @@ class Codec:
             self._reference = sentencepiece.SentencePieceProcessor(model_proto=self.model.raw)
         return self._joined(texts, lambda parts: self._reference.encode(parts, num_threads=self.threads))
 
+    def referenced(self, texts: list[str]) -> list[np.ndarray]:
+        """reference() as arrays; where the model allows it, the library encodes each distinct word once, as long as WORDS of them are remembered."""
+        if self.worded:
+            return self._by_words(texts, self.ids_of)[0]
+        return [np.array(ids, np.int32) for ids in self.reference(texts)]
+
     def parity(self, texts: list[str], ids) -> list[bool]:
         """Whether each text's ids are the sentencepiece library's."""
         right = self._by_words(texts, self.ids_of)[0] if self.cut else self.reference(texts)
@@ -244,7 +250,7 @@ class Codec:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
-class _Numbers(dict):
+class Numbers(dict):
     """Each word's number, in the order in which they are first asked for."""
 
     def __missing__(self, word: str) -> int:

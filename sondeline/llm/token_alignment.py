@@ -80,8 +80,9 @@ class Pieces:
         self.size = len(pieces)
         self.bytes = [bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(MARKER, " ").encode() if k in (NORMAL, UNUSED) else b"" for p, _, k in pieces]
 
-    def encode(self, parts: list[str]) -> list[list[int]]:
-        return self.codec.reference(parts)
+    def encode(self, parts: list[str]) -> list[np.ndarray]:
+        """The sentencepiece library's ids; where the model allows it, the library encodes each distinct word once a task."""
+        return self.codec.referenced(parts)
 
 
 class Aligner:
@@ -92,6 +93,8 @@ class Aligner:
         if max(self.a.size, self.b.size) > VOCABULARY:
             raise ValueError(f"a vocabulary of more than {VOCABULARY} ids can't be aligned")
         self.lengths = [np.array(list(map(len, side.bytes)), np.int64) for side in (self.a, self.b)]
+        self.flat = [np.frombuffer(b"".join(side.bytes), np.uint8) for side in (self.a, self.b)]
+        self.first = [np.cumsum(n) - n for n in self.lengths]
         self.said = [b"%d%c" % (i, c) for side, ends in ((self.a, b",|"), (self.b, b",;")) for c in ends for i in range(side.size)]
 
     def chunks(self, texts: list[str | None]):
@@ -107,25 +110,44 @@ class Aligner:
         if held:
             yield held
 
+    def same(self, side: int, ids: list[np.ndarray], raw: list[bytes]) -> np.ndarray:
+        """Whether each part's tokens have its bytes."""
+        every = np.concatenate(ids)
+        n = self.lengths[side][every]
+        sizes = np.array(list(map(len, ids)))
+        ends = np.r_[0, np.cumsum(n)][np.cumsum(sizes)]
+        found = np.diff(ends, prepend=0) == np.array(list(map(len, raw)))
+        if found.all():
+            at = np.repeat((self.first[side][every] - np.cumsum(n) + n).astype(np.int32), n)
+            at += np.arange(len(at), dtype=np.int32)
+            if np.array_equal(self.flat[side][at], np.frombuffer(b"".join(raw), np.uint8)):
+                return found
+        for k, (x, said) in enumerate(zip(ids, raw, strict=True)):
+            found[k] = b"".join(map((self.a, self.b)[side].bytes.__getitem__, x.tolist())) == said
+        return found
+
     def align(self, chunk: list[tuple[int, str]]) -> tuple[set[int], dict | None]:
         """Numbers of texts whose bytes differ, and the tokens and groups of the other parts."""
         parts = [p for _, p in chunk]
-        a, b, bad, texts, sizes = [], [], set(), [], []
-        for (t, part), x, y in zip(chunk, self.a.encode(parts), self.b.encode(parts), strict=True):
-            raw = (" " + part).encode()
-            if b"".join(map(self.a.bytes.__getitem__, x)) == raw == b"".join(map(self.b.bytes.__getitem__, y)):
-                a += x
-                b += y
-                texts.append(t)
-                sizes.append((len(x), len(y), len(raw)))
-            else:
-                bad.add(t)
-        if not texts:
+        raw = [(" " + p).encode() for p in parts]
+        texts, bad = np.array([t for t, _ in chunk], np.int64), set()
+        sides = [[np.asarray(ids, np.int64) for ids in side.encode(parts)] for side in (self.a, self.b)]
+        right = np.logical_and(*(self.same(k, ids, raw) for k, ids in enumerate(sides)))
+        if not right.all():
+            bad = set(texts[~right].tolist())
+            kept = np.flatnonzero(right).tolist()
+            texts, raw, sides = texts[kept], [raw[k] for k in kept], [[ids[k] for k in kept] for ids in sides]
+        if not len(texts):
             return bad, None
-        a, b, sizes, texts = np.array(a, np.int64), np.array(b, np.int64), np.array(sizes, np.int64), np.array(texts, np.int64)
+        sizes = np.array([list(map(len, x)) for x in (*sides, raw)], np.int64).T
+        a, b = map(np.concatenate, sides)
         ends_a, ends_b = np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b])
-        common = np.intersect1d(ends_a, ends_b)
-        ga, gb = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        shared = np.zeros((2, ends_a[-1] + 1), bool)  # by byte: whether tokens of either side end there
+        shared[0, ends_a] = shared[1, ends_b] = True
+        shared = shared[0] & shared[1]
+        common = np.flatnonzero(shared)
+        before = np.cumsum(shared) - shared
+        ga, gb = before[ends_a], before[ends_b]
         na, nb = np.bincount(ga, minlength=len(common)), np.bincount(gb, minlength=len(common))
         of = texts[np.searchsorted(np.cumsum(sizes[:, 2]), common)]
         return bad, {"a": a, "b": b, "ga": ga, "gb": gb, "na": na, "nb": nb, "of": of, "texts": texts, "sizes": sizes}
@@ -253,11 +275,12 @@ def _documents(shipped: _Shipped):
             code = code.astype(kind)
             begin = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (shard[1:] != shard[:-1])]) if len(of) else np.zeros(0, np.int64)
             stop = np.r_[begin[1:], len(of)].astype(np.int64)[: len(begin)]
-            cells = list(zip(begin.tolist(), stop.tolist(), strict=True))
+            cells, wide, raw = list(zip(begin.tolist(), stop.tolist(), strict=True)), code.itemsize, code.tobytes()
+            few = n.astype(np.uint8).tobytes() if len(n) and n.max() < 256 else None
             offsets = pa.array(np.r_[0, np.cumsum(np.bincount(of[begin], minlength=len(texts)))], pa.int32())
             lists = [
                 pa.ListArray.from_arrays(offsets, pa.array(x, t))
-                for x, t in ((shard[begin], pa.int32()), ([code[i:j].tobytes() for i, j in cells], pa.binary()), ([_packed(n[i:j]) for i, j in cells], pa.binary()))
+                for x, t in ((shard[begin], pa.int32()), ([raw[wide * i : wide * j] for i, j in cells], pa.binary()), ([few[i:j] if few else _packed(n[i:j]) for i, j in cells], pa.binary()))
             ]
             hashes = ["" if t in bad or t not in digests else digests[t].hexdigest() for t in range(len(texts))]
             return [*(pa.array(f) for f in figures), pa.array(hashes, pa.string()), *lists]

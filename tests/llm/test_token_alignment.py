@@ -114,3 +114,18 @@ def test_parts_and_chunks_do_not_show(monkeypatch):
     monkeypatch.setattr(sentencepieces, "PART_CHARS", 40)
     monkeypatch.setattr(m, "PAIRS", 6)
     assert [x.to_pylist() for x in m._documents(here)[1]()(texts)] == whole
+
+
+def test_a_word_is_encoded_once_a_task(libraries):
+    """The sentencepiece library meets each distinct word once, and the ids are those of whole texts; texts whose bytes differ are told apart."""
+    side, seen = m.Pieces(open(public.path("piece_bpe_32k.model"), "rb").read()), []
+    library = side.codec.reference
+    side.codec.reference = lambda texts: (seen.extend(texts), library(texts))[1]
+    rng = random.Random(8)
+    texts = [" ".join(f"{rng.choice('abcdé')}word{rng.randrange(20)}" for _ in range(400)) for _ in range(10)] + ["two  spaces ", "\n \nx ▁ y", " "]
+    got = [x for t in texts for x in side.encode([t])]
+    assert [x.tolist() for x in got] == [libraries[1].encode(t) for t in texts]
+    assert sum(map(len, seen)) < sum(map(len, texts)) / 10
+    whole = m.Aligner(open(public.path("byte_bpe_50k.json"), encoding="utf-8").read(), open(public.path("piece_bpe_32k.model"), "rb").read())
+    bad, x = whole.align([(0, texts[0]), (1, "a ▁ b"), (2, texts[10])])
+    assert bad == {1} and x["texts"].tolist() == [0, 2]
