@@ -19,6 +19,7 @@ words from others nor loses any; rows of one doc_id don't take words from each o
 
 from __future__ import annotations
 
+import re
 import uuid
 from hashlib import sha256
 
@@ -29,13 +30,19 @@ from pyspark.sql import functions as F
 
 from .common import fresh, give_back, materialize, new_path, small_batches, table, texts_of
 from .decontaminate import united
+from .sentencepieces import Numbers
 
 LENGTH, GRAM = 13, 5
 HOT = 2_000  #: texts with one anchor beyond which its windows go to several shards
 SHARD_ROWS = 10_000  #: segments of a shard, on average, before equal ones are made one
-SLICE = 1 << 18
+SLICE, PIECE = 1 << 18, 1 << 17
 PLACE = np.uint64((1 << 20) - 1)
 _FACTORS = np.random.default_rng(13).integers(1 << 63, size=GRAM + 1, dtype=np.uint64) | np.uint64(1)
+_BYTE = np.random.default_rng(14).integers(1 << 63, size=256, dtype=np.uint64) | np.uint64(1)
+WHITE = re.compile(rb"[\x20\x09-\x0D]")
+_IS_WHITE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTE[_IS_WHITE] = 0  # so what follows a word adds nothing to its hash
+_PLACES = np.random.default_rng(15).integers(1 << 63, size=1 << 12, dtype=np.uint64) | np.uint64(1)  #: by place in the word, over again after so many
 SPANS = "array<struct<start:long,end:long>>"
 
 
@@ -66,24 +73,72 @@ def _runs(hashes: np.ndarray, parts: list[tuple[int, int]], length: int, gram: i
     return starts, n, h[anchor[starts]].view(np.int64)
 
 
-def blocks_of(texts: list[list[bytes]], length: int = LENGTH, gram: int = GRAM):
-    """(text number, start, windows, anchor) arrays of all texts' blocks, slice by slice."""
-    from xxhash import xxh3_64_intdigest as digest
+def _pieces(texts: list[bytes]):
+    """Lists of (text number, offset, part) of some PIECE bytes; long texts are cut at white space."""
+    held, size = [], 0
+    for t, text in enumerate(texts):
+        at = 0
+        while at < len(text):
+            found = WHITE.search(text, at + PIECE) if len(text) - at > PIECE else None
+            end = found.start() if found else len(text)
+            held.append((t, at, text[at:end]))
+            size += end - at
+            at = end
+            if size >= PIECE:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
 
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Hash of each word, its first byte and its end in the text, and how many words each text has.
+
+    A word's hash is the mixed sum of its bytes' random numbers times factors by place. Other words with an equal hash only make more anchors recur.
+    """
+    counts, hashes, firsts, lasts = np.zeros(len(texts), np.int64), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for held in _pieces(texts):
+        raw = np.frombuffer(b" ".join([part for _, _, part in held]) + b" ", np.uint8)
+        white = _IS_WHITE[raw]
+        edge = np.flatnonzero(np.diff(white, prepend=True))  # by turns a word's first byte and its end
+        first, last = edge[::2], edge[1::2]
+        if not len(first):
+            continue
+        h = np.add.reduceat(_BYTE[raw] * _PLACES[_within(first, len(raw)) & (len(_PLACES) - 1)], first)
+        h ^= h >> np.uint64(32)
+        h *= _FACTORS[0]
+        sizes = np.array([len(part) + 1 for _, _, part in held])
+        begin = np.cumsum(sizes) - sizes
+        which = np.searchsorted(begin, first, "right") - 1
+        shift = (np.array([at for _, at, _ in held]) - begin)[which]
+        np.add.at(counts, np.array([t for t, _, _ in held]), np.bincount(which, minlength=len(held)))
+        hashes.append(h)
+        firsts.append(first + shift)
+        lasts.append(last + shift)
+    return np.concatenate(hashes), np.concatenate(firsts), np.concatenate(lasts), counts
+
+
+def _within(first: np.ndarray, size: int) -> np.ndarray:
+    """Each byte's place after the first byte of its word."""
+    return np.arange(size, dtype=np.int32) - np.repeat(np.r_[0, first].astype(np.int32), np.diff(np.r_[0, first, size]))
+
+
+def _blocks(hashes: np.ndarray, counts: np.ndarray, length: int, gram: int):
+    """(text number, start, windows, anchor) arrays of all texts' blocks, slice by slice, from their words' hashes."""
     held, parts, size = [], [], 0
 
     def close():
-        hashes = np.fromiter(map(digest, held), np.uint64, len(held))
-        starts, n, anchors = _runs(hashes, [(o, s) for _, o, _, s in parts], length, gram)
+        starts, n, anchors = _runs(np.concatenate(held), [(o, s) for _, o, _, s in parts], length, gram)
         which = np.searchsorted(np.array([o for _, o, _, _ in parts]), starts, "right") - 1
         text, shift = np.array([t for t, _, _, _ in parts])[which], np.array([b - o for _, o, b, _ in parts])[which]
         return text, starts + shift, n, anchors
 
-    for t, words in enumerate(texts):
-        for begin in range(0, len(words) - length + 1, SLICE):
-            part = words[begin : begin + SLICE + length - 1]
-            parts.append((t, size, begin, len(part)))
-            held += part
+    ends = np.cumsum(counts)
+    for t, (a, z) in enumerate(zip((ends - counts).tolist(), ends.tolist(), strict=True)):
+        for begin in range(a, z - length + 1, SLICE):
+            part = hashes[begin : min(z, begin + SLICE + length - 1)]
+            parts.append((t, size, begin - a, len(part)))
+            held.append(part)
             size += len(part)
             if size >= SLICE:
                 yield close()
@@ -92,6 +147,21 @@ def blocks_of(texts: list[list[bytes]], length: int = LENGTH, gram: int = GRAM):
         yield close()
 
 
+def blocks_of(texts: list[list[bytes]], length: int = LENGTH, gram: int = GRAM):
+    """(text number, start, windows, anchor) arrays of the blocks of all texts, given as words."""
+    hashes, _, _, counts = words_of([b" ".join(words) for words in texts])
+    return _blocks(hashes, counts, length, gram)
+
+
+def _raw(batch: pa.RecordBatch) -> list[bytes]:
+    return [t or b"" for t in texts_of(batch.column("text"))]
+
+
+def _batch_blocks(batch: pa.RecordBatch, length: int, gram: int):
+    hashes, _, _, counts = words_of(_raw(batch))
+    return _blocks(hashes, counts, length, gram)
+
+
 def _words(batch: pa.RecordBatch) -> list[list[bytes]]:
     return [t.split() if t else [] for t in texts_of(batch.column("text"))]
 
@@ -102,7 +172,7 @@ def _counted(length: int, gram: int):
     def run(batches):
         for batch in batches:
             first = batch.column("first").to_numpy()
-            for text, _, _, g in blocks_of(_words(batch), length, gram):
+            for text, _, _, g in _batch_blocks(batch, length, gram):
                 order = np.argsort(g, kind="stable")
                 ids, g = first[text[order]], g[order]
                 begin = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.zeros(0, np.int64)
@@ -121,7 +191,7 @@ def _listed(length: int, gram: int):
     def run(batches):
         for batch in batches:
             k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
-            for text, _, _, g in blocks_of(_words(batch), length, gram):
+            for text, _, _, g in _batch_blocks(batch, length, gram):
                 order = np.lexsort((g, text))
                 text, g = text[order], g[order]
                 new = np.ones(len(g), bool)
@@ -149,17 +219,22 @@ def _segments(length: int, gram: int):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
-            texts, out = _words(batch), []
+            texts, out = _raw(batch), []
+            hashes, first, last, counts = words_of(texts)
+            before = np.cumsum(counts) - counts
             keys = [batch.column(c).to_pylist() for c in ("k1", "k2", "first")]
             wanted = [{x["g"]: x["m"] for x in row} for row in batch.column("anchors").to_pylist()]
             flat = np.unique(np.fromiter((g for row in wanted for g in row), np.int64))
-            for text, start, n, g in blocks_of(texts, length, gram):
-                some = np.flatnonzero(np.isin(g, flat)).tolist()
-                for t, s, n_, a in zip(text[some].tolist(), start[some].tolist(), n[some].tolist(), g[some].tolist(), strict=True):
+            for text, start, n, g in _blocks(hashes, counts, length, gram):
+                some = np.flatnonzero(np.isin(g, flat))
+                text, start, n, g = text[some], start[some], n[some], g[some]
+                word = before[text] + start
+                begin, end = first[word], last[word + n + (length - 2)]
+                for t, s, n_, a, i, j in zip(*(x.tolist() for x in (text, start, n, g, begin, end)), strict=True):
                     m = wanted[t].get(a)
                     if m is None:
                         continue
-                    words = texts[t][s : s + n_ + length - 1]
+                    words = texts[t][i:j].split()
                     if m == 1:
                         masks = {0: (1 << n_) - 1}
                     else:
@@ -187,8 +262,8 @@ def occurrences(segments: list[tuple[bytes, int, int, int]], length: int = LENGT
     """
     import ahocorasick
 
-    numbers: dict[bytes, int] = {}
-    coded = [tuple(numbers.setdefault(w, len(numbers)) for w in words.split(b" ")) for words, _, _, _ in segments]
+    numbers = Numbers()
+    coded = [tuple(map(numbers.__getitem__, words.split(b" "))) for words, _, _, _ in segments]
     seen: dict[tuple[int, ...], tuple[int, int]] = {}
     for ids, (_, mask, lo, hi) in zip(coded, segments, strict=True):
         for i in range(len(ids) - length + 1):

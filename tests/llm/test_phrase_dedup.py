@@ -74,3 +74,22 @@ def test_slices_cut_no_window(monkeypatch):
     assert len(whole) == sum(max(0, len(w) - m.LENGTH + 1) for w in texts)
     monkeypatch.setattr(m, "SLICE", 40)
     assert windows() == whole
+
+
+def test_words_are_found_and_hashed_without_their_objects(monkeypatch):
+    """Equal words have equal hashes wherever they stand, and places in bytes are those of the words; pieces don't show."""
+    texts = [b"", b" \t", *(t.encode() for _, t in made(6) if t), b"x" * 9000 + b" " + b"y" * 5000, b"\xc2\x85 a\x0bb\x1c c"]
+    want = [t.split() for t in texts]
+
+    def found():
+        hashes, first, last, counts = m.words_of(texts)
+        assert counts.tolist() == list(map(len, want))
+        ends = counts.cumsum().tolist()
+        assert [[t[i:j] for i, j in zip(first[a - n : a].tolist(), last[a - n : a].tolist(), strict=True)] for t, a, n in zip(texts, ends, counts.tolist(), strict=True)] == want
+        return hashes.tolist()
+
+    whole = found()
+    pairs = set(zip(whole, (w for t in want for w in t), strict=True))
+    assert len(pairs) == len(dict(pairs)) == len({w for _, w in pairs})
+    monkeypatch.setattr(m, "PIECE", 100)
+    assert found() == whole
