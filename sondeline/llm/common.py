@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.staging import new_path, release, written, written_tables  # noqa: F401
+from ..sources.staging import discard, new_path, release, written, written_tables  # noqa: F401
 
 #: Lower-cases A-Z, keeps digits, a-z and every byte of a non-ASCII character, and turns the rest into spaces.
 WORD_BYTES = bytes(

@@ -12,7 +12,8 @@ where the two keys are two hashes of one window, 128 bits together.
 Counts are aggregated before each shuffle and joined back (adaptive skew joins split a hot key); one block stands for
 all that share both keys when blocks are cut further. Texts are moved once, to a table of distinct texts that is
 bucketed by their hash, and equal texts are one row of it: all their bytes are repeated, and they go no further.
-Later passes read that table in place.
+Later passes read that table in place. Each table of a pass is deleted, and its shuffles with it, as soon as the next one
+is written, so the disk never holds more than two steps of a pass; only texts and spans are left in the end.
 
 Defined results: a null or empty text has no bytes and loses none; a text shorter than LENGTH loses none; overlapping
 repeats count, within one document too; repeated rows repeat each other; an empty table gives no rows; other columns pass.
@@ -21,13 +22,14 @@ repeats count, within one document too; repeated rows repeat each other; an empt
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, give_back, materialize, new_path, small_batches, table, texts_of
+from .common import discard, fresh, give_back, materialize, new_path, small_batches, table, texts_of
 
 LENGTH, GRAM, CELL = 200, 32, 8
 SLICE = 1 << 18
@@ -172,16 +174,20 @@ def _listed(out) -> pa.RecordBatch:
 
 
 def _pass(records: DataFrame, length: int, tag: str) -> tuple[DataFrame, DataFrame]:
-    """Hits (k1, k2, start, end) of a pass, and one block of each pair of keys whose g is shared by several u."""
+    """Hits (k1, k2, start, end) of a pass, and one block of each pair of keys whose g is shared by several u. The table of the records goes."""
+    spark = records.sparkSession
     shared = records.groupBy("g").agg(F.sum("times").alias("m"), F.min("u").alias("lo"), F.max("u").alias("hi"))
     shared = materialize(shared.where("m > 1").select("g", (F.col("lo") == F.col("hi")).alias("same")), f"{tag}-shared")
+    discard(spark)
     plural = materialize(records.join(shared, "g"), f"{tag}-plural")
+    discard(spark, records, shared)
     mixed = plural.where("not same")
     pairs = mixed.groupBy("g", "u").agg(F.sum("times").alias("m"), F.max("known").alias("known"), F.min(F.struct("k1", "k2", "p", "n", "o")).alias("b"))
     pairs = materialize(pairs.select("g", "u", (F.col("m") > 1).alias("twice"), "known", "b"), f"{tag}-pairs")
     again = mixed.join(pairs.where("twice").select("g", "u"), ["g", "u"])
     columns = ["k1", "k2", F.col("p").cast("long").alias("start"), (F.col("p") + F.col("n") + (length - 1)).cast("long").alias("end")]
-    hits = plural.where("same and not known").select(*columns).union(again.where("not known").select(*columns))
+    hits = materialize(plural.where("same and not known").select(*columns).union(again.where("not known").select(*columns)), f"{tag}-hits")
+    discard(spark, plural)
     return hits, pairs.select("b.*", (F.col("twice") | F.col("known")).alias("known"))
 
 
@@ -199,16 +205,21 @@ def repeated_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) ->
 
     records = materialize(texts.select("k1", "k2", "text").mapInArrow(_first_blocks(length), RECORD), "blocks")
     own = records.where("g is null").select("k1", "k2", F.col("p").cast("long").alias("start"), (F.col("p") + F.col("n") + (length - 1)).cast("long").alias("end"))
-    hits, blocks = _pass(records.where("g is not null"), length, "pass1")
-    hits = own.union(hits)
+    hits = [materialize(own, "own-hits")]
+    found, blocks = _pass(records.where("g is not null"), length, "pass1")
+    hits.append(found)
     for number, cell in ((2, CELL), (3, 1)):
         listed = blocks.groupBy("k1", "k2").agg(F.collect_list(F.struct("p", "n", "o", "known")).alias("blocks"))  # no more than the text's length
         cut = texts.join(listed, ["k1", "k2"]).select("k1", "k2", "text", "blocks")
-        found, blocks = _pass(materialize(cut.mapInArrow(_cut_blocks(length, cell), RECORD), f"cells{number}"), length, f"pass{number}")
-        hits = hits.union(found)
-    hits = hits.union(texts.where("copies > 1").select("k1", "k2", F.lit(0).cast("long"), F.octet_length("text").cast("long")))
-    spans = hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return texts, materialize(spans.mapInArrow(_united, f"k1 long, k2 int, spans {SPANS}"), "repeated-spans")
+        cells = materialize(cut.mapInArrow(_cut_blocks(length, cell), RECORD), f"cells{number}")
+        discard(spark, blocks)
+        found, blocks = _pass(cells, length, f"pass{number}")
+        hits.append(found)
+    every = reduce(DataFrame.union, hits).union(texts.where("copies > 1").select("k1", "k2", F.lit(0).cast("long"), F.octet_length("text").cast("long")))
+    spans = every.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = materialize(spans.mapInArrow(_united, f"k1 long, k2 int, spans {SPANS}"), "repeated-spans")
+    discard(spark, blocks, *hits)
+    return texts, spans
 
 
 def _united(batches):

@@ -48,3 +48,16 @@ def test_texts_are_cut_and_other_columns_stay(spark):
     got = {r.doc_id: tuple(r)[1:] for r in m.remove_repeats(d).collect()}
     assert got == {1: (own[0], 300, "k"), 2: (own[1], 300, None), 3: (None, 7, "x"), 4: ("short", 8, "y")}
     assert m.remove_repeats(d.limit(0)).count() == 0
+
+
+def test_tables_of_the_passes_go_before_the_result_is_read(spark):
+    """What is left on the disk are texts and spans, and not the blocks of each pass; rows of other tables stay."""
+    from sondeline.sources import staging
+
+    passage, rng = "".join(map(str, range(150))), random.Random(5)
+    other = staging.written(spark.range(5), "other")
+    d = spark.createDataFrame([(k, "".join(rng.choice("klmn") for _ in range(300)) + passage * (k < 2)) for k in range(9)], "doc_id long, text string")
+    before = staging.written_tables()
+    out = m.remove_repeats(d)
+    assert [path.rsplit("/", 1)[1].rsplit("-", 1)[0] for _, path, _ in staging._written[before:]] == ["texts", "repeated-spans"]
+    assert sorted(len(r.text) for r in out.collect()) == [300] * 9 and other.count() == 5
